@@ -27,8 +27,8 @@ def rules() -> dict[str, Column]:
         "repeated_windows": 100 * c("n_repeat_words") > 50 * c("n_words"),
         "too_many_words": c("n_words") > 1_000_000,
         "word_length": (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words")),
-        "symbols": 100 * c("n_symbols") > 50 * c("n_words"),
-        "duplicate_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "symbols": 100 * c("n_symbols") > 10 * c("n_words"),
+        "duplicate_lines": (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
         "digits": 100 * c("n_digits") > 50 * c("word_chars"),
     }
 
@@ -150,8 +150,8 @@ b AS (
     (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
      + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END
      + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 8 ELSE 0 END
-     + CASE WHEN 100 * n_symbols > 50 * n_words THEN 16 ELSE 0 END
-     + CASE WHEN 100 * (n_lines - u_lines) > 30 * n_lines THEN 32 ELSE 0 END
+     + CASE WHEN 100 * n_symbols > 10 * n_words THEN 16 ELSE 0 END
+     + CASE WHEN n_lines - u_lines >= 3 AND 100 * (n_lines - u_lines) > 30 * n_lines THEN 32 ELSE 0 END
      + CASE WHEN 100 * n_digits > 50 * word_chars THEN 64 ELSE 0 END)::BIGINT AS failed_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,

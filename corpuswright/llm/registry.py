@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import quality
+from . import mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {
+        "op1_mix_sources": op1_mix_sources,
+        "op9_quality_rules": op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
