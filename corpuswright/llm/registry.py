@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import mixing, quality, simhash, warc
+from . import mixing, pieces, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op2(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op3(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -31,6 +35,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_warc_index": op3_warc_index,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
