@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import mixing, pieces, quality, simhash, warc
+from . import mixing, pieces, quality, simhash, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op3(spark, table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.op4(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": op1_mix_sources,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_warc_index": op3_warc_index,
+        "op4_token_counts": op4_token_counts,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
