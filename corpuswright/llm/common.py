@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,12 @@ def delete(spark: SparkSession, *frames: DataFrame) -> None:
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+
+
+def splitmix(x: np.ndarray) -> np.ndarray:
+    """The next draws of 64-bit counters: step and finaliser of the splitmix64 generator."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))

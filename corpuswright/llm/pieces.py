@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import splitmix
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.5
 SPACE = "▁"
@@ -35,15 +37,6 @@ HASH = np.uint64(0x9E3779B97F4A7C15)  # base of the rolling hash of pieces
 WINDOW = 1 << 20  # characters of a text that are split at once
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The next draws of counters: the finaliser of the splitmix64 generator."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 class Pieces:
     """Encoder and decoder over the vocabulary of a SentencePiece model file.
 
@@ -171,7 +164,7 @@ class Pieces:
         left = np.fromiter(map(len, chunks), np.int32, len(chunks))
         live, steps, taken = np.arange(len(chunks)), np.zeros(len(chunks), np.int64), []
         while live.size:
-            draws[live] = _mixed(draws[live])
+            draws[live] = splitmix(draws[live])
             edge = np.searchsorted(self.odds, (node[live].astype(np.uint64) << np.uint64(32)) | (draws[live] >> np.uint64(32)), side="right")
             width = self.widths[edge]
             taken.append((live, steps[live].copy(), self.tokens[edge]))

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import html, mixing, pieces, quality, simhash, tokencount, warc
+from . import html, lm, mixing, pieces, quality, simhash, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op10(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -42,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op10_lm_scoring": op10_lm_scoring,
         "op1_mix_sources": op1_mix_sources,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_warc_index": op3_warc_index,
