@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import html, lm, mixing, pieces, quality, sharding, simhash, tokencount, warc
+from . import audio, html, lm, mixing, pieces, quality, sharding, simhash, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.op4(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.op5(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_warc_index": op3_warc_index,
         "op4_token_counts": op4_token_counts,
+        "op5_audio_fingerprints": op5_audio_fingerprints,
         "op6_sharding": op6_sharding,
         "op7_html_extraction": op7_html_extraction,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
