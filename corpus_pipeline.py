@@ -1,22 +1,52 @@
-"""Corpus pipeline: quality rules, near-duplicates, mixing, SentencePiece encoding."""
+"""Corpus pipeline: quality rules, near-duplicates, mixing to target weights, SentencePiece encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each stage's result as Parquet in the
+shared folder and reads it as the next stage's docs. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuswright.llm import quality
+from corpuswright.llm import mixing, pieces, quality, simhash
+from corpuswright.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules of the newest policy keep."""
     return quality.judged(quality.ledger(docs)).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them; those it takes no times are gone."""
+    return mixing.mix(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, piece_ids, n_pieces and lossless of every row, sampled by doc_id."""
+    coded = pieces.encoded(docs, more=("source",))
+    return coded.select(F.col("key").alias("doc_id"), "source", "piece_ids", "n_pieces", "lossless")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-duplicates", dedup_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
+#: Pivotal rounding and sampled segmentations are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

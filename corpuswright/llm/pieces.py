@@ -264,11 +264,12 @@ def digest(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<i4").tobytes())
 
 
-def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL, alpha: float = ALPHA, whole_ids: bool = True) -> DataFrame:
+def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL, alpha: float = ALPHA, whole_ids: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     """(key, piece_ids, pieces_crc, n_pieces, lossless): pieces_crc is the CRC-32 of the ids as 4-byte little-endian
-    integers, lossless whether the decoded pieces are the text. Without ``whole_ids``, piece_ids is left out."""
+    integers, lossless whether the decoded pieces are the text. Without ``whole_ids``, piece_ids is left out; the columns in ``more``
+    come along."""
     kind = df.schema[key].dataType.simpleString()
-    names = ["key", *["piece_ids"] * whole_ids, "pieces_crc", "n_pieces", "lossless"]
+    names = ["key", *["piece_ids"] * whole_ids, "pieces_crc", "n_pieces", "lossless", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(model, alpha)
@@ -278,11 +279,11 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 ids = coder.encode_all(texts, batch.column(0).to_pylist(), seed)
                 same = [coder.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)]
-                columns = [batch.column(0), *[pa.array(ids, pa.list_(pa.int32()))] * whole_ids, pa.array(map(digest, ids), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
+                columns = [batch.column(0), *[pa.array(ids, pa.list_(pa.int32()))] * whole_ids, pa.array(map(digest, ids), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = f"key {kind}, " + "piece_ids array<int>, " * whole_ids + "pieces_crc long, n_pieces long, lossless boolean"
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, kinds)
+    kinds = f"key {kind}, " + "piece_ids array<int>, " * whole_ids + "pieces_crc long, n_pieces long, lossless boolean" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in more)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *more).mapInArrow(run, kinds)
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", model: str = MODEL, alpha: float = ALPHA) -> DataFrame:

@@ -50,6 +50,12 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def _fixed(value: Column) -> Column:
+    """The value, marked as one that a later filter must not compute again in its own place: pushed below the
+    projections it would repeat each of their expressions as often as the next one names it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _measured(df: DataFrame, text: str) -> DataFrame:
     """Adds MEASURES. A 3-word window is known by a hash with its place in the low bits: sorting brings equal
     windows together, and the words themselves are compared before two are called equal."""
@@ -83,7 +89,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     again = F.filter("_s", lambda x, i: same(x, F.get("_s", i + 1)) | F.when(i > 0, same(x, F.get("_s", i - 1))).otherwise(False))
     four = three.withColumn("_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_mask")))))
     reach = F.transform("_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_p", i + 1) - p, F.lit(3).cast("long"))))
-    five = four.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x))
+    five = four.withColumn("n_repeat_words", _fixed(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)))
     return five.drop("_w", "_lines", "_low", "_mask", "_s", "_p")
 
 
@@ -92,7 +98,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for k, fails in enumerate(rules().values()):
         bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return _measured(df, text).withColumn("failed_bits", bits)
+    return _measured(df, text).withColumn("failed_bits", _fixed(bits))
 
 
 def judged(book: DataFrame, policy: int = 2) -> DataFrame:
