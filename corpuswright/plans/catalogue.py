@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def timeline_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
-    day = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders", "o_orderdate", "o_totalprice").groupBy(month).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.median("o_totalprice"), 4).alias("median_value"),
-        F.countDistinct(day).alias("days_present"),
-        F.max(F.day(F.last_day(day))).cast("long").alias("days_in_month"),
-    )
-
-
-TIMELINE_SQL = """
-SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(median(o_totalprice), 4) AS median_value,
-       count(DISTINCT o_orderdate::DATE) AS days_present,
-       max(day(last_day(o_orderdate::DATE)))::BIGINT AS days_in_month
-FROM orders GROUP BY 1
-"""
+from . import panel_queries, stream_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"timeline_monthly": timeline_monthly}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"timeline_monthly": TIMELINE_SQL}
+    return dict(SQL)
