@@ -145,21 +145,22 @@ def plan(rows: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, mos
     return joined.withColumn("copies", copies.cast("long")).select("key", "source", "size", "n_rows", "source_size", "target", "copies")
 
 
-def _share(at: Column) -> Column:
+def _share(at: Column, copies: str = "copies", n_rows: str = "n_rows") -> Column:
     """Copies that the row at place ``at`` from 0 gets of those that equal rows share."""
-    return F.floor(F.col("copies") / F.col("n_rows")) + F.when(at < F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    return F.floor(F.col(copies) / F.col(n_rows)) + F.when(at < F.col(copies) % F.col(n_rows), 1).otherwise(0)
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``df``, each repeated as often as the mix takes it (rows taken no times are gone)."""
-    keyed = df.withColumns({"_key": F.xxhash64(*[F.to_json(F.col(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]), "_source": F.col(source).cast("string"), "_size": count_words(F.col(text))})
-    chosen = plan(keyed.select(F.col("_key").alias("key"), F.col("_source").alias("source"), F.col("_size").alias("size")), seed, weights)
-    chosen = written(chosen.where("copies > 0").select("key", "n_rows", "copies"), "chosen")
-    met = keyed.join(chosen, F.col("_key") == F.col("key"))
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1
-    many = met.where("n_rows > 1").withColumn("_n", _share(at))
-    out = met.where("n_rows = 1").withColumn("_n", F.col("copies")).unionByName(many)
-    return out.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*df.columns)
+    whole = [F.to_json(F.col(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
+    keyed = df.withColumns({"_cw_key": F.xxhash64(*whole), "_cw_source": F.col(source).cast("string"), "_cw_size": count_words(F.col(text))})
+    chosen = plan(keyed.select(F.col("_cw_key").alias("key"), F.col("_cw_source").alias("source"), F.col("_cw_size").alias("size")), seed, weights)
+    chosen = written(chosen.where("copies > 0").select(F.col("key").alias("_cw_chosen"), F.col("n_rows").alias("_cw_rows"), F.col("copies").alias("_cw_copies")), "chosen")
+    met = keyed.join(chosen.hint("merge"), F.col("_cw_key") == F.col("_cw_chosen"))  # grows with the rows: never broadcast
+    at = F.row_number().over(Window.partitionBy("_cw_key").orderBy("_cw_key")) - 1
+    many = met.where("_cw_rows > 1").withColumn("_cw_n", _share(at, "_cw_copies", "_cw_rows"))
+    out = met.where("_cw_rows = 1").withColumn("_cw_n", F.col("_cw_copies")).unionByName(many)
+    return out.where("_cw_n > 0").withColumn("_cw_i", F.explode(F.sequence(F.lit(1), F.col("_cw_n").cast("int")))).select(*df.columns)
 
 
 def op1(documents: DataFrame) -> DataFrame:

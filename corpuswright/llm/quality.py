@@ -61,36 +61,36 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     windows together, and the words themselves are compared before two are called equal."""
     full = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(full, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    one = df.withColumn("_w", words_of(F.col(text))).withColumn("_lines", lines)
-    n = F.size("_w")
+    one = df.withColumn("_cw_w", words_of(F.col(text))).withColumn("_cw_lines", lines)
+    n = F.size("_cw_w")
     one = one.withColumns({
-        "_low": F.length(F.bin(n.cast("long"))),
+        "_cw_low": F.length(F.bin(n.cast("long"))),
         "n_words": n.cast("long"),
         "word_chars": (F.length(full) - _without(full, BLANKS)).cast("long"),
         "n_symbols": _without(full, "#*$%&|<>").cast("long"),
         "n_digits": _without(full, "0123456789").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size("_cw_lines").cast("long"),
+        "n_dup_lines": (F.size("_cw_lines") - F.size(F.array_distinct("_cw_lines"))).cast("long"),
     })
-    word = lambda i: F.get(F.col("_w"), i)
-    low = F.expr("shiftleft(1L, _low) - 1")
-    two = one.withColumn("_mask", F.coalesce(low, F.lit(0).cast("long")))
+    word = lambda i: F.get(F.col("_cw_w"), i)
+    low = F.expr("shiftleft(1L, _cw_low) - 1")
+    two = one.withColumn("_cw_mask", F.coalesce(low, F.lit(0).cast("long")))
     keyed = F.transform(
         F.sequence(F.lit(0).cast("long"), n.cast("long") - 3),
-        lambda i: F.xxhash64(word(i.cast("int")), word(i.cast("int") + 1), word(i.cast("int") + 2)).bitwiseAND(F.bitwise_not("_mask")).bitwiseOR(i),
+        lambda i: F.xxhash64(word(i.cast("int")), word(i.cast("int") + 1), word(i.cast("int") + 2)).bitwiseAND(F.bitwise_not("_cw_mask")).bitwiseOR(i),
     )
-    three = two.withColumn("_s", F.when(n >= 3, F.sort_array(keyed)).otherwise(F.array().cast("array<bigint>")))
+    three = two.withColumn("_cw_s", F.when(n >= 3, F.sort_array(keyed)).otherwise(F.array().cast("array<bigint>")))
 
     def same(x: Column, y: Column) -> Column:
-        p, q = (v.bitwiseAND(F.col("_mask")).cast("int") for v in (x, y))
-        prefix = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not("_mask")) == 0
+        p, q = (v.bitwiseAND(F.col("_cw_mask")).cast("int") for v in (x, y))
+        prefix = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not("_cw_mask")) == 0
         return F.coalesce(prefix, F.lit(False)) & (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
 
-    again = F.filter("_s", lambda x, i: same(x, F.get("_s", i + 1)) | F.when(i > 0, same(x, F.get("_s", i - 1))).otherwise(False))
-    four = three.withColumn("_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_mask")))))
-    reach = F.transform("_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_p", i + 1) - p, F.lit(3).cast("long"))))
+    again = F.filter("_cw_s", lambda x, i: same(x, F.get("_cw_s", i + 1)) | F.when(i > 0, same(x, F.get("_cw_s", i - 1))).otherwise(False))
+    four = three.withColumn("_cw_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_cw_mask")))))
+    reach = F.transform("_cw_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_cw_p", i + 1) - p, F.lit(3).cast("long"))))
     five = four.withColumn("n_repeat_words", _fixed(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)))
-    return five.drop("_w", "_lines", "_low", "_mask", "_s", "_p")
+    return five.drop("_cw_w", "_cw_lines", "_cw_low", "_cw_mask", "_cw_s", "_cw_p")
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:

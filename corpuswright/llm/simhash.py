@@ -229,13 +229,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """One row of each group: that with the smallest key; of rows that share it, the first by content.
     Rows with a null key come last and stand for their group only if it has no other."""
     marked = near_duplicates(df, key, text)
-    stays = marked.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_key")).distinct()
-    rows = df.join(stays, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
-    once = rows.join(again, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-    more = rows.join(again, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    stays = marked.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_cw_key")).distinct()
+    # the keys that stay grow with the rows: they are never broadcast, whatever their size happens to be
+    rows = df.join(stays.hint("merge"), F.col(key).eqNullSafe(F.col("_cw_key")), "left_semi")
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_cw_n")).where("_cw_n > 1").select(F.col(key).alias("_cw_key"))
+    once = rows.join(again, F.col(key).eqNullSafe(F.col("_cw_key")), "left_anti")
+    more = rows.join(again, F.col(key).eqNullSafe(F.col("_cw_key")), "left_semi")
     order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")]))
-    return once.unionByName(more.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"))
+    return once.unionByName(more.withColumn("_cw_n", F.row_number().over(order)).where("_cw_n = 1").drop("_cw_n"))
 
 
 def op8(documents: DataFrame) -> DataFrame:
