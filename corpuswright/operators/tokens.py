@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules as R
 
@@ -124,10 +123,9 @@ def log_odds(a: DataFrame, b: DataFrame, prior_scale: float = 0.01) -> DataFrame
     return x.select("word", F.col("fa").alias("freq_a"), F.col("fb").alias("freq_b"), z.alias("z"))
 
 
-def lexical_window(words: DataFrame, size: int, most: int) -> DataFrame:
+def lexical_window(df: DataFrame, key: str, text: str, pattern: str, size: int, most: int) -> DataFrame:
     """Of documents with size..most words: share of the top word, of words that occur once, and types, over the first
-    ``size`` words."""
-    per = Window.partitionBy("key")
-    held = words.withColumn("n", F.count(F.lit(1)).over(per)).where(F.col("n").between(size, most)).withColumn("k", F.row_number().over(per.orderBy("pos"))).where(F.col("k") <= size)
-    counts = held.groupBy("key", "word").agg(F.count(F.lit(1)).alias("c"))
+    ``size`` words (that window is the measure). Only those words leave a row."""
+    found = df.select(F.col(key).alias("key"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({pattern})"), F.lit(1)).alias("t")).where(F.size("t").between(size, most))
+    counts = found.select("key", F.explode(F.slice("t", 1, size)).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("key").agg((F.max("c") / size).alias("top_share"), (F.count_if(F.col("c") == 1) / F.count(F.lit(1))).alias("hapax_share"), (F.count(F.lit(1)) / size).alias("ttr"))

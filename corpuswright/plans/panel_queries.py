@@ -271,10 +271,15 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.top_share(panel(spark, sf_dir), "likes", (0.01, 0.1, 0.5)), "sum_pct")
 
 
-@register(f"""WITH {PANEL}, q AS (SELECT *, ntile(4) OVER (PARTITION BY year ORDER BY value, id) AS quartile FROM p)
+@register(f"""WITH {PANEL}, b AS (SELECT year, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM p GROUP BY 1),
+q AS (SELECT p.*, 1 + (value > a)::INT + (value > b)::INT + (value > c)::INT AS quartile FROM p JOIN b USING (year))
 SELECT year, quartile, count(*) AS n, round(avg(likes), 6) AS mean_likes FROM q GROUP BY 1, 2""")
 def quartile_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel(spark, sf_dir).withColumn("quartile", F.ntile(4).over(Window.partitionBy("year").orderBy("value", "id")))
+    """Quartiles by the year's exact quartile values, so that no task ranks a year's articles."""
+    rows = panel(spark, sf_dir)
+    ends = rows.groupBy("year").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartile = sum(((F.col("value") > F.get("q", F.lit(k))).cast("int") for k in range(3)), F.lit(1))
+    rows = rows.join(ends, "year").withColumn("quartile", quartile)
     return rounded(rows.groupBy("year", "quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("likes").alias("mean_likes")), "mean_likes")
 
 
@@ -326,9 +331,9 @@ def std_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {PANEL}, s AS (SELECT CASE WHEN year = 1996 THEN 'a' ELSE 'b' END AS side, author, sum(value) AS s, count(value) AS c FROM p WHERE year IN (1996, 2000) GROUP BY 1, 2),
-l AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY author) - 1 AS place, count(*) OVER (PARTITION BY side) AS size FROM s),
-d AS (SELECT side, rep, ('0x' || substr(md5('42-' || side || '-' || rep || '-' || place), 1, 8))::BIGINT % size AS pick FROM l, range(200) AS r(rep)),
-m AS (SELECT rep, sum(s) FILTER (d.side = 'b') / sum(c) FILTER (d.side = 'b') - sum(s) FILTER (d.side = 'a') / sum(c) FILTER (d.side = 'a') AS x FROM d JOIN l ON d.side = l.side AND d.pick = l.place GROUP BY 1),
+d AS (SELECT side, rep, s, c, ('0x' || substr(md5('42-' || side || '-' || rep || '-' || author), 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(200) AS r(rep)),
+w AS (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.9196986)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT + (u >= 0.99991676)::INT + (u >= 0.99998975)::INT + (u >= 0.99999887)::INT AS w FROM d),
+m AS (SELECT rep, sum(w * s) FILTER (side = 'b') / sum(w * c) FILTER (side = 'b') - sum(w * s) FILTER (side = 'a') / sum(w * c) FILTER (side = 'a') AS x FROM w GROUP BY 1),
 o AS (SELECT list(x ORDER BY x) AS d FROM m)
 SELECT len(d) AS replicates, round(d[1 + floor(0.025 * (len(d) - 1))::INT], 4) AS low, round(d[1 + floor(0.975 * (len(d) - 1))::INT], 4) AS high FROM o""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def lexicon_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT doc_id FROM w GROUP BY 1 HAVING count(*) BETWEEN 100 AND 700), c AS (SELECT doc_id, word, count(*) AS c FROM w JOIN n USING (doc_id) WHERE k <= 100 GROUP BY 1, 2)
 SELECT doc_id, round(max(c) / 100.0, 6) AS top_share, round(count(*) FILTER (c = 1) / count(*), 6) AS hapax_share, round(count(*) / 100.0, 6) AS ttr FROM c GROUP BY 1""")
 def lexical_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.lexical_window(tokens.words_of(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", "[a-z]{3,}"), 100, 700)
+    found = tokens.lexical_window(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", "[a-z]{3,}", 100, 700)
     return rounded(found.withColumnRenamed("key", "doc_id"), "top_share", "hapax_share", "ttr")
 
 
