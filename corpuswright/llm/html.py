@@ -4,8 +4,8 @@ A page is read once into blocks of text and the element subtrees they stand in.
 roles and names such as nav, footer, cookie, comment) go at once. Each remaining subtree has a hash of its tags and
 text; Spark counts in how many different pages of a host each hash occurs, and subtrees that recur across at least
 PAGES different pages and SHARE of the host's different pages are deleted. Pages with the same text count once, so
-copies of an article are no template. Inside an article only subtrees with links can be templates: a passage that
-articles share is text.
+copies of an article are no template. Inside an article element only subtrees with links can be templates: a
+passage that articles share is text.
 
 A block ends where a block-level element begins or ends; a line break is white space inside it. White space is what
 Unicode calls so. Headings of an article stay, also where they stand in its header.
@@ -219,7 +219,7 @@ def read(page: str | None) -> list[tuple[str, list[int]]]:
         while x is not None and x is not best and x.parent is not None:
             header |= x.tag == "header"
             heading |= x.tag in HEADINGS
-            if x.tag not in ("html", "body") and (best is None or x.links):
+            if x.tag not in ("html", "body") and (best is None or best.main < 4 or x.links):
                 hashes.append(x.value)
             x = x.parent
         if header and not (heading and best is not None):
