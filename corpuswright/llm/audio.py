@@ -2,7 +2,7 @@
 
 A recording becomes frames of energy in the twelve pitch classes. Sixteen filters compare two areas of that picture,
 each by four reads of its integral image, at every frame; a filter's value is one of four levels in Gray code, and the
-sixteen make a 32-bit integer per frame. Recordings align where runs of integers agree: an index of anchors (two
+sixteen make a 32-bit integer per frame. Recordings align where runs of integers agree: an index of anchors (three
 integers STRIDE frames apart whose hash is the least of WINNOW neighbours, so that any shared run of that length
 shares an anchor) gives votes for offsets, the offset histogram's peak is taken, and the bit errors of the overlap
 there decide. Any pair with a shared anchor is tried; none is capped.
@@ -105,10 +105,10 @@ def integers(picture: np.ndarray) -> np.ndarray:
 
 def anchors(codes: np.ndarray) -> list[tuple[int, int]]:
     """(hash, frame) of the anchors; of a run of equal ones the first."""
-    if len(codes) <= STRIDE:
+    if len(codes) <= 2 * STRIDE:
         return []
-    pair = codes[:-STRIDE].astype(np.uint64) << np.uint64(32) | codes[STRIDE:]
-    hashed = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in pair), np.uint64, len(pair))
+    three = np.stack((codes[: -2 * STRIDE], codes[STRIDE:-STRIDE], codes[2 * STRIDE :]), axis=1)
+    hashed = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in three), np.uint64, len(three))
     width = min(WINNOW, len(hashed))
     views = np.lib.stride_tricks.sliding_window_view(hashed, width)
     at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
