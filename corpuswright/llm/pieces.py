@@ -52,7 +52,9 @@ class Pieces:
         ordinary = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pieces = [sp.id_to_piece(i) for i in range(size)]
-        self.byte_of = {i: b for b, i in enumerate(self.byte)}
+        of_bytes = {i: bytes([b]) for b, i in enumerate(self.byte)}
+        #: The bytes of each piece in a text; pieces hold U+2581 for spaces only.
+        self.raw = [of_bytes.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         by_rank = sorted(ordinary, key=lambda i: (-sp.get_score(i), i))
         self.ids = {self.pieces[i]: (i, (rank + 2.0) ** -alpha) for rank, i in enumerate(by_rank)}
         self.byte_weight = (len(by_rank) + 2.0) ** -alpha
@@ -86,7 +88,9 @@ class Pieces:
         return [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _spelling(self, char: str) -> tuple[int, int]:
-        """The token that stands for a character's bytes, and their number."""
+        """The token that stands for a character's bytes, and their number; of one byte, its own piece."""
+        if char < "\x80":
+            return self.byte[ord(char)], 1
         token = self.spelling.get(char)
         if token is None:
             token = self.spelling[char] = len(self.spelt)
@@ -233,21 +237,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded."""
-        out, pieces, byte_of = [], self.pieces, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            return "".join([pieces[i] for i in ids]).replace(SPACE, " ")[1:]
-        run = bytearray()
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode())
-                run = bytearray()
-            out.append(pieces[i].replace(SPACE, " "))
-        out.append(run.decode())
-        return "".join(out)[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
 _loaded: dict[tuple[str, float], Pieces] = {}
