@@ -227,16 +227,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that with the smallest key; of rows that share it, the first by content.
-    Rows with a null key come last and stand for their group only if it has no other."""
-    marked = near_duplicates(df, key, text)
-    stays = marked.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_cw_key")).distinct()
-    # the keys that stay grow with the rows: they are never broadcast, whatever their size happens to be
-    rows = df.join(stays.hint("merge"), F.col(key).eqNullSafe(F.col("_cw_key")), "left_semi")
-    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_cw_n")).where("_cw_n > 1").select(F.col(key).alias("_cw_key"))
-    once = rows.join(again, F.col(key).eqNullSafe(F.col("_cw_key")), "left_anti")
-    more = rows.join(again, F.col(key).eqNullSafe(F.col("_cw_key")), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")]))
-    return once.unionByName(more.withColumn("_cw_n", F.row_number().over(order)).where("_cw_n = 1").drop("_cw_n"))
+    Rows with a null key come last and stand for their group only if it has no other. Rows are told apart by key and
+    text, so rows of different groups that have no key, or share one, each stay."""
+    words = F.col(text).cast("string")
+    mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(words).alias("h"), F.xxhash64(words, F.lit(1)).alias("g"))
+    own = df.withColumn("_cw_mark", mark)
+    marked = near_duplicates(own, "_cw_mark", text)
+    stays = marked.where(F.col("key") == F.col("component")).select(F.col("key").alias("_cw_stays")).distinct()
+    # the marks that stay grow with the rows: they are never broadcast, whatever their size happens to be
+    rows = own.join(stays.hint("merge"), F.col("_cw_mark") == F.col("_cw_stays"), "left_semi")
+    again = rows.groupBy("_cw_mark").agg(F.count(F.lit(1)).alias("_cw_n")).where("_cw_n > 1").select(F.col("_cw_mark").alias("_cw_stays"))
+    once = rows.join(again, F.col("_cw_mark") == F.col("_cw_stays"), "left_anti")
+    more = rows.join(again, F.col("_cw_mark") == F.col("_cw_stays"), "left_semi")
+    # rows of one mark have one text; each task passes on one of them at most
+    order = Window.partitionBy("_cw_mark").orderBy(F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")]))
+    return once.unionByName(more.withColumn("_cw_n", F.row_number().over(order)).where("_cw_n = 1").drop("_cw_n")).drop("_cw_mark")
 
 
 def op8(documents: DataFrame) -> DataFrame:

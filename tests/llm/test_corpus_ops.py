@@ -90,6 +90,13 @@ def tone(notes):
     return np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * np.arange(320) / 2000) for k in notes])
 
 
+def test_keep_one_keeps_other_groups(spark):
+    rows = [(None, "one text of its own here"), (None, "quite another text it is"), (None, "quite another text it is"), (7, "a third thing said of seven"), (7, "fourth words under one id"), (1, "one text of its own here"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text or "") for r in simhash.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, rows[0][1]), (None, rows[1][1]), (7, rows[3][1]), (7, rows[4][1]), (None, "")], key=str)
+
+
 def test_audio_aligns_a_cut(spark):
     draw = random.Random(1)
     notes = [draw.randint(0, 11) for _ in range(64)]
