@@ -4,8 +4,9 @@ A page is read once into blocks of text and the element subtrees they stand in.
 roles and names such as nav, footer, cookie, comment) go at once. Each remaining subtree has a hash of its tags and
 text; Spark counts in how many different pages of a host each hash occurs, and subtrees that recur across at least
 PAGES different pages and SHARE of the host's different pages are deleted. Pages with the same text count once, so
-copies of an article are no template. Inside an article element only subtrees with links can be templates: a
-passage that articles share is text.
+copies of an article are no template. Inside an article element a paragraph, heading,
+quotation or the like without links (PROSE) is no template by itself, since a passage that articles share is text; any
+other subtree there can be one, with all it holds.
 
 A block ends where a block-level element begins or ends; a line break is white space inside it. White space is what
 Unicode calls so. Headings of an article stay, also where they stand in its header.
@@ -39,6 +40,7 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 GONE = frozenset("head script style textarea title noscript iframe template xmp noembed noframes nav aside footer form button select object svg canvas dialog menu audio video map datalist option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre li dt dd td th tr figcaption".split())
 CLOSES = {  # an element of this kind is closed by the beginning of those
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]),
@@ -219,7 +221,7 @@ def read(page: str | None) -> list[tuple[str, list[int]]]:
         while x is not None and x is not best and x.parent is not None:
             header |= x.tag == "header"
             heading |= x.tag in HEADINGS
-            if x.tag not in ("html", "body") and (best is None or best.main < 4 or x.links):
+            if x.tag not in ("html", "body") and (best is None or best.main < 4 or x.links or x.tag not in PROSE):
                 hashes.append(x.value)
             x = x.parent
         if header and not (heading and best is not None):

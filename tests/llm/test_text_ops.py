@@ -132,6 +132,13 @@ def test_templates_go_and_passages_stay(spark):
     assert html.op7(df.where("false")).count() == 0
 
 
+def test_templates_without_links_go_from_articles(spark):
+    notice = "<div><p>Our terms have changed today</p></div>"
+    rows = [(k, "http://d.org/x", f"<article><p>Text {k}</p>{notice}<div><p>Own {k}</p></div><p>A shared passage</p></article>") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.op7(df).collect()} == {k: f"Text {k}\nOwn {k}\nA shared passage" for k in range(30)}
+
+
 def test_surt():
     assert warc.surt("http://www.B.a.org:80/x?y=1") == "org,a,b)/x?y=1"
     assert warc.surt("https://u@a.org") == "org,a)/"
