@@ -3,7 +3,7 @@
 A page is read once into blocks of text and the element subtrees they stand in. Elements that say what they are (tags,
 roles and names such as nav, footer, cookie, comment) go at once. Each remaining subtree has a hash of its tags and
 text; Spark counts in how many different pages of a host each hash occurs, and subtrees that recur across at least
-PAGES different pages and SHARE of the host's different pages are deleted. Pages with the same text count once, so
+PAGES different pages of the host are deleted, however many pages it has. Pages with the same text count once, so
 copies of an article are no template. Inside an article element a paragraph, heading,
 quotation or the like without links (PROSE) is no template by itself, since a passage that articles share is text; any
 other subtree there can be one, with all it holds.
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PAGES = 10  # different pages of a host in which a template recurs at least
-SHARE = 0.2  # of the host's different pages; a page of E elements has E / SHARE templates at most on average
+PAGES = 5  # different pages of a host in which a template recurs at least
 
 TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z)))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -237,11 +236,11 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-SHAPE = "page_id {kind}, url string, host string, sign long, blocks array<struct<text:string,hashes:array<bigint>>>"
+SHAPE = "page_id {kind}, url string, host string, mark binary, sign long, blocks array<struct<text:string,hashes:array<bigint>>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, sign (a hash of the blocks' text) and blocks of every page."""
+    """page_id, url, host, mark (a hash of host and html), sign (a hash of the blocks' text) and blocks of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
     block = pa.list_(pa.struct([("text", pa.string()), ("hashes", pa.list_(pa.int64()))]))
 
@@ -249,36 +248,46 @@ def parsed(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [read(x) for x in batch.column(2).to_pylist()]
-                urls = batch.column(1).to_pylist()
+                htmls = batch.column(2).to_pylist()
+                found = [read(x) for x in htmls]
+                hosts = [host_of(x) for x in batch.column(1).to_pylist()]
+                marks = [xxhash.xxh3_128_digest(f"{h}\x00{x or ''}".encode("utf-8", "surrogatepass")) for h, x in zip(hosts, htmls, strict=True)]
                 signs = [xxhash.xxh64_intdigest("\n".join(t for t, _ in x).encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(signs, pa.int64()), pa.array([[{"text": t, "hashes": h} for t, h in x] for x in found], block)],
-                    names=["page_id", "url", "host", "sign", "blocks"],
+                    [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(marks, pa.binary()), pa.array(signs, pa.int64()), pa.array([[{"text": t, "hashes": h} for t, h in x] for x in found], block)],
+                    names=["page_id", "url", "host", "mark", "sign", "blocks"],
                 )
 
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SHAPE.format(kind=kind))
 
 
-def templates(read_pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur across a host's different pages."""
-    different = read_pages.groupBy("host", "sign").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+def subtrees(read_pages: DataFrame) -> DataFrame:
+    """(host, mark, sign, hash): each subtree of a page that may be a template."""
     hashes = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))
-    each = read_pages.select("host", "sign", F.explode(hashes).alias("hash")).distinct()  # at most one row per page and subtree
-    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = counted.join(different, "host").where(F.col("n") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))  # at most elements of a page / share
-
-
-def extracted(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars and n_templates (blocks that went as templates) of every page."""
-    found = written(parsed(pages), "pages")
-    sites = written(templates(found, least, share), "templates").withColumnRenamed("host", "_host")
-    # a host may have a third of all pages; it has one row on the other side, and Spark splits its pages
-    met = found.join(sites, F.col("host") == F.col("_host"), "left")
+    return read_pages.select("host", "mark", "sign", F.explode(hashes).alias("hash"))
+
+
+def templates(each: DataFrame, least: int = PAGES) -> DataFrame:
+    """(host, hash): of :func:`subtrees`, those that recur across a host's different pages."""
+    counted = each.select("host", "sign", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= least).select("host", "hash")
+
+
+def extracted(pages: DataFrame, least: int = PAGES) -> DataFrame:
+    """page_id, url, text, n_chars and n_templates (blocks that went as templates) of every page.
+
+    Pages are read twice, as that takes less disk than keeping their text between the passes."""
+    found = parsed(pages)
+    each = written(subtrees(found), "subtrees")
+    sites = written(templates(each, least), "templates").select(F.col("host").alias("_host"), F.col("hash").alias("_hash"))
+    # a subtree, and a page with its copies, may make up a third of all pages; they have one row on the other side of
+    # these joins, and Spark splits their rows
+    met = each.join(sites.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash")))
+    gone = met.groupBy(F.col("mark").alias("_mark")).agg(F.collect_set("hash").alias("templates"))  # at most the elements of a page
+    out = found.join(written(gone, "gone").hint("merge"), F.col("mark") == F.col("_mark"), "left")
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["hashes"], F.col("templates")), F.lit(False)))
     text = F.array_join(F.transform("left", lambda b: b["text"]), "\n")
-    out = met.withColumn("left", left).withColumn("text", text)
+    out = out.withColumn("left", left).withColumn("text", text)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("blocks") - F.size("left")).alias("n_templates"))
 
 

@@ -139,6 +139,16 @@ def test_templates_without_links_go_from_articles(spark):
     assert {r.page_id: r.text for r in html.op7(df).collect()} == {k: f"Text {k}\nOwn {k}\nA shared passage" for k in range(30)}
 
 
+def test_templates_at_both_ends_of_host_size(spark):
+    small = [(k, "http://e.org/x", f"<body><div>Same notice</div><div>Own {k}</div></body>") for k in range(5)]
+    large = [(100 + k, "http://f.org/x", f"<body><div>Banner of kind {k % 12}</div><div>Own {k}</div></body>") for k in range(120)]
+    df = spark.createDataFrame(small + large + large[:1], "page_id long, url string, html string")
+    got = html.op7(df).collect()
+    assert sorted((r.page_id, r.text, r.n_templates) for r in got) == sorted((k, f"Own {k if k < 100 else k - 100}", 1) for k in [r[0] for r in small + large + large[:1]])
+    few = spark.createDataFrame(small[:4], "page_id long, url string, html string")
+    assert {r.n_templates for r in html.op7(few).collect()} == {0}
+
+
 def test_surt():
     assert warc.surt("http://www.B.a.org:80/x?y=1") == "org,a,b)/x?y=1"
     assert warc.surt("https://u@a.org") == "org,a)/"
