@@ -213,12 +213,14 @@ def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 #: Cumulative probabilities of a Poisson count of mean 1.
 POISSON = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887)
+LEAST_AUTHORS = 5
 
 
 def bootstrap(panel: DataFrame, a: Column, b: Column, n: int = 400, seed: int = 42) -> DataFrame:
     """Author-clustered bootstrap interval of the difference of means. Authors are their sums and counts, and an author
     is in a replicate as often as a Poisson count of mean 1 says, drawn by a hash of seed, replicate, side and author:
-    no numbering of authors, no join, and sums that are partial before they shuffle."""
+    no numbering of authors, no join, and sums that are partial before they shuffle. There is no interval with under
+    LEAST_AUTHORS on a side, or if under half of the replicates have values on both."""
     rows = panel.where(a | b).withColumn("side", F.when(a, "a").otherwise("b"))
     sums = rows.groupBy("side", "author").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
     draws = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -226,10 +228,11 @@ def bootstrap(panel: DataFrame, a: Column, b: Column, n: int = 400, seed: int =
     times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
     drawn = draws.withColumn("u", digest / F.lit(4294967296.0)).withColumn("w", times)
     total = lambda p, x: F.sum(F.when(F.col("side") == p, F.col("w") * F.col(x)))
-    means = drawn.groupBy("rep").agg(*[(total(p, "s") / F.nullif(total(p, "c"), F.lit(0))).alias(f"m{p}") for p in "ab"])
+    means = drawn.groupBy("rep").agg(*[(total(p, "s") / F.nullif(total(p, "c"), F.lit(0))).alias(f"m{p}") for p in "ab"], *[F.count_if(F.col("side") == p).alias(f"k{p}") for p in "ab"])  # each replicate has a row of every author
     ordered = F.sort_array(F.collect_list(F.col("mb") - F.col("ma")))  # n values
-    pick = lambda q: F.get("d", (F.lit(q) * (F.size("d") - 1)).cast("int"))
-    return means.agg(ordered.alias("d")).select(F.size("d").cast("long").alias("replicates"), pick(0.025).alias("low"), pick(0.975).alias("high"))
+    valid = (F.col("authors") >= LEAST_AUTHORS) & (F.size("d") >= n // 2)
+    pick = lambda q: F.when(valid, F.get("d", (F.lit(q) * (F.size("d") - 1)).cast("int")))
+    return means.agg(ordered.alias("d"), F.least(F.max("ka"), F.max("kb")).alias("authors")).select(F.size("d").cast("long").alias("replicates"), pick(0.025).alias("low"), pick(0.975).alias("high"))
 
 
 def top_share(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:

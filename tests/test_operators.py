@@ -65,6 +65,17 @@ def test_slopes_and_bridge(spark):
     assert panel.slopes(yearly, 2022, bridge=False).first().post_slope == 2.0
 
 
+def test_bootstrap_gates(spark):
+    def interval(authors, empty=0):
+        rows = [(side, f"{side}{k}", None if k < empty else float(k)) for side in "ab" for k in range(authors if side == "b" else 6)]
+        df = spark.createDataFrame(rows, "period string, author string, value double")
+        return panel.bootstrap(df, F.col("period") == "a", F.col("period") == "b", 40).first()
+
+    assert interval(4).low is interval(4).high is None
+    assert interval(5).low < interval(5).high
+    assert interval(6, empty=6).low is None
+
+
 def test_breach_and_layers(spark):
     r = spark.range(1).select(panel.breach(F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("a"), panel.breach(F.lit(1.1), F.lit(1.0), F.lit(0.0)).alias("b"), *[panel.layer_of(F.lit(k)).alias(f"k{k}") for k in (0, 1, 2, 3, 9, 10)]).first()
     assert tuple(r) == (False, True, "0", "1-2", "1-2", "3-9", "3-9", "10+")
