@@ -2,16 +2,22 @@
 
 A recording becomes frames of energy in the twelve pitch classes. Sixteen filters compare two areas of that picture,
 each by four reads of its integral image, at every frame; a filter's value is one of four levels in Gray code, and the
-sixteen make a 32-bit integer per frame. Recordings align where runs of integers agree: an index of anchors (three
-integers STRIDE frames apart whose hash is the least of WINNOW neighbours, so that any shared run of that length
-shares an anchor) gives votes for offsets, the offset histogram's peak is taken, and the bit errors of the overlap
-there decide. Any pair with a shared anchor is tried; none is capped.
+sixteen make a 32-bit integer per frame. Two recordings align at an offset where at most MOST_ERRORS of the bits of
+their overlap differ, over LEAST_FRAMES or more.
+
+Since an eighth of the bits may differ, candidates need no equal integers: an anchor is KEY_BITS bits sampled by rule
+from SPAN successive integers, in each of TABLES samples. Of an indexed recording every STEP-th frame has anchors, of
+one that asks every frame, so any offset is met. Equal anchors vote for an offset; every offset with a vote is judged
+by its bit errors, and the best is returned. Inside a run of equal anchors the first and the last stand for it. An
+anchor shared by very many recordings is dealt over tiles of at most about TILE rows a side, so that no task holds it
+whole, and none is capped.
 
 Recordings with equal integers are one class, named by its smallest key; classes are aligned, not their members.
 
-Defined results: a null, empty or unreadable recording has no frames, and all such are one class that aligns with
-nothing; so are recordings too short for one integer; a null key takes part and comes last; repeated rows are members
-of one class; an empty table gives an empty result.
+Defined results: a null, empty or unreadable recording (no PCM WAV, no sampling rate, samples that are not 1 to 4 bytes
+wide) has no frames, and all such are one class that aligns with nothing; so are recordings too short for one integer;
+a null key takes part and comes last; repeated rows are members of one class; a long recording is worked on in windows;
+only the two columns named are read, so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW_S, HOP_S = 0.5, 0.08
-STRIDE = 4
-WINNOW = 5
+SPAN, KEY_BITS, FINE_BITS, TABLES, STEP = 30, 42, 14, 20, 5
+TILE = 2048  # anchors of a side that a task meets at once
+HELD = 1 << 20  # votes a task sums up before it passes them on
 MOST_ERRORS = 0.12  # share of differing bits
 LEAST_FRAMES = 54
 LEVELS = (-0.25, 0.0, 0.25)
@@ -39,6 +46,17 @@ FILTERS = [(k % 4, 3 * k % 12, 4 + 2 * (k % 3), 4 + 4 * (k // 4)) for k in range
 REACH = max(f[3] for f in FILTERS)
 
 
+def _sampled(draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(frame in the span, bit of its integer) of each bit of an anchor, spread evenly over the frames. A filter's upper
+    bit says which area is louder, its lower (fine) bit how clearly; two thirds are upper bits, as noise turns fewer."""
+    upper = np.concatenate([2 * draw.permutation(16) + 1 for _ in range(-(-KEY_BITS // 16))])[: KEY_BITS - FINE_BITS]
+    return draw.permutation(np.arange(KEY_BITS) * SPAN // KEY_BITS), draw.permutation(np.concatenate((2 * draw.permutation(16)[:FINE_BITS], upper)))
+
+
+_draw = np.random.default_rng(7)
+SAMPLED = [_sampled(_draw) for _ in range(TABLES)]
+
+
 def samples(recording: bytes | None) -> tuple[np.ndarray, int]:
     """Mono samples and rate of a PCM WAV file; none if it can't be read."""
     try:
@@ -47,6 +65,8 @@ def samples(recording: bytes | None) -> tuple[np.ndarray, int]:
             raw = file.readframes(file.getnframes())
     except (wave.Error, EOFError):
         return np.empty(0), 1
+    if rate <= 0 or not 1 <= width <= 4:
+        return np.empty(0), 1
     raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 3:
         spread = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -103,41 +123,117 @@ def integers(picture: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(codes: np.ndarray) -> list[tuple[int, int]]:
-    """(hash, frame) of the anchors; of a run of equal ones the first."""
-    if len(codes) <= 2 * STRIDE:
-        return []
-    three = np.stack((codes[: -2 * STRIDE], codes[STRIDE:-STRIDE], codes[2 * STRIDE :]), axis=1)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in three), np.uint64, len(three))
-    width = min(WINNOW, len(hashed))
-    views = np.lib.stride_tricks.sliding_window_view(hashed, width)
-    at = np.unique(np.arange(len(views)) + views.argmin(axis=1))
-    at = at[np.concatenate(([True], hashed[at[1:]] != hashed[at[:-1]]))]
-    return list(zip(hashed[at].view(np.int64).tolist(), at.tolist(), strict=True))
+def anchors(codes: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and their frames, for every ``step``-th frame of a recording's integers."""
+    at = np.arange(0, len(codes) - SPAN + 1, step)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    bits = np.unpackbits(codes.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    keys, frames = [], []
+    for table, (frame, bit) in enumerate(SAMPLED):
+        key = np.packbits(np.pad(bits[at[:, None] + frame, bit], ((0, 0), (0, 64 - KEY_BITS))), axis=1, bitorder="little").view(np.int64)[:, 0] | table << KEY_BITS
+        ends = np.ones(len(key), bool)
+        ends[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
+        keys.append(key[ends])
+        frames.append(at[ends])
+    return np.concatenate(keys), np.concatenate(frames).astype(np.int32)
 
 
 def fingerprints(df: DataFrame, key: str, audio: str) -> DataFrame:
-    """(key, codes, anchors array<struct<hash, frame>>, sign): sign is a hash of the codes."""
+    """(key, codes, sign): sign is a hash of the codes."""
     kind = df.schema[key].dataType.simpleString()
-    pair = pa.list_(pa.struct([("hash", pa.int64()), ("frame", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 codes = [integers(chroma(*samples(x))) for x in batch.column(1).to_pylist()]
-                found = [[{"hash": h, "frame": f} for h, f in anchors(x)] for x in codes]
                 signs = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in codes]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int32) for x in codes], pa.list_(pa.int32())), pa.array(found, pair), pa.array(signs, pa.int64())], names=["key", "codes", "anchors", "sign"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int32) for x in codes], pa.list_(pa.int32())), pa.array(signs, pa.int64())], names=["key", "codes", "sign"])
+
+    return df.select(F.col(key).alias("key"), F.col(audio).alias("audio")).mapInArrow(run, f"key {kind}, codes array<int>, sign long")
 
-    return df.select(F.col(key).alias("key"), F.col(audio).alias("audio")).mapInArrow(run, f"key {kind}, codes array<int>, anchors array<struct<hash:bigint,frame:int>>, sign long")
+
+def _anchored(classes: DataFrame) -> DataFrame:
+    """(anchor, side, sign, frame) of the classes (sign, asks, codes): side 0 asks, side 1 is the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found = []
+                for sign, asks, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = np.array(codes, np.int32).view(np.uint32)
+                    found += [(sign, side, *anchors(own, step)) for side, step in ((0, 1), (1, STEP)) if side or asks]
+                size = [len(x[2]) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in found])), pa.array(np.repeat(np.array([x[1] for x in found], np.int8), size)), pa.array(np.repeat(np.array([x[0] for x in found], np.int64), size)), pa.array(np.concatenate([x[3] for x in found]))], names=["anchor", "side", "sign", "frame"])
+
+    return classes.select("sign", "asks", "codes").mapInArrow(run, "anchor long, side byte, sign long, frame int")
+
+
+def _summed(rows: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (q, s, offset) with the sums of their votes."""
+    order = np.lexsort(rows.T)
+    rows, votes = rows[order], votes[order]
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+    return rows[first], np.add.reduceat(votes, first)
+
+
+def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, tile, side, sign, frame) in this order; out: (q, s, offset, votes), summed over the task's anchors."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rest: list[pa.RecordBatch] = []
+
+    def passed() -> pa.RecordBatch:
+        rows, votes = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(2)), pa.array(rows[:, 2].astype(np.int32)), pa.array(votes)], names=["q", "s", "offset", "votes"])
+
+    def met(frame: pa.Table) -> None:
+        anchor, tile, side, sign, at = (frame.column(c).to_numpy() for c in ("anchor", "tile", "side", "sign", "frame"))
+        begin = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1]))))
+        many = np.diff(np.append(begin, len(anchor)))
+        asks = many - np.add.reduceat(side.astype(np.int64), begin)  # rows of side 0, which come first in a tile
+        group = np.repeat(np.arange(len(begin)), many)
+        left = np.flatnonzero(side == 0)
+        others = (many - asks)[group[left]]
+        left, others = left[others > 0], others[others > 0]
+        ends = np.cumsum(others)
+        for lo in range(0, int(ends[-1]) if len(ends) else 0, HELD):  # some HELD pairs at a time
+            part = slice(*np.searchsorted(ends, (lo, lo + HELD), side="right"))
+            own, n = left[part], others[part]
+            i = np.repeat(own, n)
+            j = np.repeat((begin + asks)[group[own]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            unlike = sign[i] != sign[j]
+            i, j = i[unlike], j[unlike]
+            if len(i):
+                held.append(_summed(np.stack((sign[i], sign[j], at[j].astype(np.int64) - at[i]), axis=1), np.ones(len(i), np.int64)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if sum(x.num_rows for x in rest) < 100_000:
+            continue
+        frame = pa.Table.from_batches(rest)
+        anchor, tile = frame.column("anchor").to_numpy(), frame.column("tile").to_numpy()
+        cut = np.flatnonzero((anchor != anchor[-1]) | (tile != tile[-1]))
+        if len(cut):  # the last tile may go on
+            met(frame.slice(0, int(cut[-1]) + 1))
+            rest = frame.slice(int(cut[-1]) + 1).to_batches()
+        if sum(len(x) for x, _ in held) > HELD:
+            yield passed()
+    if rest:
+        met(pa.Table.from_batches(rest))
+    if held:
+        yield passed()
 
 
 def bit_errors(a: Column, b: Column, offset: Column) -> Column:
     """Share of differing bits of the overlap when frame x of a stands over frame x + offset of b."""
     begin_a, begin_b = F.greatest(-offset, F.lit(0)), F.greatest(offset, F.lit(0))
     n = F.least(F.size(a) - begin_a, F.size(b) - begin_b)
-    errors = F.zip_with(F.slice(a, begin_a + 1, n), F.slice(b, begin_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    errors = F.zip_with(F.slice(a, begin_a + 1, n), F.slice(b, begin_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # the count is of 64 bits, sign and all
     return F.struct(n.alias("frames"), (F.aggregate(errors, F.lit(0), lambda s, x: s + x) / (32 * n)).alias("errors"))
 
 
@@ -145,20 +241,31 @@ def aligned(df: DataFrame, key: str, audio: str, queries: Column, most: float =
     """(members, pairs). members: key, class_id, n_codes. pairs: for each class with a query (``queries`` is a condition
     on the key) the other classes that align with it: query_class, match_class, offset, votes, frames, errors."""
     prints = written(fingerprints(df, key, audio), "prints")
-    classes = prints.groupBy("sign").agg(F.min("key").alias("class_id"), F.max(queries).alias("asks"), F.first("codes").alias("codes"), F.first("anchors").alias("anchors"))
+    classes = prints.groupBy("sign").agg(F.min("key").alias("class_id"), F.max(queries).alias("asks"), F.first("codes").alias("codes"))
     classes = written(classes, "classes")
     # an unreadable recording has no codes; the class named null stands for rows without a key
     members = prints.select("key", "sign", F.size("codes").alias("n_codes")).join(classes.select("sign", "class_id"), "sign").drop("sign")
-    index = classes.select(F.col("sign").alias("s"), "asks", F.explode("anchors").alias("z")).select("s", "asks", "z.hash", "z.frame")
-    asked = index.where("asks").select(F.col("s").alias("q"), "hash", F.col("frame").alias("at"))
-    met = asked.join(index, "hash").where("q <> s")
-    votes = met.groupBy("q", "s", (F.col("frame") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    peak = votes.groupBy("q", "s").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
+    anchored = written(_anchored(classes), "anchors")
+    slices = lambda side: F.ceil(F.count_if(F.col("side") == side) / F.lit(float(TILE))).cast("int")
+    # an anchor of more rows than a tile is dealt over slices of both sides, and each pair of slices is a tile
+    hot = anchored.groupBy("anchor").agg(slices(0).alias("across"), slices(1).alias("down")).where("across > 0 and (across > 1 or down > 1)")
+    hot = written(hot, "hot")
+    own, other = F.when(F.col("side") == 0, F.col("across")).otherwise(F.col("down")), F.when(F.col("side") == 0, F.col("down")).otherwise(F.col("across"))
+    mine, theirs = F.coalesce(F.pmod(F.xxhash64("sign", "frame"), own), F.lit(0)), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)).cast("long") - 1))
+    dealt = anchored.join(hot, "anchor", "left").withColumns({"_mine": mine.cast("long"), "_theirs": theirs})
+    tile = F.when(F.col("side") == 0, F.shiftleft("_mine", 32) + F.col("_theirs")).otherwise(F.shiftleft("_theirs", 32) + F.col("_mine"))
+    rows = dealt.select("anchor", tile.alias("tile"), "side", "sign", "frame").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "side")
+    votes = rows.mapInArrow(_ballots, "q long, s long, offset int, votes long").repartition("q", "s").groupBy("q", "s", "offset").agg(F.sum("votes").alias("votes"))
+    histogram = votes.groupBy("q", "s").agg(F.collect_list(F.struct("votes", "offset")).alias("offsets"))  # at most the offsets of two recordings
     left = classes.select(F.col("sign").alias("q"), F.col("class_id").alias("query_class"), F.col("codes").alias("a"))
     right = classes.select(F.col("sign").alias("s"), F.col("class_id").alias("match_class"), F.col("codes").alias("b"))
-    both = peak.select("q", "s", "best.votes", "best.offset").join(left, "q").join(right, "s")
-    judged = both.withColumn("z", bit_errors(F.col("a"), F.col("b"), F.col("offset"))).where((F.col("z.frames") >= least) & (F.col("z.errors") <= most))
-    return members, judged.select("query_class", "match_class", "offset", "votes", "z.frames", "z.errors")
+    judged = F.transform("offsets", lambda o: F.struct(bit_errors(F.col("a"), F.col("b"), o["offset"]).alias("z"), o["votes"].alias("votes"), o["offset"].alias("offset")))
+    fit = F.filter(judged, lambda x: (x["z"]["frames"] >= least) & (x["z"]["errors"] <= most))
+    order = lambda x: F.struct(x["z"]["errors"], -x["votes"], F.abs(x["offset"]), x["offset"])
+    best = F.array_min(F.transform(fit, lambda x: F.struct(order(x).alias("order"), x.alias("x"))))["x"]
+    # a row where an offset fits; the explosion keeps the judgement from being worked out once per column
+    found = histogram.join(left, "q").join(right, "s").withColumn("best", F.explode(F.array_compact(F.array(best))))
+    return members, found.select("query_class", "match_class", "best.offset", "best.votes", "best.z.frames", "best.z.errors")
 
 
 def tune(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", rate: int = 2000, note_s: float = 0.16) -> DataFrame:
