@@ -8,7 +8,9 @@ their overlap differ, over LEAST_FRAMES or more.
 Since an eighth of the bits may differ, candidates need no equal integers: an anchor is KEY_BITS bits sampled by rule
 from SPAN successive integers, in each of TABLES samples. Of an indexed recording every STEP-th frame has anchors, of
 one that asks every frame, so any offset is met. Equal anchors vote for an offset; every offset with a vote is judged
-by its bit errors, and the best is returned. Inside a run of equal anchors the first and the last stand for it. An
+by its bit errors, and the best is returned. Anchors that agree beside each other, in the frame before or the table
+before, vote once: a vote that one of these has cast already is left out, so that two like recordings meet a few times
+and not once per frame and table. Inside a run of equal anchors of one recording its ends stand for it. An
 anchor shared by very many recordings is dealt over tiles of at most about TILE rows a side, so that no task holds it
 whole, and none is capped.
 
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import splitmix, written
 
 WINDOW_S, HOP_S = 0.5, 0.08
 SPAN, KEY_BITS, FINE_BITS, TABLES, STEP = 30, 42, 14, 20, 5
@@ -123,20 +125,20 @@ def integers(picture: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(codes: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors and their frames, for every ``step``-th frame of a recording's integers."""
-    at = np.arange(0, len(codes) - SPAN + 1, step)
-    if not len(at):
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+def anchors(codes: np.ndarray, step: int = 1) -> tuple[np.ndarray, ...]:
+    """For every ``step``-th frame of a recording's integers and every table: the anchor, its frame, and marks of the
+    anchors STEP frames before and one table before; where those are absent a mark that differs between the sides."""
+    at, lag = np.arange(0, len(codes) - SPAN + 1, step), STEP // step
     bits = np.unpackbits(codes.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    keys, frames = [], []
-    for table, (frame, bit) in enumerate(SAMPLED):
-        key = np.packbits(np.pad(bits[at[:, None] + frame, bit], ((0, 0), (0, 64 - KEY_BITS))), axis=1, bitorder="little").view(np.int64)[:, 0] | table << KEY_BITS
-        ends = np.ones(len(key), bool)
-        ends[1:-1] = (key[1:-1] != key[:-2]) | (key[1:-1] != key[2:])
-        keys.append(key[ends])
-        frames.append(at[ends])
-    return np.concatenate(keys), np.concatenate(frames).astype(np.int32)
+    keys, stay = np.zeros((TABLES, len(at)), np.int64), np.ones((TABLES, len(at)), bool)
+    for table, (frame, bit) in enumerate(SAMPLED if len(at) else ()):
+        packed = np.packbits(np.pad(bits[at[:, None] + frame, bit], ((0, 0), (0, 64 - KEY_BITS))), axis=1, bitorder="little")
+        keys[table] = packed.view(np.int64)[:, 0] | table << KEY_BITS
+    stay[:, lag:-lag] = (keys[:, lag:-lag] != keys[:, : -2 * lag]) | (keys[:, lag:-lag] != keys[:, 2 * lag :])
+    marks = np.where(stay, (splitmix(keys.view(np.uint64)) >> np.uint64(33)).astype(np.int32), -step)
+    before, above = np.full_like(marks, -step), np.full_like(marks, -step)
+    before[:, lag:], above[1:] = marks[:, :-lag], marks[:-1]
+    return keys[stay], np.broadcast_to(at.astype(np.int32), keys.shape)[stay], before[stay], above[stay]
 
 
 def fingerprints(df: DataFrame, key: str, audio: str) -> DataFrame:
@@ -155,7 +157,7 @@ def fingerprints(df: DataFrame, key: str, audio: str) -> DataFrame:
 
 
 def _anchored(classes: DataFrame) -> DataFrame:
-    """(anchor, side, sign, frame) of the classes (sign, asks, codes): side 0 asks, side 1 is the index."""
+    """(anchor, side, sign, frame, before, above) of the classes (sign, asks, codes): side 0 asks, side 1 is the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,9 +168,11 @@ def _anchored(classes: DataFrame) -> DataFrame:
                     own = np.array(codes, np.int32).view(np.uint32)
                     found += [(sign, side, *anchors(own, step)) for side, step in ((0, 1), (1, STEP)) if side or asks]
                 size = [len(x[2]) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in found])), pa.array(np.repeat(np.array([x[1] for x in found], np.int8), size)), pa.array(np.repeat(np.array([x[0] for x in found], np.int64), size)), pa.array(np.concatenate([x[3] for x in found]))], names=["anchor", "side", "sign", "frame"])
+                sides, signs = (np.repeat(np.array([x[k] for x in found], kind), size) for k, kind in ((1, np.int8), (0, np.int64)))
+                key, frame, before, above = (np.concatenate([x[k] for x in found]) for k in range(2, 6))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (key, sides, signs, frame, before, above))), names=["anchor", "side", "sign", "frame", "before", "above"])
 
-    return classes.select("sign", "asks", "codes").mapInArrow(run, "anchor long, side byte, sign long, frame int")
+    return classes.select("sign", "asks", "codes").mapInArrow(run, "anchor long, side byte, sign long, frame int, before int, above int")
 
 
 def _summed(rows: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +184,8 @@ def _summed(rows: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, tile, side, sign, frame) in this order; out: (q, s, offset, votes), summed over the task's anchors."""
+    """Rows of :func:`_anchored` with their tile, in order of anchor, tile and side; out: (q, s, offset, votes), summed
+    over the task's anchors."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rest: list[pa.RecordBatch] = []
 
@@ -190,7 +195,7 @@ def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(2)), pa.array(rows[:, 2].astype(np.int32)), pa.array(votes)], names=["q", "s", "offset", "votes"])
 
     def met(frame: pa.Table) -> None:
-        anchor, tile, side, sign, at = (frame.column(c).to_numpy() for c in ("anchor", "tile", "side", "sign", "frame"))
+        anchor, tile, side, sign, at, before, above = (frame.column(c).to_numpy() for c in ("anchor", "tile", "side", "sign", "frame", "before", "above"))
         begin = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1]))))
         many = np.diff(np.append(begin, len(anchor)))
         asks = many - np.add.reduceat(side.astype(np.int64), begin)  # rows of side 0, which come first in a tile
@@ -204,8 +209,8 @@ def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, n = left[part], others[part]
             i = np.repeat(own, n)
             j = np.repeat((begin + asks)[group[own]], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            unlike = sign[i] != sign[j]
-            i, j = i[unlike], j[unlike]
+            new = (sign[i] != sign[j]) & (before[i] != before[j]) & (above[i] != above[j])
+            i, j = i[new], j[new]
             if len(i):
                 held.append(_summed(np.stack((sign[i], sign[j], at[j].astype(np.int64) - at[i]), axis=1), np.ones(len(i), np.int64)))
 
@@ -254,7 +259,7 @@ def aligned(df: DataFrame, key: str, audio: str, queries: Column, most: float =
     mine, theirs = F.coalesce(F.pmod(F.xxhash64("sign", "frame"), own), F.lit(0)), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)).cast("long") - 1))
     dealt = anchored.join(hot, "anchor", "left").withColumns({"_mine": mine.cast("long"), "_theirs": theirs})
     tile = F.when(F.col("side") == 0, F.shiftleft("_mine", 32) + F.col("_theirs")).otherwise(F.shiftleft("_theirs", 32) + F.col("_mine"))
-    rows = dealt.select("anchor", tile.alias("tile"), "side", "sign", "frame").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "side")
+    rows = dealt.select("anchor", tile.alias("tile"), "side", "sign", "frame", "before", "above").repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "side")
     votes = rows.mapInArrow(_ballots, "q long, s long, offset int, votes long").repartition("q", "s").groupBy("q", "s", "offset").agg(F.sum("votes").alias("votes"))
     histogram = votes.groupBy("q", "s").agg(F.collect_list(F.struct("votes", "offset")).alias("offsets"))  # at most the offsets of two recordings
     left = classes.select(F.col("sign").alias("q"), F.col("class_id").alias("query_class"), F.col("codes").alias("a"))
