@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def uniform(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in ``column`` have some ``most`` bytes together, or are single."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The next draws of 64-bit counters: step and finaliser of the splitmix64 generator."""
     with np.errstate(over="ignore"):

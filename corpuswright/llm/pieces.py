@@ -8,10 +8,13 @@ merges, so this is Zipf's law with exponent alpha. Large alpha favours few and f
 Draws come from a counter-based generator seeded by the row's key, so a row's segmentation depends on its key, text and parameters
 only. The lattice is walked chunk by chunk: where two adjacent characters never occur side by side in any piece,
 every path passes between them, so chunks are independent and a chunk's forward sums can be kept for its next use.
+A chunk of more than LONG characters is filtered forward with the sums at every LONG-th place kept, and sampled
+backward block by block with the sums between worked out again, so its lattice is never held whole.
 A character in no piece of its own is spelt by its UTF-8 bytes. So is U+2581, which stands for a space inside pieces.
 
 Defined results: a null or empty text has no pieces and decodes to ''; a null key is a key like any other; equal rows
-get equal pieces; an empty table gives an empty result; input columns named like an output are replaced.
+get equal pieces; a text of any length is encoded whole, with memory for the text and its pieces besides a bounded
+part; an empty table gives an empty result; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,23 +29,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix
+from .common import by_size, splitmix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.5
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for U+2581 in a text; no valid text holds a lone surrogate
-KEPT = 150_000  # chunks whose sums a worker keeps
+KEPT = 400_000  # chunks whose sums a worker keeps
 HASH = np.uint64(0x9E3779B97F4A7C15)  # base of the rolling hash of pieces
-WINDOW = 1 << 20  # characters of a text that are split at once
+WINDOW = 1 << 20  # characters of a text, or bytes of several, that are worked on at once
+LONG = 1 << 15  # characters of a chunk whose lattice is held whole
+MASK = (1 << 64) - 1
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # between the seeds of a text's chunks
+
+
+class Buffer:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.whole, self.size = np.empty(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.whole):
+            grown = np.empty(max(self.size + len(values), len(self.whole) * 3 // 2), self.whole.dtype)
+            grown[: self.size] = self.whole[: self.size]
+            self.whole = grown
+        self.whole[self.size : self.size + len(values)] = values
+        self.size += len(values)
 
 
 class Pieces:
     """Encoder and decoder over the vocabulary of a SentencePiece model file.
 
-    Known chunks have their lattice in flat arrays: a node is an end place in a chunk, and its edges stand together in
-    ``odds`` as node << 32 | cumulative odds in 32 bits. One search in that array draws an edge for each of many chunks
-    at once, and integers keep a draw the same wherever a chunk's nodes happen to be."""
+    Known chunks have their lattice in flat arrays: a node is an end place in a chunk, ``first`` has the place of its
+    first edge, and edges stand together, the widest first, with their cumulative odds in 32 bits in ``odds`` and
+    token << 5 | width in ``edges``. Edges are drawn for many chunks at once."""
 
     def __init__(self, model: str = MODEL, alpha: float = ALPHA) -> None:
         import sentencepiece
@@ -75,12 +96,14 @@ class Pieces:
             self.by_width[width] = keys[order], np.array(ids, np.int32)[order], np.array(weights)[order]
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one hash")
-        self._clear()
+        if self.longest > 31:
+            raise ValueError("a piece is longer than 31 characters")
+        self.last_node: dict[str, int] = {}
+        self.first, self.odds, self.edges = Buffer(np.int32), Buffer(np.uint32), Buffer(np.int32)
 
     def _clear(self) -> None:
-        self.last_node: dict[str, int] = {}
-        self.nodes = 0
-        self.odds, self.tokens, self.widths = (np.empty(0, t) for t in (np.uint64, np.int32, np.int32))
+        self.last_node.clear()
+        self.first.size = self.odds.size = self.edges.size = 0
 
     def _parts(self, chunk: str) -> list[str]:
         """A chunk that is long is split at every place that no piece spans."""
@@ -114,18 +137,15 @@ class Pieces:
         by_length: dict[int, list[str]] = {}
         for chunk in chunks:
             by_length.setdefault(len(chunk), []).append(chunk)
-        odds, tokens, widths = [self.odds], [self.tokens], [self.widths]
         for n, alike in by_length.items():
             for at in range(0, len(alike), step := max(1, 200_000 // n)):
-                found = self._filtered(alike[at : at + step], n)
-                for all_, new in zip((odds, tokens, widths), found, strict=True):
-                    all_.append(new)
-        self.odds, self.tokens, self.widths = np.concatenate(odds), np.concatenate(tokens), np.concatenate(widths)
+                self._filter(alike[at : at + step], n)
 
-    def _filtered(self, chunks: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        many, most = len(chunks), min(n, self.longest)
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(many, n)
-        token, weight = np.zeros((many, n, most), np.int32), np.zeros((many, n, most))  # by end and width - 1
+    def _lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token and weight of the pieces in rows of code points, by end and width - 1; weight 0: no piece."""
+        many, n = codes.shape
+        most = min(n, self.longest)
+        token, weight = np.zeros((many, n, most), np.int32), np.zeros((many, n, most))
         token[:, :, 0], weight[:, :, 0] = self._single(codes)
         hashed = codes.astype(np.uint64)
         for width in range(2, most + 1):
@@ -134,14 +154,19 @@ class Pieces:
             if len(keys):
                 at = np.searchsorted(keys, hashed)
                 at[at == len(keys)] = 0
-                hit = keys[at] == hashed
-                token[:, width - 1 :, width - 1] = np.where(hit, ids[at], 0)
-                weight[:, width - 1 :, width - 1] = np.where(hit, weights[at], 0.0)
-        sums, upto = np.ones((many, n + 1)), np.empty((many, n, most))
+                row, col = np.nonzero(keys[at] == hashed)
+                which = at[row, col]
+                token[row, col + width - 1, width - 1] = ids[which]
+                weight[row, col + width - 1, width - 1] = weights[which]
+        return token, weight
+
+    def _filter(self, chunks: list[str], n: int) -> None:
+        many, most = len(chunks), min(n, self.longest)
+        token, weight = self._lattice(_codes("".join(chunks)).reshape(many, n))
+        sums, upto = np.ones((many, n + 1)), np.zeros((many, n, most))  # upto: by end and most - width
         for end in range(1, n + 1):
             reach = min(end, most)
-            upto[:, end - 1, :reach] = np.cumsum(weight[:, end - 1, :reach] * sums[:, end - reach : end][:, ::-1], axis=1)
-            upto[:, end - 1, reach:] = upto[:, end - 1, reach - 1 : reach]
+            np.cumsum(weight[:, end - 1, reach - 1 :: -1] * sums[:, end - reach : end], axis=1, out=upto[:, end - 1, most - reach :])
             total = upto[:, end - 1, -1].copy()
             upto[:, end - 1] /= total[:, None]
             if total.min() < 1e-100:  # long chunks: lift the sums that are still in use
@@ -149,13 +174,19 @@ class Pieces:
                 sums[:, max(0, end - most + 1) : end] *= lift[:, None]
                 total *= lift
             sums[:, end] = total
-        node = self.nodes + np.arange(many * (n + 1)).reshape(many, n + 1)
-        self.nodes += many * (n + 1)
-        self.last_node.update(zip(chunks, node[:, n].tolist(), strict=True))
-        real = weight > 0
-        width = np.broadcast_to(np.arange(1, most + 1, dtype=np.int32), real.shape)[real]
-        low = np.broadcast_to(node[:, 1:, None].astype(np.uint64) << np.uint64(32), real.shape)[real]
-        return low + (upto[real] * 4294967296.0).astype(np.uint64), token[real], width
+        real = weight[:, :, ::-1] > 0
+        width = np.broadcast_to(np.arange(most, 0, -1, dtype=np.int32), real.shape)[real]
+        count = real.sum(axis=2)
+        last = np.cumsum(count) - 1
+        odds = np.minimum(upto[real] * 4294967296.0, 4294967295.0).astype(np.uint32)
+        odds[last] = 0xFFFFFFFF
+        first = np.zeros((many, n + 1), np.int64)  # a chunk's node 0 has no edges
+        first[:, 1:] = self.odds.size + (last + 1).reshape(many, n) - count
+        node = self.first.size + np.arange(many) * (n + 1) + n
+        self.last_node.update(zip(chunks, node.tolist(), strict=True))
+        self.first.extend(first.ravel().astype(np.int32))
+        self.odds.extend(odds)
+        self.edges.extend(token[:, :, ::-1][real] << 5 | width)
 
     def _sampled(self, chunks: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of every chunk: tokens in order, and how many each chunk has."""
@@ -164,36 +195,85 @@ class Pieces:
         known = self.last_node
         if new := list({c for c in chunks if c not in known}):
             self._learn(new)
-        node = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        first, odds, edges = self.first.whole, self.odds.whole, self.edges.whole
+        node = np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks))
         left = np.fromiter(map(len, chunks), np.int32, len(chunks))
         live, steps, taken = np.arange(len(chunks)), np.zeros(len(chunks), np.int64), []
         while live.size:
-            draws[live] = splitmix(draws[live])
-            edge = np.searchsorted(self.odds, (node[live].astype(np.uint64) << np.uint64(32)) | (draws[live] >> np.uint64(32)), side="right")
-            width = self.widths[edge]
-            taken.append((live, steps[live].copy(), self.tokens[edge]))
+            draws = splitmix(draws)
+            wanted = (draws >> np.uint64(32)).astype(np.uint32)
+            edge = first[node]
+            on = np.flatnonzero(wanted > odds[edge])
+            while on.size:  # the last edge of a node is always enough
+                edge[on] += 1
+                on = on[wanted[on] > odds[edge[on]]]
+            drawn = edges[edge]
+            width = drawn & 31
+            taken.append((live, drawn >> 5))
             steps[live] += 1
-            node[live] -= width
-            left[live] -= width
-            live = live[left[live] > 0]
+            left = left - width
+            more = np.flatnonzero(left)
+            live, left, node, draws = live[more], left[more], (node - width)[more], draws[more]
         ends = np.cumsum(steps)
         tokens = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        for which, step, token in taken:
+        for step, (which, token) in enumerate(taken):
             tokens[ends[which] - 1 - step] = token
         return tokens, steps
 
-    def _windows(self, text: str) -> Iterator[str]:
-        """The text in stretches of some WINDOW characters, cut where the pattern cuts."""
-        at = 0
-        while len(text) - at > WINDOW:
-            cut = text.rfind(" ", at + 1, at + WINDOW)
-            while cut > at and text[cut - 1] == " ":
-                cut -= 1
-            if cut <= at:
-                break
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
+    def _block(self, chunk: str, low: int, sums: list[float]) -> tuple[list[int], list[int], list[float]]:
+        """Edges of the block of a long chunk that begins at ``low``, by end: (place of each end's first edge, edges as
+        token << 5 | width, cumulative odds). ``sums``: those before the block, to which its own are added."""
+        high, context = min(len(chunk), low + LONG), len(sums) - 1
+        token, weight = (x[0, context:, ::-1] for x in self._lattice(_codes(chunk[low - context : high])[None, :]))
+        end, at = np.nonzero(weight)
+        width = weight.shape[1] - at
+        edges, weights = (token[end, at] << 5 | width).tolist(), weight[end, at].tolist()
+        firsts = np.searchsorted(end, np.arange(high - low + 1)).tolist()
+        width, odds = width.tolist(), []
+        for k in range(high - low):
+            total, size = 0.0, len(sums)
+            for e in range(firsts[k], firsts[k + 1]):
+                total += weights[e] * sums[size - width[e]]
+                odds.append(total)
+            for e in range(firsts[k], firsts[k + 1]):
+                odds[e] /= total
+            if total < 1e-100:
+                sums[-self.longest :] = [x * 1e100 for x in sums[-self.longest :]]
+                total *= 1e100
+            sums.append(total)
+        return firsts, edges, odds
+
+    def _long(self, chunk: str, draw: int) -> np.ndarray:
+        """The sampled tokens of a chunk whose lattice is too long to be held."""
+        kept, sums = [], [1.0]
+        for low in range(0, len(chunk), LONG):
+            kept.append(sums[-self.longest :])
+            sums = sums[-self.longest :]
+            self._block(chunk, low, sums)
+        at, parts = len(chunk), []
+        for low in range(LONG * (len(kept) - 1), -1, -LONG):
+            firsts, edges, odds = self._block(chunk, low, kept.pop())
+            tokens = []
+            while at > low:
+                draw = _next(draw)
+                want, e, last = (draw >> 32) / 4294967296.0, firsts[at - low - 1], firsts[at - low] - 1
+                while e < last and want >= odds[e]:
+                    e += 1
+                tokens.append(edges[e] >> 5)
+                at -= edges[e] & 31
+            parts.append(np.array(tokens[::-1], np.int32))
+        return np.concatenate(parts[::-1])
+
+    def _windows(self, body: str) -> Iterator[str]:
+        """A text, spaces as U+2581, in stretches of WINDOW characters or somewhat more, cut where no piece goes over."""
+        at, cut = 0, WINDOW
+        while cut < len(body):
+            if body[cut - 1 : cut + 1] in self.pairs:
+                cut += 1
+                continue
+            yield body[at:cut]
+            at, cut = cut, cut + WINDOW
+        yield body[at:]
 
     def encode_all(self, texts: list[str], keys: list, seed: int = 0) -> list[np.ndarray]:
         """A sampled segmentation of each text, as piece ids."""
@@ -205,33 +285,46 @@ class Pieces:
             nonlocal chunks, owners
             if not chunks:
                 return
-            draws = np.concatenate([np.uint64(starts[t]) + np.arange(k, k + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t, k, n in owners])
+            draws = np.concatenate([np.uint64(starts[t]) + np.arange(k, k + n, dtype=np.uint64) * GOLDEN for t, k, n in owners])
             tokens, steps = self._sampled(chunks, draws)
             ends, at, begin = np.cumsum(steps), 0, 0
             for t, _, n in owners:
                 at += n
                 end = int(ends[at - 1])
-                ids, begin = tokens[begin:end], end
-                if ids.max() >= len(self.pieces):
-                    ids = np.fromiter((x for i in ids.tolist() for x in self.spelt[i]), np.int32)
-                out[t].append(ids)
+                out[t].append(self._unfolded(tokens[begin:end]))
+                begin = end
             chunks, owners = [], []
 
         starts = [xxhash.xxh64_intdigest(f"{seed}:{key}", 42) for key in keys]
         for t, text in enumerate(texts):
-            place, first = 0, SPACE
-            for window in self._windows(text) if text else ():
-                found = self.split.findall(first + window.replace(SPACE, LITERAL).replace(" ", SPACE))
+            place = 0
+            for window in self._windows(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else ():
+                found = self.split.findall(window)
                 if max(map(len, found)) > 64:
                     found = [p for c in found for p in (self._parts(c) if len(c) > 64 else (c,))]
-                chunks += found
-                owners.append((t, place, len(found)))
-                place, first = place + len(found), ""
-                if len(chunks) > 100_000:
+                begin = 0
+                for k in [k for k, c in enumerate(found) if len(c) > LONG] if len(window) > LONG else ():
+                    if k > begin:
+                        chunks += found[begin:k]
+                        owners.append((t, place + begin, k - begin))
+                    flush()
+                    out[t].append(self._unfolded(self._long(found[k], (starts[t] + (place + k) * int(GOLDEN)) & MASK)))
+                    begin = k + 1
+                if begin < len(found):
+                    chunks += found[begin:]
+                    owners.append((t, place + begin, len(found) - begin))
+                place += len(found)
+                if len(chunks) > 300_000:
                     flush()
         flush()
         return [np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
 
+    def _unfolded(self, ids: np.ndarray) -> np.ndarray:
+        """Tokens with characters that are spelt by bytes written out."""
+        if not len(ids) or ids.max() < len(self.pieces):
+            return ids
+        return np.fromiter((x for i in ids.tolist() for x in self.spelt[i]), np.int32)
+
     def encode(self, text: str, key: object = None, seed: int = 0) -> list[int]:
         return self.encode_all([text], [key], seed)[0].tolist()
 
@@ -240,6 +333,18 @@ class Pieces:
         return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _next(x: int) -> int:
+    """:func:`splitmix` of one counter."""
+    x = x + 0x9E3779B97F4A7C15 & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
 _loaded: dict[tuple[str, float], Pieces] = {}
 
 
@@ -264,8 +369,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(model, alpha)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):  # few texts at once: they may be long
-                batch = whole.slice(at, 64)
+            for batch in by_size(whole, 1, WINDOW):
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 ids = coder.encode_all(texts, batch.column(0).to_pylist(), seed)
                 same = [coder.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)]

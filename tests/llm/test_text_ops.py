@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -49,6 +50,29 @@ def test_pieces_have_the_lattice_distribution(coder):
         assert abs(seen[ids] - n * p) <= 5 * math.sqrt(n * p * (1 - p)) + 3
 
 
+def test_pieces_of_long_chunks(coder, monkeypatch):
+    """Block by block, a chunk gets the pieces it gets with its whole lattice."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("etaoinshrdlu") for _ in range(n)) for n in (63, 40, 64, 30)] + ["x" * 63, "漢" * 20 + "ab"]
+    whole = coder.encode_all(texts, list(range(len(texts))))
+    monkeypatch.setattr(pieces, "LONG", 17)
+    assert [x.tolist() for x in coder.encode_all(texts, list(range(len(texts))))] == [x.tolist() for x in whole]
+    monkeypatch.setattr(pieces, "WINDOW", 50)
+    for text in ODD:
+        assert coder.decode(coder.encode(text, 1)) == text
+
+
+def test_pieces_memory_of_a_text_without_cuts(coder, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", 4096)
+    text = "".join(random.Random(9).choices("etaoinshrdlu", k=150_000))
+    tracemalloc.start()
+    ids = coder.encode(text, 5)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert coder.decode(ids) == text
+    assert most < 120 * len(text)  # the lattice held whole takes some 480 bytes a character
+
+
 def test_pieces_cuts_are_safe(coder):
     """No piece goes over a place where the pattern splits."""
     assert not any("▁" in p.lstrip("▁") for p in coder.ids)
