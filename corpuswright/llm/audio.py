@@ -38,8 +38,8 @@ from .common import splitmix, written
 
 WINDOW_S, HOP_S = 0.5, 0.08
 SPAN, KEY_BITS, FINE_BITS, TABLES, STEP = 30, 42, 14, 20, 5
-TILE = 2048  # anchors of a side that a task meets at once
-HELD = 1 << 20  # votes a task sums up before it passes them on
+TILE = 512  # anchors of a side that a task meets at once
+HELD = 1 << 17  # votes a task sums up before it passes them on
 MOST_ERRORS = 0.12  # share of differing bits
 LEAST_FRAMES = 54
 LEVELS = (-0.25, 0.0, 0.25)
@@ -218,7 +218,7 @@ def _ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rest.append(batch)
-        if sum(x.num_rows for x in rest) < 100_000:
+        if sum(x.num_rows for x in rest) < 50_000:
             continue
         frame = pa.Table.from_batches(rest)
         anchor, tile = frame.column("anchor").to_numpy(), frame.column("tile").to_numpy()
