@@ -156,23 +156,19 @@ def fingerprints(df: DataFrame, key: str, audio: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(audio).alias("audio")).mapInArrow(run, f"key {kind}, codes array<int>, sign long")
 
 
-def _anchored(classes: DataFrame) -> DataFrame:
-    """(anchor, side, sign, frame, before, above) of the classes (sign, asks, codes): side 0 asks, side 1 is the index."""
+def _anchored(classes: DataFrame, side: int) -> DataFrame:
+    """(anchor, side, sign, frame, before, above) of the classes (sign, codes): side 0 asks, side 1 is the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                found = []
-                for sign, asks, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = np.array(codes, np.int32).view(np.uint32)
-                    found += [(sign, side, *anchors(own, step)) for side, step in ((0, 1), (1, STEP)) if side or asks]
-                size = [len(x[2]) for x in found]
-                sides, signs = (np.repeat(np.array([x[k] for x in found], kind), size) for k, kind in ((1, np.int8), (0, np.int64)))
-                key, frame, before, above = (np.concatenate([x[k] for x in found]) for k in range(2, 6))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (key, sides, signs, frame, before, above))), names=["anchor", "side", "sign", "frame", "before", "above"])
+                found = [anchors(np.array(x, np.int32).view(np.uint32), STEP if side else 1) for x in batch.column(1).to_pylist()]
+                key, frame, before, above = (np.concatenate([x[k] for x in found]) for k in range(4))
+                signs = np.repeat(batch.column(0).to_numpy(), [len(x[0]) for x in found])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (key, np.full(len(key), side, np.int8), signs, frame, before, above))), names=["anchor", "side", "sign", "frame", "before", "above"])
 
-    return classes.select("sign", "asks", "codes").mapInArrow(run, "anchor long, side byte, sign long, frame int, before int, above int")
+    return classes.select("sign", "codes").mapInArrow(run, "anchor long, side byte, sign long, frame int, before int, above int")
 
 
 def _summed(rows: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +246,11 @@ def aligned(df: DataFrame, key: str, audio: str, queries: Column, most: float =
     classes = written(classes, "classes")
     # an unreadable recording has no codes; the class named null stands for rows without a key
     members = prints.select("key", "sign", F.size("codes").alias("n_codes")).join(classes.select("sign", "class_id"), "sign").drop("sign")
-    anchored = written(_anchored(classes), "anchors")
+    asked = written(_anchored(classes.where("asks"), 0), "asked")
+    # most anchors of the index meet none that is asked for: they are left before anything is sorted
+    wanted = asked.select("anchor").distinct().hint("shuffle_hash")
+    index = written(_anchored(classes, 1).join(wanted, "anchor", "left_semi"), "index")
+    anchored = asked.unionByName(index)
     slices = lambda side: F.ceil(F.count_if(F.col("side") == side) / F.lit(float(TILE))).cast("int")
     # an anchor of more rows than a tile is dealt over slices of both sides, and each pair of slices is a tile
     hot = anchored.groupBy("anchor").agg(slices(0).alias("across"), slices(1).alias("down")).where("across > 0 and (across > 1 or down > 1)")
