@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: The six white space characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -51,9 +52,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and survives the loss of executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")  # the shuffles of a table that is written go at once, not when the driver collects garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, *frames: DataFrame) -> None:
@@ -64,6 +70,16 @@ def delete(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as keep them from those of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))

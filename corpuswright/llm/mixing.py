@@ -9,8 +9,8 @@ that a source's words miss its target by at most half of its last document.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; documents without words
 carry no mass and are rounded on their own; rows equal in doc_id, source and content share their copies evenly and any
-of them may get the odd one; an empty table gives an empty result. Draws depend on doc_id, source, content and seed
-only, so reruns agree. Input columns named like an output are replaced.
+of them may get the odd one; rows are told apart by two 64-bit hashes; an empty table gives an empty result. Draws depend on doc_id, source, content and seed
+only, so reruns agree. Input columns may have any name: :func:`mix` returns them all.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, uniform, written
+from .common import count_words, spare, uniform, written
 
 FAN = 96  # documents of a block on average; bounds the array of one row
 MOST = 3  # times its source's size that a target may reach
 WEIGHTS = (1, 2, 3)
+AT_ONCE = 10_000  # copies of one row that a task makes
 
 
 def ranked(spark_sources: DataFrame, by: str) -> DataFrame:
@@ -81,7 +82,8 @@ def _trade(carry: Column, other: Column, seed: int) -> Column:
 
 def _settled(items: DataFrame, seed: int) -> DataFrame:
     """A row per (source, block) with the settled items of the block and the item that is carried on."""
-    start = F.struct(F.expr("cast(array() as array<struct<key: bigint, size: double, x: double>>)").alias("settled"), F.get("items", F.lit(0)).alias("carry"))
+    kind = items.schema["key"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<struct<key: {kind}, size: double, x: double>>").alias("settled"), F.get("items", F.lit(0)).alias("carry"))
 
     def step(state: Column, item: Column) -> Column:
         # one evaluation of the trade, through a one-element array
@@ -122,7 +124,7 @@ def _rounded(items: DataFrame, largest: int, seed: int) -> DataFrame:
 
 def plan(rows: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """How often each distinct row (key, source, size) is taken: its columns, n_rows (equal rows), source_size, target,
-    and copies (of all its rows together). ``key`` is a 64-bit hash of what makes a row distinct."""
+    and copies (of all its rows together). ``key`` stands for what makes a row distinct, as :func:`identity` gives it."""
     sizes = written(rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n_rows")), "sizes")
     shares = written(targets(sizes.select("source", (F.col("size") * F.col("n_rows")).alias("size")), weights, most).drop("n_docs", "weight"), "targets")
     # sources are few beside rows, yet unbounded: Spark chooses the join by their measured size
@@ -145,32 +147,43 @@ def plan(rows: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, mos
     return joined.withColumn("copies", copies.cast("long")).select("key", "source", "size", "n_rows", "source_size", "target", "copies")
 
 
-def _share(at: Column, copies: str = "copies", n_rows: str = "n_rows") -> Column:
-    """Copies that the row at place ``at`` from 0 gets of those that equal rows share."""
-    return F.floor(F.col(copies) / F.col(n_rows)) + F.when(at < F.col(copies) % F.col(n_rows), 1).otherwise(0)
+def identity(*columns: Column) -> Column:
+    """128 bits that stand for the columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
+def repeated(df: DataFrame, by: str, n: str, at: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``at``; AT_ONCE of them at most come from one task at once. ``by`` is its key."""
+    every, last = F.lit(AT_ONCE).cast("long"), F.col(n).cast("long") - 1
+    begun = df.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), last, every)))
+    dealt = begun.repartition(F.xxhash64(by, at))
+    return dealt.withColumn(at, F.explode(F.sequence(F.col(at), F.least(F.col(at) + every - 1, last))))
 
 
 def mix(df: DataFrame, text: str = "text", source: str = "source", seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``df``, each repeated as often as the mix takes it (rows taken no times are gone)."""
-    whole = [F.to_json(F.col(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
-    keyed = df.withColumns({"_cw_key": F.xxhash64(*whole), "_cw_source": F.col(source).cast("string"), "_cw_size": count_words(F.col(text))})
-    chosen = plan(keyed.select(F.col("_cw_key").alias("key"), F.col("_cw_source").alias("source"), F.col("_cw_size").alias("size")), seed, weights)
-    chosen = written(chosen.where("copies > 0").select(F.col("key").alias("_cw_chosen"), F.col("n_rows").alias("_cw_rows"), F.col("copies").alias("_cw_copies")), "chosen")
-    met = keyed.join(chosen.hint("merge"), F.col("_cw_key") == F.col("_cw_chosen"))  # grows with the rows: never broadcast
-    at = F.row_number().over(Window.partitionBy("_cw_key").orderBy("_cw_key")) - 1
-    many = met.where("_cw_rows > 1").withColumn("_cw_n", _share(at, "_cw_copies", "_cw_rows"))
-    out = met.where("_cw_rows = 1").withColumn("_cw_n", F.col("_cw_copies")).unionByName(many)
-    return out.where("_cw_n > 0").withColumn("_cw_i", F.explode(F.sequence(F.lit(1), F.col("_cw_n").cast("int")))).select(*df.columns)
+    key, own, size, chosen_key, n_rows, copies, n, at = spare(df, "key", "own", "size", "chosen", "n_rows", "copies", "n", "at")
+    whole = [F.to_json(F.col(c)) if "map" in t else F.col(c) for c, t in df.dtypes]
+    keyed = df.withColumns({key: identity(*whole), own: F.col(source).cast("string"), size: count_words(F.col(text))})
+    chosen = plan(keyed.select(F.col(key).alias("key"), F.col(own).alias("source"), F.col(size).alias("size")), seed, weights)
+    chosen = written(chosen.where("copies > 0").select(F.col("key").alias(chosen_key), F.col("n_rows").alias(n_rows), F.col("copies").alias(copies)), "chosen")
+    met = keyed.join(chosen.hint("merge"), F.col(key) == F.col(chosen_key))  # grows with the rows: never broadcast
+    # every one of equal rows gets the whole share of its copies, and one of them the copies that are left over
+    each = met.withColumn(n, F.floor(F.col(copies) / F.col(n_rows)).cast("int")).where(F.col(n) > 0)
+    each = each.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*df.columns)
+    over = met.where(F.col(copies) % F.col(n_rows) > 0).dropDuplicates([key]).withColumn(n, F.col(copies) % F.col(n_rows))
+    return each.unionByName(repeated(over, key, n, at).select(*df.columns))
 
 
 def op1(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and source of every document."""
-    rows = documents.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
+    rows = documents.select("doc_id", "source", count_words(F.col("text")).alias("size"), identity(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"))
     rows = written(rows, "words")
     chosen = plan(rows.select("key", "source", "size"))
     single = chosen.where("n_rows = 1").withColumn("at", F.lit(0).cast("long"))
-    many = chosen.where("n_rows > 1").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)))
-    shares = single.unionByName(many).withColumn("copies", _share(F.col("at")).cast("long")).drop("n_rows", "at")
+    many = repeated(chosen.where("n_rows > 1"), "key", "n_rows", "at")
+    share = F.floor(F.col("copies") / F.col("n_rows")) + F.when(F.col("at") < F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    shares = single.unionByName(many).withColumn("copies", share.cast("long")).drop("n_rows", "at")
     # doc_id comes back through the key; equal rows are equal in doc_id too
     ids = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"))
     return shares.join(ids, "key").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")

@@ -251,6 +251,71 @@ def test_model_without_training_tokens(spark):
     assert lm.op10(df.where("false")).count() == 0
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_against_all_pairs(spark, monkeypatch):
+    """Texts that share 0.8 of their shingles or more meet, those that share less than 0.6 don't; hot bands in tiles."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    draw, texts = random.Random(6), []
+    for _ in range(40):
+        words = [f"w{draw.randint(0, 5000)}" for _ in range(draw.choice([40, 120, 400]))]
+        texts.append(words)
+        for _ in range(draw.choice([1, 2, 12])):
+            near = list(words)
+            for _ in range(draw.randint(1, max(1, len(words) // 30))):
+                near[draw.randrange(len(near))] = f"x{draw.randint(0, 5000)}"
+            texts.append(near)
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.key: r.component for r in simhash.similar(df).collect()}
+    sets = [shingles(" ".join(x)) for x in texts]
+    pairs = [(i, j, jaccard(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)]
+    near = [got[i] == got[j] for i, j, x in pairs if x >= 0.8]
+    assert len(near) > 100
+    assert sum(near) >= 0.97 * len(near)
+    for k in range(len(sets)):
+        if got[k] != k:
+            assert max(jaccard(sets[k], sets[j]) for j in range(len(sets)) if j != k and got[j] == got[k]) >= 0.6
+
+
+def test_ring_of_wide_fingerprints():
+    """The chain of budgets passes every pair within the radius and no other."""
+    draw = np.random.default_rng(4)
+    x = draw.integers(0, 1 << 63, (400, 4), np.uint64)
+    turned = np.zeros((400, 256), np.uint8)
+    for k in range(400):
+        turned[k, draw.choice(256, draw.integers(0, 90), replace=False)] = 1
+    y = x ^ np.packbits(turned, axis=1).view(np.uint64)
+    assert (simhash._linked_wide(x, y, 0) == (turned.sum(axis=1) <= simhash.WIDE_BITS)).all()
+
+
+def test_pipeline_stage_edges(spark):
+    """Nulls, shared ids, extra and clashing columns, an empty table: every stage returns what its docstring says."""
+    text = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"name{k}" for k in range(80))
+    rows = [(None, text, "en", None, 5, 1, {"a": 1}), (None, other, "en", "s", 5, 2, None), (None, None, None, "s", None, 3, None), (7, text + " more", "en", "s", 5, 4, {"a": 1}), (7, other.upper(), "en", "t", 5, 5, None), (8, "", "en", "t", 0, 6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _cw_n int, component map<string,int>")
+    one = corpus_pipeline.quality_stage(spark, df, "")
+    assert sorted(r._cw_n for r in one.collect()) == [1, 2, 4, 5]
+    two = corpus_pipeline.dedup_stage(spark, one, "")
+    assert two.columns == df.columns
+    assert sorted(r._cw_n for r in two.collect()) == [4, 5]  # of both groups the row with a key
+    assert sorted(r._cw_n for r in corpus_pipeline.dedup_stage(spark, df, "").collect()) == [4, 5, 6]
+    three = corpus_pipeline.mixing_stage(spark, two, "")
+    assert three.columns == df.columns
+    four = corpus_pipeline.encoding_stage(spark, df, "")
+    assert four.count() == 6
+    assert four.where("not lossless").count() == 0
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.dedup_stage, corpus_pipeline.mixing_stage, corpus_pipeline.encoding_stage):
+        assert stage(spark, df.where("false"), "").count() == 0
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -259,8 +324,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in one.collect()} == kept
     assert one.columns == docs.columns
     two = corpus_pipeline.dedup_stage(spark, one, sf)
-    groups = {r.component_id for r in simhash.op8(one).collect()}
-    assert {r.doc_id for r in two.collect()} == groups
+    assert two.columns == docs.columns
+    groups = {r.doc_id for r in two.collect()}
+    rows = sorted((r.doc_id, shingles(r.text)) for r in one.collect())
+    near = {k: max((jaccard(a, b) for j, b in rows if j != k), default=0) for k, a in rows}
+    assert groups >= {k for k in kept if near[k] < 0.6}
+    gone = kept - groups
+    late = {k for k, a in rows if any(j < k and jaccard(a, b) >= 0.8 for j, b in rows)}  # brute force: copies of an earlier text
+    assert len(late) >= 10
+    assert len(gone & late) >= 0.95 * len(late)
     three = corpus_pipeline.mixing_stage(spark, two, sf)
     assert three.columns == docs.columns
     assert {r.doc_id for r in three.collect()} <= groups
