@@ -1,7 +1,10 @@
 """Main text of web pages, with site template removal.
 
-A page is read once into blocks of text and the element subtrees they stand in. Elements that say what they are (tags,
-roles and names such as nav, footer, cookie, comment) go at once. Each remaining subtree has a hash of its tags and
+A page is read once into blocks of text and the element subtrees they stand in. Elements that say what they are by tag
+or role (nav, footer, dialog) go at once. A class or id says so only if each of its words is one of NAMES or NEUTRAL
+(main-menu, but not menu-prices or with-sidebar), and then only of an element that holds no article or main element and
+at most half of the page's text; reader comments go at any size. The text is that of all article elements that are
+not mostly links, if they make up a third of what the page's main part has, else that of the main part. Each remaining subtree has a hash of its tags and
 text; Spark counts in how many different pages of a host each hash occurs, and subtrees that recur across at least
 PAGES different pages of the host are deleted, however many pages it has. Pages with the same text count once, so
 copies of an article are no template. Inside an article element a paragraph, heading,
@@ -11,8 +14,9 @@ other subtree there can be one, with all it holds.
 A block ends where a block-level element begins or ends; a line break is white space inside it. White space is what
 Unicode calls so. Headings of an article stay, also where they stand in its header.
 
-Defined results: a null or empty html has no text; a null or broken url has host ''; repeated rows get equal texts; an
-empty table gives an empty result; input columns named like an output are replaced.
+Defined results: a null or empty html has no text; a null or broken url has host ''; a page of any length is read
+whole; repeated rows get equal texts; an empty table gives an empty result; only page_id, url and html are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_size, written
 
 PAGES = 5  # different pages of a host in which a template recurs at least
 
@@ -36,7 +40,7 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-GONE = frozenset("head script style textarea title noscript iframe template xmp noembed noframes nav aside footer form button select object svg canvas dialog menu audio video map datalist option".split())
+GONE = frozenset("head script style textarea title noscript iframe template xmp noembed noframes nav aside footer button select object svg canvas dialog menu audio video map datalist option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p blockquote pre li dt dd td th tr figcaption".split())
@@ -53,41 +57,63 @@ NAMES = frozenset(
     "discussion cookie cookies consent gdpr notice notices popup modal overlay lightbox subscribe subscription newsletter signup login signin search pagination pager copyright skip outbrain taboola".split()
 )
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
-READERS = frozenset("comment comments reply replies discussion".split())
+READERS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+NEUTRAL = frozenset(
+    "a b c x s u js l r t wp main page site global primary secondary top bottom left right inner outer box boxes bar bars list lists item items container wrapper wrap block blocks area section unit units slot slots "
+    "button buttons btn link links form forms group row col column columns grid panel card cards title text content body post posts article articles entry story stories news media holder frame image img icon icons logo "
+    "label message info more less this on via by the and new latest facebook twitter linkedin email mail print fixed sticky mobile desktop small large default dark light first last count meta thread tree author avatar".split()
+)
 
 
 class Element:
-    __slots__ = ("boiler", "links", "main", "parent", "parts", "size", "tag", "value")
+    __slots__ = ("boiler", "gone", "head", "holds", "links", "main", "named", "parent", "parts", "readers", "size", "tag", "value")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str) -> None:
         self.tag, self.parent, self.parts, self.size, self.links, self.value = tag, parent, [tag], 0, 0, 0
-        self.boiler, self.main = parent is not None and parent.boiler, 0
-        names: set[str] = set()
+        self.boiler = self.holds = self.readers = False
+        self.main, self.head, words, roles = 0, tag == "header", set(), set()
+        self.gone, self.named = tag in GONE, tag == "form"
         if len(attributes) > 1:
             for key, a, b, c in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), a or b or c
                 if key in ("class", "id"):
-                    names.update(x.lower() for x in NAME.findall(entities.unescape(value)))
+                    for name in entities.unescape(value).split():
+                        own = {x.lower() for x in NAME.findall(name)}
+                        words |= own
+                        told = own & NAMES
+                        if told and tag not in ("html", "body", "main", "header") and all(x in NAMES or x in NEUTRAL or x.isdigit() for x in own):
+                            self.readers |= not own.isdisjoint(READERS)
+                            self.named |= told != {"header"}  # such an element is a header, see read()
+                            self.head |= told == {"header"} and tag in ("div", "section")
                 elif key == "role":
-                    names.add("role:" + value.strip().lower())
+                    roles.add(value.strip().lower())
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    self.boiler = True
+                    self.gone = True
                 elif key == "itemprop" and value.lower() == "articlebody":
                     self.main = 3
-        if tag in GONE or any(x[:5] == "role:" and x[5:] in ROLES for x in names):
-            self.boiler = True
-        elif tag in ("html", "body", "main"):
-            pass
-        elif tag == "article":
-            self.boiler |= not READERS.isdisjoint(names)
-        elif tag != "header" and not NAMES.isdisjoint(names):
-            self.boiler = True
+        self.gone |= not ROLES.isdisjoint(roles)
         if tag == "article":
             self.main = 4
-        elif tag == "main" or "role:main" in names:
+        elif tag == "main" or "main" in roles:
             self.main = 2
-        elif tag in ("div", "section", "td") and not MAIN_NAMES.isdisjoint(names):
+        elif tag in ("div", "section", "td") and not MAIN_NAMES.isdisjoint(words):
             self.main = max(self.main, 1)
+        if self.main in (2, 4) and not self.readers:
+            x = parent
+            while x is not None and not x.holds:
+                x.holds = True
+                x = x.parent
+
+
+def _judge(blocks: list[tuple[str, Element]], elements: list[Element]) -> None:
+    """Sets ``boiler`` of all elements, of which parents come first."""
+    for x in elements:
+        x.boiler = x.gone or x.parent is not None and x.parent.boiler
+    whole = sum(len(text) for text, own in blocks if not own.boiler)
+    for x in elements:
+        if x.named and not (x.holds or 2 * x.size > whole) or x.readers and not (x.holds and x.tag != "article" and x.main):
+            x.boiler = True
+        x.boiler |= x.parent is not None and x.parent.boiler
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
@@ -150,7 +176,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
                     inline[:] = [1]
             elif not hit[1] and len(hit[3]) > 6:  # an inline element that is hidden or an advert stands for itself
                 probe = Element(tag, stack[-1], hit[3][:-1])
-                if probe.boiler and not stack[-1].boiler:
+                if probe.gone or probe.named or probe.readers:
                     closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     if closing and not re.search(rf"<{re.escape(tag)}[\s>]", page[at : closing.start()], re.I):
                         at = closing.end()
@@ -187,38 +213,47 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             close(len(stack) - 1)
     flush()
     close(1)
+    _judge(blocks, elements)
     return blocks, elements
 
 
-def _inside(element: Element, container: Element) -> bool:
+def _within(element: Element, containers: set[Element]) -> Element | None:
+    """The innermost of the containers that the element is or stands in."""
     x: Element | None = element
-    while x is not None:
-        if x is container:
-            return True
+    while x is not None and x not in containers:
         x = x.parent
-    return False
+    return x
+
+
+def _containers(elements: list[Element]) -> set[Element]:
+    """What the page's text stands in; empty if nothing says so."""
+    plain = lambda x: x.size - x.links
+    able = [x for x in elements if x.main and not x.boiler and x.size]
+    # of the strongest kind, the one with the most text outside of links; the first of equals
+    best = max((x for x in able if x.main < 4), key=lambda x: (x.main, plain(x)), default=None)
+    while best is not None and best.parent is not None and best.parent.main == best.main and not best.parent.boiler:
+        best = best.parent
+    articles = [x for x in able if x.main == 4]
+    articles = [x for x in articles if 2 * x.links <= x.size] or articles
+    articles = [x for x in articles if x.parent is None or _within(x.parent, set(articles)) is None]
+    if articles and (best is None or 3 * sum(map(plain, articles)) >= plain(best)):
+        return set(articles)
+    return {best} if best is not None else set()
 
 
 def read(page: str | None) -> list[tuple[str, list[int]]]:
     """The blocks that are left of a page, each with the hashes of subtrees it stands in that may be templates."""
     blocks, elements = blocks_of(page or "")
-    best: Element | None = None
-    for x in elements:  # of the strongest kind, the one with the most text outside of links; the first of equals
-        if x.main and not x.boiler and x.size:
-            rank = (x.main, x.size - x.links)
-            if best is None or rank > (best.main, best.size - best.links):
-                best = x
-    if best is not None and best.main < 4:
-        while best.parent is not None and best.parent.main == best.main and not best.parent.boiler:
-            best = best.parent
+    containers = _containers(elements)
     out = []
     for text, own in blocks:
-        if own.boiler or best is not None and not _inside(own, best):
+        best = _within(own, containers)
+        if own.boiler or containers and best is None:
             continue
         hashes, header, heading = [], False, False
         x: Element | None = own
         while x is not None and x is not best and x.parent is not None:
-            header |= x.tag == "header"
+            header |= x.head
             heading |= x.tag in HEADINGS
             if x.tag not in ("html", "body") and (best is None or best.main < 4 or x.links or x.tag not in PROSE):
                 hashes.append(x.value)
@@ -246,8 +281,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in by_size(whole, 2, 1 << 22):
                 htmls = batch.column(2).to_pylist()
                 found = [read(x) for x in htmls]
                 hosts = [host_of(x) for x in batch.column(1).to_pylist()]

@@ -135,11 +135,46 @@ PAGES = {
 }
 
 
+LONG = "Words of the article that make up most of what this page has to say to anyone who reads it. " * 3
+#: Labelled pages: what looks like a name of boilerplate and isn't, and what is.
+PAGES |= {
+    "<div class='wrap with-sidebar'><article><p>Hello body</p></article></div>": "Hello body",
+    "<div class='layout has-banner'><main><p>Hello main</p></main></div>": "Hello main",
+    "<div class='sidebar'><article><p>Wrapped in a bad name</p></article></div>": "Wrapped in a bad name",
+    "<article><div class='section-header'><h2>Head</h2></div><p class='notice-of-meeting'>Meet</p><div class='social-history'>Past</div><table class='menu-prices'><tr><td>Soup</td></tr></table></article>": "Head\nMeet\nPast\nSoup",
+    f"<body><form id=aspnet><div class=banner><p>{LONG}</p></div><div class=banner>ad</div></form></body>": LONG.strip(),
+    f"<main><article><p>Part one</p></article><article><p>Part two</p></article></main><div class=comments><p>{LONG}</p></div>": "Part one\nPart two",
+    f"<main><h1>Title</h1><p>{LONG}</p><article>teaser</article></main>": f"Title\n{LONG.strip()}\nteaser",
+    f"<article><p>{LONG}</p><div class='comment-list'><article>reader</article></div></article><div id='related_posts'><article><a href=x>Other</a></article></div>": LONG.strip(),
+    "<article><p>Text <span class='ad-label'>advert</span> goes on</p><div class='share-buttons'>Tweet</div><div class='ad-300x250'>Buy</div></article>": "Text goes on",
+}
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
     assert "\n".join(t for t, _ in html.read(page)) == PAGES[page]
 
 
+def test_templates_against_brute_force(spark):
+    """The counts by hand: subtrees of different pages of a host, copies of a page once; extra and clashing columns."""
+    draw, rows = random.Random(7), []
+    notes = [f"<div><p>Notice {k}</p><i>of this site</i></div>" for k in range(6)]
+    for k in range(150):
+        host, own = draw.choice(["a.org", "b.org", "B.org"]), draw.choice([f"Own {k}", "Common"])
+        rows.append((k, f"http://{host}/{k}", f"<body>{draw.choice(notes)}<div><p>{own} text</p><div>{draw.choice(notes)}</div></div></body>", "x", 1))
+    rows.append((900, "http://c.org/", f"<article><p>{'long page ' * 200_000}</p></article>", None, None))
+    seen, pages = {}, [(k, html.host_of(u), html.read(h)) for k, u, h, *_ in rows]
+    for _, host, found in pages:
+        for x in {h for _, hashes in found for h in hashes}:
+            seen.setdefault((host, x), set()).add("\n".join(t for t, _ in found))
+    want = {k: "\n".join(t for t, hashes in found if not any(len(seen[host, x]) >= html.PAGES for x in hashes)) for k, host, found in pages}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, mark int")
+    got = {r.page_id: r.text for r in html.op7(df).collect()}
+    assert got == want
+    assert len(got[900]) == 1_999_999
+    assert 0 < sum("Notice" not in t for t in got.values())
+
+
 def test_templates_go_and_passages_stay(spark):
     menu, box = "<div><span>About us and our terms</span></div>", "<div><a href=x>More from us</a></div>"
     bare = [(k, "http://a.org/x", f"<body>{menu}<div><p>Page {k} says word{k}.</p></div></body>") for k in range(30)]
