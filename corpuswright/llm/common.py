@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 #: The six white space characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
+TOKENIZERS = "/opt/tokenizers"
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -37,15 +39,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it
+    unset, and gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpuswright-")
         atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def vocabulary(spark: SparkSession, name: str) -> str:
+    """The path of a public tokenizer's file; spark.corpuswright.tokenizers names its folder."""
+    return f"{spark.conf.get('spark.corpuswright.tokenizers', TOKENIZERS)}/{name}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/corpuswright/{label}-{uuid.uuid4().hex}"
 

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, splitmix
+from .common import TOKENIZERS, by_size, splitmix, vocabulary
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "piece_bpe_32k.model"
 ALPHA = 1.5
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for U+2581 in a text; no valid text holds a lone surrogate
@@ -65,7 +65,7 @@ class Pieces:
     first edge, and edges stand together, the widest first, with their cumulative odds in 32 bits in ``odds`` and
     token << 5 | width in ``edges``. Edges are drawn for many chunks at once."""
 
-    def __init__(self, model: str = MODEL, alpha: float = ALPHA) -> None:
+    def __init__(self, model: str = f"{TOKENIZERS}/{MODEL}", alpha: float = ALPHA) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -359,10 +359,11 @@ def digest(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<i4").tobytes())
 
 
-def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0, model: str = MODEL, alpha: float = ALPHA, whole_ids: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 0, model: str | None = None, alpha: float = ALPHA, whole_ids: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
     """(key, piece_ids, pieces_crc, n_pieces, lossless): pieces_crc is the CRC-32 of the ids as 4-byte little-endian
     integers, lossless whether the decoded pieces are the text. Without ``whole_ids``, piece_ids is left out; the columns in ``more``
-    come along."""
+    come along. ``model`` is the path of a vocabulary other than the usual one."""
+    model = model or vocabulary(df.sparkSession, MODEL)
     kind = df.schema[key].dataType.simpleString()
     names = ["key", *["piece_ids"] * whole_ids, "pieces_crc", "n_pieces", "lossless", *more]
 
@@ -380,8 +381,9 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *more).mapInArrow(run, kinds)
 
 
-def decoded(df: DataFrame, ids: str = "piece_ids", model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+def decoded(df: DataFrame, ids: str = "piece_ids", model: str | None = None, alpha: float = ALPHA) -> DataFrame:
     """The rows with ``decoded``, the text of their piece ids; null ids decode to ''."""
+    model = model or vocabulary(df.sparkSession, MODEL)
 
     @F.pandas_udf("string")
     def text(column):  # noqa: ANN001, ANN202

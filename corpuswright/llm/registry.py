@@ -68,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": warc.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op3_warc_index": warc.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op9_quality_rules": quality.OP9_SQL}

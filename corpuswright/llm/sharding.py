@@ -151,11 +151,13 @@ def compacted(df: DataFrame, arrivals: int = 4, target: int = TARGET, folder: st
 
 
 def op6(documents: DataFrame) -> DataFrame:
-    """doc_id and n_chars of every document as read from the newest version, with its shard, the shard's bytes and
-    rows, and the version."""
+    """doc_id, n_chars and text_md5 of every document as read from the newest version, and how often that version's
+    manifest lists the row's shard."""
     store = compacted(documents)
     version = store.version()
-    rows = store.read(documents.schema, version).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("_metadata.file_path").alias("shard")) if version else store.read(documents.schema).select("doc_id", F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("shard"))
-    entries = store.manifest(version).select(F.col("file").alias("_file"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-    met = rows.join(entries, F.col("shard") == F.col("_file"))
-    return met.select("doc_id", "n_chars", F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_bytes", "shard_rows", F.lit(version).alias("version"))
+    rows = store.read(documents.schema, version).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), (F.col("_metadata.file_path") if version else F.lit("")).alias("shard"))
+    entries = store.manifest(version).groupBy(F.col("file").alias("shard")).agg(F.count(F.lit(1)).alias("listed"))
+    return rows.join(entries, "shard", "left").select("doc_id", "n_chars", "text_md5", F.coalesce("listed", F.lit(0)).alias("listed"))
+
+
+OP6_SQL = "SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5, 1::BIGINT AS listed FROM documents"

@@ -11,7 +11,7 @@ for its next use.
 
 Defined results: a null text is empty and has no tokens; places of an edit are code points, are cut to the text's
 length, and a stop before its start means start; null edits or a null insertion change or insert nothing; equal rows
-get equal results; an empty table gives an empty result; input columns named like an output are replaced.
+get equal results; an empty table gives an empty result; only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+from .common import TOKENIZERS, by_size, spare, vocabulary
+
+RANKS = "byte_bpe_50k.tiktoken"
 #: The public pattern that belongs to this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -36,7 +38,7 @@ KEPT = 150_000  # chunks whose counts a worker keeps
 class Counter:
     """Counts tokens of pre-tokens, over the chunks it has met."""
 
-    def __init__(self, ranks: str = RANKS, pattern: str = PATTERN) -> None:
+    def __init__(self, ranks: str = f"{TOKENIZERS}/{RANKS}", pattern: str = PATTERN) -> None:
         import regex
         import tiktoken
 
@@ -211,18 +213,18 @@ def counter(ranks: str) -> Counter:
     return _counters[ranks]
 
 
-def recounted(df: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", ranks: str = RANKS, texts: bool = False) -> DataFrame:
+def recounted(df: DataFrame, key: str = "doc_id", text: str = "text", edits: str = "edits", ranks: str | None = None, texts: bool = False) -> DataFrame:
     """(key, n_tokens, n_tokens_edited, n_pretokens, n_reencoded, n_renewed[, text_edited]) of each row: its tokens before
     and after its edits (array<struct<start, stop, insert>>, applied in turn), its pre-tokens before them, the pre-tokens
     that were encoded again and the inner sums that were renewed."""
+    ranks = ranks or vocabulary(df.sparkSession, RANKS)
     kind = df.schema[key].dataType.simpleString()
     names = ["key", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded", "n_renewed", *["text_edited"] * texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(ranks)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in by_size(whole, 1, 1 << 20):
                 bodies = [x or "" for x in batch.column(1).to_pylist()]
                 rows = []
                 for body, (chars, tokens), changes in zip(bodies, own.leaves(bodies), batch.column(2).to_pylist(), strict=True):
@@ -252,4 +254,5 @@ def usual_edits(text: Column) -> Column:
 
 def op4(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_pretokens, n_reencoded and n_renewed of every document."""
-    return recounted(documents.withColumn("edits", usual_edits(F.col("text")))).withColumnRenamed("key", "doc_id")
+    (edits,) = spare(documents, "edits")
+    return recounted(documents.withColumn(edits, usual_edits(F.col("text"))), edits=edits).withColumnRenamed("key", "doc_id")

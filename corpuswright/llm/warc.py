@@ -9,7 +9,8 @@ those, reads the part's directory, searches it, reads one block by range, search
 
 Defined results: a null html is an empty payload; a null url has an empty key; a null page_id is archived and found
 like any other and counts as larger than every other; rows equal in page_id and payload are all response or all
-revisit; an empty table gives no archive and no rows.
+revisit; payloads of any size are passed on a few at a time; an empty table gives no archive and no rows; only
+page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import scratch, written
 BLOCK = 512  # index lines of a block
 PARTS = 4096  # parts of an index at most, whose first keys every lookup task holds
 SMALLEST = 100  # bytes from which equal payloads are revisits
+TASK = 64 << 20  # compressed bytes of records that a task reads back
+HELD = 16 << 20  # bytes of payloads in one batch
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -189,10 +192,13 @@ class Part:
         return found
 
 
-def lookup(wanted: DataFrame, parts: list[tuple[str, int | None, str]], index: str, archives: str) -> DataFrame:
-    """The records of the wanted (url, page_id), distinct, read through the index."""
+def lookup(wanted: DataFrame, parts: list[tuple[str, int | None, str]], index: str, archives: str, tasks: int = 0, payloads: bool = True) -> DataFrame:
+    """The records of the wanted (url, page_id), distinct, read through the index by so many tasks (0: as many as the
+    session's shuffles have), with or without their payloads."""
+    schema = ARROW if payloads else pa.schema([f for f in ARROW if f.name != "payload"])
+    out = OUT if payloads else OUT.replace("payload binary, ", "")
     if not parts:
-        return wanted.sparkSession.createDataFrame([], OUT)
+        return wanted.sparkSession.createDataFrame([], out)
     firsts, files = [_order(k, p) for k, p, _ in parts], [f for _, _, f in parts]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,39 +230,47 @@ def lookup(wanted: DataFrame, parts: list[tuple[str, int | None, str]], index: s
         store, root = _store(archives)
         name, source = None, None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for file, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != name:
                     if source is not None:
                         source.close()
                     name, source = file, store.open_input_file(f"{root}/{file}")
                 rows.append(parse(gzip.decompress(source.read_at(length, at))))
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                held += len(rows[-1]["payload"])
+                if not payloads:
+                    del rows[-1]["payload"]
+                elif held > HELD:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).distinct()
     placed = asked.mapInArrow(place, "part int, surt string, page_id long")
     dealt = placed.repartition("part", F.pmod(F.xxhash64("surt", "page_id"), F.lit(8))).sortWithinPartitions("part", "surt", F.col("page_id").asc_nulls_last())
     found = dealt.mapInArrow(locate, "file string, at long, length long")
     # ranges of 4 MB of a file go to one task, in order
-    near = found.repartition("file", F.floor(F.col("at") / (4 << 20))).sortWithinPartitions("file", "at")
-    return near.mapInArrow(read, OUT)
+    by = ("file", F.floor(F.col("at") / (4 << 20)))
+    near = (found.repartition(tasks, *by) if tasks else found.repartition(*by)).sortWithinPartitions("file", "at")
+    return near.mapInArrow(read, out)
 
 
 OUT = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Archives and indexes ``pages`` in ``folder``, and reads every capture back through the index."""
     captures = write_archives(pages, f"{folder}/warc")
-    n = captures.count()
+    n, size = captures.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     parts = write_index(captures, f"{folder}/index", max(1, min(PARTS, -(-n // (16 * BLOCK)))))
-    return lookup(pages, parts, f"{folder}/index", f"{folder}/warc")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK))  # rows of a few numbers stand for whole records
+    return lookup(pages, parts, f"{folder}/index", f"{folder}/warc", tasks, payloads)
 
 
 def op3(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, from its archived record."""
-    found = round_trip(spark, pages, scratch(spark, "warc"))
+    found = round_trip(spark, pages, scratch(spark, "warc"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -265,7 +279,7 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f
 """

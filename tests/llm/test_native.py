@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,26 @@ def test_sharding_edges(spark):
     df = frame(spark, [(1, None), (1, None), (None, "x")])
     assert sorted(map(str, sharding.op6(df).select("doc_id", "n_chars").collect())) == sorted(map(str, df.select("doc_id", F.length("text").cast("long").alias("n_chars")).collect()))
     assert sharding.op6(df.where("false")).count() == 0
+
+
+def test_two_writers_of_one_version(spark):
+    """Of writers that commit at once, one makes the version, and the other may try again."""
+    store = sharding.ShardStore(spark, scratch(spark, "t"))
+    store.append(spark.range(3).toDF("x"))
+    made = [f"{store.folder}/data/{k}" for k in range(4)]
+    for k, folder in enumerate(made):
+        spark.range(k + 1).toDF("x").write.parquet(folder)
+
+    def commit(folder):
+        try:
+            return store._commit(store.manifest(1).unionByName(store.described(folder)), 1)
+        except Exception as error:
+            return str(error)
+
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(commit, made))
+    assert results.count(2) == 1
+    winner = results.index(2)
+    assert store.read(store.spark.range(0).toDF("x").schema).count() == 3 + winner + 1
+    store.adopt(made[(winner + 1) % 4])
+    assert store.version() == 3
