@@ -39,6 +39,7 @@ class Rules:
     word: str
 
 
+# What Japanese punctuation, letters and endings are to the metrics.
 JA = Rules(
     stops="。！？!?", commas="、，", dash="—|――", ideograph="[一-鿿]", letters="[぀-ゟ゠-ヿ一-鿿]", kana="[぀-ゟ゠-ヿ]",
     polite="(です|ます|ました|ません|でしょう)[。！？]?$", plain="(である|だ|った|ない)[。！？]?$", closing="まとめ|おわりに|終わりに|最後に|結論", word="[一-鿿぀-ゟ゠-ヿ]+|[A-Za-z]+",

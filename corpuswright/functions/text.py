@@ -99,10 +99,10 @@ def share_like(items: Column, pattern: str) -> Column:
 
 
 def cut_at_stop(text: Column, limit: int, stop: str = "。") -> Column:
-    """At most ``limit`` characters, back to the last stop if there is one."""
+    """At most ``limit`` characters, back to the last stop if that stands in their second half."""
     head = F.substring(text, 1, limit)
     at = F.instr(F.reverse(head), stop)
-    return F.when(F.length(text) <= limit, text).when(at > 0, F.substring(head, F.lit(1), F.length(head) - at + 1)).otherwise(head)
+    return F.when(F.length(text) <= limit, text).when((at > 0) & (F.length(head) - at > limit // 2), F.substring(head, F.lit(1), F.length(head) - at + 1)).otherwise(head)
 
 
 def weight(sentence_count: Column) -> Column:
@@ -126,25 +126,6 @@ def exclusion_reason(text: Column, title: Column, private: Column, slide: Column
     )
 
 
-def title_use(title: Column) -> Column:
-    """What digits in a title are for; null without digits."""
-    return (
-        F.when(title.rlike(r"\d{4}[-/年.]\d{1,2}"), "date").when(title.rlike(r"(?i)第\s*\d+\s*[回章話部]|#\d+|\bpart\s*\d+|\bvol\.?\s*\d+"), "series")
-        .when(title.rlike(r"(?i)\bv?\d+\.\d+|\bv\d+\b"), "version").when(title.rlike(r"\d+\s*(選|個|つ|種類|項目|の方法|ways|things|tips)"), "listing")
-        .when(title.rlike(r"\d+\s*(分|時間|秒|日|min|hours?|days?)"), "duration").when(title.rlike(r"\d"), "other")
-    )
-
-
-def quote_kind(block: Column, rules: Rules) -> Column:
-    """Kind of a quote block, from its first 80 characters; the first that fits."""
-    head = F.substring(F.ltrim(block), 1, 80)
-    return (
-        F.when(head.rlike(r"^(Q|A|問|答|私|ChatGPT|AI|User|Human|Assistant)\s*[:：]"), "dialogue").when(head.rlike("^(※|注|NOTE|Note|TIP|WARNING|\\[!|[\\x{2600}-\\x{27BF}\\x{1F300}-\\x{1FAFF}])"), "callout")
-        .when(head.rlike(r"(?i)error|exception|traceback|failed|status code|warning:"), "error").when(head.rlike(r"^[$#>]\s|[{};]\s*$|=>|\(\)"), "code")
-        .when(head.rlike(r"(?i)出典|引用|参考|https?://|source:"), "sourced").when(~head.rlike(rules.letters if rules.kana.startswith("[぀") else "[぀-ヿ一-鿿]") & (F.length(head) > 20), "foreign").otherwise("plain")
-    )
-
-
 def edit_delay(created: Column, updated: Column) -> Column:
     """same, quick (under an hour, negative delays too) or later; null if either time is."""
     delay = F.unix_timestamp(updated) - F.unix_timestamp(created)
@@ -166,8 +147,9 @@ def deviation(percentile: Column, direction: Column) -> Column:
     return F.when(direction == "low", F.greatest(F.lit(0.0), 50 - percentile) / 50).when(direction == "high", F.greatest(F.lit(0.0), percentile - 50) / 50).otherwise(F.abs(percentile - 50) / 50)
 
 
-def position_label(value: Column, p10: Column, p25: Column, p75: Column, p90: Column) -> Column:
-    return F.when(value < p10, "far below").when(value < p25, "below").when(value <= p75, "usual").when(value <= p90, "above").otherwise("far above")
+def position_label(value: Column, p10: Column, p25: Column, _p50: Column, p75: Column, p90: Column) -> Column:
+    """Where a value stands in a distribution, in words; a value on an edge is outside it."""
+    return F.when(value <= p10, "far below").when(value <= p25, "below").when(value >= p90, "far above").when(value >= p75, "above").otherwise("usual")
 
 
 def spark_line(value: Column, low: Column, high: Column) -> Column:

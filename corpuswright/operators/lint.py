@@ -8,11 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import Rules
+from .analysis import sums
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
-FINDING = "struct<rule:string,value:double,limit:double,message:string>"
+FINDING = "struct<rule:string,value:double,limit:double,message:string,place:string>"
 
 
 def profile(metrics: DataFrame, directions: Mapping[str, str]) -> DataFrame:
@@ -30,47 +32,71 @@ def scored(metrics: DataFrame, key: str, reference: DataFrame, names: Sequence[s
     return long.withColumn("percentile", p).withColumn("deviation", T.deviation(F.col("percentile"), F.col("direction"))).select("key", "metric", "value", "percentile", "deviation")
 
 
+# The reference distribution of the five rules' measures, and their default limits.
+SPREAD = {
+    "ten": (0.136, 0.304, 0.524, 0.792, 1.105),
+    "bold": (0.0, 0.0, 0.0, 1.242, 4.329),
+    "kanji": (0.119, 0.144, 0.174, 0.21, 0.249),
+    "burstiness": (-0.377, -0.305, -0.234, -0.156, -0.081),
+    "cv": (0.453, 0.532, 0.62, 0.728, 0.85),
+}
+LIMITS = {"ten": 1.65, "bold": 13.0, "kanji": 0.305, "burstiness": -0.45, "cv": 0.38}
+UPPER = ("ten", "bold", "kanji")  # rules that a value above their limit breaks; the others a value below it
+
+
 @dataclass(frozen=True)
 class LintOptions:
-    """Limits of the style rules. Overrides replace single limits and leave the others (``shallow``: they replace all)."""
+    """Limits of the style rules. Overrides replace single limits and leave the others; with ``shallow`` they replace
+    all, and a rule without one takes the percentile of the distribution that ``lower`` or ``upper`` names."""
 
     limits: Mapping[str, float] = field(default_factory=dict)
     disabled: frozenset[str] = frozenset()
     min_sentences: int = 10
     shallow: bool = False
-    # Default limits.
-    DEFAULTS = {"ten": 1.65, "bold": 13.0, "kanji": 0.305, "burstiness": -0.45, "cv": 0.38}  # noqa: RUF012
-
-    def limit(self, name: str) -> float | None:
-        return self.limits.get(name) if self.shallow and self.limits else self.limits.get(name, self.DEFAULTS[name])
-
-
-def findings(text: Column, rules: Rules, options: LintOptions = LintOptions(), phrases: Mapping[str, str] | None = None) -> Column:  # noqa: B008
-    """Array of findings of a text of prose paragraphs; empty under the least number of sentences. ``phrases``: name ->
-    pattern, each reported from two hits on."""
-    s = T.sentences(text, rules)
-
-    def judged(sentences: Column) -> Column:
-        lengths = F.transform(sentences, lambda x: T.mora(x).cast("double"))
-        chars = T.solid_length(text)
-        values = {
-            "ten": (T.count_of(text, f"[{rules.commas[:1]}]") / F.nullif(F.size(sentences), F.lit(0)), True), "bold": (T.per_thousand(T.count_of(text, r"\*\*[^*\n]+\*\*"), chars), True),
-            "kanji": (T.count_of(text, rules.ideograph) / F.nullif(chars, F.lit(0)), True), "burstiness": (T.burstiness(lengths), False),
-            "cv": (T.spread_of(lengths) / F.nullif(T.mean_of(lengths), F.lit(0.0)), False),
-        }
-        found = []
-        for name, (value, above) in values.items():
-            limit = options.limit(name)
-            if name not in options.disabled and limit is not None:
-                hit = value > limit if above else value < limit
-                found.append(F.when(hit, F.struct(F.lit(name).alias("rule"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit"), F.lit("above" if above else "below").alias("message"))))
-        for name, pattern in (phrases or {}).items():
-            n = T.count_of(text, pattern)
-            found.append(F.when(n >= 2, F.struct(F.lit("phrase").alias("rule"), n.cast("double").alias("value"), F.lit(2.0).alias("limit"), F.lit(name).alias("message"))))
-        none = F.expr(f"cast(array() as array<{FINDING}>)")
-        return F.when(F.size(sentences) >= options.min_sentences, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none)
-
-    return F.get(F.transform(F.array(s), judged), F.lit(0))
+    lower: str = "p10"
+    upper: str = "p90"
+    spread: Mapping[str, Sequence[float]] = field(default_factory=lambda: SPREAD)
+
+    def limit(self, name: str) -> float:
+        if name in self.limits:
+            return self.limits[name]
+        if self.limits and self.shallow:
+            return self.spread[name][[f"p{round(100 * p)}" for p in PERCENTILES].index(self.upper if name in UPPER else self.lower)]
+        return LIMITS[name]
+
+
+def findings(df: DataFrame, text: str, rules: Rules, options: LintOptions = LintOptions(), phrases: Mapping[str, str] | None = None) -> DataFrame:  # noqa: B008
+    """Adds ``findings``: what the rules say of a column of prose paragraphs (lists, quotes, headings, tables and code are
+    no prose, see ``analysis.prose``); empty under the least number of sentences. ``phrases``: name -> pattern, each
+    reported from two hits on. Sentences, lengths and sums are columns of their own, worked out once."""
+    t, n = F.col(text), F.nullif(F.col("_n"), F.lit(0))
+    rows = df.withColumn("_sents", T.sentences(t, rules)).withColumn("_chars", T.solid_length(t))
+    rows = rows.withColumns({"_n": F.size("_sents"), "_mora": sums(F.transform("_sents", lambda x: T.mora(x).cast("double"))), "_length": sums(F.transform("_sents", lambda x: T.solid_length(x).cast("double")))})
+    for name in ("_mora", "_length"):
+        mean = F.col(f"{name}.total") / n
+        rows = rows.withColumn(f"{name}_mean", mean).withColumn(f"{name}_sd", F.sqrt(F.greatest(F.col(f"{name}.squares") / n - mean * mean, F.lit(0.0))))
+    m, s = F.col("_mora_mean"), F.col("_mora_sd")
+    rows = rows.withColumns({
+        "_ten": T.count_of(t, f"[{rules.commas[:1]}]") / n, "_bold": T.per_thousand(T.count_of(t, R.BOLD), F.col("_chars")), "_kanji": T.count_of(t, rules.ideograph) / F.nullif(F.col("_chars"), F.lit(0)),
+        "_burstiness": F.when(F.col("_n") >= 2, (s - m) / F.nullif(s + m, F.lit(0.0))), "_cv": F.col("_length_sd") / F.nullif(F.col("_length_mean"), F.lit(0.0)),
+    } | {f"_phrase{k}": T.count_of(t, p) for k, p in enumerate((phrases or {}).values())})
+    found = []
+    for name in (x for x in LIMITS if x not in options.disabled):
+        value, limit, above = F.col(f"_{name}"), options.limit(name), name in UPPER
+        place = T.position_label(value, *map(F.lit, options.spread[name]))
+        found.append(F.when(value > limit if above else value < limit, F.struct(F.lit(name).alias("rule"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit"), F.lit("above" if above else "below").alias("message"), place.alias("place"))))
+    for k, name in enumerate(phrases or {} if "phrases" not in options.disabled else ()):
+        hits = F.col(f"_phrase{k}")
+        found.append(F.when(hits >= 2, F.struct(F.lit("phrase").alias("rule"), hits.cast("double").alias("value"), F.lit(2.0).alias("limit"), F.lit(name).alias("message"), F.lit(None).cast("string").alias("place"))))
+    none = F.array().cast(f"array<{FINDING}>")
+    enough = F.coalesce(F.col("_n") >= options.min_sentences, F.lit(False))
+    return rows.withColumn("findings", F.when(enough, F.array_compact(F.array(*found)) if found else none).otherwise(none)).select(*df.columns, "findings")
+
+
+def found(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys, rule, value, limit, message and place: a row a finding. The explosion is an outer one, since for a plain
+    one Spark works out all findings once more to drop empty rows early."""
+    return df.select(*keys, F.explode_outer("findings").alias("z")).where("z is not null").select(*keys, "z.*")
 
 
 def autofix(text: Column, replacements: Sequence[tuple[str, str]]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 _fence, _heading, _item, _table, _quote = (re.compile(p) for p in (R.FENCE, R.HEADING, R.LIST_ITEM, R.TABLE_ROW, R.QUOTE))
+LINES = 20_000  # lines that are put into one batch, or those of one document
 LINE = "pos int, line string, kind string, level int, ordered boolean, paragraph int, block int, lang string, closed boolean"
 
 
@@ -66,11 +67,14 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                rows = lines_of(batch.column(1)[at].as_py())
-                if rows:
-                    keys = batch.column(0).take(pa.array([at] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([keys, *[pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]], names=["key", *names])
+            at, rows = [], []
+            for k, text in enumerate(batch.column(1)):
+                own = lines_of(text.as_py())
+                rows += own
+                at += [k] * len(own)
+                if len(rows) > LINES or rows and k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)]], names=["key", *names])
+                    at, rows = [], []
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {LINE}")
 
@@ -106,6 +110,12 @@ def code_blocks(lines: DataFrame) -> DataFrame:
     return lines.where("kind = 'code' and closed").groupBy("key", "block").agg(F.max("lang").alias("lang"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
+def code_texts(lines: DataFrame) -> DataFrame:
+    """key, block, lang, code (the lines put together) and n_lines of closed code blocks, empty ones among them."""
+    inner = lines.where("kind = 'code' and closed").groupBy("key", "block").agg(F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("z"), F.count(F.lit(1)).alias("n_lines"))
+    return inner.select("key", "block", "lang", F.array_join("z.line", "").alias("code"), "n_lines")
+
+
 def structure(lines: DataFrame) -> DataFrame:
     """Counts of each kind of line by document."""
     n = lambda condition: F.count_if(F.expr(condition))

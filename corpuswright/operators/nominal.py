@@ -1,28 +1,13 @@
-"""Sentences that end in a noun, and what stands around them. Needs tokens with parts of speech."""
+"""Sentences that end in a noun (``functions.japanese.is_nominal``), and what stands around them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-#: Sentences of these shapes are captions, headings, lists or code, and no rhetoric.
-NOT_PROSE = (r"[:：]\s*$", r"^[-*+・●■◆]", r"^\d+[.)、]", r"https?://", r"[{}<>=;|\\]", r"^[（(「『\[]", r"[）)」』\]]\s*$", r"^[\x00-\x7f]+$", r"[/＝→]", r"^(図|表|例|注)\s*\d*")
-
-
-def is_nominal(sentence: Column, tokens: Column) -> Column:
-    """Whether prose ends in a noun that is not a number or a Latin word."""
-    bare = F.regexp_replace(sentence, "[。！？!?\\s]+$", "")
-    prose = F.lit(True)
-    for pattern in NOT_PROSE:
-        prose = prose & ~bare.rlike(pattern)
-    words = F.filter(tokens, lambda t: ~t["pos1"].isin("補助記号", "空白"))
-    last = F.get(words, F.size(words) - 1)
-    return F.coalesce(prose & (last["pos1"] == "名詞") & ~last["surface"].rlike("^[A-Za-z0-9]+$"), F.lit(False))
-
-
 def contexts(sentences: DataFrame) -> DataFrame:
     """Adds to rows (key, paragraph, pos, sentence): mora, neighbours and place in the paragraph."""
     w = Window.partitionBy("key", "paragraph").orderBy("pos")
@@ -43,3 +28,8 @@ def summary(found: DataFrame, flag: str = "nominal") -> DataFrame:
         F.count(F.lit(1)).alias("sentences"), F.count_if(hit).alias("flagged"), F.avg(F.when(hit, F.col("mora"))).alias("mean_mora"), F.avg("mora").alias("mean_mora_all"),
         pct(F.col("mora") < F.col("prev_mora")).alias("shorter_pct"), pct(F.col("position") == "first").alias("first_pct"), pct(F.col("position") == "last").alias("last_pct"),
     )
+
+
+def tails(found: DataFrame, tail: str, n: int, flag: str = "nominal") -> DataFrame:
+    """A top-n report: the words that most flagged sentences end in."""
+    return found.where(F.col(flag)).groupBy(F.col(tail).alias("tail")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tail").limit(n)

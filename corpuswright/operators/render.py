@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BARS = "▁▂▃▄▅▆▇█"
 
@@ -62,6 +63,9 @@ def line_chart(labels: Sequence[str], series: Mapping[str, Sequence[float | None
     return "\n".join([*out, "</svg>"])
 
 
-def resolve(name: str, known: Sequence[str]) -> str | None:
-    """A series by its name, else the first whose part before a hyphen is the name."""
-    return name if name in known else next((k for k in known if k.split("-")[0] == name), None)
+def resolved(wanted: DataFrame, series: DataFrame) -> DataFrame:
+    """(name, word): the series that stands for each wanted name: that of the name itself, else the first in order whose
+    part before a hyphen is the name; null if there is none."""
+    keyed = series.select("word", F.explode(F.array_distinct(F.array("word", F.substring_index("word", "-", 1)))).alias("name"))
+    best = keyed.groupBy("name").agg(F.min(F.struct(F.col("word") != F.col("name"), "word"))["word"].alias("word"))
+    return wanted.select("name").distinct().join(best, "name", "left")

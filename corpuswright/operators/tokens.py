@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,20 +55,34 @@ def tokenized(df: DataFrame, text: str, factory: Callable[[], Tokenizer] = lambd
     return out.withColumns({"tokens": F.col("_t.tokens"), "tokens_error": F.col("_t.error"), "pos_truncated": F.length(text) > limit}).drop("_t")
 
 
-def _pass(tokens: list[str]) -> float:
-    factors, types, n = 0.0, set(), 0
-    for token in tokens:
-        types.add(token)
-        n += 1
-        if len(types) / n <= R.MTLD_FACTOR:
-            factors, types, n = factors + 1, set(), 0
-    if n:
-        factors += (1 - len(types) / n) / (1 - R.MTLD_FACTOR)
-    return len(tokens) / factors if factors > 0 else float(len(tokens))
+def _diversity(codes: np.ndarray) -> float:
+    """Tokens per factor of integer-coded tokens. A token is new in the factor that began at ``begin`` if it stood last
+    before that; the factor ends at the first place where its new tokens make up a share of MTLD_FACTOR at most."""
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    before = np.full(n, -1)  # where each token stood last
+    again = np.flatnonzero(codes[order[1:]] == codes[order[:-1]])
+    before[order[again + 1]] = order[again]
+    factors, begin, stretch = 0.0, 0, 256
+    while begin < n:
+        upto = min(n, begin + stretch)
+        share = np.cumsum(before[begin:upto] < begin) / np.arange(1, upto - begin + 1)
+        ends = np.flatnonzero(share <= R.MTLD_FACTOR)
+        if len(ends):
+            factors, begin, stretch = factors + 1, begin + int(ends[0]) + 1, 256
+        elif upto == n:
+            factors += (1 - float(share[-1])) / (1 - R.MTLD_FACTOR)
+            break
+        else:
+            stretch *= 4
+    return n / factors if factors > 0 else float(n)
 
 
 def mtld_of(tokens: list[str]) -> float | None:
-    return None if len(tokens) < R.MTLD_TOKENS else (_pass(tokens) + _pass(tokens[::-1])) / 2
+    if len(tokens) < R.MTLD_TOKENS:
+        return None
+    codes = pd.factorize(np.array(tokens, dtype=object))[0]
+    return (_diversity(codes) + _diversity(codes[::-1])) / 2
 
 
 def mtld(tokens: Column | str) -> Column:
@@ -81,23 +96,29 @@ def mtld(tokens: Column | str) -> Column:
 
 
 def pos_shares(tokens: Column) -> dict[str, Column]:
-    """Shares of parts of speech, of verbal nouns and of Sino-Japanese nouns, and chains of verbal nouns per 1000."""
+    """Shares of parts of speech and of verbal nouns, of Sino-Japanese among words of known origin, and per 1000 tokens
+    the verbal nouns that follow another, that take する, and that take が or を."""
     n = F.nullif(F.size(tokens), F.lit(0))
     share = lambda test: F.size(F.filter(tokens, test)) / n
-    nouns = F.nullif(F.size(F.filter(tokens, lambda t: t["pos1"] == "名詞")), F.lit(0))
     verbal = lambda t: t["pos3"] == "サ変可能"
     after = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    chains = F.size(F.filter(F.zip_with(F.slice(tokens, F.lit(1), F.size(after)), after, lambda a, b: verbal(a) & verbal(b)), lambda x: x))
+    pairs = lambda test: F.size(F.filter(F.zip_with(F.slice(tokens, F.lit(1), F.size(after)), after, lambda a, b: verbal(a) & test(b)), lambda x: x)) / n * 1000
     kinds = ("名詞", "動詞", "助詞", "助動詞", "形容詞", "副詞", "接続詞")
     is_kind = lambda k: lambda t: t["pos1"] == k
+    origins = F.nullif(F.size(F.filter(tokens, lambda t: t["goshu"].isin("漢", "和", "外", "混"))), F.lit(0))
     return {f"pos_{k}_ratio": share(is_kind(k)) for k in kinds} | {
-        "sahen_noun_ratio": F.size(F.filter(tokens, verbal)) / nouns, "kango_ratio": F.size(F.filter(tokens, lambda t: (t["pos1"] == "名詞") & (t["goshu"] == "漢"))) / nouns, "sahen_chain_per_1000": chains / n * 1000,
+        "sahen_noun_ratio": share(verbal), "kango_ratio": F.size(F.filter(tokens, lambda t: t["goshu"] == "漢")) / origins, "sahen_chain_per_1000": pairs(verbal),
+        "sahen_verb_per_1000": pairs(lambda t: t["lemma"].isin("為る", "する")), "sahen_case_per_1000": pairs(lambda t: t["surface"].isin("が", "を") & (t["pos1"] == "助詞")),
     }
 
 
-def is_target(lemma: Column, stopwords: Column) -> Column:
-    """Content words: at least two characters, no stopword, not of digits only."""
-    return (F.length(lemma) >= 2) & ~F.array_contains(stopwords, lemma) & ~lemma.rlike("^[0-9]+$")
+def is_target(lemma: Column, stopwords: Column, pos1: Column | None = None, kinds: tuple[str, ...] = ("名詞", "動詞", "形容詞", "副詞"), ascii_too: bool = False) -> Column:
+    """Content words: of these parts of speech where they are known, of two characters at least, no stopword, not of digits
+    only, and unless ``ascii_too`` not of ASCII only."""
+    out = (F.length(lemma) >= 2) & ~F.array_contains(stopwords, lemma) & ~lemma.rlike("^[0-9]+$")
+    if not ascii_too:
+        out = out & ~lemma.rlike("^[\\x00-\\x7F]+$")
+    return out if pos1 is None else out & pos1.isin(*kinds)
 
 
 def words_of(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:

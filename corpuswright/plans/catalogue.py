@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more_queries, panel_queries, stream_queries, text_queries  # noqa: F401
+from . import japanese_queries, more_queries, panel_queries, stream_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -442,8 +442,8 @@ f AS (SELECT doc_id, 'ten' AS rule, 'above' AS message, ten AS v, ten > 1.65 AS
  UNION ALL SELECT doc_id, 'phrase', 'of the', len(regexp_extract_all(text, '\\bof the\\b')), len(regexp_extract_all(text, '\\bof the\\b')) >= 2 FROM m UNION ALL SELECT doc_id, 'phrase', 'doubled', len(regexp_extract_all(text, '\\bthe the\\b')), len(regexp_extract_all(text, '\\bthe the\\b')) >= 2 FROM m)
 SELECT doc_id, rule, message, round(v, 5) AS value FROM f WHERE hit""")
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.explode(lint.findings(F.col("text"), LATIN, phrases=PHRASES)).alias("z"))
-    return rounded(rows.select("doc_id", "z.rule", "z.message", "z.value"), "value", to=5)
+    rows = lint.findings(documents(spark, sf_dir, "doc_id", "text"), "text", LATIN, phrases=PHRASES)
+    return rounded(lint.found(rows, "doc_id").select("doc_id", "rule", "message", "value"), "value", to=5)
 
 
 FIXES = (("\\bthe the\\b", "the"), (" ,", ","), ("([a-z]),([a-z])", "$1, $2"), ("\\*{3}", ""))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuswright.functions import japanese
 from corpuswright.operators import checks, nominal, render, rewrite, tokens
 
 DOC = "# R\n\n| month | chars | n |\n|---|---|---|\n| 2020-08 | 993 | 1.5 |\n| 2020-09 | 1,000 | x |\n\nAbout 12,000 articles, then 500 articles. See [a](./b.md) and [c](../c/d.md), [e](http://x)."
@@ -45,12 +46,12 @@ def test_round_trip(spark):
 
 
 def test_nominal_endings(spark):
-    made = {"良い設計。": ["名詞"], "行く。": ["動詞"], "図1 設計": ["名詞"], "ABC": ["名詞"]}
+    made = {"これはとても良い設計。": ["名詞"], "これからすぐそこへ行く。": ["動詞"], "【第1章】とても良い設計。": ["名詞"], "は確認するための資料": ["名詞"], "設計。": ["名詞"], "- 一覧にした項目の設計": ["名詞"], "x = 1; y = 2 の良い設計": ["名詞"], "名前: とても良い設計と方法": ["名詞"], "abc defgh ijk の設計": ["名詞"]}
     rows = spark.createDataFrame([(1, 1, k, s, [{"surface": s[:-1] or s, "pos1": p[-1]}]) for k, (s, p) in enumerate(made.items())], "key int, paragraph int, pos int, sentence string, tokens array<struct<surface:string,pos1:string>>")
-    got = {r.sentence: r.n for r in rows.select("sentence", nominal.is_nominal(F.col("sentence"), F.col("tokens")).alias("n")).collect()}
-    assert got == {"良い設計。": True, "行く。": False, "図1 設計": False, "ABC": False}
-    found = nominal.contexts(rows.withColumn("nominal", nominal.is_nominal(F.col("sentence"), F.col("tokens"))))
-    assert [r.position for r in found.orderBy("pos").collect()] == ["first", "middle", "middle", "last"]
+    got = {r.sentence: r.n for r in rows.select("sentence", japanese.is_nominal(F.col("sentence"), F.col("tokens")).alias("n")).collect()}
+    assert [s for s, hit in got.items() if hit] == ["これはとても良い設計。"]
+    found = nominal.contexts(rows.withColumn("nominal", japanese.is_nominal(F.col("sentence"), F.col("tokens"))))
+    assert [r.position for r in found.orderBy("pos").collect()] == ["first", *["middle"] * 7, "last"]
     assert nominal.summary(found).first().first_pct == 100
 
 
@@ -63,7 +64,9 @@ def test_render(spark):
     svg = render.line_chart(["2020", "2021"], {"w<": [1.0, 2.0]}, "t", "2021")
     assert svg.count("<path") == 1
     assert "w&lt;" in svg
-    assert render.resolve("ツール", ["x", "ツール-tool"]) == "ツール-tool"
+    series = spark.createDataFrame([("x",), ("ツール-tool",), ("ツール-a",), ("y-1",), ("y",)], "word string")
+    wanted = spark.createDataFrame([("ツール",), ("y",), ("none",)], "name string")
+    assert {r.name: r.word for r in render.resolved(wanted, series).collect()} == {"ツール": "ツール-a", "y": "y", "none": None}
 
 
 def test_simple_tokenizer():

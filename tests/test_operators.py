@@ -119,14 +119,16 @@ def test_pos_shares(spark):
     df = tokens.tokenized(spark.createDataFrame([(1, "x")], "id int, text string"), "text", lambda: lambda _: made)
     r = df.select(*[c.alias(n) for n, c in tokens.pos_shares(F.col("tokens")).items()]).first()
     assert r["pos_名詞_ratio"] == 0.75
-    assert r.sahen_noun_ratio == pytest.approx(2 / 3)
-    assert r.kango_ratio == pytest.approx(2 / 3)
+    assert r.sahen_noun_ratio == pytest.approx(2 / 4)
+    assert r.kango_ratio == pytest.approx(2 / 4)
+    assert r.sahen_verb_per_1000 == 250
+    assert r.sahen_case_per_1000 == 0
     assert r.sahen_chain_per_1000 == 250
 
 
 def test_lint(spark):
     text = "心が折れる 枝が折れる。" + "、".join("あいう") + "。" + "短い文。" * 10
-    find = lambda options, phrases=None: spark.range(1).select(lint.findings(F.lit(text), JA, options, phrases).alias("f")).first().f
+    find = lambda options, phrases=None: lint.findings(spark.range(1).withColumn("t", F.lit(text)), "t", JA, options, phrases).first().findings
     assert "cv" not in {f.rule for f in find(lint.LintOptions(disabled=frozenset(["cv"])))}
     assert find(lint.LintOptions(min_sentences=100)) == []
     hits = find(lint.LintOptions(), {"short": "短い"})
@@ -134,7 +136,11 @@ def test_lint(spark):
     assert spark.range(1).select(F.regexp_count(F.lit(text), F.lit("(?<!心が|心は)折れる"))).first()[0] == 1
     deep, shallow = lint.LintOptions(limits={"ten": 9}), lint.LintOptions(limits={"ten": 9}, shallow=True)
     assert deep.limit("bold") == 13.0
-    assert shallow.limit("bold") is None
+    assert shallow.limit("bold") == 4.329
+    assert lint.LintOptions(limits={"ten": 9}, shallow=True, lower="p25").limit("cv") == 0.532
+    got = {f.rule: f for f in find(lint.LintOptions(limits={"ten": 0.1, "kanji": 0.1}))}
+    assert (got["ten"].message, got["ten"].place, got["kanji"].place) == ("above", "below", "far above")
+    assert lint.found(lint.findings(spark.createDataFrame([(1, None), (2, "")], "k int, t string"), "t", JA), "k").count() == 0
 
 
 def test_autofix_in_turn(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from corpuswright.functions import japanese as J
 from corpuswright.functions import text as T
 from corpuswright.functions.rules import JA, LATIN
 from corpuswright.operators import tokens
@@ -66,14 +67,14 @@ def test_clean_inline(spark):
     assert one(spark, T.clean_inline(F.lit("![a](u) [t](u) **b** <i>x</i>`c` end"))) == " t b x end"
 
 
-@pytest.mark.parametrize(("title", "want"), [("2026-08-06 メモ", "date"), ("第3回", "series"), ("v2 入門", "version"), ("5選", "listing"), ("数字なし", None)])
+@pytest.mark.parametrize(("title", "want"), [("2026-08-06 メモ", "date"), ("第3回", "series"), ("v2 入門", "version"), ("5選", "listing"), ("数字なし", None), ("98個溜まった", "other"), ("30分で分かる", "duration"), ("3つの方法", "listing"), ("Go 1つ", "other"), ("(2)", "series")])
 def test_title_use(spark, title, want):
-    assert one(spark, T.title_use(F.lit(title))) == want
+    assert one(spark, J.title_use(F.lit(title))) == want
 
 
-@pytest.mark.parametrize(("block", "want"), [("※ 注", "callout"), ("Status Code: 401", "error"), ("出典: https://x", "sourced"), ("a" * 25, "foreign"), ("普通の文", "plain")])
+@pytest.mark.parametrize(("block", "want"), [("※ 注", "callout"), ("Status Code: 401", "error"), ("出典: https://x", "sourced"), ("a" * 25, "foreign"), ("普通の文", "plain"), ("\U0001f914 名前\n「どう", "dialogue"), ("**AI**: 答え", "dialogue"), ("**注意**: 高温", "callout"), ("【検証日】八月", "callout"), ("npm install x", "code"), ("本文\n— 誰か", "sourced"), ("a" * 20, "plain")])
 def test_quote_kind(spark, block, want):
-    assert one(spark, T.quote_kind(F.lit(block), JA)) == want
+    assert one(spark, J.quote_kind(F.lit(block))) == want
 
 
 def test_domain_order_wins(spark):
@@ -89,7 +90,8 @@ def test_edit_delay(spark, seconds, want):
 
 
 def test_cut_at_stop(spark):
-    assert one(spark, T.cut_at_stop(F.lit("あ。いう"), 3)) == "あ。"
+    assert one(spark, T.cut_at_stop(F.lit("あい。う"), 3)) == "あい。"
+    assert one(spark, T.cut_at_stop(F.lit("あ。いう"), 3)) == "あ。い"  # the stop stands too early
     assert one(spark, T.cut_at_stop(F.lit("あいう"), 2)) == "あい"
     assert one(spark, T.cut_at_stop(F.lit("あい"), 2)) == "あい"
 
@@ -115,3 +117,31 @@ def test_japanese_endings(spark):
 
 def test_spark_line(spark):
     assert one(spark, F.concat(*[T.spark_line(F.lit(float(v)), F.lit(0.0), F.lit(7.0)) for v in (0, 3, 7)])) == "▁▄█"
+
+
+def test_position_label(spark):
+    p = [F.lit(x) for x in (1.0, 2.0, 3.0, 4.0, 5.0)]
+    got = [one(spark, T.position_label(F.lit(float(v)), *p)) for v in (1, 1.5, 2, 3, 4, 4.5, 5)]
+    assert got == ["far below", "below", "below", "usual", "above", "above", "far above"]
+
+
+def test_memo_titles_and_topics(spark):
+    for title, want in (("今日の日報", True), ("自分用メモ", True), ("メモリの話", False), ("Dockerのメモ", True)):
+        assert one(spark, F.lit(title).rlike(J.MEMO_TITLE)) is want
+    assert one(spark, J.about_topic(F.lit(None).cast("string"), F.array(F.lit("LLM")))) is True
+    assert one(spark, J.about_topic(F.lit("gpt4 を使う"), F.array(F.lit("x")))) is True
+    assert one(spark, J.about_topic(F.lit("設計"), F.array(F.lit("Go")))) is False
+
+
+@pytest.mark.parametrize(("text", "n"), [("心が折れる 枝が折れる", 1), ("折れていない 折れてない 折れて", 1), ("折れます折れました", 2), ("心は折れた", 0)])
+def test_lookbehind_phrase(spark, text, n):
+    assert one(spark, T.count_of(F.lit(text), J.PHRASES["breaks"])) == n
+
+
+def test_replacements_in_turn(spark):
+    text = "下記のとおり、上記の表。重要なのは、画面の設計という点です。確認することが可能です。重要なのは処理を分けるという点です"
+    for pattern, to in J.REPLACEMENTS:
+        text = one(spark, F.regexp_replace(F.lit(text), pattern, to))
+    assert text == "次のとおり、前述の表。重要なのは画面の設計です。確認できます。重要なのは処理を分けることです"
+    assert len(J.REPLACEMENTS) == 23
+    assert len(J.PHRASES) == 14
