@@ -9,7 +9,7 @@ NUMBER = r"^-?[0-9][0-9,]*(\.[0-9]+)?$"
 
 
 def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line, header, row and cell of every cell of the Markdown tables of each document. A table is a run of lines
+    """key, line, header, row, cell and first (the header of the rows' names) of every cell of the Markdown tables of each document. A table is a run of lines
     that begin with a bar; its first line is the header and its second the rule."""
     from .markdown import line_table
 
@@ -22,8 +22,40 @@ def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("cells", cells).withColumn("k", F.row_number().over(Window.partitionBy("key", "run").orderBy("pos")))
     header = rows.where("k = 1").select("key", "run", F.col("cells").alias("header"))
     met = rows.where("k > 2").join(header, ["key", "run"])
-    each = met.select("key", "pos", "header", F.get("cells", F.lit(0)).alias("row"), F.posexplode("cells").alias("at", "cell")).where("at > 0")
-    return each.select("key", F.col("pos").alias("line"), F.get("header", F.col("at")).alias("header"), "row", "cell")
+    each = met.select("key", "pos", "header", F.get("header", F.lit(0)).alias("first"), F.get("cells", F.lit(0)).alias("row"), F.posexplode("cells").alias("at", "cell")).where("at > 0")
+    return each.select("key", F.col("pos").alias("line"), F.get("header", F.col("at")).alias("header"), "row", "cell", "first")
+
+
+# Column names that are no plain measure of their row: bound to days, derived, or of a cohort; what may stand
+# before a measure's name.
+SCOPED, DERIVED, COHORT, OPENING = r"\(\s*(?:\d+\s*-\s*\d+|\d+月|[^)]*日)\s*\)", r"(?:差|比|変化|倍|残存|%|\(件\)|件数)\s*\**\s*$", "デビュー|コホート|層|群|世代|期別", "[（(【\\[「 　]*"
+LABELS = {"体言止め": "nominal_ending_ratio", "読点/文": "ten_per_sentence", "文長のばらつき": "burstiness_mora", "漢字率": "kanji_ratio", "地の文字数": "chars_body", "MTLD": "mtld"}
+
+
+def field_of(header: Column, labels: dict[str, str] | None = None) -> Column:
+    """The measure that a table's column shows, from its header; null for one that is scoped or derived, or where another
+    word stands before the measure's name. The first label that occurs decides."""
+    name = F.regexp_replace(F.trim(header), "^[* ]+|[* ]+$", "")
+    out = F.when(name.rlike(SCOPED) | name.rlike(DERIVED), F.lit(None).cast("string"))
+    for label, field in (labels or LABELS).items():
+        quoted = "\\Q" + label + "\\E"
+        out = out.when(name.rlike(quoted), F.when(name.rlike(f"^{OPENING}{quoted}"), F.lit(field)))
+    return out
+
+
+def resolved_cells(cells: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """Cells of :func:`table_cells` with the measure they show as ``header``, without those of cohorts' tables and of
+    columns that show none. ``first`` is the header of the rows' names."""
+    return cells.where(~F.coalesce(F.col("first").rlike(COHORT), F.lit(False))).withColumn("header", field_of(F.col("header"), labels)).where("header is not null")
+
+
+def verified(docs: DataFrame, key: str, text: str, measured: DataFrame) -> DataFrame:
+    """One pass over all documents: how many table cells of each were compared with ``measured`` (row, header, value),
+    and how many differ."""
+    cells = resolved_cells(table_cells(docs, key, text))
+    bad = mismatches(cells, measured).groupBy("key").agg(F.count(F.lit(1)).alias("wrong"))
+    seen = cells.join(measured, ["row", "header"]).groupBy("key").agg(F.count(F.lit(1)).alias("compared"))
+    return docs.select(F.col(key).alias("key")).join(seen, "key", "left").join(bad, "key", "left").fillna(0, ["compared", "wrong"])
 
 
 def decimals(cell: Column) -> Column:

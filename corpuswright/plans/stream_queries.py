@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import table
 from ..streaming import jobs
@@ -13,10 +15,17 @@ from .panel_queries import rounded
 from .registry import register
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream comes to when it has read all there is: each batch's updates are written to a folder of their own
+    beside the checkpoint, in the shared folder, and read together with the batch's number."""
+    spark = stream.sparkSession
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{root}/out")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +35,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""")
 def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream's weekly windows in complete mode: a row per week."""
-    return rounded(_drained(jobs.weekly_stream(_events(spark, sf_dir)), "complete").drop("median_value"), "total", to=4)
+    """A stream's weekly windows: the newest row of each week."""
+    rows = _drained(jobs.weekly_stream(_events(spark, sf_dir)))
+    return rounded(rows.groupBy("week_start").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total")), "total", to=4)
 
 
 @register("""SELECT user_id::VARCHAR AS job, max_by(CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END, (ts, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END)) AS state FROM events GROUP BY 1""")
@@ -38,9 +48,10 @@ def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("job").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
 
 
-@register()
+@register("""SELECT user_id::VARCHAR AS job, max_by(CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END, (ts, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END)) AS state, epoch_us(max(ts)) AS at_us FROM events GROUP BY 1""")
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log as a stream with state: every change of a job's state that was seen."""
+    """The same log as a stream with state: each job's state when all has been read."""
     state = F.when(F.col("event_id") % 3 == 0, "claimed").when(F.col("event_id") % 3 == 1, "done").otherwise("failed")
     log = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), state.alias("state"), F.col("ts").alias("at"))
-    return _drained(jobs.job_states(log), "update")
+    rows = _drained(jobs.job_states(log)).groupBy("job").agg(F.max_by(F.struct("state", "at"), "batch").alias("z"))
+    return rows.select("job", "z.state", F.unix_micros("z.at").alias("at_us"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 
@@ -46,16 +48,96 @@ def manifest_rollup(days: DataFrame, months: DataFrame) -> DataFrame:
     return months.join(done, "month", "left").fillna(0, ["done", "fetched"]).withColumn("state", state)
 
 
-def read_articles(spark: SparkSession, *paths: str, label: str | None = None) -> DataFrame:
-    """Raw articles from JSON lines; with ``label``, an ad-hoc period."""
-    frame = spark.read.schema(ARTICLES).json(list(paths))
+def read_articles(spark: SparkSession, *paths: str, label: str | None = None, glob: str | None = None) -> DataFrame:
+    """Raw articles from JSON lines (files, folders and patterns; ``glob`` picks files by name), with month and day from
+    the file's name where it holds a date, by which a scan is pruned; with ``label``, an ad-hoc period."""
+    reader = spark.read.schema(ARTICLES)
+    frame = (reader.option("pathGlobFilter", glob) if glob else reader).json(list(paths))
+    day = F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    frame = frame.withColumn("day", day).withColumn("month", F.substring("day", 1, 7))
     return frame.withColumn("label", F.lit(label)) if label else frame
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests, one JSON document a file; those that can't be parsed are left out."""
-    rows = spark.read.schema(MANIFEST + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path).cache()
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    # through text, as the reader of JSON drops a column that is read alone
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST, {"mode": "PERMISSIVE"}).alias("z"))
+    return rows.where("z.date is not null").select("z.*")
+
+
+def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, body): a row per Markdown file."""
+    return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON document of settings: a profile, thresholds, a series. It is small by nature and goes to the driver."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} is not one document")
+    return json.loads(rows[0][0])
+
+
+def read_profile(spark: SparkSession, path: str) -> DataFrame:
+    """metric, p10..p90, zero_ratio and direction (low, high or two) of a reference profile document."""
+    way = {"low_is_suspicious": "low", "high_is_suspicious": "high", "two_sided": "two"}
+    rows = [(k, *(float(v[p]) for p in ("p10", "p25", "p50", "p75", "p90")), float(v.get("zero_ratio", 0.0)), way.get(v.get("direction", ""), "two")) for k, v in read_config(spark, path)["metrics"].items()]
+    return spark.createDataFrame(rows, "metric string, p10 double, p25 double, p50 double, p75 double, p90 double, zero_ratio double, direction string")
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """word, year and value of a timeline document (years, and words with their series)."""
+    found = read_config(spark, path)
+    rows = [(w["word"], str(y), None if v is None else float(v)) for w in found["words"] for y, v in zip(found["years"], w["series"], strict=True)]
+    return spark.createDataFrame(rows, "word string, year string, value double")
+
+
+def read_lexicon(spark: SparkSession, path: str, column: str = "word") -> DataFrame:
+    """(word, rank) of a lexicon in JSON lines, in order of first appearance, each word once."""
+    rows = spark.read.schema(f"{column} string").json(path).where(F.col(column).isNotNull()).withColumn("_at", F.monotonically_increasing_id())
+    return rows.groupBy(F.col(column).alias("word")).agg(F.min("_at").alias("rank"))
+
+
+def write_document(rows: DataFrame, path: str, order: Sequence[str], **head: object) -> None:
+    """A JSON result document: the fields of ``head``, and ``rows`` in order. A report of some rows, not a table."""
+    found = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(100_001).collect()]
+    if len(found) > 100_000:
+        raise ValueError("over 100,000 rows are no document")
+    text = json.dumps(head | {"rows": found}, ensure_ascii=False, default=str)
+    rows.sparkSession.range(1).select(F.lit(text)).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Extracted rows as JSON lines; nulls are written, so that every line has every field."""
+    rows.select(F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_log(entries: DataFrame, path: str, batch: str) -> None:
+    """Appends entries to a log. Each batch is a folder of its own: one that is written again replaces itself, others are
+    never touched, and readers see a batch once it is whole."""
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError("a batch is named by letters, digits, dots and dashes")
+    entries.withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All entries of a log, with their batch."""
+    return spark.read.schema(schema + ", logged_at timestamp, batch string").option("basePath", path).json(f"{path.rstrip('/')}/batch=*")
+
+
+def register_views(spark: SparkSession, folder: str, names: Sequence[str], prefix: str = "") -> None:
+    """Temporary views over the Parquet tables of a folder, for SQL."""
+    for name in names:
+        spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").createOrReplaceTempView(prefix + name)
+
+
+def as_of(articles: DataFrame, at: str, created: str = "created_at", updated: str = "updated_at") -> DataFrame:
+    """Articles as they could be known at a time: those created by then; what was changed later counts as not changed,
+    and ``settled`` says whether a month has passed since creation, before which late edits are still to come."""
+    then, made = F.to_timestamp(F.lit(at)), F.to_timestamp(F.col(created))
+    seen = articles.where(made <= then)
+    changed = F.when(F.to_timestamp(F.col(updated)) <= then, F.col(updated)).otherwise(F.col(created))
+    return seen.withColumn(updated, changed).withColumn("settled", made <= then - F.expr("interval 1 month"))
 
 
 def slim(raw: DataFrame) -> DataFrame:
@@ -107,10 +189,18 @@ def http_page(url: str, token: str | None) -> tuple[int, dict[str, str], list[di
             return answer.status, {k.lower(): v for k, v in answer.headers.items()}, json.load(answer)
     except urllib.error.HTTPError as error:
         return error.code, {k.lower(): v for k, v in error.headers.items()}, []
+    except (urllib.error.URLError, TimeoutError, ConnectionError, json.JSONDecodeError):
+        return 599, {}, []  # as a fault of the server: tried again
+
+
+class Truncated(Exception):
+    """A day has more records than the source hands out."""
 
 
 def fetch_day(day: dt.date, page: Callable[[dt.date, int], tuple[int, dict[str, str], list[dict]]], per_page: int = 100, pages: int = 100, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """All records of a day, page by page, until an empty or short page or the source's last."""
+    """All records of a day, page by page, until an empty or short page or the source's last (a Link header without a
+    next page). A day that goes on beyond ``pages`` raises Truncated after its last record, so that nobody takes it for
+    whole."""
     for number in range(1, pages + 1):
         for attempt in range(tries):
             status, headers, items = page(day, number)
@@ -122,8 +212,9 @@ def fetch_day(day: dt.date, page: Callable[[dt.date, int], tuple[int, dict[str,
         else:
             raise OSError(f"{day}: page {number} failed {tries} times")
         yield from items
-        if len(items) < per_page:
+        if len(items) < per_page or "link" in headers and 'rel="next"' not in headers["link"]:
             return
+    raise Truncated(f"{day}: more than {pages} pages")
 
 
 class Day(InputPartition):
@@ -142,19 +233,36 @@ class PagedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         address, token = self.options["address"], self.options.get("token")
         page = lambda day, n: http_page(address.format(day=day.isoformat(), next=(day + dt.timedelta(1)).isoformat(), page=n), token)
-        for item in fetch_day(dt.date.fromisoformat(partition.value), page):
-            yield partition.value, json.dumps(item, ensure_ascii=False)
+        n = 0
+        pause = float(self.options.get("pause", 0)) * int(self.options.get("workers", 1))  # the quota is everybody's
+
+        def paced(day: dt.date, number: int) -> tuple[int, dict[str, str], list[dict]]:
+            time.sleep(pause)
+            return page(day, number)
+
+        try:
+            for item in fetch_day(dt.date.fromisoformat(partition.value), paced):
+                n += 1
+                yield partition.value, json.dumps(item, ensure_ascii=False), None
+            error = None
+        except Truncated:
+            error = "truncated"
+        except OSError as fault:  # the other days go on; this one is incomplete
+            error = str(fault)
+        yield partition.value, None, json.dumps({"fetched": n, "complete": error is None, "truncated_at_10k": error == "truncated", "error": error})
 
 
 class PagedSource(DataSource):
-    """A paged HTTP API: options address (with {day}, {next} and {page}), first, last, token. A row per record."""
+    """A paged HTTP API: options address (with {day}, {next} and {page}), first, last, token, pause (seconds between the
+    requests of all workers together) and workers (tasks that run at once). A row per record, and one a day with its
+    outcome: how many were fetched, whether that is all, and the fault if not."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_http"
 
     def schema(self) -> str:
-        return "day string, record string"
+        return "day string, record string, outcome string"
 
     def reader(self, schema) -> PagedReader:  # noqa: ANN001
         return PagedReader(dict(self.options))

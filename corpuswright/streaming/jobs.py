@@ -31,12 +31,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", user: str = "user_id",
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New day files into a table partitioned by day. A day that comes again replaces its partition, so a repeated batch
-    leaves the same table."""
+    """New day files into a table partitioned by day. What a day holds already stays: of the records of one id the newest
+    by updated_at is kept, so a day may come in parts, and a repeated batch leaves the same table."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        days = batch.withColumn("day", F.substring("created_at", 1, 10)).dropDuplicates(["id"])
-        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+    def upsert(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("day", F.substring("created_at", 1, 10))
+        days = [r.day for r in new.select("day").distinct().collect()]  # the days of one batch
+        if not days:
+            return
+        there = spark.read.schema(new.schema).option("basePath", target).parquet(target).where(F.col("day").isin(days)) if known() else new.limit(0)
+        whole = F.struct(*[F.col(c) for c in new.columns])
+        newest = new.withColumn("_late", F.lit(1)).unionByName(there.withColumn("_late", F.lit(0))).groupBy("id").agg(F.max_by(whole, F.struct(F.coalesce("updated_at", F.lit("")), "_late")).alias("z")).select("z.*")
+        aside = f"{checkpoint.rstrip('/')}/merged"  # the merged days are written before those they were read from go
+        newest.write.mode("overwrite").parquet(aside)
+        spark.read.schema(new.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+
+    def known() -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
     return spark.readStream.schema(ARTICLES).json(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -45,9 +57,11 @@ STATE = "state string, at timestamp"
 JOB = "job string, state string, at timestamp"
 
 
-def job_states(log: DataFrame) -> DataFrame:
+def job_states(log: DataFrame, delay: str = "3650 days") -> DataFrame:
     """The present state of each job from a stream (job, state, at) of claimed, done and failed; the newest entry of a
-    job counts, and a claim without news for STALE_S of event time goes back to pending."""
+    job counts, and a claim without news for STALE_S of event time goes back to pending once the watermark has passed it.
+    An entry that comes more than ``delay`` behind the newest entry of any job is dropped, so a short delay is only for
+    logs whose writers' clocks and batches agree to within it."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -64,7 +78,7 @@ def job_states(log: DataFrame) -> DataFrame:
             state.setTimeoutTimestamp(max(int(pd.Timestamp(best[1]).timestamp() * 1000) + STALE_S * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job": [key[0]], "state": [best[0]], "at": [best[1]]})
 
-    return log.withWatermark("at", "0 seconds").groupBy("job").applyInPandasWithState(follow, JOB, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return log.withWatermark("at", delay).groupBy("job").applyInPandasWithState(follow, JOB, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def pending_jobs(jobs: DataFrame, log: DataFrame, now: str | None = None, stale_s: int = STALE_S) -> DataFrame:

@@ -71,3 +71,16 @@ def test_render(spark):
 
 def test_simple_tokenizer():
     assert [t[0] for t in tokens.simple_tokenizer("Ab 12, é")] == ["Ab", "12", ",", "é"]
+
+
+def test_headers_name_measures(spark):
+    headers = {"漢字率": "kanji_ratio", "**漢字率**": "kanji_ratio", "(漢字率": "kanji_ratio", "題の漢字率": None, "体言止め(1-25)": None, "体言止め差": None, "漢字率(12月)": None, "MTLD 中央": "mtld", "読点/文 倍": None, "件数": None}
+    df = spark.createDataFrame([(h,) for h in headers], "h string")
+    assert {r.h: r.f for r in df.select("h", checks.field_of(F.col("h")).alias("f")).collect()} == headers
+
+
+def test_documents_are_verified_in_one_pass(spark):
+    doc = "| 年 | 漢字率 | 体言止め差 |\n|---|---|---|\n| 2020 | 0.17 | 9 |\n| 2021 | 0.30 | 9 |\n\n| デビュー年 | 漢字率 |\n|---|---|\n| 2020 | 0.99 |\n"
+    docs = spark.createDataFrame([("a.md", doc), ("b.md", "none"), ("c.md", None)], "path string, text string")
+    measured = spark.createDataFrame([("2020", "kanji_ratio", 0.174), ("2021", "kanji_ratio", 0.231)], "row string, header string, value double")
+    assert {tuple(r) for r in checks.verified(docs, "path", "text", measured).collect()} == {("a.md", 2, 1), ("b.md", 0, 0), ("c.md", 0, 0)}

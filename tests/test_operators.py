@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,3 +223,94 @@ def test_incremental_ingest(spark, tmp_path):
 
 def test_latin_rules_are_used():
     assert LATIN.stops != JA.stops
+
+
+def test_job_states_out_of_order(spark, tmp_path):
+    """Six batches of one entry, out of order of time: the newest entry of each job counts, late ones are not lost."""
+    from pyspark.sql.types import StructType
+
+    log = [("A", "done", "10:00"), ("C", "claimed", "11:00"), ("E", "claimed", "11:30"), ("B", "done", "09:00"), ("A", "failed", "10:30"), ("D", "done", "12:00")]
+    for k, (job, state, at) in enumerate(log):
+        (tmp_path / f"in{k}.json").write_text(json.dumps({"job": job, "state": state, "at": f"2024-01-01T{at}:00Z"}))
+    schema = StructType.fromDDL("job string, state string, at timestamp")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
+    seen = {}
+
+    def put(batch, number):
+        for r in batch.collect():
+            seen[r.job] = r.state
+
+    jobs.job_states(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == {"A": "failed", "B": "done", "C": "claimed", "D": "done", "E": "claimed"}
+
+
+def test_a_day_in_two_batches(spark, tmp_path):
+    def put(name, *records):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"id": i, "title": t, "created_at": "2024-02-01T00:00:00Z", "updated_at": u}) for i, t, u in records))
+        jobs.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+
+    put("a.json", ("1", "old", "2024-02-01"), ("2", "kept", "2024-02-05"))
+    put("b.json", ("1", "new", "2024-02-03"), ("2", "stale", "2024-02-02"), ("3", "more", None))
+    assert {(r.id, r.title) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "new"), ("2", "kept"), ("3", "more")}
+
+
+def test_documents_configs_and_logs(spark, tmp_path):
+    (tmp_path / "one.md").write_text("# T\n\nbody\n")
+    assert [r.body for r in ingest.read_markdown(spark, str(tmp_path / "one.md")).collect()] == ["# T\n\nbody\n"]
+    spread = {"description": "d", "p10": 0, "p25": 1, "p50": 2, "p75": 3, "p90": 4, "direction": "low_is_suspicious", "zero_ratio": 0.5}
+    (tmp_path / "profile.json").write_text(json.dumps({"metrics": {"ten": spread}}))
+    assert tuple(ingest.read_profile(spark, str(tmp_path / "profile.json")).first()) == ("ten", 0.0, 1.0, 2.0, 3.0, 4.0, 0.5, "low")
+    (tmp_path / "series.json").write_text(json.dumps({"years": ["2020", "2021"], "words": [{"word": "x", "series": [1, None]}]}))
+    assert [(r.word, r.year, r.value) for r in ingest.read_series(spark, str(tmp_path / "series.json")).orderBy("year").collect()] == [("x", "2020", 1.0), ("x", "2021", None)]
+    (tmp_path / "lexicon.json").write_text("\n".join(json.dumps({"word": w}) for w in ("b", "a", "b", None)))
+    assert [r.word for r in ingest.read_lexicon(spark, str(tmp_path / "lexicon.json")).orderBy("rank").collect()] == ["b", "a"]
+    rows = spark.createDataFrame([("b", 2.0), ("a", None)], "word string, z double")
+    ingest.write_document(rows, str(tmp_path / "doc"), ["word"], title="t")
+    assert ingest.read_config(spark, str(tmp_path / "doc")) == {"title": "t", "rows": [{"word": "a", "z": None}, {"word": "b", "z": 2.0}]}
+    ingest.write_lines(rows, str(tmp_path / "lines"))
+    assert sorted(spark.read.text(str(tmp_path / "lines")).toPandas().value) == ['{"word":"a","z":null}', '{"word":"b","z":2.0}']
+    log, entry = str(tmp_path / "log"), lambda *x: spark.createDataFrame([x], "job string, state string")
+    for batch, state in (("1", "claimed"), ("2", "done"), ("2", "failed")):
+        ingest.append_log(entry("j", state), log, batch)
+    assert {(r.state, r.batch) for r in ingest.read_log(spark, log, "job string, state string").collect()} == {("claimed", "1"), ("failed", "2")}
+    with pytest.raises(ValueError, match="batch"):
+        ingest.append_log(entry("j", "x"), log, "a/b")
+
+
+def test_views_and_as_of(spark):
+    ingest.register_views(spark, "/root/testdata/sf0.001", ["nation", "region"], "t_")
+    assert spark.sql("SELECT count(*) AS n FROM t_nation JOIN t_region ON n_regionkey = r_regionkey").first().n == 25
+    rows = spark.createDataFrame([("1", "2024-01-01", "2024-03-01"), ("2", "2024-02-20", "2024-02-21"), ("3", "2024-05-01", "2024-05-01")], "id string, created_at string, updated_at string")
+    assert {tuple(r) for r in ingest.as_of(rows, "2024-02-25").collect()} == {("1", "2024-01-01", "2024-01-01", True), ("2", "2024-02-20", "2024-02-21", False)}
+
+
+def test_manifests_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"date": "2024-01-01",\n "fetched": 3, "complete": true}')
+    (tmp_path / "b.json").write_text('{"date": ')
+    assert [(r.date, r.fetched) for r in ingest.read_manifests(spark, str(tmp_path)).select("date", "fetched").collect()] == [("2024-01-01", 3)]
+
+
+def test_slim_and_manifest_write(spark):
+    raw = spark.createDataFrame([("1", "t", ["x"])], "id string, title string, names array<string>").selectExpr(
+        "id", "title", "'b' AS body", "'2024-01-01T00:00' AS created_at", "'u' AS updated_at", "1L AS likes_count", "0L AS stocks_count", "0L AS comments_count", "false AS private", "false AS coediting", "false AS slide", "'url' AS url",
+        "named_struct('id', 'a', 'followees_count', 1L, 'followers_count', 2L, 'items_count', 3L) AS user", "transform(names, n -> named_struct('name', n)) AS tags",
+    )
+    got = ingest.slim(raw)
+    assert (got.first().user_items_count, got.first().tags) == (3, ["x"])
+    totals = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 12_000)], "date string, api_total_count long")
+    assert {(r.date, r.complete, r.truncated_at_10k) for r in ingest.manifests_of(got, totals).collect()} == {("2024-01-01", True, False), ("2024-01-02", False, True)}
+    labels = spark.createDataFrame([("2024-01",), ("2024-01-first",), ("x",)], "label string")
+    assert [r.label for r in ingest.monthly_labels(labels).collect()] == ["2024-01"]
+
+
+def test_days_that_go_on_and_faults():
+    day = dt.date(2024, 1, 1)
+    page = lambda d, n: (200, {"link": '<x>; rel="next"' if n < 3 else '<x>; rel="prev"'}, [{"n": n}] * 2)
+    assert len(list(ingest.fetch_day(day, page, per_page=2, sleep=lambda _: None))) == 6
+    endless = lambda d, n: (200, {}, [{"n": n}] * 2)
+    got = ingest.fetch_day(day, endless, per_page=2, pages=3, sleep=lambda _: None)
+    assert sum(1 for _ in zip(range(6), got)) == 6
+    with pytest.raises(ingest.Truncated):
+        next(got)
+    assert ingest.http_page("http://127.0.0.1:9/none", None) == (599, {}, [])
