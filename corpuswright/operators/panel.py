@@ -120,24 +120,31 @@ def returning(panel: DataFrame, period: Column, other: Column) -> DataFrame:
     return panel.where(period).join(authors_of(panel, other), "author", "left_semi")
 
 
-def confounds(panel: DataFrame, a: Column, b: Column, topic: Column, heavy: int = 3) -> DataFrame:
-    """Median difference of two periods in sub-populations, and how much of the overall difference each keeps. One scan
-    marks the sub-populations of every row; the authors' counts come from a window."""
-    per = Window.partitionBy("author", "period")
-    order = Window.partitionBy("author", "period").orderBy("created", "id")
+def confounds(panel: DataFrame, a: Column, b: Column, topic: Column, heavy: int = 3, metrics: Sequence[str] = ("value",)) -> DataFrame:
+    """Median difference of two periods in sub-populations by metric, and how much of the overall difference each keeps.
+    One scan marks the sub-populations of every row; authors' counts come from counts by author and not from windows, so
+    rows without an author, each an author of its own, and very busy authors make no large group."""
     rows = panel.where(a | b).withColumn("period", F.when(a, "a").otherwise("b"))
-    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(per), "_k": F.row_number().over(order), "_early": F.max((F.col("period") == "a").cast("int")).over(Window.partitionBy("author"))})
+    known = rows.where("author is not null").groupBy("author").agg(
+        *[F.count_if(F.col("period") == p).alias(f"_n{p}") for p in "ab"], *[F.min(F.when(F.col("period") == p, F.struct("created", "id"))).alias(f"_first{p}") for p in "ab"]
+    )
+    rows = rows.join(known, "author", "left")
+    own = lambda name: F.when(F.col("period") == "a", F.col(f"_{name}a")).otherwise(F.col(f"_{name}b"))
+    alone = F.col("author").isNull()
     cases = {
-        "all": F.lit(True), "off topic": ~topic, "one per author": F.col("_k") == 1, "light authors": F.col("_n") < heavy,
-        "returning": (F.col("period") == "a") | (F.col("_early") == 1), "likes 0-9": F.col("likes") < 10, "likes 10+": F.col("likes") >= 10,
+        "all": F.lit(True), "off topic": ~topic, "one per author": alone | (own("first") == F.struct("created", "id")), "light authors": alone | (own("n") < heavy),
+        "returning": (F.col("period") == "a") | (F.col("_na") > 0), "likes 0-9": F.col("likes") < 10, "likes 10+": F.col("likes") >= 10,
     }
     names = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in cases.items()]), lambda x: x.isNotNull())
-    found = rows.withColumn("case", F.explode(names)).groupBy("case").agg(
-        F.count_if(F.col("period") == "a").alias("n_a"), F.count_if(F.col("period") == "b").alias("n_b"),
-        F.median(F.when(F.col("period") == "a", F.col("value"))).alias("median_a"), F.median(F.when(F.col("period") == "b", F.col("value"))).alias("median_b"),
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    each = rows.select("period", names.alias("cases"), cells.alias("z")).select("period", F.explode("cases").alias("case"), "z.metric", "z.x")
+    side = lambda p: F.when(F.col("period") == p, F.col("x"))
+    found = each.groupBy("metric", "case").agg(
+        F.count_if(F.col("period") == "a").alias("n_a"), F.count_if(F.col("period") == "b").alias("n_b"), F.median(side("a")).alias("median_a"), F.median(side("b")).alias("median_b")
     ).withColumn("diff", F.col("median_b") - F.col("median_a"))
-    base = found.where(F.col("case") == "all").select(F.col("diff").alias("_base"))
-    return found.crossJoin(F.broadcast(base)).withColumn("kept_pct", 100 * F.col("diff") / F.nullif(F.col("_base"), F.lit(0.0))).drop("_base")
+    base = found.where(F.col("case") == "all").select("metric", F.col("diff").alias("_base"))
+    out = found.join(F.broadcast(base), "metric").withColumn("kept_pct", 100 * F.col("diff") / F.nullif(F.col("_base"), F.lit(0.0))).drop("_base")
+    return out if len(metrics) > 1 else out.drop("metric")
 
 
 def seasonal_gaps(panel: DataFrame, month_number: int | None = None) -> DataFrame:
@@ -154,6 +161,37 @@ def seasonal_gaps(panel: DataFrame, month_number: int | None = None) -> DataFram
     return out.where(F.col("month_number") == month_number) if month_number else out
 
 
+def seasonal_spreads(panel: DataFrame, month_number: int) -> DataFrame:
+    """One month's mean gap to its neighbours in SDs of that month's own means over the years, and of all other months'
+    means; with the years, and the years that have the sign of the mean gap."""
+    means = panel.groupBy("month").agg(F.avg("value").alias("m")).withColumn("at", month_index(F.col("month")) - 1)
+    side = lambda k, name: means.select((F.col("at") - k).alias("at"), F.col("m").alias(name))
+    here = F.col("at") % 12 + 1 == month_number
+    spread = means.agg(F.stddev_pop(F.when(here, F.col("m"))).alias("own"), F.stddev_pop(F.when(~here, F.col("m"))).alias("other"))
+    gaps = means.where(here).join(side(-1, "mp"), "at").join(side(1, "mn"), "at").select((F.col("m") - (F.col("mp") + F.col("mn")) / 2).alias("gap"))
+    row = gaps.crossJoin(F.broadcast(spread)).agg(F.count(F.lit(1)).alias("years"), F.avg("gap").alias("gap"), F.max("own").alias("own"), F.max("other").alias("other"), F.count_if(F.col("gap") > 0).alias("up"), F.count_if(F.col("gap") < 0).alias("down"))
+    same = F.when(F.col("gap") > 0, F.col("up")).when(F.col("gap") < 0, F.col("down")).otherwise(F.lit(0))
+    return row.select("years", "gap", (F.col("gap") / F.nullif("own", F.lit(0.0))).alias("in_own_sd"), (F.col("gap") / F.nullif("other", F.lit(0.0))).alias("in_other_sd"), same.alias("same_sign"))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Mean by weights, of rows that have both; the plain mean where no weight is above zero."""
+    both = F.when(value.isNotNull(), weight)
+    return F.coalesce(F.sum(value * weight) / F.nullif(F.sum(both), F.lit(0.0)), F.avg(value))
+
+
+def reversal(pre: Column, post: Column) -> Column:
+    """What became of a trend: reversed, faster or slower by a factor of two, or much the same; null if a slope is."""
+    size = F.abs(post) / F.nullif(F.abs(pre), F.lit(0.0))
+    return F.when(pre * post < 0, "reversed").when((pre == 0) & (post != 0) | (size > 2), "faster").when(size < 0.5, "slower").when(pre.isNotNull() & post.isNotNull(), "same")
+
+
+def debut_fields(panel: DataFrame, fields: Sequence[str], least: int = 1) -> DataFrame:
+    """First articles by year of debut: authors, and the mean of each field."""
+    first = panel.where("author is not null").groupBy("author").agg(F.min_by(F.struct(*fields), F.struct("created", "id")).alias("z"), F.min("month").alias("debut"))
+    return first.groupBy(F.substring("debut", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("authors"), *[F.avg(f"z.{f}").alias(f) for f in fields]).where(F.col("authors") >= least)
+
+
 def debut_profile(panel: DataFrame, least: int = 1) -> DataFrame:
     """First articles by year of debut: authors, mean and median value, share without likes."""
     first = panel.groupBy("author").agg(F.min_by(F.struct("value", "likes"), F.struct("created", "id")).alias("z"), F.min("month").alias("debut"))
@@ -172,11 +210,12 @@ def month_index(month: Column) -> Column:
 
 
 def with_prior(panel: DataFrame) -> DataFrame:
-    """Adds ``prior``, the author's articles in earlier months: counts per author and month, then a running sum."""
-    counts = panel.groupBy("author", "month").agg(F.count(F.lit(1)).alias("_c"))
+    """Adds ``prior``, the author's articles in earlier months: counts per author and month, then a running sum. Rows
+    without an author have none."""
+    counts = panel.where("author is not null").groupBy("author", "month").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("author").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("author", "month", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("prior"))
-    return panel.join(counts, ["author", "month"])
+    return panel.join(counts, ["author", "month"], "left").fillna(0, ["prior"])
 
 
 def composition(panel: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -223,10 +262,12 @@ def bootstrap(panel: DataFrame, a: Column, b: Column, n: int = 400, seed: int =
     LEAST_AUTHORS on a side, or if under half of the replicates have values on both."""
     rows = panel.where(a | b).withColumn("side", F.when(a, "a").otherwise("b"))
     sums = rows.groupBy("side", "author").agg(F.sum("value").alias("s"), F.count("value").alias("c"))
-    draws = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "side", F.col("rep").cast("string"), F.col("author").cast("string"))), 1, 8), 16, 10).cast("double")
+    # a digest of 128 bits serves four replicates
+    draws = sums.withColumn("four", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))))
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), "side", F.col("four").cast("string"), F.col("author").cast("string")))
+    parts = F.explode(F.array(*[F.struct((4 * F.col("four") + k).alias("rep"), (F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)).alias("u")) for k in range(4)]))
     times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-    drawn = draws.withColumn("u", digest / F.lit(4294967296.0)).withColumn("w", times)
+    drawn = draws.withColumn("digest", digest).select("side", "s", "c", parts.alias("z")).select("side", "s", "c", "z.*").where(F.col("rep") < n).withColumn("w", times)
     total = lambda p, x: F.sum(F.when(F.col("side") == p, F.col("w") * F.col(x)))
     means = drawn.groupBy("rep").agg(*[(total(p, "s") / F.nullif(total(p, "c"), F.lit(0))).alias(f"m{p}") for p in "ab"], *[F.count_if(F.col("side") == p).alias(f"k{p}") for p in "ab"])  # each replicate has a row of every author
     ordered = F.sort_array(F.collect_list(F.col("mb") - F.col("ma")))  # n values

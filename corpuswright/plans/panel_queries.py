@@ -331,7 +331,7 @@ def std_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {PANEL}, s AS (SELECT CASE WHEN year = 1996 THEN 'a' ELSE 'b' END AS side, author, sum(value) AS s, count(value) AS c FROM p WHERE year IN (1996, 2000) GROUP BY 1, 2),
-d AS (SELECT side, rep, s, c, ('0x' || substr(md5('42-' || side || '-' || rep || '-' || author), 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(200) AS r(rep)),
+d AS (SELECT side, rep, s, c, ('0x' || substr(md5('42-' || side || '-' || rep // 4 || '-' || author), 8 * (rep % 4) + 1, 8))::BIGINT / 4294967296.0 AS u FROM s, range(200) AS r(rep)),
 w AS (SELECT *, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.9196986)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT + (u >= 0.99991676)::INT + (u >= 0.99998975)::INT + (u >= 0.99999887)::INT AS w FROM d),
 m AS (SELECT rep, sum(w * s) FILTER (side = 'b') / sum(w * c) FILTER (side = 'b') - sum(w * s) FILTER (side = 'a') / sum(w * c) FILTER (side = 'a') AS x FROM w GROUP BY 1),
 o AS (SELECT list(x ORDER BY x) AS d FROM m)
