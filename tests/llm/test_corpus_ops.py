@@ -7,6 +7,7 @@ import math
 import random
 import wave
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -228,20 +229,126 @@ def test_model_is_a_distribution(spark):
         assert total == pytest.approx(1)
 
 
-def test_seating_matches_its_law():
-    """Tables of few customers against the exact recursion."""
-    customers, chance, discount, n = 6, 3.0, 0.5, 40_000
-    law = {1: 1.0}
-    for k in range(1, customers):
-        after = {}
-        for t, p in law.items():
-            new = chance / (chance + k - discount * t)
-            after[t + 1] = after.get(t + 1, 0) + p * new
-            after[t] = after.get(t, 0) + p * (1 - new)
-        law = after
-    got = lm.seated(np.full(n, customers), np.full(n, chance), discount, np.arange(n, dtype=np.uint64))
-    for t, p in law.items():
-        assert abs((got == t).mean() - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+def stirling(c, t, d):
+    if c == 0 or t == 0:
+        return float(c == t)
+    return stirling(c - 1, t - 1, d) + max(c - 1 - d * t, 0) * stirling(c - 1, t, d) if t <= c else 0.0
+
+
+def test_reseating_has_the_posterior():
+    """A word's tables in two restaurants and in the parent, by sweeps of many replicas, against all seatings."""
+    cs, others, (rest_c, rest_t), known, (d, d1) = np.array([3, 2]), np.array([4.0, 7.0]), (9.0, 6.0), 5, (0.4, 0.6)
+    law = {}
+    for a in range(1, 4):
+        for b in range(1, 3):
+            for t1 in range(1, a + b + 1):
+                p = stirling(a + b, t1, d1) * math.prod(1 + d1 * (rest_t + k) for k in range(t1)) * (known + 1.0) ** -t1 / math.prod(1 + rest_c + k for k in range(a + b))
+                for t, c, o in ((a, 3, 4.0), (b, 2, 7.0)):
+                    p *= stirling(c, t, d) * math.prod(1 + d * (o + k) for k in range(t))
+                law[a, b, t1] = p
+    whole, n = sum(law.values()), 20_000
+    word, t1 = np.repeat(np.arange(n), 2), np.ones(n, np.int64)
+    ts = np.ones(2 * n, np.int64)
+    for step in range(25):
+        seed = lm.splitmix(np.arange(2 * n, dtype=np.uint64) + np.uint64(step * 1_000_003))
+        # the totals of other words stay as they are, whatever a replica does
+        own = np.bincount(word, ts, n)
+        ts, t1 = lm.reseated(word, np.tile(cs, n), ts, t1, np.tile(others, n), (rest_c + own, rest_t + t1), known, (d, d1), seed)
+    seen = Counter(zip(ts[::2].tolist(), ts[1::2].tolist(), t1.tolist(), strict=True))
+    assert set(seen) <= set(law)
+    for state, p in law.items():
+        p /= whole
+        assert abs(seen[state] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 4e-3, state
+
+
+@pytest.mark.parametrize("customers", [60, 200])
+def test_large_dishes_move_like_small_ones(monkeypatch, customers):
+    """Tables of a dish whose customers move in groups against one at a time."""
+    n, d, means = 1500, 0.5, []
+    for steps, sweeps in ((lm.STEPS, 30), (customers, 12)):
+        monkeypatch.setattr(lm, "STEPS", steps)
+        ts = lm.first_tables(np.full(n, customers), np.full(n, 0.2), d, np.random.default_rng(1).random(n))
+        t1, seen = np.ones(n, np.int64), []
+        for step in range(sweeps):
+            seed = lm.splitmix(np.arange(n, dtype=np.uint64) + np.uint64(step << 20))
+            ts, t1 = lm.reseated(np.arange(n), np.full(n, customers), ts, t1, np.full(n, 20.0), (40.0 + ts, 30.0 + t1), 50, (d, 0.6), seed)
+            seen.append((ts.mean(), t1.mean()))
+        means.append(np.mean(seen[sweeps // 2 :], axis=0))
+    assert np.allclose(*means, rtol=0.06)
+
+
+def test_scaled_chance_to_sit_alone():
+    """Beyond the table the share of tables with one customer is that of a dish with as many in proportion."""
+    exact = lm.alone(np.array([300] * 3), np.array([5, 20, 60]), 0.5)
+    scaled = lm.alone(np.array([3000] * 3), np.array([14, 61, 188]), 0.5)
+    assert np.allclose(scaled * 3000 / [14, 61, 188], exact * 300 / [5, 20, 60], rtol=0.05)
+    table = lm.alone_table(0.5)
+    assert table[2, 2] == table[7, 7] == 1
+    assert table[5, 1] == 0
+
+
+def test_model_like_a_plain_sampler(spark):
+    """Averaged predictions of a small corpus against a plain loop over customers with explicit tables."""
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("aaabbcd") if draw.random() < 0.8 else draw.choice("efgh") for _ in range(draw.randint(3, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model = lm.train(df, sweeps=30, burn=6)
+    _, d, d1 = 1.0, model.discounts[0], model.discounts[1]
+    start = "<s>"
+    pairs = [(a, b) for t in texts for a, b in zip([start, *t.split()], [*t.split(), "\n"], strict=True)]
+    words = sorted({b for _, b in pairs})
+    known, seats, roots = len(words), {}, {}
+    rows = {r.h: r for r in model.words.collect()}
+    contexts = {u: model.contexts.get(lm._hash(u.encode()), len(model.contexts) + 1) for u in {a for a, _ in pairs} - {start}} | {start: len(model.contexts)}
+
+    def parent_prob(w):
+        own, c, t = roots.get(w, []), sum(map(sum, roots.values())), sum(map(len, roots.values()))
+        return (max(sum(own) - d1 * len(own), 0) + (1 + d1 * t) / (known + 1)) / (1 + c)
+
+    def leave(tables):
+        k = draw.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def sit(tables, new, disc):
+        k = draw.choices(range(len(tables) + 1), [x - disc for x in tables] + [new])[0]
+        if k == len(tables):
+            tables.append(1)
+            return True
+        tables[k] += 1
+        return False
+
+    def join(u, w):
+        here = seats.setdefault(u, {})
+        t = sum(map(len, here.values()))
+        if sit(here.setdefault(w, []), (1 + d * t) * parent_prob(w), d):
+            sit(roots.setdefault(w, []), (1 + d1 * sum(map(len, roots.values()))) / (known + 1), d1)
+
+    for a, b in pairs:
+        join(contexts[a], b)
+    total, n = {}, 0
+    for sweep in range(60):
+        for a, b in pairs:
+            if leave(seats[contexts[a]][b]):
+                leave(roots[b])
+            join(contexts[a], b)
+        if sweep >= 10:
+            n += 1
+            for u, here in seats.items():
+                c, t = sum(map(sum, here.values())), sum(map(len, here.values()))
+                for w in words:
+                    own = here.get(w, [])
+                    total[u, w] = total.get((u, w), 0) + (max(sum(own) - d * len(own), 0) + (1 + d * t) * parent_prob(w)) / (1 + c)
+    gaps = []
+    for (u, w), x in total.items():
+        r, samples = rows[lm._hash(w.encode())], len(model.backoffs)
+        mine = r.probs[r.ctxs.index(u)] / samples if u in r.ctxs else sum(p * b[u] for p, b in zip(r.p1, model.backoffs, strict=True)) / samples
+        gaps.append(abs(math.log(mine / (x / n))))
+    assert np.mean(gaps) < 0.05
+    assert max(gaps) < 0.3
 
 
 def test_model_without_training_tokens(spark):
