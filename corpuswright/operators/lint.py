@@ -12,6 +12,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import Rules
 from .analysis import sums
+from .quantiles import quantiles
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 FINDING = "struct<rule:string,value:double,limit:double,message:string,place:string>"
@@ -20,8 +21,10 @@ FINDING = "struct<rule:string,value:double,limit:double,message:string,place:str
 def profile(metrics: DataFrame, directions: Mapping[str, str]) -> DataFrame:
     """metric, p10..p90, zero_ratio and direction of a reference distribution; one scan for all metrics."""
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"), F.lit(d).alias("direction")) for m, d in directions.items()]))
-    q = metrics.select(cells.alias("z")).groupBy("z.metric", "z.direction").agg(F.percentile("z.x", F.array(*map(F.lit, PERCENTILES))).alias("q"), F.avg((F.col("z.x") == 0).cast("double")).alias("zero_ratio"))
-    return q.select("metric", "direction", "zero_ratio", *[F.get("q", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTILES)])
+    rows = metrics.select(cells.alias("z")).select("z.metric", "z.direction", "z.x")
+    zeros = rows.groupBy("metric", "direction").agg(F.avg((F.col("x") == 0).cast("double")).alias("zero_ratio"))
+    found = quantiles(rows, ["metric"], "x", PERCENTILES).select("metric", *[F.col(f"q{k}").alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTILES)])
+    return zeros.join(found, "metric", "left")
 
 
 def scored(metrics: DataFrame, key: str, reference: DataFrame, names: Sequence[str], compat: bool = False) -> DataFrame:

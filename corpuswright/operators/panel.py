@@ -2,7 +2,7 @@
 
 A panel has the columns id, author, created (timestamp), month ('yyyy-MM'), value (the metric), likes and tags. Every
 operator is a plan of built-in expressions: aggregates are partial before they shuffle, windows are over months, authors
-or small aggregates, and medians are exact.
+or small aggregates, and medians are exact; those of whole periods are taken by ``quantiles``, which holds no group.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
 
 
 
@@ -82,7 +83,8 @@ def within_author(panel: DataFrame, a: Column, b: Column) -> DataFrame:
     """Shift of the overall median between two periods, and of the same authors' medians: their median shift and the
     share that moved the overall way, with ties in the denominator and without."""
     both = author_medians(panel, a).withColumnRenamed("m", "ma").join(author_medians(panel, b).withColumnRenamed("m", "mb"), "author").withColumn("d", F.col("mb") - F.col("ma"))
-    overall = panel.agg((F.median(F.when(b, F.col("value"))) - F.median(F.when(a, F.col("value")))).alias("overall"))
+    sides = quantiles(panel.where(a | b).withColumn("side", F.when(a, "a").otherwise("b")), ["side"], "value", [0.5])
+    overall = sides.agg((F.max(F.when(F.col("side") == "b", F.col("q0"))) - F.max(F.when(F.col("side") == "a", F.col("q0")))).alias("overall"))
     way = F.signum("overall")
     return both.crossJoin(F.broadcast(overall)).groupBy("overall").agg(  # one row
         F.count(F.lit(1)).alias("authors"), F.median("d").alias("median_shift"), (100 * F.avg((way * F.col("d") > 0).cast("double"))).alias("same_way"),
@@ -245,9 +247,16 @@ def std_diff(panel: DataFrame, a: Column, b: Column) -> DataFrame:
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Valid and null counts, p05, p50 and p95 of numeric columns, from one scan."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns]))
-    quantile = F.percentile("z.x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = df.select(cells.alias("z")).groupBy(F.col("z.field").alias("field")).agg(F.count("z.x").alias("valid"), F.count_if(F.col("z.x").isNull()).alias("nulls"), quantile.alias("q"))
-    return out.select("field", "valid", "nulls", F.get("q", F.lit(0)).alias("p05"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p95"))
+    rows = df.select(cells.alias("z")).select("z.field", "z.x")
+    counts = rows.groupBy("field").agg(F.count("x").alias("valid"), F.count_if(F.col("x").isNull()).alias("nulls"))
+    found = quantiles(rows, ["field"], "x", [0.05, 0.5, 0.95]).select("field", F.col("q0").alias("p05"), F.col("q1").alias("p50"), F.col("q2").alias("p95"))
+    return counts.join(found, "field", "left")
+
+
+def flag_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Valid and null counts and the share of true of boolean columns, from one scan."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("x")) for c in columns]))
+    return df.select(cells.alias("z")).groupBy(F.col("z.field").alias("field")).agg(F.count("z.x").alias("valid"), F.count_if(F.col("z.x").isNull()).alias("nulls"), F.avg(F.col("z.x").cast("double")).alias("true_share"))
 
 
 #: Cumulative probabilities of a Poisson count of mean 1.
