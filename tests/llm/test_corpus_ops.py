@@ -446,3 +446,19 @@ def test_pipeline_stages(spark):
     four = corpus_pipeline.encoding_stage(spark, three, sf)
     assert four.count() == three.count() == corpus_pipeline.run(spark, sf).count()
     assert four.where("not lossless").count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", 100)
+    long = " ".join(f"w{k % 977}" for k in range(200_000))
+    rows = [(1, long, "a", 1, 0.5), (2, long + " end", "b", None, None), (3, None, None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component int, score double")
+    got = {r.doc_id: r for r in simhash.op8(df).collect()}
+    assert int(got[1].fingerprint, 16) == plain_fingerprint(long)
+    assert got[2].component_id == 1
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    scores = {r.doc_id: r for r in lm.op10(df).collect()}
+    assert (scores[2].n_tokens, scores[3].n_tokens) == (200_002, 1)
+    assert all(r.score < 0 for r in scores.values())

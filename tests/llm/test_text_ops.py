@@ -239,3 +239,24 @@ def test_index_finds_over_parts(spark, monkeypatch):
     assert got == {k: f"page {k}" for k in range(0, 200, 7)}
     missing = spark.createDataFrame([(1, "http://none.org/")], "page_id long, url string")
     assert warc.lookup(missing, parts, f"{folder}/i", f"{folder}/w").count() == 0
+
+
+def test_counts_with_clashing_columns_and_long_texts(spark):
+    long = "word's " * 60_000
+    df = spark.createDataFrame([(1, "a b", "x", 5), (2, long, None, None)], "doc_id long, text string, edits string, n_tokens int")
+    got = {r.doc_id: r for r in tokencount.op4(df).collect()}
+    counter = tokencount.Counter()
+    assert got[2].n_tokens == len(counter.encoding.encode_ordinary(long))
+    assert got[2].n_reencoded < 100
+
+
+def test_warc_with_clashing_columns_and_large_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 1 << 20)
+    rows = [(k, f"http://a.org/{k}", chr(97 + k) * 3_000_000, "p", 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, first int")
+    folder = scratch(spark, "warc")
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.round_trip(spark, df, folder).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    assert {r.payload_bytes for r in warc.op3(spark, df).collect()} == {3_000_000}
+    nulls = spark.createDataFrame([(None, "u", "z" * 100), (None, "v", "z" * 100)], "page_id long, url string, html string")
+    assert {r.record_type for r in warc.op3(spark, nulls).collect()} == {"response"}
