@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUMBER = r"^-?[0-9][0-9,]*(\.[0-9]+)?$"
@@ -102,6 +102,11 @@ def broken_links(docs: DataFrame, files: DataFrame, path: str, text: str) -> Dat
     return rows.join(known, "target", "left_anti").select("source", "target")
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path and length of all files of a folder, whose content is never read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+
 def large_files(files: DataFrame, most: int = 500_000) -> DataFrame:
     """Files over a size, from the path and length that the binaryFile source gives."""
     return files.where(F.col("length") > most).select("path", "length")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import random
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,9 +32,31 @@ def balanced(jobs: DataFrame, year: str, article: str, sentence: str, per_year:
     return one.withColumn("_k", F.row_number().over(Window.partitionBy(year).orderBy(order, article))).where(F.col("_k") <= per_year).drop("_k")
 
 
+class Refused(Exception):
+    """A service asks to come back later."""
+
+
+def patient(call: Callable[[str], str | None], tries: int = 6, first: float = 3.0, most: float = 45.0, jitter: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """``call``, tried again while it is refused: each time 1.8 times as long a wait, up to ``most`` seconds, and a random
+    part on top, so that workers who were refused together don't come back together. None after the last try."""
+
+    def run(text: str) -> str | None:
+        wait = first
+        for _ in range(tries):
+            try:
+                return call(text)
+            except Refused:
+                sleep(wait + random.random() * jitter)  # noqa: S311
+                wait = min(wait * 1.8, most)
+        return None
+
+    return run
+
+
 def round_trip(jobs: DataFrame, text: str, translate: Callable[[str], str | None], workers: int = 3) -> DataFrame:
-    """Adds ``after``, the text's round trip, and ``state``. ``workers`` bounds how many calls run at once; a call that
-    gives None or fails is a failed row, to be claimed again."""
+    """Adds ``after``, the text's round trip, and ``state``. ``workers`` bounds how many calls run at once; a call that is
+    refused is tried again (:func:`patient`), one that gives None or fails is a failed row, to be claimed again."""
+    translate = patient(translate)
 
     @F.pandas_udf("after string, state string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -63,9 +87,15 @@ def survival(changed: DataFrame, least: int = 5) -> DataFrame:
     return out.where(F.col("seen") >= least).withColumn("survival_pct", 100.0 * F.col("stayed") / F.col("seen"))
 
 
-def replacements(changed: DataFrame, concepts: Mapping[str, str]) -> DataFrame:
-    """Pairs of a lost and a gained word of the same concept, counted."""
-    concept = F.create_map(*[F.lit(x) for pair in concepts.items() for x in pair])
-    pairs = changed.select(F.explode("lost").alias("lost"), "gained").select("lost", F.explode("gained").alias("gained"))
-    same = F.element_at(concept, F.col("lost")) == F.element_at(concept, F.col("gained"))
-    return pairs.where(same).groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
+def replacements(changed: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Pairs of a lost and a gained word of the same concept, counted, by the table ``concepts`` (word, concept). Both
+    sides look their concept up first, so only words of one concept in one rewrite are paired."""
+    rows = changed.withColumn("_r", F.monotonically_increasing_id())
+    side = lambda name: rows.select("_r", F.explode(name).alias("word")).join(concepts, "word").select("_r", "concept", F.col("word").alias(name))
+    return side("lost").join(side("gained"), ["_r", "concept"]).groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vanished(changed: DataFrame, n: int = 15) -> DataFrame:
+    """A top-n report: words that most rewrites lost without a word that came."""
+    gone = changed.where(F.size("gained") == 0).select(F.explode("lost").alias("word"))
+    return gone.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,14 +15,18 @@ from ..functions import rules as R
 
 TOKEN = "array<struct<surface:string,lemma:string,pos1:string,pos3:string,goshu:string>>"
 Tokenizer = Callable[[str], list[tuple[str, str, str, str, str]]]
-_word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+#: Runs of one script; hiragana by the particles and endings that it is written with, the longest first.
+PARTICLES, ENDINGS = ("から", "まで", "より", "は", "が", "を", "に", "で", "と", "へ", "の", "も", "や"), ("ました", "ません", "でした", "でしょう", "します", "ます", "です", "した", "ない", "だ", "た")
+_word = re.compile(f"[一-鿿々]+|[ァ-ヶー]+|{'|'.join(ENDINGS)}|{'|'.join(PARTICLES)}|[ぁ-ん]|[^\\W\\d_ぁ-んァ-ヶー一-鿿々]+|\\d+|[^\\w\\s]")
 
 
 def simple_tokenizer(text: str) -> list[tuple[str, str, str, str, str]]:
-    """The default backend: words, numbers and signs by pattern; no parts of speech beyond these three."""
+    """The default backend: runs of one script, numbers and signs. Parts of speech are by look: particles and endings that
+    it knows, other hiragana is of an unknown kind, the rest are nouns. For real ones use an analyser."""
     out = []
     for surface in _word.findall(text):
-        kind = "名詞" if surface[0].isalpha() else "数詞" if surface[0].isdigit() else "補助記号"
+        hiragana = "ぁ" <= surface[0] <= "ん"
+        kind = "助詞" if surface in PARTICLES else "助動詞" if surface in ENDINGS else "未知語" if hiragana else "名詞" if surface[0].isalpha() else "数詞" if surface[0].isdigit() else "補助記号"
         out.append((surface, surface.lower(), kind, "", ""))
     return out
 
@@ -34,8 +39,38 @@ def morphological_tokenizer() -> Tokenizer:
     return lambda text: [(w.surface, w.feature.lemma or w.surface, w.feature.pos1, w.feature.pos3, w.feature.goshu or "") for w in tagger(text)]
 
 
-def tokenized(df: DataFrame, text: str, factory: Callable[[], Tokenizer] = lambda: simple_tokenizer, limit: int = 100_000, stop: str = "。") -> DataFrame:
-    """Adds ``tokens`` and ``tokens_error``. A text over the limit is cut at its last stop before it; a text on which the
+def isolated(factory: Callable[[], Tokenizer], text: str, timeout: float) -> list:
+    """The tokens of a text from a process of its own, so that neither a crash nor an endless run takes the worker along."""
+    context = multiprocessing.get_context("fork")
+    ours, theirs = context.Pipe(duplex=False)
+
+    def work() -> None:
+        try:
+            theirs.send((factory()(text), None))
+        except Exception as error:  # noqa: BLE001
+            theirs.send((None, type(error).__name__))
+
+    child = context.Process(target=work, daemon=True)
+    child.start()
+    theirs.close()
+    try:
+        if not ours.poll(timeout):
+            raise TimeoutError(f"no tokens after {timeout} s")
+        found, error = ours.recv()
+    except EOFError:
+        raise ChildProcessError("the tokenizer's process ended without an answer") from None
+    finally:
+        child.kill()
+        child.join()
+        ours.close()
+    if error:
+        raise RuntimeError(error)
+    return found
+
+
+def tokenized(df: DataFrame, text: str, factory: Callable[[], Tokenizer] = lambda: simple_tokenizer, limit: int = 100_000, stop: str = "。", isolate: int = 50_000, timeout: float = 60.0) -> DataFrame:
+    """Adds ``tokens`` and ``tokens_error``. A text over the limit is cut at its last stop before it; one of more than
+    ``isolate`` characters is worked on in a process of its own for ``timeout`` seconds at most; a text on which the
     tokenizer fails has null tokens and the error's name, so that the row can be reported and not lost."""
     from ..functions.text import cut_at_stop
 
@@ -46,7 +81,8 @@ def tokenized(df: DataFrame, text: str, factory: Callable[[], Tokenizer] = lambd
             rows = []
             for x in column:
                 try:
-                    rows.append((None if x is None else [dict(zip(("surface", "lemma", "pos1", "pos3", "goshu"), t, strict=True)) for t in tokenize(x)], None))
+                    found = None if x is None else isolated(factory, x, timeout) if len(x) > isolate else tokenize(x)
+                    rows.append((found and [dict(zip(("surface", "lemma", "pos1", "pos3", "goshu"), t, strict=True)) for t in found], None))
                 except Exception as error:  # noqa: BLE001
                     rows.append((None, type(error).__name__))
             yield pd.DataFrame(rows, columns=["tokens", "error"])

@@ -14,7 +14,7 @@ from ..functions import japanese as J
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import JA
-from ..operators import analysis, lint, markdown, nominal
+from ..operators import analysis, lint, markdown, nominal, tokens
 from ..sources.tables import table
 from .panel_queries import rounded
 from .registry import register
@@ -348,3 +348,61 @@ def ja_char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
     each = rows.select("year", (F.col("doc_id") % 12).alias("month"), *[(T.count_of(F.col("raw"), p) / F.nullif(F.length("raw"), F.lit(0))).alias(n) for n, p in _kinds.items()])
     return rounded(each.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in _kinds]), *_kinds, to=8)
+
+
+_token = "[一-鿿]+|[ァ-ヶー]+|[ぁ-ん]|[A-Za-z]+"
+_toks = f"k AS (SELECT doc_id, year, regexp_extract_all(raw, '{_token}') AS t FROM b)"
+_pairs = "list_zip(t[1:len(t) - 1], t[2:])"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, year and tokens, runs of one script. Kanji are Sino-Japanese nouns, verbal from two on; of hiragana は, が,
+    を, に are particles."""
+    rows = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
+    kind = lambda x: F.when(x.rlike("^[一-鿿]"), "名詞").when(x.isin("は", "が", "を", "に"), "助詞").otherwise("未知語")
+    origin = lambda x: F.when(x.rlike("^[一-鿿]"), "漢").when(x.rlike("^[ァ-ヶー]"), "外").when(x.rlike("^[ぁ-ん]"), "和").otherwise("")
+    token = lambda x: F.struct(x.alias("surface"), x.alias("lemma"), kind(x).alias("pos1"), F.when(x.rlike("^[一-鿿]{2,}$"), "サ変可能").otherwise("").alias("pos3"), origin(x).alias("goshu"))
+    return rows.select("doc_id", "year", F.transform(F.regexp_extract_all("raw", F.lit(f"({_token})"), F.lit(1)), token).alias("tokens"))
+
+
+@register(f"""WITH {LINES}, {BODIES}, {_toks}, d AS (SELECT year, len(t) AS n, len(list_filter(t, lambda x: regexp_matches(x, '^[一-鿿]{{2,}}$'))) AS sahen, len(list_filter(t, lambda x: regexp_matches(x, '^[一-鿿]'))) AS kango, len(list_filter(t, lambda x: NOT regexp_matches(x, '^[A-Za-z]'))) AS known,
+ len(list_filter({_pairs}, lambda x: regexp_matches(x[1], '^[一-鿿]{{2,}}$') AND regexp_matches(x[2], '^[一-鿿]{{2,}}$'))) AS chains, len(list_filter({_pairs}, lambda x: regexp_matches(x[1], '^[一-鿿]{{2,}}$') AND x[2] IN ('が', 'を'))) AS cases FROM k WHERE len(t) > 0)
+SELECT year, count(*) AS docs, round(sum(sahen) / sum(n), 8) AS pooled_sahen, round(avg(sahen / n), 8) AS mean_sahen, round(sum(kango) / sum(known), 8) AS pooled_kango, round(avg(kango / nullif(known, 0)), 8) AS mean_kango, round(avg(chains / n * 1000), 6) AS chains, round(avg(cases / n * 1000), 6) AS cases FROM d GROUP BY 1""")
+def ja_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbal nouns and Sino-Japanese words by year, pooled and as means of documents, and what verbal nouns stand before."""
+    shares = tokens.pos_shares(F.col("tokens"))
+    rows = _tokens(spark, sf_dir).where(F.size("tokens") > 0)
+    count = lambda test: F.size(F.filter("tokens", test))
+    each = rows.select(
+        "year", F.size("tokens").alias("n"), count(lambda t: t["pos3"] == "サ変可能").alias("sahen"), count(lambda t: t["goshu"] == "漢").alias("kango"), count(lambda t: t["goshu"] != "").alias("known"),
+        *[shares[c].alias(c) for c in ("sahen_noun_ratio", "kango_ratio", "sahen_chain_per_1000", "sahen_case_per_1000")],
+    )
+    out = each.groupBy("year").agg(
+        F.count(F.lit(1)).alias("docs"), (F.sum("sahen") / F.sum("n")).alias("pooled_sahen"), F.avg("sahen_noun_ratio").alias("mean_sahen"), (F.sum("kango") / F.sum("known")).alias("pooled_kango"), F.avg("kango_ratio").alias("mean_kango"),
+        F.avg("sahen_chain_per_1000").alias("chains"), F.avg("sahen_case_per_1000").alias("cases"),
+    )
+    return rounded(rounded(out, "pooled_sahen", "mean_sahen", "pooled_kango", "mean_kango", to=8), "chains", "cases")
+
+
+STOPWORDS = ("結果", "重要")
+_target = f"length(x) >= 2 AND x NOT IN ({', '.join(repr(w) for w in STOPWORDS)}) AND regexp_matches(x, '^[一-鿿]') AND NOT regexp_matches(x, '^[0-9]+$')"
+
+
+@register(f"""WITH {LINES}, {BODIES}, {_toks}, c AS (SELECT doc_id, list_filter(t, lambda x: {_target} OR regexp_matches(x, '^[ァ-ヶー]{{2,}}$') OR regexp_matches(x, '^[A-Za-z]{{2,}}$')) AS t FROM k), w AS (SELECT doc_id, t[1:40] AS t FROM c WHERE len(t) BETWEEN 40 AND 700),
+e AS (SELECT doc_id, unnest(t) AS x FROM w), n AS (SELECT doc_id, x, count(*) AS c FROM e GROUP BY 1, 2)
+SELECT doc_id, round(max(c) / 40, 6) AS top_share, round(count(*) FILTER (c = 1) / count(*), 6) AS hapax_share, round(count(*) / 40, 6) AS ttr, round(100.0 * sum(c) FILTER (regexp_matches(x, '^[ァ-ヶー]')) / 40, 6) AS katakana_pct, round(100.0 * sum(c) FILTER (regexp_matches(x, '^[A-Za-z]')) / 40, 6) AS ascii_pct FROM n GROUP BY 1""")
+def ja_lexical_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 content words of documents with 40 to 700 of them: that window is the measure."""
+    word = F.filter("tokens", lambda t: tokens.is_target(t["surface"], F.array(*map(F.lit, STOPWORDS)), F.when(t["goshu"].isin("漢", "外", ""), "名詞").otherwise("助詞"), ascii_too=True))
+    rows = _tokens(spark, sf_dir).select("doc_id", F.transform(word, lambda t: t["surface"]).alias("t")).where(F.size("t").between(40, 700))
+    n = rows.select("doc_id", F.explode(F.slice("t", 1, 40)).alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    pct = lambda p: 100.0 * F.sum(F.when(F.col("x").rlike(p), F.col("c"))) / 40
+    out = n.groupBy("doc_id").agg((F.max("c") / 40).alias("top_share"), (F.count_if(F.col("c") == 1) / F.count(F.lit(1))).alias("hapax_share"), (F.count(F.lit(1)) / 40).alias("ttr"), pct("^[ァ-ヶー]").alias("katakana_pct"), pct("^[A-Za-z]").alias("ascii_pct"))
+    return rounded(out, "top_share", "hapax_share", "ttr", "katakana_pct", "ascii_pct")
+
+
+@register(f"""WITH {LINES}, {BODIES}, {_toks}, w AS (SELECT DISTINCT doc_id, year, unnest(t) AS x FROM k) SELECT year, x AS word, count(*) AS doc_freq FROM w WHERE {_target} GROUP BY 1, 2""")
+def ja_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each content word by year: nouns of two letters or more, no stopword, not of ASCII only."""
+    rows = _tokens(spark, sf_dir).select("doc_id", "year", F.explode("tokens").alias("t")).where(tokens.is_target(F.col("t.surface"), F.array(*map(F.lit, STOPWORDS)), F.col("t.pos1")))
+    return rows.select("doc_id", "year", F.col("t.surface").alias("word")).distinct().groupBy("year", "word").agg(F.count(F.lit(1)).alias("doc_freq"))

@@ -364,10 +364,10 @@ def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_rollup(days, expected_months(spark, "1994-12", "2001-12"))
 
 
-@register("""SELECT o_orderkey AS job FROM orders WHERE year(o_orderdate) = 1996 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+@register("""SELECT o_orderkey AS job FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def job_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").where(F.year("o_orderdate") == 1996).select(F.col("o_orderkey").alias("job"))
-    return jobs.join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job")), "job", "left_anti")
+    jobs = table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("job"))
+    return jobs.join(table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job")), "job", "left_anti")
 
 
 TURNS = """t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS before, list_distinct(regexp_extract_all(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[a-z]{4,}')) AS after, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)"""
@@ -388,15 +388,17 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("survival_pct", 100.0 * F.col("stayed") / F.col("seen")), "survival_pct")
 
 
-@register(f"""WITH {TURNS}, x AS (SELECT list_filter(before, lambda x: NOT list_contains(after, x) AND substr(x, 1, 2) = 'th') AS lost, list_filter(after, lambda x: NOT list_contains(before, x) AND substr(x, 1, 2) = 'th') AS gained FROM t WHERE nxt IS NOT NULL),
-l AS (SELECT unnest(lost) AS a, gained FROM x), p AS (SELECT a, unnest(gained) AS b FROM l)
+@register(f"""WITH {TURNS}, x AS (SELECT conv_id, turn, list_filter(before, lambda x: NOT list_contains(after, x)) AS lost, list_filter(after, lambda x: NOT list_contains(before, x)) AS gained FROM t WHERE nxt IS NOT NULL),
+l AS (SELECT conv_id, turn, unnest(lost) AS a FROM x), g AS (SELECT conv_id, turn, unnest(gained) AS b FROM x), p AS (SELECT a, b FROM l JOIN g USING (conv_id, turn) WHERE substr(a, 1, 3) = substr(b, 1, 3))
 SELECT a AS lost, b AS gained, count(*) AS n FROM p GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 30""")
 def replacement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: words of one concept that went, with those of it that came in the same rewrite."""
-    of = lambda a, b: F.filter(F.array_except(a, b), lambda x: F.substring(x, 1, 2) == "th")
-    rows = turns(spark, sf_dir).select(of("before", "after").alias("lost"), of("after", "before").alias("gained"))
-    pairs = rows.select(F.explode("lost").alias("lost"), "gained").select("lost", F.explode("gained").alias("gained"))
-    return pairs.groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lost", "gained").limit(30)
+    from ..operators import rewrite
+
+    rows = turns(spark, sf_dir).select(F.array_except("before", "after").alias("lost"), F.array_except("after", "before").alias("gained"))
+    every = rows.select(F.explode(F.concat("lost", "gained")).alias("word")).distinct()
+    concepts = every.withColumn("concept", F.substring("word", 1, 3))  # words that begin alike stand for a concept
+    return rewrite.replacements(rows, concepts).orderBy(F.desc("n"), "lost", "gained").limit(30)
 
 
 METRICS = {"n_chars": "two", "commas": "high", "capitals": "low"}

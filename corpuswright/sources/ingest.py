@@ -166,9 +166,10 @@ def monthly_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def write_split(df: DataFrame, reason: str, folder: str) -> None:
-    """Kept and excluded rows of one pass, each partitioned by month; a month that is written again is replaced."""
-    for name, part in (("kept", df.where(F.col(reason).isNull()).drop(reason)), ("excluded", df.where(F.col(reason).isNotNull()))):
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{folder}/{name}")
+    """Kept and excluded rows (part=kept, part=excluded) in one scan, each partitioned by month; a month that is written
+    again is replaced."""
+    part = F.when(F.col(reason).isNull(), "kept").otherwise("excluded")
+    df.withColumn("part", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "month").parquet(folder)
 
 
 def wait_of(status: int, headers: dict[str, str], attempt: int, now: float, reserve: int = 50) -> float:

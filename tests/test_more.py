@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpuswright.functions import japanese
@@ -41,7 +43,10 @@ def test_round_trip(spark):
     r = changed.first()
     assert (r.lost, r.gained) == (["設計"], ["検証"])
     assert rewrite.survival(changed, 1).first().survival_pct == 0
-    assert rewrite.replacements(changed, {"設計": "work", "検証": "work"}).first().n == 1
+    concepts = spark.createDataFrame([("設計", "work"), ("検証", "work"), ("木", "plant")], "word string, concept string")
+    assert [tuple(r) for r in rewrite.replacements(changed, concepts).collect()] == [("設計", "検証", 1)]
+    assert rewrite.replacements(changed, concepts.where("word = '木'")).count() == 0
+    assert rewrite.vanished(changed).count() == 0
     assert rewrite.balanced(jobs, "year", "id", "s", 1).count() == 2
 
 
@@ -84,3 +89,25 @@ def test_documents_are_verified_in_one_pass(spark):
     docs = spark.createDataFrame([("a.md", doc), ("b.md", "none"), ("c.md", None)], "path string, text string")
     measured = spark.createDataFrame([("2020", "kanji_ratio", 0.174), ("2021", "kanji_ratio", 0.231)], "row string, header string, value double")
     assert {tuple(r) for r in checks.verified(docs, "path", "text", measured).collect()} == {("a.md", 2, 1), ("b.md", 0, 0), ("c.md", 0, 0)}
+
+
+def test_refused_calls_wait_longer():
+    waits, left = [], [3]
+
+    def call(text):
+        if left[0]:
+            left[0] -= 1
+            raise rewrite.Refused
+        return text.upper()
+
+    assert rewrite.patient(call, jitter=0.0, sleep=waits.append)("a") == "A"
+    assert waits == pytest.approx([3.0, 5.4, 9.72])
+    left[0] = 99
+    assert rewrite.patient(call, sleep=waits.append)("a") is None
+    assert max(waits) <= 47
+
+
+def test_japanese_tokens():
+    found = tokens.simple_tokenizer("私は設計をテストします。")
+    assert [t[0] for t in found] == ["私", "は", "設計", "を", "テスト", "します", "。"]
+    assert [t[2] for t in found] == ["名詞", "助詞", "名詞", "助詞", "名詞", "助動詞", "補助記号"]

@@ -191,7 +191,7 @@ def test_split_sink_keeps_all(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01", None), (2, "2024-01", "short"), (3, "2024-02", None)], "id int, month string, reason string")
     for _ in range(2):  # again: the same months are replaced
         ingest.write_split(df, "reason", str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "kept")).count() + spark.read.parquet(str(tmp_path / "excluded")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "part=kept")).count() + spark.read.parquet(str(tmp_path / "part=excluded")).count() == 3
 
 
 def test_paged_source_has_a_partition_a_day():
@@ -314,3 +314,26 @@ def test_days_that_go_on_and_faults():
     with pytest.raises(ingest.Truncated):
         next(got)
     assert ingest.http_page("http://127.0.0.1:9/none", None) == (599, {}, [])
+
+
+def test_long_texts_in_a_process_of_their_own(spark):
+    def factory():
+        def tokenize(text):
+            if text.startswith("crash"):
+                import os
+
+                os._exit(139)
+            if text.startswith("hang"):
+                import time
+
+                time.sleep(60)
+            if text.startswith("boom"):
+                raise ValueError(text)
+            return tokens.simple_tokenizer(text)
+
+        return tokenize
+
+    rows = [(1, "fine " * 30), (2, "crash " * 30), (3, "hang " * 30), (4, "boom " * 30), (5, "short")]
+    got = tokens.tokenized(spark.createDataFrame(rows, "id int, text string"), "text", factory, isolate=100, timeout=2.0).orderBy("id").collect()
+    assert [len(r.tokens or []) for r in got] == [30, 0, 0, 0, 1]
+    assert [r.tokens_error for r in got] == [None, "ChildProcessError", "TimeoutError", "RuntimeError", None]
