@@ -410,6 +410,10 @@ def test_pipeline_stage_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _cw_n int, component map<string,int>")
     one = corpus_pipeline.quality_stage(spark, df, "")
     assert sorted(r._cw_n for r in one.collect()) == [1, 2, 4, 5]
+    clash = df.withColumnsRenamed({"_cw_n": "n_words", "n_chars": "kept", "component": "row"})
+    got = corpus_pipeline.quality_stage(spark, clash, "")
+    assert got.columns == clash.columns
+    assert sorted(r.n_words for r in got.collect()) == [1, 2, 4, 5]
     two = corpus_pipeline.dedup_stage(spark, one, "")
     assert two.columns == df.columns
     assert sorted(r._cw_n for r in two.collect()) == [4, 5]  # of both groups the row with a key
