@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -215,6 +216,26 @@ def test_model_counts_and_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_of_the_model(spark, monkeypatch):
+    """Tokens as the plain rule has them, also where the words met are forgotten between stretches."""
+    texts = [" lead  two\x0bwords\x0c\r\n ", "", None, "\x1c\x1f no blanks\xa0here \u3000", "ÀÉ Az İ", "\t", "x " * 50, "same same"] * 3
+    plain = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    monkeypatch.setattr(lm, "GROUP", 40)
+    monkeypatch.setattr(lm, "FLUSH", 3)
+    monkeypatch.setattr(lm, "PAIRS", 20)
+    batch, seen, got = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), lm.Seen(), []
+    for _, at, counts in lm._grouped(iter([batch]), 0, seen):
+        words = {k: w for w, k in seen.index.items()}
+        ends = np.cumsum(counts)
+        got += [[words[k] for k in at[a:b].tolist()] for a, b in zip(ends - counts, ends, strict=True)]
+    assert got == plain
+    df = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean").coalesce(1)
+    counts = Counter(w for row in plain for w in row)
+    assert {r.h: r.c for r in lm._occurrences(df).collect()} == {lm._hash(w): c for w, c in counts.items()}
+    pairs = Counter((lm._hash(b), 2 if a is None else int(a == b"same") or 3) for row in plain for a, b in zip([None, *row], row, strict=False))
+    assert {(r.h, r.ctx): r.c for r in lm._pairs(df, {lm._hash(b"none"): 0, lm._hash(b"same"): 1}).collect()} == pairs
+
+
 def test_model_is_a_distribution(spark):
     """In every context the probabilities of all known tokens and the unknown one sum to 1."""
     rows, shape = corpus(spark, 200)
