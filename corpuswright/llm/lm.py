@@ -1,23 +1,30 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-Restaurants: a token is a customer of the restaurant of its context, each table there sends one customer to the shared
-parent, the unigram restaurant, and each table there one to the uniform distribution over the V known tokens and one
-unknown. A context is the token before if that makes up at least 1 / CONTEXTS of the training tokens, the start of a
-text, or any other token. So there are fewer than CONTEXTS + 2 restaurants at any size of the corpus, while their
-dishes, and all counts, cover the whole of it.
-
-All seats of a word, in every restaurant and in the parent, live in one row of the word table. A sweep takes every
-customer out of a restaurant and seats it again given all others, and with each table that goes or comes a customer of
-the parent, whose own customers are seated again as well. Table sizes are summed out: a random customer of a dish with c
-customers at t tables sits alone with probability S(c-1, t-1) / S(c, t), S the generalised Stirling numbers, and is
-seated again by the usual rule, so that the chain on tables has the posterior of the seating as its law. Customers move
-one at a time in dishes of STEPS or fewer, a STEPS-th at a time in larger ones. The restaurants of a word take turns, one
-after another up to TURNS of them, TURNS groups beyond. Only the totals of other words' tables are as of the sweep's
-begin (the usual approximation of a distributed Gibbs sampler). Predictive probabilities are averaged over the sweeps
-after BURN. Discounts come from the counts of counts, strengths are fixed.
-
-Scoring reads the corpus again. Words that make up 1 / HEAD of the training tokens or more are fewer than HEAD, so
-their rows go to every task; no word of the rest is frequent, so these are joined by key without skew.
+Restaurants: a token is a customer of the restaurant of its context, which is the token before or the start of the text.
+Every token has a restaurant of its own, however rare. Each table there sends one customer to the shared parent, the
+unigram restaurant, and each table there one to the uniform distribution over the V known tokens and one unknown. A
+context never met has an empty restaurant and leaves all to the parent.
+
+Words that make up 1 / HEAD of the training tokens or more, and the end of a text, are frequent; they are fewer than
+HEAD + 1, so what is known of them goes to every task. All else is dealt out by word to buckets of some BUCKET tokens,
+each one row of arrays: a dish (a word in a context) belongs to its word, but if the word is frequent and the context is
+not, to its context. So a bucket lacks only the totals of rare contexts of its rare words; before each sweep it is sent
+these by the buckets of the contexts.
+
+A sweep takes every customer out of a restaurant and seats it again given all others, and with each table that goes or
+comes a customer of the parent, whose own customers are seated again as well. Table sizes are summed out: a random
+customer of a dish with c customers at t tables sits alone with probability S(c-1, t-1) / S(c, t), S the generalised
+Stirling numbers, and is seated again by the usual rule, so that the chain on tables has the posterior of the seating as
+its law. Customers move one at a time in dishes of STEPS or fewer, a STEPS-th at a time in larger ones. The restaurants
+of a word take turns, one after another up to TURNS of them, TURNS groups beyond. The totals of other words' tables,
+and for dishes of frequent words in rare contexts the parent, are as of the sweep's begin (the usual approximation of a
+distributed Gibbs sampler). Dishes with one customer and words that occur once have one table and are not moved.
+Predictive probabilities are averaged over the sweeps after BURN. Discounts come from the counts of counts, strengths
+are fixed.
+
+Scoring reads the corpus again. Pairs of frequent words are looked up in a table in every task, all others in the bucket
+of their dish, to which the tasks send the pairs of a stretch of text once each, for a share of 1 / SLICES of the texts
+at a time.
 
 Defined results: a null text is empty and has one token, its end; a null doc_id is held out; repeated rows are scored
 each; without training tokens every token is unknown with probability 1; an empty table gives an empty result.
@@ -26,28 +33,33 @@ Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, delete, splitmix, written
 
-CONTEXTS = 512
-HEAD = 32_768
+HEAD = 4096
+BUCKET = 4_000_000  # training tokens of a bucket
+BUCKETS = 32  # at least, of a corpus that has SPARSE tokens for each
+SPARSE = 50_000
+SLICES = 4  # of the texts, scored one after another
 SWEEPS = 6
 BURN = 2  # sweeps whose states are not used
 STEPS = 16  # in which a dish's customers are seated again
 TURNS = 8  # in which a word's restaurants are taken
 EXACT = 384  # customers up to which the chance to sit alone is tabulated; beyond, it is scaled
 FLUSH = 500_000  # distinct words a task holds
-WORDS = 50_000  # rows of the word table a task works on at once
 GROUP = 1 << 20  # bytes of texts a task works on at once
-PAIRS = 2_000_000  # tokens whose pairs are counted together
+PAIRS = 1_000_000  # tokens whose pairs are counted together
 END = b"\n"  # no word holds a blank
 STRENGTH = 1.0  # of every restaurant
 
@@ -100,14 +112,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int, seen: Seen) -> Iter
             yield batch, at, counts
 
 
-def _before(contexts: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
-    """The context of each token, from what the contexts of the tokens are as words (-1: none of its own)."""
-    out = np.empty(len(contexts), np.int64)
-    out[1:] = np.where(contexts[:-1] < 0, start + 1, contexts[:-1])
-    out[np.concatenate(([0], np.cumsum(counts)[:-1]))] = start
-    return out
-
-
 def _occurrences(documents: DataFrame) -> DataFrame:
     """(h, c): how often each word occurs, pre-aggregated by task."""
 
@@ -126,34 +130,149 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     return documents.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _pairs(documents: DataFrame, contexts: dict[int, int]) -> DataFrame:
-    """(h, ctx, c): how often each word occurs in each context, pre-aggregated by task."""
-    start, many = len(contexts), len(contexts) + 2
+ROW = "part int, what string, chunk long, blob binary, sums array<long>"
+ARROW_ROW = pa.schema([("part", pa.int32()), ("what", pa.string()), ("chunk", pa.int64()), ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same integers, none negative, in the smallest type."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _row(part: int, what: str, content: object = None, chunk: int = 0, sums: list[int] | None = None) -> dict:
+    return {"part": part, "what": what, "chunk": chunk, "blob": pickle.dumps(content, 5), "sums": sums}
+
+
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=ARROW_ROW)
+
+
+def _by_part(rows: DataFrame, run: Callable[[int, dict[str, list]], list[dict]]) -> DataFrame:
+    """``run`` over each part's rows: their contents by kind, as (chunk, content)."""
+
+    def one(table: pa.Table) -> pa.Table:
+        found: dict[str, list] = {}
+        for what, chunk, blob in sorted(zip(table["what"].to_pylist(), table["chunk"].to_pylist(), table["blob"], strict=True), key=lambda x: x[:2]):
+            found.setdefault(what, []).append((chunk, pickle.loads(blob.as_py())))  # noqa: S301
+        return _rows(run(table["part"][0].as_py(), found))
+
+    return rows.groupBy("part").applyInArrow(one, ROW)
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return (np.ascontiguousarray(h).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    return x[first], _small(np.diff(np.append(first, len(x))))
+
+
+def _heads(contexts: dict[int, int]) -> dict[int, int]:
+    """Places of frequent words. That of the end, as a word, is that of the start, as a context."""
+    return contexts | {_hash(END): len(contexts)}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, heads: dict[int, int]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some PAIRS tokens at once: rows, places of the tokens and of those before (-1: none), how many a text has, and by
+    place the hash and the place among the frequent words (-1: none)."""
+    seen, held, n, turn, hashes, found = Seen(heads), [], 0, 1, np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def out() -> tuple:
+        at, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        before = np.empty_like(at)
+        before[1:] = at[:-1]
+        before[np.concatenate(([0], np.cumsum(counts)[:-1]))] = -1
+        return [x[0] for x in held], at, before, counts, hashes, found
+
+    for stretch in _grouped(batches, column, seen):
+        if seen.turn > turn:  # it has been emptied
+            if held:
+                yield out()
+            held, n, turn = [], 0, seen.turn
+        hashes, found = seen.hashes, seen.found[0]
+        held.append((stretch[0], stretch[1].astype(np.int32), stretch[2]))
+        n += len(stretch[1])
+        if n > PAIRS:
+            whole = out()
+            held, n = [], 0
+            yield whole
+            del whole
+    if held:
+        yield out()
+
+
+def _pair(at: np.ndarray, before: np.ndarray, places: int) -> np.ndarray:
+    return at.astype(np.int64) * (places + 1) + before + 1
+
+
+def _dishes(key: np.ndarray, hashes: np.ndarray, heads: np.ndarray, start: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys place * (places + 1) + place before + 1, in what order they are sent, and then owner and other word. Of the
+    orders' 3 * part + kind the kind is 0: a word by the place of its frequent context, 1: a rare context by the place of
+    its frequent word, 2: a word by the hash of its context."""
+    at, before = key // (len(hashes) + 1), key % (len(hashes) + 1) - 1
+    word, ctx = heads[at], np.where(before < 0, start, heads[before])
+    apart = (word >= 0) & (ctx < 0)
+    owner = np.where(apart, hashes[before], hashes[at])
+    other = np.where(apart, word, np.where(ctx < 0, hashes[before], ctx))
+    kind = np.where(apart, 1, np.where(ctx < 0, 2, 0))
+    return 3 * _part(owner, parts) + kind, owner, other
+
+
+def _cut(group: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+    """Part, kind and place of each run of ``group``."""
+    first, size = _runs(group)
+    at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    for g, a, b in zip(first.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield g // 3, g % 3, slice(a, b)
+
+
+def _sent(documents: DataFrame, contexts: dict[int, int], parts: int) -> DataFrame:
+    """How often each pair of words occurs, pre-aggregated by task, as rows for the buckets: by kind owners, how many
+    dishes each has, the other words, and counts."""
+    heads, start = _heads(contexts), len(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n, hashes, turn = Seen(contexts), [], 0, np.empty(0, np.int64), 1
+        for _, at, before, _, hashes, found in _chunks(batches, 0, heads):
+            key, c = np.unique(_pair(at, before, len(hashes)), return_counts=True)
+            group, owner, other = _dishes(key, hashes, found, start, parts)
+            order = np.argsort(group, kind="stable")
+            owner, other, c = owner[order], other[order], c[order]
+            content: dict[int, dict] = {}
+            for part, kind, s in _cut(group[order]):
+                content.setdefault(part, {})[kind] = (*_runs(owner[s]), other[s] if kind == 2 else _small(other[s]), _small(c[s]))
+            yield from _rows([_row(part, "pairs", x) for part, x in content.items()]).to_batches()
+
+    return documents.where(~F.col("held_out")).select("text").mapInArrow(run, ROW)
+
+
+def _merged(blobs: list[tuple[int, dict]], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, other and count of each dish of a kind, ordered by these."""
+    some = [x[kind] for _, x in blobs if kind in x]
+    if not some:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.concatenate([np.repeat(x[0], x[1]) for x in some])
+    other, c = np.concatenate([x[2].astype(np.int64) for x in some]), np.concatenate([x[3].astype(np.int64) for x in some])
+    order = np.lexsort((other, owner))
+    owner, other, c = owner[order], other[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]))))
+    return owner[first], other[first], np.add.reduceat(c, first)
 
-        def flush() -> pa.RecordBatch:
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
-            out = pa.RecordBatch.from_arrays([pa.array(hashes[keys // many]), pa.array((keys % many).astype(np.int32)), pa.array(c.astype(np.int64))], names=["h", "ctx", "c"])
-            held.clear()
-            return out
 
-        for _, at, counts in _grouped(batches, 0, seen):
-            if seen.turn > turn:  # it has been emptied
-                if held:
-                    yield flush()
-                n, turn = 0, seen.turn
-            hashes = seen.hashes
-            held.append(at * many + _before(seen.found[0][at], counts, start))
-            n += len(at)
-            if n > PAIRS:
-                yield flush()
-                n = 0
-        if held:
-            yield flush()
+def _pairs(documents: DataFrame, contexts: dict[int, int]) -> DataFrame:
+    """(h, ctx, c): how often each word occurs in each context, all without a place as one, from the rows for buckets."""
+    names, rest = {k: h for h, k in _heads(contexts).items()}, len(contexts) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                for kind in (0, 1, 2):
+                    owner, other, c = _merged([(0, pickle.loads(blob))], kind)  # noqa: S301
+                    h = np.array([names[k] for k in other.tolist()], np.int64) if kind == 1 else owner
+                    ctx = other if kind == 0 else np.full(len(other), rest)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx.astype(np.int32)), pa.array(c)], names=["h", "ctx", "c"])
 
-    return documents.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, ctx int, c long").groupBy("h", "ctx").agg(F.sum("c").alias("c"))
+    return _sent(documents, contexts, 1).mapInArrow(run, "h long, ctx int, c long").groupBy("h", "ctx").agg(F.sum("c").alias("c"))
 
 
 def first_tables(customers: np.ndarray, chance: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
@@ -212,12 +331,13 @@ def drawn(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, n).astype(np.int64)
 
 
-def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, others: np.ndarray, parents: tuple[float, float], known: int, discounts: tuple[float, float], seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, others: np.ndarray, parents: tuple[float, float], known: int, discounts: tuple[float, float], seed: np.ndarray, still: np.ndarray | None = None, roots_seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tables after a sweep. Rows are dishes of restaurants: their word (ascending), customers and tables; ``t1`` are the
     words' tables in the parent, ``others`` the tables of a row's restaurant that belong to other words, ``parents`` all
-    customers and tables of the parent as of the sweep's begin, ``seed`` a counter a row."""
+    customers and tables of the parent as of the sweep's begin, ``seed`` a counter a row. ``still``: tables of words that
+    are not among the rows and stay; words may then have no row, so ``roots_seed`` has a counter a word."""
     ts, t1, n, (d, d1) = ts.copy(), t1.copy(), len(t1), discounts
-    c1 = np.bincount(word, ts, n).astype(np.int64)
+    c1 = np.bincount(word, ts, n).astype(np.int64) + (0 if still is None else still)
     rest_c, rest_t = parents[0] - c1, parents[1] - t1  # of other words
     live = np.flatnonzero(cs > 1)
     many = np.bincount(word[live], minlength=n)
@@ -232,7 +352,7 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
     place[live] = np.searchsorted(busy, word[live])
     roots = np.argsort(-c1, kind="stable")
     begin = -c1[roots]
-    draws, last = seed.copy(), seed[np.searchsorted(word, np.arange(n))] ^ np.uint64(0xA5A5A5A5A5A5A5A5)  # a counter a word
+    draws, last = seed.copy(), (seed[np.searchsorted(word, np.arange(n))] if roots_seed is None else roots_seed) ^ np.uint64(0xA5A5A5A5A5A5A5A5)  # a counter a word
 
     def uniforms(counters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two numbers of 32 bits from one draw, never 0."""
@@ -279,195 +399,420 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
     return ts, t1
 
 
-class Totals:
-    """What a task needs of the other words: customers and tables of each restaurant, and discounts."""
+def moved(cs: np.ndarray, ts: np.ndarray, others: np.ndarray, chance: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
+    """Tables of dishes after a sweep as in :func:`reseated`, where the parent's probability ``chance`` stays."""
+    ts, size = ts.copy(), -(-cs // STEPS)
+    steps = np.where(cs > 1, -(-cs // size), 0)
+    order = np.argsort(-steps, kind="stable")
+    begin = -steps[order]
+    for step in range(STEPS):
+        at = order[: np.searchsorted(begin, -step)]
+        if not len(at):
+            break
+        seed[at] = got = splitmix(seed[at])
+        u, v = ((got >> np.uint64(32)).astype(float) + 0.5) / 4294967296.0, ((got & np.uint64(0xFFFFFFFF)).astype(float) + 0.5) / 4294967296.0
+        m, tables = size[at], ts[at]
+        tables -= np.minimum(drawn(m, alone(cs[at], tables, discount), u), tables - 1)
+        fresh, there = (STRENGTH + discount * (others[at] + tables)) * chance[at], np.maximum(cs[at] - m - discount * tables, 0.0)
+        ts[at] = tables + drawn(m, fresh / (fresh + there), v)
+    return ts
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: int, known: int, discounts: tuple[float, float]) -> None:
-        self.customers, self.tables, self.parent_tables, self.known, (self.discount, self.parent_discount) = customers.astype(float), tables.astype(float), float(parent_tables), known, discounts
+
+class Totals:
+    """What a task needs of the other words: customers and tables of each frequent restaurant (the last one is empty),
+    all tables, those in the parent, and of the frequent words the tables in rare contexts, in all and in the parent."""
+
+    def __init__(self, customers: np.ndarray, sums: np.ndarray, known: int, discounts: tuple[float, float] | None) -> None:
+        k = len(customers) - 1
+        tables, rare, here, roots, rest = np.split(sums.astype(float), [k + 1, 2 * k + 1, 3 * k + 1, 4 * k + 1])
+        self.customers, self.tables, self.known = customers.astype(float), tables, known
+        self.apart, self.head_customers, self.head_tables = rare, here + rare, roots
+        self.total, self.parent_tables = float(tables.sum() + rare.sum() + rest[0]), float(rest[1])
+        if discounts is None:  # absolute discounts from how many dishes have one and two customers
+            rate = lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a + b else 0.5
+            discounts = rate(*rest[2:4].tolist()), rate(*(rest[4 + j] + np.count_nonzero(self.head_customers == j + 1) for j in (0, 1)))
+        self.discount, self.parent_discount = discounts
 
     @property
     def backoff(self) -> np.ndarray:
-        """What each restaurant leaves to its parent."""
+        """What each frequent restaurant leaves to its parent."""
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
 
     def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent's probability of words with so many customers and tables there."""
-        total = self.tables.sum()
-        rest = (STRENGTH + self.parent_discount * self.parent_tables) / (STRENGTH + total)
-        return np.maximum(customers - self.parent_discount * tables, 0) / (STRENGTH + total) + rest / (self.known + 1)
-
-
-STATE = "h long, c long, ctxs array<int>, cs array<long>, ts array<long>, t1 long, p1 array<double>, probs array<double>"
-ARROW_STATE = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("ctxs", pa.list_(pa.int32())), ("cs", pa.list_(pa.int64())), ("ts", pa.list_(pa.int64())), ("t1", pa.int64()), ("p1", pa.list_(pa.float64())), ("probs", pa.list_(pa.float64()))])
-
+        rest = (STRENGTH + self.parent_discount * self.parent_tables) / (STRENGTH + self.total)
+        return np.maximum(customers - self.parent_discount * tables, 0) / (STRENGTH + self.total) + rest / (self.known + 1)
+
+
+def _find(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in ascending values, or -1."""
+    if not len(values):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    return np.where(values[at] == x, at, -1)
+
+
+def _sums(state: dict, places: int) -> list[int]:
+    """The sums of a bucket that :class:`Totals` splits."""
+    rare, head = state["ctx"] < 0, state["place"] >= 0
+    tables = state["still_ctx"] + np.bincount(state["ctx"][~rare], state["ts"][~rare], places + 1).astype(np.int64)
+    apart = state["still_head"] + np.bincount(state["w"], state["bt"], places).astype(np.int64)
+    here, roots = np.zeros(places, np.int64), np.zeros(places, np.int64)
+    here[state["place"][head]] = (np.bincount(state["word"], state["ts"], len(state["h"])) + state["still"])[head]
+    roots[state["place"][head]] = state["t1"][head]
+    rest = [state["still_rest"] + int(state["ts"][rare].sum()), state["roots"] + int(state["t1"].sum()), *state["counted"]]
+    return np.concatenate((tables, apart, here, roots, rest)).astype(np.int64).tolist()
+
+
+def _asked(state: dict, part: int, parts: int, singles: np.ndarray | None = None) -> list[dict]:
+    """What the buckets of rare contexts need and are asked: the tables of rare words there."""
+    rare = state["ctx"] < 0
+    u, t = state["u"][rare], state["ts"][rare]
+    if singles is None:
+        singles = np.empty(0, np.int64)
+    names, at = np.unique(np.concatenate((u, singles)), return_inverse=True)
+    tables, still = np.bincount(at[: len(u)], t, len(names)).astype(np.int64), np.bincount(at[len(u) :], minlength=len(names))
+    to = _part(names, parts)
+    out = [_row(k, "tables", (names[to == k], _small(tables[to == k]), _small(still[to == k])), part) for k in np.unique(to).tolist()]
+    return [*out, _row(part, "own", (state["h"], state["fixed"] + np.bincount(state["node"], state["bt"], len(state["h"])).astype(np.int64)))]
+
+
+def _built(contexts: dict[int, int], counts: list[int], parts: int) -> Callable:
+    """A bucket from the counts: all dishes, and the state of those that move, with one table each."""
+    names = np.array(list(_heads(contexts)), np.int64)
+    often, places = np.array(counts, np.int64), len(names)
+
+    def run(part: int, found: dict[str, list]) -> list[dict]:
+        (w0, x0, c0), (u1, x1, c1), (w2, x2, c2) = (_merged(found["pairs"], kind) for kind in (0, 1, 2))
+        h = np.unique(np.concatenate((w0, w2, names[(_part(names, parts) == part) & (often > 0)])))
+        by_name = np.argsort(names)
+        place = _find(names[by_name], h)
+        place = np.where(place >= 0, by_name[place], -1)
+        word = np.searchsorted(h, np.concatenate((w0, w2)))
+        order = np.argsort(word, kind="stable")
+        word, c = word[order], np.concatenate((c0, c2))[order]
+        ctx, u = np.concatenate((x0, np.full(len(x2), -1)))[order], np.concatenate((np.zeros(len(x0), np.int64), x2))[order]
+        node = np.searchsorted(h, u1)
+        many = np.where(place >= 0, often[place], np.bincount(word, c, len(h)).astype(np.int64))
+        moving = np.flatnonzero(many > 1)
+        new = np.full(len(h), -1)
+        new[moving] = np.arange(len(moving))
+        live, apart, rare = c > 1, c1 > 1, ctx < 0
+        dishes = np.bincount(word, minlength=len(h))[place < 0]
+        state = {
+            "h": h[moving], "place": place[moving], "c": many[moving], "t1": np.ones(len(moving), np.int64), "samples": [],
+            "still": np.bincount(word[~live], minlength=len(h))[moving], "fixed": np.bincount(node[~apart], minlength=len(h))[moving],
+            "word": new[word[live]], "ctx": ctx[live], "u": u[live], "cs": c[live], "ts": np.ones(int(live.sum()), np.int64), "sum": np.zeros(int(live.sum()), np.int64),
+            "node": new[node[apart]], "w": x1[apart], "bc": c1[apart], "bt": np.ones(int(apart.sum()), np.int64), "bsum": np.zeros(int(apart.sum()), np.int64),
+            "still_ctx": np.bincount(ctx[~live & ~rare], minlength=places + 1), "still_head": np.bincount(x1[~apart], minlength=places), "still_rest": int((~live & rare).sum()), "roots": len(h) - len(moving),
+            "counted": [int((c == k).sum() + (c1 == k).sum()) for k in (1, 2)] + [int((dishes == k).sum()) for k in (1, 2)],
+        }
+        static = {"h": h, "place": place, "c": _small(many), "word": _runs(word), "ctx": (ctx + 1).astype(np.int16), "u": u[rare], "cs": _small(c), "node": _runs(node), "w": _small(x1), "bc": _small(c1)}
+        return [_row(part, "static", static), _row(part, "state", state), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts, u[~live & rare])]
+
+    return run
+
+
+def _answered(part: int, found: dict[str, list]) -> list[dict]:
+    """The tables of a bucket's contexts, to itself and to the buckets that have dishes there."""
+    h, tables = found["own"][0][1]
+    still = np.zeros(len(h), np.int64)
+    met = []
+    for sender, (u, t, s) in found.get("tables", []):
+        at = _find(h, u)  # a context with one customer doesn't move
+        np.add.at(still, at[at >= 0], s[at >= 0])
+        np.add.at(tables, at[at >= 0], t[at >= 0].astype(np.int64) + s[at >= 0])
+        met.append((sender, u[t > 0], at[t > 0]))
+    return [_row(part, "self", (tables, still)), *(_row(sender, "totals", (u, _small(tables[at])), part) for sender, u, at in met)]
+
+
+def _swept(totals: Totals, places: int, parts: int, step: int, sample: bool, seat: bool) -> Callable:
+    """One pass over a bucket: with ``sample``, keeps the present seats; with ``seat``, seats all customers again, else
+    gives the finished bucket and the dishes of frequent words. The first sweep begins with the tables that customers in a row take on average."""
+    d, d1 = discounts = totals.discount, totals.parent_discount
+
+    def run(part: int, found: dict[str, list]) -> list[dict]:
+        state, (tu, still) = found["state"][0][1], found["self"][0][1]
+        if step == 1:
+            state["fixed"] = state["fixed"] + still
+        h, place, word, ctx, cs, ts, node, w, bc, bt = (state[x] for x in ("h", "place", "word", "ctx", "cs", "ts", "node", "w", "bc", "bt"))
+        n, rare = len(h), ctx < 0
+        whole = totals.tables[ctx]
+        if rare.any():
+            names, tables = (np.concatenate(x) for x in zip(*(y for _, y in found["totals"]), strict=True))
+            order = np.argsort(names)
+            whole[rare] = tables[order][np.searchsorted(names[order], state["u"][rare])]
+        stay = state["still"] + np.where(place >= 0, totals.apart[place], 0).astype(np.int64)
+        c1 = np.bincount(word, ts, n).astype(np.int64) + stay
+        t1 = np.minimum(state["t1"], c1)
+        if sample:
+            state["samples"].append((_small(c1), _small(t1), _small(tu)))
+            state["sum"], state["bsum"] = state["sum"] + ts, state["bsum"] + bt
+        if not seat:
+            return _finished(part, state, found["static"][0][1])
+        names = np.where(rare, state["u"], ctx).view(np.uint64)
+        seed = splitmix(h.view(np.uint64)[word] ^ splitmix((names << np.uint64(8)) + np.uint64(step)))
+        roots = splitmix(h.view(np.uint64) ^ splitmix(np.full(n, step, np.uint64)))
+        apart = splitmix(~h.view(np.uint64)[node] ^ splitmix((w.astype(np.uint64) << np.uint64(8)) + np.uint64(step)))
+        others, chance = np.maximum(whole - ts, 0), totals.parent(totals.head_customers, totals.head_tables)[w]
+        rest = np.maximum(tu[node] - bt, 0)
+        if step == 1:
+            unit = lambda x: (x >> np.uint64(11)).astype(float) / float(1 << 53)
+            ts = first_tables(cs, (STRENGTH + d * whole) * totals.parent(c1, t1)[word], d, unit(seed))
+            t1 = first_tables(np.bincount(word, ts, n).astype(np.int64) + stay, np.full(n, (STRENGTH + d1 * totals.parent_tables) / (totals.known + 1)), d1, unit(roots))
+            bt = first_tables(bc, (STRENGTH + d * tu[node]) * chance, d, unit(apart))
+        state["ts"], state["t1"] = reseated(word, cs, ts, t1, others, (totals.total, totals.parent_tables), totals.known, discounts, seed, stay, roots)
+        state["bt"] = moved(bc, bt, rest, chance, d, apart)
+        return [_row(part, "state", state), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts)]
+
+    return run
+
+
+def _finished(part: int, state: dict, static: dict) -> list[dict]:
+    """All dishes of a bucket with the sums of their tables over the samples, all words with their seats in each, and
+    apart the dishes of frequent words."""
+    many, samples = static["c"].astype(np.int64), len(state["samples"])
+    seats = []
+    for k in range(3):
+        x = np.ones((len(many), samples), np.int64)
+        x[many > 1] = np.stack([s[k] for s in state["samples"]], 1).reshape(-1, samples)
+        seats.append(_small(x))
+    word, c, ctx = np.repeat(*static["word"]), static["cs"], static["ctx"].astype(np.int64) - 1
+    sums, apart = np.full(len(c), samples, np.int64), np.full(len(static["bc"]), samples, np.int64)
+    sums[c > 1], apart[static["bc"] > 1] = state["sum"], state["bsum"]
+    head = np.repeat(static["place"], np.bincount(word, minlength=len(many))) >= 0
+    some = np.flatnonzero(static["place"] >= 0)
+    frequent = {"h": static["h"][some], "place": static["place"][some], "c": many[some], "seats": [x[some] for x in seats], "word": _small(np.searchsorted(some, word[head])), "ctx": _small(ctx[head]), "cs": _small(c[head]), "sum": _small(sums[head])}
+    kept = {"h": static["h"], "c": static["c"], "seats": seats, "word": _runs(word[~head]), "ctx": (ctx[~head] + 1).astype(np.int16), "u": static["u"], "cs": c[~head], "sum": _small(sums[~head]), "node": static["node"], "w": static["w"], "bc": static["bc"], "bsum": _small(apart)}
+    return [_row(part, "bucket", kept), _row(part, "contexts", (kept["h"], kept["c"], seats[2])), _row(part, "heads", frequent)]
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The batches put together until they have ``most`` rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if any(x.num_rows for x in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
+class Model:
+    """A trained model: its buckets, and what goes to every task."""
 
-def _sweep(words: DataFrame, many: int, totals: Totals | None, step: int, sample: bool, seat: bool) -> DataFrame:
-    """One pass over the word table, whose tasks each add a row without a word that has the sums of their tables: with ``sample``, adds the predictive probabilities of the present seats to p1 and
-    probs (sums over samples); with ``seat``, seats all customers again. Without totals everybody is seated at one table
-    a dish; the first sweep begins with the tables that customers in a row take on average."""
+    def __init__(self, buckets: DataFrame, n: int, known: int, contexts: dict[int, int], counts: list[int], parts: int, samples: list[Totals], discounts: tuple[float, float]) -> None:
+        self.buckets, self.n, self.known, self.contexts, self.counts, self.parts, self.samples, self.discounts = buckets, n, known, contexts, np.array(counts), parts, samples, discounts
+        self.backoffs = [x.backoff.tolist() for x in samples]
+        self.unknown = [float(x.parent(np.zeros(1), np.zeros(1))[0]) for x in samples]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, roots = np.zeros(many, np.int64), 0
-        for batch in _gathered(batches, WORDS):
-            h, c = batch.column("h").to_numpy(), batch.column("c").to_numpy()
-            lists = batch.column("ctxs")
-            ctx, cs = lists.flatten().to_numpy(), batch.column("cs").flatten().to_numpy()
-            size = np.diff(lists.offsets.to_numpy())
-            first = np.concatenate(([0], np.cumsum(size)[:-1]))
-            word = np.repeat(np.arange(len(h)), size)
-            if totals is None:
-                ts, t1 = np.ones_like(cs), np.ones_like(c)
-                p1, probs = np.empty((len(h), 0)), np.zeros(len(cs))
-            else:
-                ts, t1 = batch.column("ts").flatten().to_numpy(), batch.column("t1").to_numpy()
-                p1, probs = batch.column("p1").flatten().to_numpy().reshape(len(h), -1), batch.column("probs").flatten().to_numpy()
-                c1 = np.add.reduceat(ts, first)
-                if sample:
-                    now = totals.parent(c1, t1)
-                    p1 = np.hstack((p1, now[:, None]))
-                    own = np.maximum(cs - totals.discount * ts, 0) / (STRENGTH + totals.customers[ctx])
-                    probs = probs + own + totals.backoff[ctx] * now[word]
-                if seat:
-                    seed = splitmix(h.view(np.uint64)[word] ^ splitmix((ctx.astype(np.uint64) << np.uint64(8)) + np.uint64(step)))
-                    others = np.maximum(totals.tables[ctx] - ts, 0)
-                    parents, discounts = (float(totals.tables.sum()), totals.parent_tables), (totals.discount, totals.parent_discount)
-                    if step == 1:
-                        u = (seed >> np.uint64(11)).astype(float) / float(1 << 53)
-                        ts = first_tables(cs, (STRENGTH + totals.discount * totals.tables[ctx]) * totals.parent(c1, t1)[word], totals.discount, u)
-                        t1 = first_tables(np.add.reduceat(ts, first), np.full(len(h), (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.known + 1)), totals.parent_discount, u[first])
-                    ts, t1 = reseated(word, cs, ts, t1, others, parents, totals.known, discounts, seed)
-            sums += np.bincount(ctx, ts, many).astype(np.int64)
-            roots += int(t1.sum())
-            listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(values, kind))
-            samples = pa.ListArray.from_arrays(pa.array(np.arange(0, p1.size + 1, p1.shape[1], dtype=np.int32) if p1.shape[1] else np.zeros(len(h) + 1, np.int32)), pa.array(p1.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(c), listed(ctx, pa.int32()), listed(cs, pa.int64()), listed(ts, pa.int64()), pa.array(t1), samples, listed(probs, pa.float64())],
-                names=["h", "c", "ctxs", "cs", "ts", "t1", "p1", "probs"],
-            )
-        task = {"h": None, "c": 0, "ctxs": [], "cs": [], "ts": sums.tolist(), "t1": roots, "p1": [], "probs": []}
-        yield pa.RecordBatch.from_pylist([task], schema=ARROW_STATE)
-
-    return words.mapInArrow(run, STATE)
-
-
-def _totals(written: DataFrame, customers: np.ndarray, known: int, discounts: tuple[float, float] | None) -> Totals:
-    tables = np.zeros(len(customers))
-    tasks = written.where("h is null")
-    for ctx, t in tasks.select(F.posexplode("ts")).groupBy("pos").agg(F.sum("col")).collect():  # a row a restaurant
-        tables[ctx] = t
-    roots = tasks.agg(F.coalesce(F.sum("t1"), F.lit(0))).first()[0]
-    if discounts is None:  # absolute discounts from how many dishes have one and two customers
-        below = F.aggregate("ts", F.lit(0).cast("long"), lambda a, x: a + x)
-        pairs = lambda k: F.coalesce(F.sum(F.size(F.filter("cs", lambda x: x == k))), F.lit(0))
-        row = written.where("h is not null").agg(F.count_if(below == 1), F.count_if(below == 2), pairs(1), pairs(2)).first()
-        rate = lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a + b else 0.5
-        discounts = rate(row[2], row[3]), rate(row[0], row[1])
-    return Totals(customers, tables, roots, known, discounts)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"buckets": None}  # tasks get the figures only
 
+    def roots(self, seats: list[np.ndarray]) -> np.ndarray:
+        """The parent's probability of words, by sample."""
+        return np.stack([x.parent(seats[0][:, k].astype(float), seats[1][:, k]) for k, x in enumerate(self.samples)], 1)
 
-class Model:
-    """A trained model: its word table, and what goes to every task."""
+    def own(self, cs: np.ndarray, sums: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """What dishes themselves add to the probability in a restaurant, summed over the samples."""
+        return np.maximum(len(self.samples) * cs.astype(float) - self.discounts[0] * sums, 0) / (STRENGTH + customers)
 
-    def __init__(self, words: DataFrame, n: int, known: int, contexts: dict[int, int], backoffs: list[list[float]], unknown: list[float], discounts: tuple[float, float]) -> None:
-        self.words, self.n, self.known, self.contexts, self.backoffs, self.unknown, self.discounts = words, n, known, contexts, backoffs, unknown, discounts
+    @property
+    def words(self) -> DataFrame:
+        """(h, c, ctxs, probs, p1): the words, in which frequent contexts they occur and with which probabilities there
+        and in the parent, summed over the samples and by sample."""
+        backoff, customers = np.array(self.backoffs), self.samples[0].customers
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for what, blob in zip(batch.column("what").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    x = pickle.loads(blob)  # noqa: S301
+                    word, p1 = x["word"] if what == "heads" else np.repeat(*x["word"]), self.roots(x["seats"])
+                    ctx = x["ctx"].astype(np.int64) - (what != "heads")
+                    met = ctx >= 0
+                    word, ctx = word[met], ctx[met]
+                    probs = self.own(x["cs"][met], x["sum"][met], customers[ctx]) + (backoff[:, ctx].T * p1[word]).sum(1)
+                    cuts = np.searchsorted(word, np.arange(1, len(x["h"])))
+                    shown = x["place"] >= 0 if what == "heads" else _find(np.sort(names), x["h"]) < 0
+                    table = pa.table({"h": pa.array(x["h"]), "c": pa.array(x["c"].astype(np.int64)), "ctxs": [y.tolist() for y in np.split(ctx.astype(np.int32), cuts)][: len(x["h"])], "probs": [y.tolist() for y in np.split(probs, cuts)][: len(x["h"])], "p1": p1.tolist()}, schema=kind)
+                    yield from table.filter(pa.array(shown)).to_batches()
+
+        names = np.array(list(_heads(self.contexts)), np.int64)
+        kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("ctxs", pa.list_(pa.int32())), ("probs", pa.list_(pa.float64())), ("p1", pa.list_(pa.float64()))])
+        return self.buckets.where("what in ('bucket', 'heads')").mapInArrow(rows, "h long, c long, ctxs array<int>, probs array<double>, p1 array<double>")
 
 
 def train(documents: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> Model:
     """A model of the rows (text, held_out) that are not held out."""
     alone = written(_occurrences(documents), "unigrams")
     n, known = alone.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = [r[0] for r in alone.where(F.col("c") * CONTEXTS >= n).where(F.col("h") != _hash(END)).orderBy(F.desc("c"), "h").select("h").collect()]  # at most CONTEXTS
-    contexts = {h: k for k, h in enumerate(often)}
-    pairs = _pairs(documents, contexts).groupBy("h").agg(F.sum("c").alias("c"), F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("z"))  # at most a place per context
-    empty = F.expr("cast(array() as array<double>)")
-    rows = pairs.select("h", "c", F.col("z.ctx").alias("ctxs"), F.col("z.c").alias("cs"), F.col("z.c").alias("ts"), F.col("c").alias("t1"), empty.alias("p1"), empty.alias("probs"))
-    many = len(contexts) + 2
-    words = written(_sweep(rows, many, None, 0, False, False), "words")
+    often = alone.where((F.col("c") * HEAD >= n) | (F.col("h") == _hash(END))).orderBy(F.desc("c"), "h").collect()  # at most HEAD + 1
+    contexts = {h: k for k, h in enumerate(r.h for r in often if r.h != _hash(END))}
+    counts = [*(r.c for r in often if r.h != _hash(END)), sum(r.c for r in often if r.h == _hash(END))]
     delete(documents.sparkSession, alone)
-    customers = np.zeros(many)
-    for ctx, c in words.select(F.explode(F.arrays_zip("ctxs", "cs")).alias("z")).groupBy("z.ctxs").agg(F.sum("z.cs")).collect():
-        customers[ctx] = c
-    totals = _totals(words, customers, known, None)
-    discounts = totals.discount, totals.parent_discount
-    backoffs, unknown = [], []
+    places, parts = len(counts), max(min(BUCKETS, 1 + n // SPARSE), -(-n // BUCKET))
+    customers = np.array([*counts, 0])  # the start is the context of as many tokens as there are ends
+    rows = written(_by_part(_sent(documents, contexts, parts), _built(contexts, counts, parts)), "words")
+    static = rows.where("what = 'static'")
+
+    def totals(table: DataFrame, discounts: tuple[float, float] | None) -> Totals:
+        sums = np.zeros(4 * places + 7)
+        for k, x in table.where("what = 'sums'").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():
+            sums[k] = x
+        return Totals(customers, sums, known, discounts)
+
+    now = totals(rows, None)
+    discounts, samples, first = (now.discount, now.parent_discount), [], rows
     for step in range(1, sweeps + 2):
-        sample = step - 1 > burn
+        sample, seat = step - 1 > burn, step <= sweeps
         if sample:
-            backoffs.append(totals.backoff.tolist())
-            unknown.append(float(totals.parent(np.zeros(1), np.zeros(1))[0]))
-        after = written(_sweep(words.where("h is not null"), many, totals, step, sample, step <= sweeps), "words")
-        delete(documents.sparkSession, words)
-        words = after
-        if step <= sweeps:
-            totals = _totals(words, customers, known, discounts)
-    return Model(words.where("h is not null"), n, known, contexts, backoffs, unknown, discounts)
+            samples.append(now)
+        met = rows.where("what = 'state'").unionByName(_by_part(rows.where("what in ('tables', 'own')"), _answered))
+        after = written(_by_part(met if seat else met.unionByName(static), _swept(now, places, parts, step, sample, seat)), "words")
+        if rows is not first:
+            delete(documents.sparkSession, rows)
+        rows = after
+        if seat:
+            now = totals(rows, discounts)
+    delete(documents.sparkSession, first)
+    return Model(rows, n, known, contexts, counts, parts, samples, discounts)
+
+
+def _known_contexts(part: int, found: dict[str, list]) -> list[dict]:
+    """Customers and, by sample, tables of the contexts that the buckets ask for, once for each of these."""
+    if "asks" not in found:
+        return []
+    to, u = (np.concatenate(x) for x in zip(*(y for _, y in found["asks"]), strict=True))
+    order = np.lexsort((u, to))
+    to, u = to[order], u[order]
+    once = np.concatenate(([True], (to[1:] != to[:-1]) | (u[1:] != u[:-1])))
+    to, u = to[once], u[once]
+    h, c, tables = found["contexts"][0][1] if "contexts" in found else (np.empty(0, np.int64),) * 3
+    at = _find(h, u)
+    out = []
+    for k in np.unique(to).tolist():
+        mine = (to == k) & (at >= 0)
+        if mine.any():
+            out.append(_row(k, "answers", (u[mine], _small(c[at[mine]]), _small(tables[at[mine]])), part))
+    return out
+
+
+def _looked_up(model: Model) -> Callable:
+    """What the tokens of a bucket's dishes add to their texts, by chunk."""
+    samples, backoff = len(model.samples), np.array(model.backoffs)
+    customers, unknown, d = model.samples[0].customers, np.array(model.unknown), model.discounts[0]
+    tops = np.stack([x.parent(x.head_customers, x.head_tables) for x in model.samples], 1)  # of frequent words
+    mixed = lambda a, b: splitmix(a.view(np.uint64) ^ splitmix(b.view(np.uint64)))
+    left = lambda tables, c: (STRENGTH + d * tables) / (STRENGTH + c.astype(float))[:, None]
+
+    def run(part: int, found: dict[str, list]) -> list[dict]:
+        none = np.empty(0, np.int64)
+        seats = [np.empty((0, samples), np.int64)] * 3
+        x = found["bucket"][0][1] if "bucket" in found else {"h": none, "c": none, "seats": seats, "word": (none, none), "ctx": none, "u": none, "cs": none, "sum": none, "node": (none, none), "w": none, "bc": none, "bsum": none}
+        # the last row is that of what isn't known
+        h, c = x["h"], np.append(x["c"].astype(np.int64), 0)
+        p1, leaves = np.vstack((model.roots(x["seats"]), unknown)), np.vstack((left(x["seats"][2], c[:-1]), np.ones(samples)))
+        answers = found.get("answers", [])
+        names = np.concatenate([none, *(y[0] for _, y in answers)])
+        order = np.argsort(names)
+        names = names[order]
+        met = np.append(np.concatenate([none, *(y[1] for _, y in answers)])[order], 0)
+        far = np.vstack((left(np.concatenate([np.empty((0, samples)), *(y[2] for _, y in answers)])[order], met[:-1]), np.ones(samples)))
+        word, ctx = np.repeat(*x["word"]), x["ctx"].astype(np.int64) - 1
+        rare = ctx < 0
+        keys = [mixed(h[word[~rare]], ctx[~rare]), mixed(h[np.repeat(*x["node"])], x["w"].astype(np.int64)), mixed(h[word[rare]], x["u"])]
+        kept = [(x["cs"][~rare], x["sum"][~rare]), (x["bc"], x["bsum"]), (x["cs"][rare], x["sum"][rare])]
+        sort = [np.argsort(y) for y in keys]
+        keys = [y[o] for y, o in zip(keys, sort, strict=True)]
+        kept = [(a[o], b[o]) for (a, b), o in zip(kept, sort, strict=True)]
+        out = []
+        for chunk, (texts, content) in found.get("tokens", []):
+            total = np.zeros((3, texts))
+            for kind, (owners, runs, other, size, text) in content.items():
+                first, other = np.repeat(_find(h, owners), runs), other.astype(np.int64)  # -1: the last row
+                if kind == 0:
+                    share, root, many, count = backoff[:, other].T, p1[first], customers[other], c[first]
+                elif kind == 1:
+                    share, root, many, count = leaves[first], tops[other], c[first], model.counts[other]
+                else:
+                    at = _find(names, other)
+                    share, root, many, count = far[at], p1[first], met[at], c[first]
+                prob = (share * root).sum(1)
+                at = _find(keys[kind], mixed(np.repeat(owners, runs), other))
+                hit = np.flatnonzero(at >= 0)
+                prob[hit] += model.own(kept[kind][0][at[hit]], kept[kind][1][at[hit]], many[hit])
+                for k, value in enumerate((count > 0, np.log10(count + 0.1), np.log10(prob / samples))):
+                    total[k] += np.bincount(text, np.repeat(value.astype(float), size), texts)
+            out.append(_row(part, "sums", total, chunk))
+        return out
+
+    return run
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The rows of a chunk's texts, from what each bucket adds."""
+    what, part = table["what"].to_pylist(), table["part"].to_pylist()
+    own = what.index("texts")
+    counts, sums = pickle.loads(table["blob"][own].as_py())  # noqa: S301
+    for k in sorted((k for k in range(len(what)) if k != own), key=part.__getitem__):
+        sums = sums + pickle.loads(table["blob"][k].as_py())  # noqa: S301
+    keys = table["keys"].chunk(0) if table["keys"].num_chunks == 1 else pa.concat_arrays(table["keys"].chunks)
+    return pa.table([keys[own].values, pa.array(counts.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "n_tokens", "n_known", "base", "score"])
 
 
 def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, base (sum of log10(c + 0.1)) and score of every row."""
     kind = documents.schema[key].dataType
-    samples = len(model.backoffs)
-    backoff = np.array(model.backoffs).reshape(samples, -1)
-    head: dict[int, tuple[float, list[float]]] = {}
-    others = len(model.contexts) + 2
-    for h, c, ctxs, probs, p1 in model.words.where(F.col("c") * HEAD >= model.n).select("h", "c", "ctxs", "probs", "p1").collect():  # fewer than HEAD rows
-        row = (np.array(p1) @ backoff) / samples
-        row[np.array(ctxs, int)] = np.array(probs) / samples
-        head[h] = float(np.log10(c + 0.1)), np.log10(row).astype(np.float32)
-    contexts, shared = model.contexts, documents.sparkSession.sparkContext.broadcast(head)
-    start = others - 2
+    samples, parts, contexts = len(model.samples), model.parts, model.contexts
+    heads, start = _heads(contexts), len(contexts)
+    backoff, customers = np.array(model.backoffs).reshape(samples, -1), model.samples[0].customers
+    # pairs of frequent words
+    table = np.tile(np.log10(np.array(model.unknown) @ backoff[:, : start + 1] / samples).astype(np.float32), (start + 1, 1))
+    for r in model.buckets.where("what = 'heads'").select("blob").collect():  # fewer than (HEAD + 1) ** 2 dishes
+        x = pickle.loads(r.blob)  # noqa: S301
+        if len(x["h"]):
+            p = model.roots(x["seats"]) @ backoff[:, : start + 1]
+            p[x["word"], x["ctx"]] += model.own(x["cs"], x["sum"], customers[x["ctx"]])
+            table[x["place"]] = np.log10(p / samples)
+    base, is_known = np.log10(model.counts + 0.1), (model.counts > 0).astype(float)
+    shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
-        place = {h: k for k, h in enumerate(top)}
-        base = np.array([x for x, _ in top.values()])
-        table = np.array([x for _, x in top.values()], np.float32).reshape(len(top), others)
-        seen = Seen(place, contexts)
-        for batch, at, counts in _grouped(batches, 1, seen):
-            head_at, ctx = seen.found[0][at], _before(seen.found[1][at], counts, start)
-            rids, keys = batch.column(0).to_numpy(), batch.column(2)
-            text = np.repeat(np.arange(len(counts)), counts)
-            rare = head_at < 0
-            mine, theirs = head_at[~rare], ctx[~rare]
-            # a row for each text, with the sums of its frequent words, and one for each of its other tokens
-            total = lambda values: np.bincount(text[~rare], values, len(counts))
-            many = int(rare.sum())
-            none, zeros = pa.nulls(many, keys.type), np.zeros(many)
-            columns = [
-                np.concatenate((rids, rids[text[rare]])), np.concatenate((splitmix(rids.astype(np.uint64)).view(np.int64), seen.hashes[at[rare]])), np.concatenate((np.full(len(counts), -1), ctx[rare])).astype(np.int32),
-                np.concatenate((total(None), np.ones(many))).astype(np.int32), np.concatenate((total(base[mine]), zeros)), np.concatenate((total(table[mine, theirs].astype(float)), zeros)),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([keys, none]), *map(pa.array, columns)], names=["key", "rid", "h", "ctx", "n", "base", "score"])
-
-    numbered = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"), F.col(key).alias("key"))
-    rows = numbered.mapInArrow(run, f"key {kind.simpleString()}, rid long, h long, ctx int, n int, base double, score double")
-    tail = model.words.where(F.col("c") * HEAD < model.n).select(F.col("h").alias("_h"), "c", "ctxs", "probs", "p1")
-    met = rows.join(tail.hint("shuffle_hash"), F.col("h") == F.col("_h"), "left")  # a row a word: it needs no sort of the tokens
-    token = F.col("ctx") >= 0
-    known = token & F.col("c").isNotNull()
-    at = F.array_position("ctxs", F.col("ctx"))
-    # of an unseen pair: what its context leaves, times the parent's probability, averaged over the samples
-    left = sum((F.get(F.lit(b), F.col("ctx")) * F.coalesce(F.get("p1", F.lit(s)), F.lit(model.unknown[s])) for s, b in enumerate(model.backoffs)), F.lit(0.0))
-    prob = F.when(at > 0, F.get("probs", (at - 1).cast("int"))).otherwise(left) / samples
-    return met.groupBy("rid").agg(
-        F.max("key").alias("key"),  # stands in one row of each text
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(~token, F.col("n")).when(known, F.lit(1)).otherwise(0)).alias("n_known"),
-        F.sum(F.when(token, F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(token, F.log10(prob)).otherwise(F.col("score"))).alias("score"),
-    )
+        top, task = shared.value, TaskContext.get().partitionId()
+        for number, (rows, at, before, counts, hashes, found) in enumerate(_chunks(batches, 0, heads)):
+            chunk, texts = task << 24 | number, len(counts)
+            word, ctx = found[at], np.where(before < 0, start, found[before])
+            text, near = np.repeat(np.arange(texts, dtype=np.int32), counts), (word >= 0) & (ctx >= 0)
+            mine, theirs, here = word[near], ctx[near], text[near]
+            sums = np.stack([np.bincount(here, y, texts) for y in (is_known[mine], base[mine], top[mine, theirs].astype(float))])
+            out = [_row(0, "texts", (counts, sums), chunk)]
+            # of others the texts of a pair, by its dish
+            pair = _pair(at[~near], before[~near], len(hashes))
+            sort = np.argsort(pair, kind="stable")
+            text = text[~near][sort]
+            key, size = _runs(pair[sort])
+            del at, before, word, ctx, mine, theirs, here, pair, sort
+            group, owner, other = _dishes(key, hashes, found, start, parts)
+            order, size = np.argsort(group, kind="stable"), size.astype(np.int64)
+            first = (np.cumsum(size) - size)[order]
+            group, owner, other, before, size = group[order], owner[order], other[order], (key % (len(hashes) + 1) - 1)[order], size[order]
+            ends = np.cumsum(size)
+            text = _small(text[np.repeat(first - ends + size, size) + np.arange(len(text))])
+            ends = np.concatenate(([0], ends))
+            content: dict[int, dict] = {}
+            for part, which, s in _cut(group):
+                content.setdefault(part, {})[which] = (*_runs(owner[s]), other[s] if which == 2 else _small(other[s]), _small(size[s]), text[ends[s.start] : ends[s.stop]])
+            out += [_row(part, "tokens", (texts, x), chunk) for part, x in content.items()]
+            far = group % 3 == 2
+            asks = np.unique(before[far] * parts + group[far] // 3)
+            names, to = hashes[asks // parts], _small(asks % parts)
+            at = _part(names, parts)
+            out += [_row(k, "asks", (to[at == k], names[at == k]), chunk) for k in np.unique(at).tolist()]
+            keys = pa.concat_arrays([x.column(1) for x in rows])
+            listed = pa.array([keys.to_pylist(), *[None] * (len(out) - 1)], pa.list_(keys.type))
+            yield from _rows(out).append_column("keys", listed).to_batches(max_chunksize=16)
+
+    name = f"{ROW}, keys array<{kind.simpleString()}>"
+    buckets, frame = model.buckets.where("what = 'bucket'"), documents.select(F.col(text).alias("text"), F.col(key).alias("key"))
+    done = []
+    for k in range(SLICES):  # what is sent for all texts at once is too much for the disk
+        sent = written(frame.where(F.pmod(F.xxhash64("key", "text"), F.lit(SLICES)) == k).mapInArrow(run, name), "tokens")
+        rows = sent.drop("keys")
+        answers = _by_part(rows.where("what = 'asks'").unionByName(model.buckets.where("what = 'contexts'")), _known_contexts)
+        found = _by_part(rows.where("what = 'tokens'").unionByName(buckets).unionByName(answers), _looked_up(model))
+        totals = sent.where("what = 'texts'").unionByName(found.withColumn("keys", F.lit(None).cast(f"array<{kind.simpleString()}>")))
+        done.append(written(totals.groupBy("chunk").applyInArrow(_total, f"key {kind.simpleString()}, n_tokens long, n_known long, base double, score double"), "scores"))
+        delete(documents.sparkSession, sent)
+    return reduce(DataFrame.unionByName, done)
 
 
 def op10(documents: DataFrame) -> DataFrame:
