@@ -60,13 +60,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/corpuswright/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of executors."""
+def written(df: DataFrame, label: str, **options: object) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, and survives the loss of executors. ``options``: of the writer."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     before = spark.conf.get(TIDY, None)
     spark.conf.set(TIDY, "true")  # the shuffles of a table that is written go at once, not when the driver collects garbage
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,9 @@ Scoring reads the corpus again. Pairs of frequent words are looked up in a table
 of their dish, to which the tasks send the pairs of a stretch of text once each, for a share of 1 / SLICES of the texts
 at a time.
 
+Rows of arrays pass the JVM in pieces of PIECE bytes, in row groups of GROUP_ROWS and batches of as many, so that its memory
+does not depend on how large a bucket is.
+
 Defined results: a null text is empty and has one token, its end; a null doc_id is held out; repeated rows are scored
 each; without training tokens every token is unknown with probability 1; an empty table gives an empty result.
 Words are known by 64-bit hashes.
@@ -36,6 +39,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +64,9 @@ EXACT = 384  # customers up to which the chance to sit alone is tabulated; beyon
 FLUSH = 500_000  # distinct words a task holds
 GROUP = 1 << 20  # bytes of texts a task works on at once
 PAIRS = 1_000_000  # tokens whose pairs are counted together
+PIECE = 1 << 17  # bytes of a bucket's content in a row
+GROUP_ROWS = 128  # pieces read or sent at once
+LAYOUT = {"parquet.block.row.count.limit": GROUP_ROWS, "parquet.page.row.count.limit": 8, "parquet.page.size.row.check.min": 8}
 END = b"\n"  # no word holds a blank
 STRENGTH = 1.0  # of every restaurant
 
@@ -130,8 +137,8 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     return documents.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-ROW = "part int, what string, chunk long, blob binary, sums array<long>"
-ARROW_ROW = pa.schema([("part", pa.int32()), ("what", pa.string()), ("chunk", pa.int64()), ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
+ROW = "part int, what string, chunk long, piece int, blob binary, sums array<long>"
+ARROW_ROW = pa.schema([("part", pa.int32()), ("what", pa.string()), ("chunk", pa.int64()), ("piece", pa.int32()), ("blob", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -143,8 +150,38 @@ def _row(part: int, what: str, content: object = None, chunk: int = 0, sums: lis
     return {"part": part, "what": what, "chunk": chunk, "blob": pickle.dumps(content, 5), "sums": sums}
 
 
-def _rows(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=ARROW_ROW)
+def _rows(rows: list[dict], keys: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces, some at once. ``keys``, if any, go with the first."""
+    schema = ARROW_ROW if keys is None else ARROW_ROW.append(pa.field("keys", pa.list_(keys.type)))
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(held, schema=schema)
+
+    for number, row in enumerate(rows):
+        for piece in range(max(1, -(-len(row["blob"]) // PIECE))):
+            blob = row["blob"][piece * PIECE : (piece + 1) * PIECE]
+            first = {"sums": row["sums"]} | ({"keys": keys.to_pylist()} if keys is not None and number == 0 else {}) if piece == 0 else {}
+            held.append(row | {"sums": None, "piece": piece, "blob": blob} | first)
+            size += len(blob)
+            if len(held) == GROUP_ROWS or size > 16 * PIECE:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _contents(table: pa.Table, by: str = "chunk") -> Iterator[tuple[str, int, object]]:
+    """What the rows hold, put together from its pieces, by kind and ``by``, ordered by these."""
+    what, number, piece, blob = (table[x].to_pylist() if x != "blob" else table[x] for x in ("what", by, "piece", "blob"))
+    order = sorted(range(len(what)), key=lambda k: (what[k], number[k], piece[k]))
+    for (kind, which), own in groupby(order, key=lambda k: (what[k], number[k])):
+        yield kind, which, pickle.loads(b"".join([blob[k].as_py() for k in own]))  # noqa: S301
+
+
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    """:func:`written` for tables whose rows are large, in small row groups."""
+    return written(rows, label, **LAYOUT)
 
 
 def _by_part(rows: DataFrame, run: Callable[[int, dict[str, list]], list[dict]]) -> DataFrame:
@@ -152,9 +189,9 @@ def _by_part(rows: DataFrame, run: Callable[[int, dict[str, list]], list[dict]])
 
     def one(table: pa.Table) -> pa.Table:
         found: dict[str, list] = {}
-        for what, chunk, blob in sorted(zip(table["what"].to_pylist(), table["chunk"].to_pylist(), table["blob"], strict=True), key=lambda x: x[:2]):
-            found.setdefault(what, []).append((chunk, pickle.loads(blob.as_py())))  # noqa: S301
-        return _rows(run(table["part"][0].as_py(), found))
+        for what, chunk, content in _contents(table):
+            found.setdefault(what, []).append((chunk, content))
+        return pa.Table.from_batches(_rows(run(table["part"][0].as_py(), found)), schema=ARROW_ROW)
 
     return rows.groupBy("part").applyInArrow(one, ROW)
 
@@ -233,7 +270,8 @@ def _sent(documents: DataFrame, contexts: dict[int, int], parts: int) -> DataFra
     heads, start = _heads(contexts), len(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, at, before, _, hashes, found in _chunks(batches, 0, heads):
+        task = TaskContext.get().partitionId()
+        for number, (_, at, before, _, hashes, found) in enumerate(_chunks(batches, 0, heads)):
             key, c = np.unique(_pair(at, before, len(hashes)), return_counts=True)
             group, owner, other = _dishes(key, hashes, found, start, parts)
             order = np.argsort(group, kind="stable")
@@ -241,7 +279,7 @@ def _sent(documents: DataFrame, contexts: dict[int, int], parts: int) -> DataFra
             content: dict[int, dict] = {}
             for part, kind, s in _cut(group[order]):
                 content.setdefault(part, {})[kind] = (*_runs(owner[s]), other[s] if kind == 2 else _small(other[s]), _small(c[s]))
-            yield from _rows([_row(part, "pairs", x) for part, x in content.items()]).to_batches()
+            yield from _rows([_row(part, "pairs", x, task << 24 | number) for part, x in content.items()])
 
     return documents.where(~F.col("held_out")).select("text").mapInArrow(run, ROW)
 
@@ -263,16 +301,17 @@ def _pairs(documents: DataFrame, contexts: dict[int, int]) -> DataFrame:
     """(h, ctx, c): how often each word occurs in each context, all without a place as one, from the rows for buckets."""
     names, rest = {k: h for h, k in _heads(contexts).items()}, len(contexts) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                for kind in (0, 1, 2):
-                    owner, other, c = _merged([(0, pickle.loads(blob))], kind)  # noqa: S301
-                    h = np.array([names[k] for k in other.tolist()], np.int64) if kind == 1 else owner
-                    ctx = other if kind == 0 else np.full(len(other), rest)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx.astype(np.int32)), pa.array(c)], names=["h", "ctx", "c"])
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for _, _, content in _contents(table):
+            for kind in (0, 1, 2):
+                owner, other, c = _merged([(0, content)], kind)
+                h = np.array([names[k] for k in other.tolist()], np.int64) if kind == 1 else owner
+                ctx = other if kind == 0 else np.full(len(other), rest)
+                out.append(pa.table([pa.array(h), pa.array(ctx.astype(np.int32)), pa.array(c)], names=["h", "ctx", "c"]))
+        return pa.concat_tables(out)
 
-    return _sent(documents, contexts, 1).mapInArrow(run, "h long, ctx int, c long").groupBy("h", "ctx").agg(F.sum("c").alias("c"))
+    return _sent(documents, contexts, 1).groupBy("chunk").applyInArrow(run, "h long, ctx int, c long").groupBy("h", "ctx").agg(F.sum("c").alias("c"))
 
 
 def first_tables(customers: np.ndarray, chance: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
@@ -612,23 +651,23 @@ class Model:
         and in the parent, summed over the samples and by sample."""
         backoff, customers = np.array(self.backoffs), self.samples[0].customers
 
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for what, blob in zip(batch.column("what").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                    x = pickle.loads(blob)  # noqa: S301
-                    word, p1 = x["word"] if what == "heads" else np.repeat(*x["word"]), self.roots(x["seats"])
-                    ctx = x["ctx"].astype(np.int64) - (what != "heads")
-                    met = ctx >= 0
-                    word, ctx = word[met], ctx[met]
-                    probs = self.own(x["cs"][met], x["sum"][met], customers[ctx]) + (backoff[:, ctx].T * p1[word]).sum(1)
-                    cuts = np.searchsorted(word, np.arange(1, len(x["h"])))
-                    shown = x["place"] >= 0 if what == "heads" else _find(np.sort(names), x["h"]) < 0
-                    table = pa.table({"h": pa.array(x["h"]), "c": pa.array(x["c"].astype(np.int64)), "ctxs": [y.tolist() for y in np.split(ctx.astype(np.int32), cuts)][: len(x["h"])], "probs": [y.tolist() for y in np.split(probs, cuts)][: len(x["h"])], "p1": p1.tolist()}, schema=kind)
-                    yield from table.filter(pa.array(shown)).to_batches()
+        def rows(bucket: pa.Table) -> pa.Table:
+            out = []
+            for what, _, x in _contents(bucket):
+                word, p1 = x["word"] if what == "heads" else np.repeat(*x["word"]), self.roots(x["seats"])
+                ctx = x["ctx"].astype(np.int64) - (what != "heads")
+                met = ctx >= 0
+                word, ctx = word[met], ctx[met]
+                probs = self.own(x["cs"][met], x["sum"][met], customers[ctx]) + (backoff[:, ctx].T * p1[word]).sum(1)
+                cuts = np.searchsorted(word, np.arange(1, len(x["h"])))
+                shown = x["place"] >= 0 if what == "heads" else _find(np.sort(names), x["h"]) < 0
+                table = pa.table({"h": pa.array(x["h"]), "c": pa.array(x["c"].astype(np.int64)), "ctxs": [y.tolist() for y in np.split(ctx.astype(np.int32), cuts)][: len(x["h"])], "probs": [y.tolist() for y in np.split(probs, cuts)][: len(x["h"])], "p1": p1.tolist()}, schema=kind)
+                out.append(table.filter(pa.array(shown)))
+            return pa.concat_tables(out)
 
         names = np.array(list(_heads(self.contexts)), np.int64)
         kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("ctxs", pa.list_(pa.int32())), ("probs", pa.list_(pa.float64())), ("p1", pa.list_(pa.float64()))])
-        return self.buckets.where("what in ('bucket', 'heads')").mapInArrow(rows, "h long, c long, ctxs array<int>, probs array<double>, p1 array<double>")
+        return self.buckets.where("what in ('bucket', 'heads')").groupBy("part").applyInArrow(rows, "h long, c long, ctxs array<int>, probs array<double>, p1 array<double>")
 
 
 def train(documents: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> Model:
@@ -641,7 +680,7 @@ def train(documents: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> Model
     delete(documents.sparkSession, alone)
     places, parts = len(counts), max(min(BUCKETS, 1 + n // SPARSE), -(-n // BUCKET))
     customers = np.array([*counts, 0])  # the start is the context of as many tokens as there are ends
-    rows = written(_by_part(_sent(documents, contexts, parts), _built(contexts, counts, parts)), "words")
+    rows = _kept(_by_part(_sent(documents, contexts, parts), _built(contexts, counts, parts)), "words")
     static = rows.where("what = 'static'")
 
     def totals(table: DataFrame, discounts: tuple[float, float] | None) -> Totals:
@@ -657,7 +696,7 @@ def train(documents: DataFrame, sweeps: int = SWEEPS, burn: int = BURN) -> Model
         if sample:
             samples.append(now)
         met = rows.where("what = 'state'").unionByName(_by_part(rows.where("what in ('tables', 'own')"), _answered))
-        after = written(_by_part(met if seat else met.unionByName(static), _swept(now, places, parts, step, sample, seat)), "words")
+        after = _kept(_by_part(met if seat else met.unionByName(static), _swept(now, places, parts, step, sample, seat)), "words")
         if rows is not first:
             delete(documents.sparkSession, rows)
         rows = after
@@ -740,11 +779,11 @@ def _looked_up(model: Model) -> Callable:
 
 def _total(table: pa.Table) -> pa.Table:
     """The rows of a chunk's texts, from what each bucket adds."""
-    what, part = table["what"].to_pylist(), table["part"].to_pylist()
-    own = what.index("texts")
-    counts, sums = pickle.loads(table["blob"][own].as_py())  # noqa: S301
-    for k in sorted((k for k in range(len(what)) if k != own), key=part.__getitem__):
-        sums = sums + pickle.loads(table["blob"][k].as_py())  # noqa: S301
+    found = {(what, part): x for what, part, x in _contents(table, "part")}
+    counts, sums = found["texts", 0]
+    for (what, _), x in found.items():
+        sums = sums + x if what == "sums" else sums
+    own = next(k for k, x in enumerate(zip(table["what"].to_pylist(), table["piece"].to_pylist(), strict=True)) if x == ("texts", 0))
     keys = table["keys"].chunk(0) if table["keys"].num_chunks == 1 else pa.concat_arrays(table["keys"].chunks)
     return pa.table([keys[own].values, pa.array(counts.astype(np.int64)), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "n_tokens", "n_known", "base", "score"])
 
@@ -757,8 +796,7 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     backoff, customers = np.array(model.backoffs).reshape(samples, -1), model.samples[0].customers
     # pairs of frequent words
     table = np.tile(np.log10(np.array(model.unknown) @ backoff[:, : start + 1] / samples).astype(np.float32), (start + 1, 1))
-    for r in model.buckets.where("what = 'heads'").select("blob").collect():  # fewer than (HEAD + 1) ** 2 dishes
-        x = pickle.loads(r.blob)  # noqa: S301
+    for _, _, x in _contents(model.buckets.where("what = 'heads'").toArrow(), "part"):  # fewer than (HEAD + 1) ** 2 dishes
         if len(x["h"]):
             p = model.roots(x["seats"]) @ backoff[:, : start + 1]
             p[x["word"], x["ctx"]] += model.own(x["cs"], x["sum"], customers[x["ctx"]])
@@ -797,15 +835,13 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
             names, to = hashes[asks // parts], _small(asks % parts)
             at = _part(names, parts)
             out += [_row(k, "asks", (to[at == k], names[at == k]), chunk) for k in np.unique(at).tolist()]
-            keys = pa.concat_arrays([x.column(1) for x in rows])
-            listed = pa.array([keys.to_pylist(), *[None] * (len(out) - 1)], pa.list_(keys.type))
-            yield from _rows(out).append_column("keys", listed).to_batches(max_chunksize=16)
+            yield from _rows(out, pa.concat_arrays([x.column(1) for x in rows]))
 
     name = f"{ROW}, keys array<{kind.simpleString()}>"
     buckets, frame = model.buckets.where("what = 'bucket'"), documents.select(F.col(text).alias("text"), F.col(key).alias("key"))
     done = []
     for k in range(SLICES):  # what is sent for all texts at once is too much for the disk
-        sent = written(frame.where(F.pmod(F.xxhash64("key", "text"), F.lit(SLICES)) == k).mapInArrow(run, name), "tokens")
+        sent = _kept(frame.where(F.pmod(F.xxhash64("key", "text"), F.lit(SLICES)) == k).mapInArrow(run, name), "tokens")
         rows = sent.drop("keys")
         answers = _by_part(rows.where("what = 'asks'").unionByName(model.buckets.where("what = 'contexts'")), _known_contexts)
         found = _by_part(rows.where("what = 'tokens'").unionByName(buckets).unionByName(answers), _looked_up(model))

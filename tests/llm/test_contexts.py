@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,31 @@ def test_counts_of_rare_words_and_pairs(spark, monkeypatch):
         assert got[k].base == pytest.approx(sum(math.log10(counts.get(w, 0) + 0.1) for w in own))
     table = {r.h: r.c for r in model.words.collect()}
     assert table == {lm._hash(w.encode()): c for w, c in counts.items()}
+
+
+def test_buckets_come_in_small_rows(spark):
+    """However large a bucket, no row, page or row group holds much of it, so neither does the JVM at once."""
+    draw = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 20000, 100)) for _ in range(400)]
+    model = trained(spark, texts, sweeps=1, burn=0)
+    size, longest = model.buckets.where("what = 'bucket'").agg(F.sum(F.length("blob")), F.max(F.length("blob"))).first()
+    assert model.parts == 1
+    assert size > 3 * (1 << 17) >= 3 * longest
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in model.buckets.inputFiles()]
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 128
+    assert sum(r.c for r in model.words.collect()) == model.n == 400 * 101
+
+
+def test_pieces_are_put_together():
+    """Contents of one and of many pieces, in any order; what goes with a row goes once."""
+    rows = [lm._row(3, "texts", np.arange(100_000)), lm._row(3, "sums", None, 0, [1, 2]), lm._row(3, "asks", "b" * (1 << 17), 9), lm._row(3, "asks", b"", 8)]
+    batches = list(lm._rows(rows, pa.array(["x", None])))
+    table = pa.Table.from_batches(batches)
+    assert table.num_rows > 9
+    assert max(len(b) for b in table["blob"].to_pylist()) <= lm.PIECE
+    assert [x for x in table["keys"].to_pylist() if x] == [["x", None]]
+    assert [x for x in table["sums"].to_pylist() if x] == [[1, 2]]
+    got = list(lm._contents(table.take(np.random.default_rng(1).permutation(table.num_rows))))
+    assert [x[:2] for x in got] == [("asks", 8), ("asks", 9), ("sums", 0), ("texts", 0)]
+    assert (got[0][2], got[1][2], got[2][2]) == (b"", "b" * (1 << 17), None)
+    assert np.array_equal(got[3][2], np.arange(100_000))
