@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import audio, html, lm, mixing, pieces, quality, sharding, simhash, tokencount, warc
+from . import audio, html, lm, mixing, packing, pieces, quality, search, sharding, simhash, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.op12(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op13(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -55,6 +63,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_packing": op13_packing,
         "op1_mix_sources": op1_mix_sources,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_warc_index": op3_warc_index,
@@ -68,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_index": warc.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op12_ranked_search": search.OP12_SQL, "op3_warc_index": warc.OP3_SQL, "op6_sharding": sharding.OP6_SQL, "op9_quality_rules": quality.OP9_SQL}
