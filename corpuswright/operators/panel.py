@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quantiles import quantiles
-
+from .ranks import falling, scanned
 
 
 def timeline(panel: DataFrame, by: str = "month") -> DataFrame:
@@ -286,11 +286,10 @@ def bootstrap(panel: DataFrame, a: Column, b: Column, n: int = 400, seed: int =
 
 
 def top_share(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """What part of the sum the top share of rows has; places go by value, then id. Rows are counted by value first, so
-    the running sums are over distinct values."""
+    """What part of the sum the top share of rows has; places go by value, then id. Rows are counted by value first, and
+    the running sums over distinct values are taken by partitions."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    runs = scanned(counts, [], [falling(F.col(value))], sums={"before": "n"})
     whole = counts.agg(F.sum("n").alias("rows"), F.sum(F.col(value) * F.col("n")).alias("whole"))
     each = runs.crossJoin(F.broadcast(whole)).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     taken = F.least(F.col("n"), F.greatest(F.lit(0), F.ceil(F.col("share") * F.col("rows")) - F.col("before")))
