@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import audio, html, lm, mixing, packing, pieces, quality, search, sharding, simhash, tokencount, warc
+from . import audio, html, lm, mixing, packing, pieces, quality, search, sharding, simhash, tokencount, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op11(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.op12(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -63,6 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_ranked_search": op12_ranked_search,
         "op13_packing": op13_packing,
         "op1_mix_sources": op1_mix_sources,
