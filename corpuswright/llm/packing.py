@@ -22,9 +22,11 @@ long texts are tokenized whole, one at a time, and handed on in bounded batches
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, vocabulary, written
+from .tokencount import PATTERN
 
 VOCABULARY = "byte_bpe_50k.json"
 WIDTH = 1024
 END = 0
-KEPT = 250_000  # stretches whose ids a worker keeps
+KEPT = 400_000  # stretches whose ids a worker keeps
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -52,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.odd = ["\0", "\n ", "\n\n\n", *(t.content for t in self.own.get_added_tokens_decoder().values())]
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.odd = ["\0", "\n ", "\n\n\n", *self.added]
+        self.merges, self.begins = _merges(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -60,9 +65,6 @@ class Encoder:
         self.first, self.many = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.empty(0, np.int32)
 
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
-
     def stretches(self, text: str) -> list[str]:
         """Cut at single spaces and at one or two line feeds. Some may turn out to be none when they are learned."""
         spaced = text.replace("\n", " \n")
@@ -81,23 +83,34 @@ class Encoder:
         return ["\0" + parts[0], *[x if _clean(x) else "\0 " + x for x in parts[1:]]]
 
     def _learn(self, found: list[str]) -> None:
-        new = []
+        kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
         for x in found:
-            if x[0] == "\0" or _clean(x):
-                new.append(x)
-            elif x[0] == "\n" and (x == "\n" or _clean(x[1:])):
-                new.append(x)
-            else:
+            lead = x[0] if x[0] in "\0\n" else " "
+            if lead == " " and not _clean(x) or lead == "\n" and x != "\n" and not _clean(x[1:]):
                 self.place[x] = 0
-        if not new:
-            return
-        ids = self.plain([x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new])
+            else:
+                alone = lead == "\0" or x == "\n" or " " in x or any(t in x for t in self.added)
+                kinds["" if alone else lead].append(x)
+        for lead, new in kinds.items():
+            if new:
+                whole = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new]
+                ids, many = self._joined(whole, lead) if lead and self.merges else self._single(whole)
+                self.place |= zip(new, range(len(self.many), len(self.many) + len(new)), strict=True)
+                self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(many) - many))
+                self.many = np.concatenate((self.many, many))
+                self.ids = np.concatenate((self.ids, ids))
+
+    def _single(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
         many = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.place |= zip(new, range(len(self.many), len(self.many) + len(new)), strict=True)
-        ends = np.cumsum(many)
-        self.first = np.concatenate((self.first, len(self.ids) + ends - many))
-        self.many = np.concatenate((self.many, many))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(many.sum())), many
+
+    def _joined(self, texts: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """All in one text: each begins where a token begins with its first character, which none has further on."""
+        ids = np.array(self.merges.encode_ordinary("".join(texts)), np.int32)
+        at = np.flatnonzero(self.begins[lead][ids])
+        assert len(at) == len(texts)
+        return ids, np.diff(at, append=len(ids))
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -118,10 +131,34 @@ class Encoder:
         return np.split(ids, stops[:-1]) if lists else []
 
     def _places(self, lists: list[list[str]]) -> np.ndarray:
-        flat = [x for own in lists for x in own]
-        if new := [x for x in dict.fromkeys(flat) if x not in self.place]:
-            self._learn(new)
-        return np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        flat = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(holes := np.flatnonzero(at < 0)):
+            new = [flat[k] for k in holes.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[holes] = [self.place[x] for x in new]
+        return at
+
+
+def _merges(path: str) -> tuple[object, dict[str, np.ndarray]]:
+    """The same byte-level vocabulary for the library that merges faster, and which tokens begin with a space or a line
+    feed; nothing for vocabularies of another kind. Its ids are in the order of the merges, so they are its ranks."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    if made["model"].get("type", "BPE") != "BPE" or (made["pre_tokenizer"] or {}).get("type") != "ByteLevel" or made["pre_tokenizer"]["add_prefix_space"] or made["normalizer"]:
+        return None, {}
+    import tiktoken
+
+    # bytes that print stand for themselves, the others for the characters from 256 on
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(prints)))}
+    added = {t["content"] for t in made["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): rank for token, rank in made["model"]["vocab"].items() if token not in added}
+    begins = {lead: np.zeros(max(ranks.values()) + 1, bool) for lead in " \n"}
+    for token, rank in ranks.items():
+        if token[:1] in (b" ", b"\n"):
+            begins[token[:1].decode()][rank] = True
+    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), begins
 
 
 def _clean(part: str) -> bool:
