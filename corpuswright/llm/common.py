@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -105,6 +107,33 @@ def by_size(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         at = upto
 
 
+#: Bytes of rows that go to Python at once: its buffers are outside the JVM's heap, two a task. Spark's default is 64 MB.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def through_python(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+    """``df.mapInArrow`` for rows with texts: in small batches, unless the session has a size of its own, and with what a
+    task has freed given back to the system at its end, since workers live on and stand idle while other stages run."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, kinds)
+
+
+def give_back() -> None:
+    """Memory that this process has freed, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The next draws of 64-bit counters: step and finaliser of the splitmix64 generator."""
     with np.errstate(over="ignore"):

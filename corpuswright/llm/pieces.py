@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, by_size, splitmix, vocabulary
+from .common import TOKENIZERS, by_size, splitmix, through_python, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 ALPHA = 1.5
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for U+2581 in a text; no valid text holds a lone surrogate
-KEPT = 400_000  # chunks whose sums a worker keeps
+KEPT = 300_000  # chunks whose sums a worker keeps
+SIEVE = 17  # high bits of a hash by which most stretches are known to be no piece
+BATCH = 200_000  # characters of chunks that are filtered at once
 HASH = np.uint64(0x9E3779B97F4A7C15)  # base of the rolling hash of pieces
 WINDOW = 1 << 20  # characters of a text, or bytes of several, that are worked on at once
 LONG = 1 << 15  # characters of a chunk whose lattice is held whole
@@ -86,14 +88,16 @@ class Pieces:
         # the usual cuts are found by a pattern: before a space that follows another character, and around a newline
         usual = not any(p[1] == SPACE != p[0] for p in self.pairs) and not any("\n" in p for p in self.ids)
         self.split = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if usual else re.compile(r"(?s).+")
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for width in range(2, self.longest + 1):
             own = [p for p in self.ids if len(p) == width]
             codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), width).astype(np.uint64)
             keys = (codes * HASH ** np.arange(width - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
             order = np.argsort(keys)
             ids, weights = zip(*(self.ids[p] for p in own), strict=True) if own else ((), ())
-            self.by_width[width] = keys[order], np.array(ids, np.int32)[order], np.array(weights)[order]
+            seen = np.zeros(1 << SIEVE, bool)
+            seen[keys >> np.uint64(64 - SIEVE)] = True
+            self.by_width[width] = keys[order], np.array(ids, np.int32)[order], np.array(weights)[order], seen
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one hash")
         if self.longest > 31:
@@ -105,6 +109,11 @@ class Pieces:
         self.last_node.clear()
         self.first.size = self.odds.size = self.edges.size = 0
 
+    def forget(self) -> None:
+        """Drops what is known of chunks; the vocabulary stays."""
+        self.last_node = {}
+        self.first, self.odds, self.edges = Buffer(np.int32), Buffer(np.uint32), Buffer(np.int32)
+
     def _parts(self, chunk: str) -> list[str]:
         """A chunk that is long is split at every place that no piece spans."""
         cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.pairs), len(chunk)]
@@ -138,7 +147,7 @@ class Pieces:
         for chunk in chunks:
             by_length.setdefault(len(chunk), []).append(chunk)
         for n, alike in by_length.items():
-            for at in range(0, len(alike), step := max(1, 200_000 // n)):
+            for at in range(0, len(alike), step := max(1, BATCH // n)):
                 self._filter(alike[at : at + step], n)
 
     def _lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +159,14 @@ class Pieces:
         hashed = codes.astype(np.uint64)
         for width in range(2, most + 1):
             hashed = hashed[:, 1:] + codes[:, : n - width + 1].astype(np.uint64) * HASH ** np.uint64(width - 1)
-            keys, ids, weights = self.by_width[width]
+            keys, ids, weights, seen = self.by_width[width]
             if len(keys):
-                at = np.searchsorted(keys, hashed)
-                at[at == len(keys)] = 0
-                row, col = np.nonzero(keys[at] == hashed)
-                which = at[row, col]
+                row, col = np.nonzero(seen[hashed >> np.uint64(64 - SIEVE)])  # most are no piece's
+                wanted = hashed[row, col]
+                which = np.searchsorted(keys, wanted)
+                which[which == len(keys)] = 0
+                real = keys[which] == wanted
+                row, col, which = row[real], col[real], which[real]
                 token[row, col + width - 1, width - 1] = ids[which]
                 weight[row, col + width - 1, width - 1] = weights[which]
         return token, weight
@@ -376,9 +387,10 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
                 same = [coder.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)]
                 columns = [batch.column(0), *[pa.array(ids, pa.list_(pa.int32()))] * whole_ids, pa.array(map(digest, ids), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        coder.forget()
 
     kinds = f"key {kind}, " + "piece_ids array<int>, " * whole_ids + "pieces_crc long, n_pieces long, lossless boolean" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in more)
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *more).mapInArrow(run, kinds)
+    return through_python(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *more), run, kinds)
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", model: str | None = None, alpha: float = ALPHA) -> DataFrame:
