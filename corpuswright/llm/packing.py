@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, vocabulary, written
+from .common import by_size, through_python, vocabulary, written
 from .tokencount import PATTERN
 
 VOCABULARY = "byte_bpe_50k.json"
 WIDTH = 1024
 END = 0
-KEPT = 400_000  # stretches whose ids a worker keeps
+KEPT = 300_000  # stretches whose ids a worker keeps
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -193,7 +193,7 @@ def tokenized(documents: DataFrame, key: str, text: str, path: str, end: int = E
                 )
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, part int, before long, n long, ids binary")
+    return through_python(rows, run, f"key {kind}, part int, before long, n long, ids binary")
 
 
 def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, end: int = END, path: str | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
                 )
                 yield from by_size(out, 6, 4 << 20)
 
-    return rows.mapInArrow(run, f"key {kind}, start long, length long, n long, sequence_id long, offset long, ids binary")
+    return through_python(rows, run, f"key {kind}, start long, length long, n long, sequence_id long, offset long, ids binary")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
