@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_size, delete, spare, splitmix, written
+from .common import by_size, delete, spare, splitmix, through_python, written
 
 MAX_BITS = 3
 SEGMENTS = 8
@@ -105,7 +105,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return through_python(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, fp long")
 
 
 def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +118,7 @@ def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 found = [sketch(x) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["key", "fp", "bands"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp binary, bands array<long>")
+    return through_python(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, fp binary, bands array<long>")
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _links(keys: DataFrame) -> DataFrame:
     rows = dealt.select("bucket", tile.alias("tile"), side.alias("side"), "fp")
     # the tile of a pair of slices needs both slices whole on their own sides; the tile (s, s) compares within a slice
     sorted_rows = rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "fp")
-    found = sorted_rows.mapInArrow(_wide_tile_links, "a binary, b binary") if wide else sorted_rows.mapInArrow(_narrow_tile_links, "a long, b long")
+    found = through_python(sorted_rows, _wide_tile_links, "a binary, b binary") if wide else through_python(sorted_rows, _narrow_tile_links, "a long, b long")
     out = written(found.distinct(), "links")
     delete(keys.sparkSession, keys)
     return out
@@ -307,8 +307,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As :func:`near_duplicates`, by wide fingerprints of 5-word shingles and a similarity of about 0.8 or more."""
     prints = written(sketches(df, key, text), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "distinct")
-    return _named(prints.drop("bands"), distinct.drop("bands"), _links(distinct.select("fp", F.explode("bands").alias("bucket"))))
+    distinct, keys = merged_bands(prints)
+    return _named(prints.drop("bands"), distinct, _links(keys))
+
+
+def merged_bands(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, least key) and (fp, bucket) of the distinct fingerprints of (key, fp, bands): different texts of one fingerprint
+    can have different bands, and it is looked for in the buckets of all."""
+    own = written(prints.groupBy("fp", "bands").agg(F.min("key").alias("least")), "distinct")
+    several = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    bucket = F.explode("bands").alias("bucket")
+    keys = own.join(several, "fp", "left_anti").select("fp", bucket).unionByName(own.join(several, "fp", "left_semi").select("fp", bucket).distinct())
+    return own.groupBy("fp").agg(F.min("least").alias("least")), keys
 
 
 def _named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
