@@ -1,12 +1,18 @@
-"""Markdown decomposition: one pass over a document's lines, on Arrow batches, without a shuffle."""
+"""Markdown decomposition, without a shuffle.
+
+Two readers give the same lines: a state machine in Python, which says what is meant, and expressions over arrays, which
+the queries use. The latter never walk from line to line with a state: fences cut a document's lines into stretches, every
+other one code; headings and blank lines cut what is outside into paragraphs, other lines cut it into runs of quotes. Each
+cut is a list of places and a slice between neighbours, so the work is in proportion to the lines.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -59,8 +65,8 @@ def lines_of(text: str | None) -> list[dict]:
     return out
 
 
-def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per line of every document: key and the columns of LINE. A null text has no lines."""
+def line_table_by_loop(df: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`line_table` by the state machine."""
     kind = df.schema[key].dataType.simpleString()
     names = ["pos", "line", "kind", "level", "ordered", "paragraph", "block", "lang", "closed"]
     types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
@@ -79,6 +85,91 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {LINE}")
 
 
+#: White space and digits as Python's patterns have them, for Java's.
+SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+BREAKS = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def _java(pattern: str) -> str:
+    return pattern.replace("\\s", f"[{SPACES}]").replace("\\d", "\\p{Nd}")
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text as (pos, line), without an empty last one; a null text has none."""
+    found = F.split(F.coalesce(text, F.lit("")), BREAKS)
+    some = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    return F.transform(some, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cuts(items: Column, is_cut: Callable[[Column], Column]) -> Column:
+    """Places of the items that cut, with one before the first item and one behind the last."""
+    return F.concat(F.array(F.lit(-1)), F.array_compact(F.transform(items, lambda x, i: F.when(is_cut(x), i))), F.array(F.size(items)))
+
+
+def _between(items: Column, is_cut: Callable[[Column], Column]) -> Column:
+    """The stretches of an array between the items that cut it."""
+    return _let(_cuts(items, is_cut), lambda at: F.transform(F.slice(at, F.lit(2), F.size(at) - 1), lambda b, k: F.slice(items, F.get(at, k) + 2, b - F.get(at, k) - 1)))
+
+
+def _kind(line: Column) -> Column:
+    """What a line outside of code is."""
+    is_ = lambda p: line.rlike(_java(p))
+    return F.when(is_(R.HEADING), "heading").when(is_(R.TABLE_ROW), "table").when(is_(R.QUOTE), "quote").when(is_(R.LIST_ITEM), "list").when(is_(f"^[{SPACES}]*$"), "blank").otherwise("body")
+
+
+def _parted(df: DataFrame, text: str) -> DataFrame:
+    """Adds _lines (pos, line), _at (places of fences, with both ends) and _out (pos, line, kind of lines outside of code)."""
+    one = df.withColumn("_lines", _lines(F.col(text)))
+    two = one.withColumn("_at", _cuts(F.col("_lines"), lambda x: x["line"].rlike(_java(R.FENCE))))
+    at, stretch = F.col("_at"), F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))
+    outside = F.flatten(F.transform(stretch, lambda k: F.slice("_lines", F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1)))
+    return two.withColumn("_out", F.transform(outside, lambda x: F.struct(x["pos"], x["line"], _kind(x["line"]).alias("kind"))))
+
+
+def _coded() -> Column:
+    """Numbers k of the stretches of code, of which fence k opens and fence k + 1 may close."""
+    return F.when(F.size("_at") > 2, F.sequence(F.lit(1), F.size("_at") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+
+def _ends_paragraph(x: Column) -> Column:
+    return x["kind"].isin("heading", "blank")
+
+
+def _filled(stretches: Column, kind: str) -> Column:
+    """Of each stretch the lines of a kind, without the stretches that have none."""
+    return F.filter(F.transform(stretches, lambda s: F.filter(s, lambda x: x["kind"] == kind)), lambda s: F.size(s) > 0)
+
+
+def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A row per line of every document: key and the columns of LINE, in no order. A null text has no lines."""
+
+    def row(x: Column, kind: Column, **more: Column) -> Column:
+        parts = {"level": "int", "ordered": "boolean", "paragraph": "int", "block": "int", "lang": "string", "closed": "boolean"}
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), kind.alias("kind"), *[more.get(n, F.lit(None)).cast(t).alias(n) for n, t in parts.items()])
+
+    numbered = lambda stretches, kind, name: F.flatten(F.transform(_filled(stretches, kind), lambda s, k: F.transform(s, lambda x: row(x, x["kind"], **{name: k + 1}))))
+    indent = lambda x: F.regexp_extract(x["line"], _java(R.LIST_ITEM), 1)
+
+    def level(x: Column) -> Column:  # tabs go to even columns
+        return F.when(x["kind"] == "heading", F.length(F.regexp_extract(x["line"], _java(R.HEADING), 1))).when(x["kind"] == "list", F.regexp_count(indent(x), F.lit("\\t|[^\\t][\\s\\S]")))
+
+    ordered = lambda x: F.when(x["kind"] == "list", F.regexp_extract(x["line"], _java(R.LIST_ITEM), 2).rlike("^\\p{Nd}"))
+    others = F.transform(F.filter("_out", lambda x: x["kind"].isin("heading", "table", "list", "blank")), lambda x: row(x, x["kind"], level=level(x), ordered=ordered(x)))
+    at = F.col("_at")
+    spaces = f"^[{SPACES}]+|[{SPACES}]+$"
+    lang = lambda k: F.lower(F.regexp_replace(F.substring(F.regexp_replace(F.get("_lines", F.get(at, k))["line"], spaces, ""), 4, 1 << 30), spaces, ""))
+    within = lambda k: F.slice("_lines", F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1)
+    code = F.flatten(F.transform(_coded(), lambda k: _let(lang(k), lambda name: F.transform(within(k), lambda x: row(x, F.lit("code"), block=F.floor((k + 1) / 2), lang=name, closed=F.get(at, k + 1) < F.size("_lines"))))))
+    fences = F.transform(F.slice(at, F.lit(2), F.size(at) - 2), lambda p: row(F.get("_lines", p), F.lit("fence")))
+    rows = F.concat(others, numbered(_between(F.col("_out"), _ends_paragraph), "body", "paragraph"), numbered(_between(F.col("_out"), lambda x: x["kind"] != "quote"), "quote", "block"), code, fences)
+    return _parted(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text").select("key", F.explode(rows).alias("z")).select("key", "z.*")
+
+
 def decompose(text: str | None) -> dict:
     """Body lines, headings, list items, table rows, code lines, quote lines, and paragraphs as lists of lines."""
     rows = lines_of(text)
@@ -93,8 +184,8 @@ def decompose(text: str | None) -> dict:
 DECOMPOSED = "body_lines array<string>, headings array<string>, list_items array<string>, table_rows array<string>, code_lines array<string>, quote_lines array<string>, paragraphs array<array<string>>"
 
 
-def decomposed(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``md``, the decomposition of a text as a struct."""
+def decomposed_by_loop(df: DataFrame, text: str) -> DataFrame:
+    """:func:`decomposed` by the state machine."""
 
     @F.pandas_udf(DECOMPOSED)
     def split(column):  # noqa: ANN001, ANN202
@@ -105,6 +196,16 @@ def decomposed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("md", split(F.col(text)))
 
 
+def decomposed(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``md``, the decomposition of a text as a struct."""
+    at = F.col("_at")
+    of = lambda kind: F.filter("_out", lambda x: x["kind"] == kind)["line"]
+    code = F.flatten(F.transform(_coded(), lambda k: F.slice("_lines", F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k) + 1)["line"]))
+    paragraphs = F.transform(_filled(_between(F.col("_out"), _ends_paragraph), "body"), lambda s: s["line"])
+    md = F.struct(of("body").alias("body_lines"), of("heading").alias("headings"), of("list").alias("list_items"), of("table").alias("table_rows"), code.alias("code_lines"), of("quote").alias("quote_lines"), paragraphs.alias("paragraphs"))
+    return _parted(df, text).withColumn("md", md).drop("_lines", "_at", "_out")
+
+
 def code_blocks(lines: DataFrame) -> DataFrame:
     """key, block, lang and n_lines of closed code blocks."""
     return lines.where("kind = 'code' and closed").groupBy("key", "block").agg(F.max("lang").alias("lang"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
