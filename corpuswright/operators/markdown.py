@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,25 +88,26 @@ def line_table_by_loop(df: DataFrame, key: str, text: str) -> DataFrame:
 
 #: White space and digits as Python's patterns have them, for Java's.
 SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-BREAKS = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
+ODD_BREAKS = "\\x0b-\\r\\x1c-\\x1e\\x85\\u2028\\u2029"
 
 
 def _java(pattern: str) -> str:
     return pattern.replace("\\s", f"[{SPACES}]").replace("\\d", "\\p{Nd}")
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a text as (pos, line), without an empty last one; a null text has none."""
-    found = F.split(F.coalesce(text, F.lit("")), BREAKS)
-    some = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
-    return F.transform(some, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text as (pos, line), without an empty last one; a null text has none."""
+    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"])
+    usual = F.when(odd, F.regexp_replace(text, f"\\r\\n|[{ODD_BREAKS}]", "\n")).otherwise(F.coalesce(text, F.lit("")))
+    some = _let(F.split(usual, "\n"), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+    return F.transform(some, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+
+
 def _cuts(items: Column, is_cut: Callable[[Column], Column]) -> Column:
     """Places of the items that cut, with one before the first item and one behind the last."""
     return F.concat(F.array(F.lit(-1)), F.array_compact(F.transform(items, lambda x, i: F.when(is_cut(x), i))), F.array(F.size(items)))
@@ -119,13 +121,14 @@ def _between(items: Column, is_cut: Callable[[Column], Column]) -> Column:
 def _kind(line: Column) -> Column:
     """What a line outside of code is."""
     is_ = lambda p: line.rlike(_java(p))
-    return F.when(is_(R.HEADING), "heading").when(is_(R.TABLE_ROW), "table").when(is_(R.QUOTE), "quote").when(is_(R.LIST_ITEM), "list").when(is_(f"^[{SPACES}]*$"), "blank").otherwise("body")
+    # most lines begin like none of the others, which one look tells
+    return F.when(~is_("^\\s*([-#|>*+]|\\d|$)"), "body").when(is_(R.HEADING), "heading").when(is_(R.TABLE_ROW), "table").when(is_(R.QUOTE), "quote").when(is_(R.LIST_ITEM), "list").when(is_(f"^[{SPACES}]*$"), "blank").otherwise("body")
 
 
 def _parted(df: DataFrame, text: str) -> DataFrame:
     """Adds _lines (pos, line), _at (places of fences, with both ends) and _out (pos, line, kind of lines outside of code)."""
     one = df.withColumn("_lines", _lines(F.col(text)))
-    two = one.withColumn("_at", _cuts(F.col("_lines"), lambda x: x["line"].rlike(_java(R.FENCE))))
+    two = one.withColumn("_at", _cuts(F.col("_lines"), lambda x: (x["line"].contains("```") | x["line"].contains("~~~")) & x["line"].rlike(_java(R.FENCE))))
     at, stretch = F.col("_at"), F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))
     outside = F.flatten(F.transform(stretch, lambda k: F.slice("_lines", F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1)))
     return two.withColumn("_out", F.transform(outside, lambda x: F.struct(x["pos"], x["line"], _kind(x["line"]).alias("kind"))))
