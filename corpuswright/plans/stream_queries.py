@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..scratch import fresh
 from ..sources.tables import table
 from ..streaming import jobs
 from .panel_queries import rounded
@@ -19,7 +17,7 @@ def _drained(stream: DataFrame) -> DataFrame:
     """What a stream comes to when it has read all there is: each batch's updates are written to a folder of their own
     beside the checkpoint, in the shared folder, and read together with the batch's number."""
     spark = stream.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    root = fresh(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/{number}")
@@ -48,10 +46,11 @@ def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("job").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
 
 
-@register("""SELECT user_id::VARCHAR AS job, max_by(CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END, (ts, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END)) AS state, epoch_us(max(ts)) AS at_us FROM events GROUP BY 1""")
+@register("""WITH e AS (SELECT user_id::VARCHAR AS job, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END AS state, ts FROM events), l AS (SELECT job, max_by(state, (ts, state)) AS state, max(ts) AS at FROM e GROUP BY 1)
+SELECT job, CASE WHEN state = 'claimed' AND epoch_us(at) // 1000 + 900000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) THEN 'pending' ELSE state END AS state, epoch_us(at) AS at_us FROM l""")
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log as a stream with state: each job's state when all has been read."""
+    """The same log as a stream with state and timers: each job's state when all has been read, its stale claims pending."""
     state = F.when(F.col("event_id") % 3 == 0, "claimed").when(F.col("event_id") % 3 == 1, "done").otherwise("failed")
-    log = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), state.alias("state"), F.col("ts").alias("at"))
-    rows = _drained(jobs.job_states(log)).groupBy("job").agg(F.max_by(F.struct("state", "at"), "batch").alias("z"))
+    log = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), state.alias("state"), F.col("ts").alias("at"), "ts")
+    rows = _drained(jobs.job_states(log, clock="ts")).groupBy("job").agg(F.max_by(F.struct("state", "at"), "batch").alias("z"))
     return rows.select("job", "z.state", F.unix_micros("z.at").alias("at_us"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..sources.ingest import ARTICLES
 
@@ -53,32 +54,68 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
     return spark.readStream.schema(ARTICLES).json(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "state string, at timestamp"
 JOB = "job string, state string, at timestamp"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def job_states(log: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """The present state of each job from a stream (job, state, at) of claimed, done and failed; the newest entry of a
-    job counts, and a claim without news for STALE_S of event time goes back to pending once the watermark has passed it.
-    An entry that comes more than ``delay`` behind the newest entry of any job is dropped, so a short delay is only for
-    logs whose writers' clocks and batches agree to within it."""
+class _Follow(StatefulProcessor):
+    """Keeps a job's newest entry, and a timer while it is claimed."""
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"job": [key[0]], "state": ["pending"], "at": [pd.NaT]})
+    def __init__(self, stale_s: int, by_event: bool, forget_s: int | None) -> None:
+        self.stale_ms, self.by_event, self.forget_s = stale_s * 1000, by_event, forget_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = None if self.forget_s is None else self.forget_s * 1000
+        self.best = handle.getValueState("best", "state string, at timestamp", ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = self.best.get() if self.best.exists() else None
+        known = best
+        for frame in rows:
+            for state, at in zip(frame["state"], frame["at"], strict=True):
+                if pd.notna(at) and (best is None or (at, state) > (pd.Timestamp(best[1]), best[0])):
+                    best = (state, at.to_pydatetime())
+        if best == known or best is None:
             return
-        best = state.get if state.exists else None
-        for frame in batches:
-            row = frame.sort_values(["at", "state"]).iloc[-1]
-            if best is None or (row["at"], row["state"]) > (best[1], best[0]):
-                best = (row["state"], row["at"])
-        state.update(best)
+        self.best.update(best)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if best[0] == "claimed":
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(best[1]).timestamp() * 1000) + STALE_S * 1000, state.getCurrentWatermarkMs() + 1))
+            now = timerValues.getCurrentWatermarkInMs() if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(max(_ms(best[1]) + self.stale_ms, now + 1))
         yield pd.DataFrame({"job": [key[0]], "state": [best[0]], "at": [best[1]]})
 
-    return log.withWatermark("at", delay).groupBy("job").applyInPandasWithState(follow, JOB, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # the time of the claim stays, so that an older entry that comes late does not win
+        at = self.best.get()[1]
+        self.best.update(("pending", at))
+        yield pd.DataFrame({"job": [key[0]], "state": ["pending"], "at": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(at: datetime) -> int:
+    """Milliseconds of a time; state and batches hold times without a zone, in that of the process."""
+    return int(at.timestamp() * 1000)
+
+
+def job_states(log: DataFrame, clock: str | None = None, delay: str = "0 seconds", stale_s: int = STALE_S, forget_s: int | None = None) -> DataFrame:
+    """The present state of each job from a stream (job, state, at) of claimed, done and failed. The newest entry of a job
+    counts, however late it comes, and a claim without news for ``stale_s`` goes back to pending.
+
+    The clock by which claims expire is apart from the times of the entries: the wall clock, or a column ``clock`` of the
+    times at which entries arrived. Of the latter, rows more than ``delay`` behind the newest are dropped, so it must not go
+    back by more. With the wall clock, jobs without news for ``forget_s`` are dropped from the state.
+
+    Defined results: entries without a time are ignored; equal entries count once; of entries of one time the last by name
+    counts; a claim that is already stale when it comes is claimed until the clock next moves on."""
+    spark = log.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store that has timers
+    rows = log.withWatermark(clock, delay) if clock else log
+    follow = _Follow(stale_s, clock is not None, forget_s)
+    return rows.groupBy("job").transformWithStateInPandas(statefulProcessor=follow, outputStructType=JOB, outputMode="Update", timeMode="EventTime" if clock else "ProcessingTime")
 
 
 def pending_jobs(jobs: DataFrame, log: DataFrame, now: str | None = None, stale_s: int = STALE_S) -> DataFrame:

@@ -225,25 +225,6 @@ def test_latin_rules_are_used():
     assert LATIN.stops != JA.stops
 
 
-def test_job_states_out_of_order(spark, tmp_path):
-    """Six batches of one entry, out of order of time: the newest entry of each job counts, late ones are not lost."""
-    from pyspark.sql.types import StructType
-
-    log = [("A", "done", "10:00"), ("C", "claimed", "11:00"), ("E", "claimed", "11:30"), ("B", "done", "09:00"), ("A", "failed", "10:30"), ("D", "done", "12:00")]
-    for k, (job, state, at) in enumerate(log):
-        (tmp_path / f"in{k}.json").write_text(json.dumps({"job": job, "state": state, "at": f"2024-01-01T{at}:00Z"}))
-    schema = StructType.fromDDL("job string, state string, at timestamp")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "*.json"))
-    seen = {}
-
-    def put(batch, number):
-        for r in batch.collect():
-            seen[r.job] = r.state
-
-    jobs.job_states(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert seen == {"A": "failed", "B": "done", "C": "claimed", "D": "done", "E": "claimed"}
-
-
 def test_a_day_in_two_batches(spark, tmp_path):
     def put(name, *records):
         (tmp_path / "in").mkdir(exist_ok=True)
