@@ -46,8 +46,8 @@ def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("job").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
 
 
-@register("""WITH e AS (SELECT user_id::VARCHAR AS job, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END AS state, ts FROM events), l AS (SELECT job, max_by(state, (ts, state)) AS state, max(ts) AS at FROM e GROUP BY 1)
-SELECT job, CASE WHEN state = 'claimed' AND epoch_us(at) // 1000 + 900000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) THEN 'pending' ELSE state END AS state, epoch_us(at) AS at_us FROM l""")
+@register("""WITH e AS (SELECT user_id::VARCHAR AS job, CASE event_id % 3 WHEN 0 THEN 'claimed' WHEN 1 THEN 'done' ELSE 'failed' END AS state, ts FROM events), l AS (SELECT job, max_by(state, (ts, state)) AS state, max(ts) AS newest FROM e GROUP BY 1)
+SELECT job, CASE WHEN state = 'claimed' AND epoch_us(newest) // 1000 + 900000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) THEN 'pending' ELSE state END AS state, epoch_us(newest) AS at_us FROM l""")
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream with state and timers: each job's state when all has been read, its stale claims pending."""
     state = F.when(F.col("event_id") % 3 == 0, "claimed").when(F.col("event_id") % 3 == 1, "done").otherwise("failed")
