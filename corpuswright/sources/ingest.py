@@ -198,10 +198,10 @@ class Truncated(Exception):
     """A day has more records than the source hands out."""
 
 
-def fetch_day(day: dt.date, page: Callable[[dt.date, int], tuple[int, dict[str, str], list[dict]]], per_page: int = 100, pages: int = 100, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+def fetch_day(day: dt.date, page: Callable[[dt.date, int], tuple[int, dict[str, str], list[dict]]], per_page: int = 100, pages: int = 100, tries: int = 5, sleep: Callable[[float], None] = time.sleep, told: dict | None = None) -> Iterator[dict]:
     """All records of a day, page by page, until an empty or short page or the source's last (a Link header without a
     next page). A day that goes on beyond ``pages`` raises Truncated after its last record, so that nobody takes it for
-    whole."""
+    whole. ``told`` gets the total that the first answer states, if it does."""
     for number in range(1, pages + 1):
         for attempt in range(tries):
             status, headers, items = page(day, number)
@@ -212,6 +212,8 @@ def fetch_day(day: dt.date, page: Callable[[dt.date, int], tuple[int, dict[str,
                 break
         else:
             raise OSError(f"{day}: page {number} failed {tries} times")
+        if told is not None and "total" not in told and str(headers.get("total-count", "")).isdigit():
+            told["total"] = int(headers["total-count"])
         yield from items
         if len(items) < per_page or "link" in headers and 'rel="next"' not in headers["link"]:
             return
@@ -241,8 +243,9 @@ class PagedReader(DataSourceReader):
             time.sleep(pause)
             return page(day, number)
 
+        told: dict[str, int] = {}
         try:
-            for item in fetch_day(dt.date.fromisoformat(partition.value), paced):
+            for item in fetch_day(dt.date.fromisoformat(partition.value), paced, tries=int(self.options.get("tries", 5)), told=told):
                 n += 1
                 yield partition.value, json.dumps(item, ensure_ascii=False), None
             error = None
@@ -250,7 +253,8 @@ class PagedReader(DataSourceReader):
             error = "truncated"
         except OSError as fault:  # the other days go on; this one is incomplete
             error = str(fault)
-        yield partition.value, None, json.dumps({"fetched": n, "complete": error is None, "truncated_at_10k": error == "truncated", "error": error})
+        total = told.get("total")
+        yield partition.value, None, json.dumps({"fetched": n, "api_total_count": total, "complete": error is None and n >= (total or 0), "truncated_at_10k": error == "truncated" or (total or 0) >= CEILING, "error": error})
 
 
 class PagedSource(DataSource):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..sources.days import read_days, save_days
 from ..sources.ingest import ARTICLES
 
 STALE_S = 900
@@ -32,24 +33,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", user: str = "user_id",
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New day files into a table partitioned by day. What a day holds already stays: of the records of one id the newest
-    by updated_at is kept, so a day may come in parts, and a repeated batch leaves the same table."""
+    """New day files into a folder of days (``sources.days``). What a day holds already stays: of the records of one id the
+    newest by updated_at is kept, so a day may come in parts, and a repeated batch leaves the same days. A day is replaced
+    as a whole when its merged version is written; whoever reads in between, or after a failure, sees the one before."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("day", F.substring("created_at", 1, 10))
-        days = [r.day for r in new.select("day").distinct().collect()]  # the days of one batch
-        if not days:
+        new = batch.withColumn("day", F.substring("created_at", 1, 10)).where(F.col("day").isNotNull())
+        names = [r.day for r in new.select("day").distinct().collect()]  # the days of one batch
+        if not names:
             return
-        there = spark.read.schema(new.schema).option("basePath", target).parquet(target).where(F.col("day").isin(days)) if known() else new.limit(0)
+        there = read_days(spark, target, ARTICLES, names).drop("complete")
         whole = F.struct(*[F.col(c) for c in new.columns])
         newest = new.withColumn("_late", F.lit(1)).unionByName(there.withColumn("_late", F.lit(0))).groupBy("id").agg(F.max_by(whole, F.struct(F.coalesce("updated_at", F.lit("")), "_late")).alias("z")).select("z.*")
-        aside = f"{checkpoint.rstrip('/')}/merged"  # the merged days are written before those they were read from go
-        newest.write.mode("overwrite").parquet(aside)
-        spark.read.schema(new.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
-
-    def known() -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        save_days(newest, target)
 
     return spark.readStream.schema(ARTICLES).json(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

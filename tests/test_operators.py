@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from corpuswright.functions.rules import JA, LATIN
 from corpuswright.operators import lint, markdown, panel, tokens
 from corpuswright.sources import ingest
+from corpuswright.sources.days import read_days
+from corpuswright.sources.ingest import ARTICLES
 from corpuswright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -218,7 +220,7 @@ def test_incremental_ingest(spark, tmp_path):
         jobs.ingest(spark, str(source), target, str(tmp_path / "cp")).awaitTermination()
     (source / "2.json").write_text('{"id": "y", "created_at": "2024-01-02T00:00:00+09:00"}\n')
     jobs.ingest(spark, str(source), target, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(target).count() == 2
+    assert read_days(spark, target, ARTICLES).count() == 2
 
 
 def test_latin_rules_are_used():
@@ -233,7 +235,9 @@ def test_a_day_in_two_batches(spark, tmp_path):
 
     put("a.json", ("1", "old", "2024-02-01"), ("2", "kept", "2024-02-05"))
     put("b.json", ("1", "new", "2024-02-03"), ("2", "stale", "2024-02-02"), ("3", "more", None))
-    assert {(r.id, r.title) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "new"), ("2", "kept"), ("3", "more")}
+    got = read_days(spark, str(tmp_path / "out"), ARTICLES).collect()
+    assert {(r.id, r.title) for r in got} == {("1", "new"), ("2", "kept"), ("3", "more")}
+    assert len(got) == 3
 
 
 def test_documents_configs_and_logs(spark, tmp_path):
