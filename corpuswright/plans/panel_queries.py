@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import panel as P
+from ..operators import resample
+from ..operators.ranks import ranked
 from ..sources.tables import table
 from .registry import register
 
@@ -271,16 +273,12 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.top_share(panel(spark, sf_dir), "likes", (0.01, 0.1, 0.5)), "sum_pct")
 
 
-@register(f"""WITH {PANEL}, b AS (SELECT year, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM p GROUP BY 1),
-q AS (SELECT p.*, 1 + (value > a)::INT + (value > b)::INT + (value > c)::INT AS quartile FROM p JOIN b USING (year))
+@register(f"""WITH {PANEL}, q AS (SELECT year, likes, ntile(4) OVER (PARTITION BY year ORDER BY value, id)::INT AS quartile FROM p)
 SELECT year, quartile, count(*) AS n, round(avg(likes), 6) AS mean_likes FROM q GROUP BY 1, 2""")
 def quartile_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles by the year's exact quartile values, so that no task ranks a year's articles."""
-    rows = panel(spark, sf_dir)
-    ends = rows.groupBy("year").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    quartile = sum(((F.col("value") > F.get("q", F.lit(k))).cast("int") for k in range(3)), F.lit(1))
-    rows = rows.join(ends, "year").withColumn("quartile", quartile)
-    return rounded(rows.groupBy("year", "quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("likes").alias("mean_likes")), "mean_likes")
+    """Quartiles of a year's articles as ``ntile`` deals them, by places that no task takes of a whole year."""
+    rows = ranked(panel(spark, sf_dir).select("year", "value", "id", "likes"), ["year"], [F.col("value"), F.col("id")], tiles=4)
+    return rounded(rows.groupBy("year", F.col("ntile").alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.avg("likes").alias("mean_likes")), "mean_likes")
 
 
 @register(f"""WITH {PANEL} SELECT year, CASE WHEN likes < 2 THEN '0-1' WHEN likes < 10 THEN '2-9' WHEN likes < 30 THEN '10-29' ELSE '30+' END AS band, count(*) AS n, round(median(value), 6) AS median_value FROM p GROUP BY 1, 2""")
@@ -340,6 +338,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.bootstrap(panel(spark, sf_dir), A(), B(), 200), "low", "high", to=4)
 
 
+@register()
+def bootstrap_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same interval by draws of authors with replacement; random numbers that SQL does not have."""
+    return rounded(resample.interval(panel(spark, sf_dir), A(), B()), "low", "high", to=4)
+
+
 @register("""WITH c AS (SELECT 'l_quantity' AS field, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem)
 SELECT field, count(x) AS valid, count(*) FILTER (x IS NULL) AS nulls, round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95 FROM c GROUP BY 1""")
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

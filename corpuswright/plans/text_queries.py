@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.rules import LATIN
-from ..operators import lint, markdown, tokens
+from ..operators import lint, markdown, patterns, tokens
 from ..sources.tables import table
 from .panel_queries import rounded
 from .registry import register
@@ -200,6 +200,17 @@ def lexicon_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "before", "after", "ratio")
 
 
+@register("""WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{3,}')) AS word FROM benchmark), d AS (SELECT lower(text) AS text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT word, (length(text) - length(replace(text, word, ''))) // length(word) AS n FROM l, d WHERE contains(text, word))
+SELECT word, count(n) AS documents, coalesce(sum(n), 0)::BIGINT AS n FROM l LEFT JOIN c USING (word) GROUP BY 1""")
+def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark's items as one lexicon: the documents that contain each, inside of words too, and its
+    occurrences, in one pass over the texts."""
+    lexicon = table(spark, sf_dir, "benchmark", "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{3,}"), F.lit(0))).alias("word")).distinct()
+    texts = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    return patterns.word_counts(texts, "doc_id", "text", lexicon)
+
+
 @register("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{3,}'), 1) AS k FROM documents),
 n AS (SELECT doc_id FROM w GROUP BY 1 HAVING count(*) BETWEEN 100 AND 700), c AS (SELECT doc_id, word, count(*) AS c FROM w JOIN n USING (doc_id) WHERE k <= 100 GROUP BY 1, 2)
 SELECT doc_id, round(max(c) / 100.0, 6) AS top_share, round(count(*) FILTER (c = 1) / count(*), 6) AS hapax_share, round(count(*) / 100.0, 6) AS ttr FROM c GROUP BY 1""")
