@@ -1,15 +1,18 @@
 """Main text of web pages, with site template removal.
 
-A page is read once into blocks of text and the element subtrees they stand in. Elements that say what they are by tag
-or role (nav, footer, dialog) go at once. A class or id says so only if each of its words is one of NAMES or NEUTRAL
-(main-menu, but not menu-prices or with-sidebar), and then only of an element that holds no article or main element and
-at most half of the page's text; reader comments go at any size. The text is that of all article elements that are
-not mostly links, if they make up a third of what the page's main part has, else that of the main part. Each remaining subtree has a hash of its tags and
-text; Spark counts in how many different pages of a host each hash occurs, and subtrees that recur across at least
-PAGES different pages of the host are deleted, however many pages it has. Pages with the same text count once, so
-copies of an article are no template. Inside an article element a paragraph, heading,
-quotation or the like without links (PROSE) is no template by itself, since a passage that articles share is text; any
-other subtree there can be one, with all it holds.
+Every element's subtree has a hash of its tags and text. Spark counts in how many different pages of a host each hash
+occurs; subtrees that recur across at least PAGES different pages of a host, however many it has, are its templates and go,
+wherever they stand: menus, footers and adverts like notices inside of articles. Pages with the same text count once, so
+copies of an article are no template. Elements that hold the main text, and inside an article element a paragraph, heading,
+quotation or the like without links (PROSE), are none by themselves, since a passage that articles share is text; any other
+subtree there can be one, with all it holds.
+
+What recurrence can't tell, on hosts with few pages, names settle. Elements that say what they are by tag or role (nav,
+footer, dialog) go. A class or id says so only if each of its words is one of NAMES or NEUTRAL (main-menu, but not
+menu-prices or with-sidebar), and then only of an element that holds no article or main element; where only such elements
+have text, those with a paragraph stay. Reader comments go in any case. The text is that of the page's main element, or of
+the article elements that are not mostly links: of those inside the main element if they make up a third of what it has,
+and of any if there is no main element. Results say how many blocks went as templates and how many otherwise.
 
 A block ends where a block-level element begins or ends; a line break is white space inside it. White space is what
 Unicode calls so. Headings of an article stay, also where they stand in its header.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, written
+from .common import by_size, through_python, written
 
 PAGES = 5  # different pages of a host in which a template recurs at least
 
@@ -66,11 +69,12 @@ NEUTRAL = frozenset(
 
 
 class Element:
-    __slots__ = ("boiler", "gone", "head", "holds", "links", "main", "named", "parent", "parts", "readers", "size", "tag", "value")
+    __slots__ = ("best", "boiler", "dead", "gone", "head", "headed", "heading", "holds", "links", "main", "named", "parent", "parts", "prose", "readers", "size", "tag", "value")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str) -> None:
         self.tag, self.parent, self.parts, self.size, self.links, self.value = tag, parent, [tag], 0, 0, 0
-        self.boiler = self.holds = self.readers = False
+        self.boiler = self.dead = self.headed = self.heading = self.holds = self.prose = self.readers = False
+        self.best: Element | None = None
         self.main, self.head, words, roles = 0, tag == "header", set(), set()
         self.gone, self.named = tag in GONE, tag == "form"
         if len(attributes) > 1:
@@ -109,11 +113,16 @@ def _judge(blocks: list[tuple[str, Element]], elements: list[Element]) -> None:
     """Sets ``boiler`` of all elements, of which parents come first."""
     for x in elements:
         x.boiler = x.gone or x.parent is not None and x.parent.boiler
-    whole = sum(len(text) for text, own in blocks if not own.boiler)
-    for x in elements:
-        if x.named and not (x.holds or 2 * x.size > whole) or x.readers and not (x.holds and x.tag != "article" and x.main):
-            x.boiler = True
-        x.boiler |= x.parent is not None and x.parent.boiler
+    named = [x for x in elements if x.named and not x.holds and not x.readers]
+    only = {x for x in named if x.prose}  # these stay where nothing but named elements has text
+    for drop in (set(named), set(named) - only):
+        kept = []
+        for x in elements:
+            dead = x.gone or x in drop or x.readers and not (x.holds and x.tag != "article" and x.main)
+            x.boiler = dead or x.parent is not None and x.parent.boiler
+        kept = any(not own.boiler for _, own in blocks)
+        if kept or not only:
+            break
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
@@ -124,6 +133,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     blocks: list[tuple[str, Element]] = []
     elements: list[Element] = [root]
     run: list[str] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
     linked = 0
 
     def flush() -> None:
@@ -134,19 +144,19 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
                 own = stack[-1]
                 own.parts.append(text)
                 blocks.append((text, own))
-                x: Element | None = own
-                while x is not None:
-                    x.size += len(text)
-                    x.links += min(linked, len(text))
-                    x = x.parent
+                own.size += len(text)
+                own.links += min(linked, len(text))
+                own.prose |= own.tag in ("p", "blockquote", "pre")
             run.clear()
             linked = 0
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            done = stack.pop()
+            done, above = stack.pop(), stack[-1]
+            places[done.tag].pop()
+            above.size, above.links, above.prose = above.size + done.size, above.links + done.links, above.prose or done.prose
             done.value = xxhash.xxh64_intdigest("\x00".join(done.parts).encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-            stack[-1].parts.append(str(done.value))
+            above.parts.append(str(done.value))
 
     at, n, find = 0, len(page), TAG.search
     while at < n:
@@ -188,25 +198,20 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             continue
         flush()
         if hit[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    if tag in ("article", "main", "body", "div", "section"):
-                        inline.clear()
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
+                if tag in ("article", "main", "body", "div", "section"):
+                    inline.clear()
             continue
         for kind, begins in CLOSES.items():
-            if tag in begins:
-                stop = BARRIER[kind]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == kind:
-                        close(k)
-                        break
-                    if stack[k].tag in stop:
-                        break
+            if tag in begins and places.get(kind):
+                k = places[kind][-1]
+                if all(not places.get(x) or places[x][-1] < k for x in BARRIER[kind]):
+                    close(k)
         if tag in VOID:
             continue
         own = Element(tag, stack[-1], hit[3].rstrip(">"))
+        places.setdefault(tag, []).append(len(stack))
         stack.append(own)
         elements.append(own)
         if hit[3].endswith("/>") and tag in ("svg", "path", "object"):
@@ -217,88 +222,107 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     return blocks, elements
 
 
-def _within(element: Element, containers: set[Element]) -> Element | None:
-    """The innermost of the containers that the element is or stands in."""
-    x: Element | None = element
-    while x is not None and x not in containers:
-        x = x.parent
-    return x
-
-
 def _containers(elements: list[Element]) -> set[Element]:
     """What the page's text stands in; empty if nothing says so."""
     plain = lambda x: x.size - x.links
     able = [x for x in elements if x.main and not x.boiler and x.size]
     # of the strongest kind, the one with the most text outside of links; the first of equals
-    best = max((x for x in able if x.main < 4), key=lambda x: (x.main, plain(x)), default=None)
+    best = max((x for x in able if x.main < 4), key=lambda x: (x.main == 2, x.main, plain(x)), default=None)
     while best is not None and best.parent is not None and best.parent.main == best.main and not best.parent.boiler:
         best = best.parent
-    articles = [x for x in able if x.main == 4]
+    inside = _under(elements, {best}) if best is not None and best.main == 2 and plain(best) else None
+    articles = [x for x in able if x.main == 4 and (inside is None or x in inside)]  # an article beside a main element is none of its text
     articles = [x for x in articles if 2 * x.links <= x.size] or articles
-    articles = [x for x in articles if x.parent is None or _within(x.parent, set(articles)) is None]
+    nested = _under(elements, set(articles))
+    articles = [x for x in articles if x not in nested]
     if articles and (best is None or 3 * sum(map(plain, articles)) >= plain(best)):
         return set(articles)
     return {best} if best is not None else set()
 
 
-def read(page: str | None) -> list[tuple[str, list[int]]]:
-    """The blocks that are left of a page, each with the hashes of subtrees it stands in that may be templates."""
-    blocks, elements = blocks_of(page or "")
-    containers = _containers(elements)
-    out = []
-    for text, own in blocks:
-        best = _within(own, containers)
-        if own.boiler or containers and best is None:
-            continue
-        hashes, header, heading = [], False, False
-        x: Element | None = own
-        while x is not None and x is not best and x.parent is not None:
-            header |= x.head
-            heading |= x.tag in HEADINGS
-            if x.tag not in ("html", "body") and (best is None or best.main < 4 or x.links or x.tag not in PROSE):
-                hashes.append(x.value)
-            x = x.parent
-        if header and not (heading and best is not None):
-            continue
-        if best is None and own.size and own.links > 0.7 * own.size and own.tag not in ("p", "body", "html", ""):
-            continue
-        out.append((text, hashes))
-    return out
-
-
-def host_of(url: str | None) -> str:
-    found = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return found[1].lower() if found else ""
-
+def _under(elements: list[Element], tops: set[Element]) -> set[Element]:
+    """The elements below any of ``tops``."""
+    found: set[Element] = set()
+    for x in elements:
+        if x.parent is not None and (x.parent in tops or x.parent in found):
+            found.add(x)
+    return found
 
-SHAPE = "page_id {kind}, url string, host string, mark binary, sign long, blocks array<struct<text:string,hashes:array<bigint>>>"
 
+class Page:
+    """A page read: its blocks, each with its element, and which elements may be templates."""
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, mark (a hash of host and html), sign (a hash of the blocks' text) and blocks of every page."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    block = pa.list_(pa.struct([("text", pa.string()), ("hashes", pa.list_(pa.int64()))]))
+    def __init__(self, page: str | None) -> None:
+        self.blocks, self.elements = blocks_of(page or "")
+        containers = _containers(self.elements)
+        above: set[Element] = set()  # what holds the text
+        for x in containers:
+            while x is not None and x not in above:
+                above.add(x)
+                x = x.parent
+        self.open: dict[Element, None] = {}
+        for x in self.elements:
+            up = x.parent
+            x.best = x if x in containers else up.best if up is not None else None
+            if up is not None and x not in containers:
+                x.headed, x.heading = up.headed or x.head, up.heading or x.tag in HEADINGS
+            in_article = x.best is not None and x.best.main == 4
+            if up is not None and x.size and x not in above and x.tag not in ("html", "body") and not (in_article and x.tag in PROSE and not x.links and not x.boiler):
+                self.open[x] = None
+        self.bare = not containers
+
+    def hashes(self) -> list[int]:
+        """Of the subtrees that may be templates."""
+        return list(dict.fromkeys(x.value for x in self.open))
+
+    def _text(self, own: Element) -> bool:
+        if own.boiler or own.best is None and not self.bare:
+            return False
+        if own.headed and not (own.heading and own.best is not None):
+            return False
+        return not (own.best is None and own.size and own.links > 0.7 * own.size and own.tag not in ("p", "body", "html", ""))
+
+    def left(self, templates: set[int]) -> tuple[list[str], int, int]:
+        """The texts of the blocks that are left, how many went as templates, and how many otherwise."""
+        for x in self.elements:
+            x.dead = x.parent is not None and x.parent.dead or bool(templates) and x in self.open and x.value in templates
+        out, gone, other = [], 0, 0
+        for text, own in self.blocks:
+            if own.dead:
+                gone += 1
+            elif self._text(own):
+                out.append(text)
+            else:
+                other += 1
+        return out, gone, other
+
+
+HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+def known(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host and mark (a digest of host and html) of every page."""
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
+    return rows.withColumn("host", host).withColumn("mark", F.unhex(F.md5(F.concat("host", F.lit("\x00"), "html"))))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, mark, sign, hash) of :func:`known` pages: each subtree that may be a template; sign is a hash of the page's
+    text with its templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_size(whole, 2, 1 << 22):
-                htmls = batch.column(2).to_pylist()
-                found = [read(x) for x in htmls]
-                hosts = [host_of(x) for x in batch.column(1).to_pylist()]
-                marks = [xxhash.xxh3_128_digest(f"{h}\x00{x or ''}".encode("utf-8", "surrogatepass")) for h, x in zip(hosts, htmls, strict=True)]
-                signs = [xxhash.xxh64_intdigest("\n".join(t for t, _ in x).encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(marks, pa.binary()), pa.array(signs, pa.int64()), pa.array([[{"text": t, "hashes": h} for t, h in x] for x in found], block)],
-                    names=["page_id", "url", "host", "mark", "sign", "blocks"],
-                )
-
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SHAPE.format(kind=kind))
-
+                signs, found = [], []
+                for page in batch.column(2).to_pylist():
+                    own = Page(page)
+                    found.append(own.hashes())
+                    signs.append(xxhash.xxh64_intdigest("\n".join(own.left(set())[0]).encode("utf-8", "surrogatepass")) - (1 << 63))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "mark", "sign", "hashes"])
 
-def subtrees(read_pages: DataFrame) -> DataFrame:
-    """(host, mark, sign, hash): each subtree of a page that may be a template."""
-    hashes = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))
-    return read_pages.select("host", "mark", "sign", F.explode(hashes).alias("hash"))
+    found = through_python(pages.select("host", "mark", "html"), run, "host string, mark binary, sign long, hashes array<long>")
+    return found.select("host", "mark", "sign", F.explode("hashes").alias("hash"))
 
 
 def templates(each: DataFrame, least: int = PAGES) -> DataFrame:
@@ -308,21 +332,28 @@ def templates(each: DataFrame, least: int = PAGES) -> DataFrame:
 
 
 def extracted(pages: DataFrame, least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars and n_templates (blocks that went as templates) of every page.
+    """page_id, url, text, n_chars, n_templates and n_others (blocks that went as templates, and otherwise) of every page.
 
-    Pages are read twice, as that takes less disk than keeping their text between the passes."""
-    found = parsed(pages)
-    each = written(subtrees(found), "subtrees")
+    Pages are read twice, as that takes less disk than keeping their elements between the passes."""
+    rows = known(pages)
+    each = written(subtrees(rows), "subtrees")
     sites = written(templates(each, least), "templates").select(F.col("host").alias("_host"), F.col("hash").alias("_hash"))
     # a subtree, and a page with its copies, may make up a third of all pages; they have one row on the other side of
     # these joins, and Spark splits their rows
     met = each.join(sites.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash")))
     gone = met.groupBy(F.col("mark").alias("_mark")).agg(F.collect_set("hash").alias("templates"))  # at most the elements of a page
-    out = found.join(written(gone, "gone").hint("merge"), F.col("mark") == F.col("_mark"), "left")
-    left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["hashes"], F.col("templates")), F.lit(False)))
-    text = F.array_join(F.transform("left", lambda b: b["text"]), "\n")
-    out = out.withColumn("left", left).withColumn("text", text)
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("blocks") - F.size("left")).alias("n_templates"))
+    out = rows.join(written(gone, "gone").hint("merge"), F.col("mark") == F.col("_mark"), "left")
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_size(whole, 2, 1 << 22):
+                found = [Page(page).left(set(own or ())) for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                texts = ["\n".join(x) for x, _, _ in found]
+                numbers = [pa.array(x, pa.int64()) for x in (map(len, texts), (n for _, n, _ in found), (n for _, _, n in found))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *numbers], names=["page_id", "url", "text", "n_chars", "n_templates", "n_others"])
+
+    return through_python(out.select("page_id", "url", "html", "templates"), run, f"page_id {kind}, url string, text string, n_chars long, n_templates long, n_others long")
 
 
 def op7(pages: DataFrame) -> DataFrame:
