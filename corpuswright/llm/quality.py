@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, words_of
 
+HASH = -1  # bits of a window's hash that are used
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits")
 
 
@@ -58,9 +59,8 @@ def _fixed(value: Column) -> Column:
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
     """Adds MEASURES. A 3-word window is known by a hash with its place in the low bits: sorting brings equal
-    windows together, and the words of neighbours are compared before two are called equal. So no two windows are taken
-    for equal that aren't; two equal ones are missed if a third, whose hash agrees with theirs in all high bits (44 in a
-    text of a million words), stands between them and no other equal one is beside either."""
+    windows together, and the words of neighbours are compared before two are called equal. Where a neighbour has the
+    same hash but other words, the window is compared with all of that hash."""
     full = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(full, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     one = df.withColumn("_cw_w", words_of(F.col(text))).withColumn("_cw_lines", lines)
@@ -79,16 +79,23 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     two = one.withColumn("_cw_mask", F.coalesce(low, F.lit(0).cast("long")))
     keyed = F.transform(
         F.sequence(F.lit(0).cast("long"), n.cast("long") - 3),
-        lambda i: F.xxhash64(word(i.cast("int")), word(i.cast("int") + 1), word(i.cast("int") + 2)).bitwiseAND(F.bitwise_not("_cw_mask")).bitwiseOR(i),
+        lambda i: F.xxhash64(word(i.cast("int")), word(i.cast("int") + 1), word(i.cast("int") + 2)).bitwiseAND(F.lit(HASH)).bitwiseAND(F.bitwise_not("_cw_mask")).bitwiseOR(i),
     )
     three = two.withColumn("_cw_s", F.when(n >= 3, F.sort_array(keyed)).otherwise(F.array().cast("array<bigint>")))
 
+    def alike(x: Column, y: Column) -> Column:
+        return F.coalesce(x.bitwiseXOR(y).bitwiseAND(F.bitwise_not("_cw_mask")) == 0, F.lit(False))
+
     def same(x: Column, y: Column) -> Column:
         p, q = (v.bitwiseAND(F.col("_cw_mask")).cast("int") for v in (x, y))
-        prefix = x.bitwiseXOR(y).bitwiseAND(F.bitwise_not("_cw_mask")) == 0
-        return F.coalesce(prefix, F.lit(False)) & (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
+        return alike(x, y) & (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
+
+    def repeats(x: Column, i: Column) -> Column:
+        after, before = F.get("_cw_s", i + 1), F.when(i > 0, F.get("_cw_s", i - 1))
+        beside = same(x, after) | F.coalesce(same(x, before), F.lit(False))
+        return F.when(beside, True).when(alike(x, after) | alike(x, before), F.exists("_cw_s", lambda y: (x != y) & same(x, y))).otherwise(False)
 
-    again = F.filter("_cw_s", lambda x, i: same(x, F.get("_cw_s", i + 1)) | F.when(i > 0, same(x, F.get("_cw_s", i - 1))).otherwise(False))
+    again = F.filter("_cw_s", repeats)
     four = three.withColumn("_cw_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_cw_mask")))))
     reach = F.transform("_cw_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_cw_p", i + 1) - p, F.lit(3).cast("long"))))
     five = four.withColumn("n_repeat_words", _fixed(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)))
