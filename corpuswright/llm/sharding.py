@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import scratch
+from .common import scratch, spare
 
 TARGET = 128 << 20
 FAN = 4
@@ -140,9 +140,10 @@ def compacted(df: DataFrame, arrivals: int = 4, target: int = TARGET, folder: st
     store = ShardStore(df.sparkSession, folder, target)
     inbox = f"{folder}/data/inbox"
     batch = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith("map")]), F.lit(arrivals)).cast("int")
-    df.withColumn("_arrival", batch).write.option("compression", "zstd").partitionBy("_arrival").parquet(inbox)
+    (arrival,) = spare(df, "_arrival")
+    df.withColumn(arrival, batch).write.option("compression", "zstd").partitionBy(arrival).parquet(inbox)
     for k in range(arrivals):
-        part = f"{inbox}/_arrival={k}"
+        part = f"{inbox}/{arrival}={k}"
         if store.files.exists(store.hadoop.fs.Path(part)):
             store.adopt(part)
             store.compact()

@@ -42,6 +42,13 @@ def test_measures_equal_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HASH", -1 << 62)  # four hashes for all windows
+    texts = ["a b c d a b c e f g h a b d", "a b c a b c", "p q r s t u v w x y z " * 3, "k l m n o k l m x y z l m n"]
+    for r in quality.op9(frame(spark, list(enumerate(texts)))).collect():
+        assert r.n_repeat_words == plain(texts[r.doc_id])[4], texts[r.doc_id]
+
+
 def test_ledger_keeps_rows_columns_and_policies(spark):
     df = frame(spark, [(None, "x", 1), (None, "x", 1), (2, None, None)], "doc_id long, text string, n_words int")
     book = quality.ledger(df)
@@ -168,3 +175,9 @@ def test_two_writers_of_one_version(spark):
     assert store.read(store.spark.range(0).toDF("x").schema).count() == 3 + winner + 1
     store.adopt(made[(winner + 1) % 4])
     assert store.version() == 3
+
+
+def test_shards_keep_columns_named_like_their_own(spark):
+    df = frame(spark, [(k, k % 3, f"x{k}") for k in range(50)], "doc_id long, _arrival int, tier string")
+    store = sharding.compacted(df)
+    assert sorted(map(tuple, store.read(df.schema).collect())) == sorted(map(tuple, df.collect()))
