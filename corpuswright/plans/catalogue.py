@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import battery_queries, japanese_queries, more_queries, panel_queries, stream_queries, text_queries  # noqa: F401
+from . import battery_queries, japanese_queries, more_queries, panel_queries, sql_queries, stream_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
