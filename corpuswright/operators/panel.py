@@ -13,27 +13,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .quantiles import quantiles
+from .quantiles import quantiles, with_median
 from .ranks import falling, scanned
 
 
 def timeline(panel: DataFrame, by: str = "month") -> DataFrame:
     """Median by period, with the days that have articles and the days of the month."""
     day = F.to_date("created")
-    return panel.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.median("value").alias("median_value"), F.countDistinct(day).alias("days_present"), F.max(F.day(F.last_day(day))).cast("long").alias("days_in_month")
-    )
+    found = with_median(panel, [by], "value", "median_value", F.count(F.lit(1)).alias("n"), F.countDistinct(day).alias("days_present"), F.max(F.day(F.last_day(day))).cast("long").alias("days_in_month"))
+    return found.select(by, "n", "median_value", "days_present", "days_in_month")
 
 
 def weekly(events: DataFrame, at: str = "ts", value: str = "value", least: int = 300) -> DataFrame:
     """Medians by ISO week, for weeks with at least so many rows."""
     label = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), F.col(at)).cast("int"), F.weekofyear(at))
     start = F.date_format(F.date_trunc("week", F.col(at)), "yyyy-MM-dd")
-    return events.groupBy(label.alias("week"), start.alias("week_start")).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median_value")).where(F.col("n") >= least)
+    rows = events.select(label.alias("week"), start.alias("week_start"), F.col(value).alias("_v"))
+    return with_median(rows, ["week", "week_start"], "_v", "median_value", F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def monthly_medians(panel: DataFrame, least: int = 1) -> DataFrame:
-    return panel.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("m")).where(F.col("n") >= least)
+    return with_median(panel, ["month"], "value", "m", F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def thresholds(medians: DataFrame, baseline: Column, k: float = 3.0) -> DataFrame:
@@ -86,8 +86,8 @@ def within_author(panel: DataFrame, a: Column, b: Column) -> DataFrame:
     sides = quantiles(panel.where(a | b).withColumn("side", F.when(a, "a").otherwise("b")), ["side"], "value", [0.5])
     overall = sides.agg((F.max(F.when(F.col("side") == "b", F.col("q0"))) - F.max(F.when(F.col("side") == "a", F.col("q0")))).alias("overall"))
     way = F.signum("overall")
-    return both.crossJoin(F.broadcast(overall)).groupBy("overall").agg(  # one row
-        F.count(F.lit(1)).alias("authors"), F.median("d").alias("median_shift"), (100 * F.avg((way * F.col("d") > 0).cast("double"))).alias("same_way"),
+    return with_median(  # one group
+        both.crossJoin(F.broadcast(overall)), ["overall"], "d", "median_shift", F.count(F.lit(1)).alias("authors"), (100 * F.avg((way * F.col("d") > 0).cast("double"))).alias("same_way"),
         (100.0 * F.count_if(way * F.col("d") > 0) / F.nullif(F.count_if(F.col("d") != 0), F.lit(0))).alias("same_way_of_movers"),
     )
 
@@ -102,8 +102,8 @@ def cohort_within(panel: DataFrame, a: Column, b: Column, cohorts: Column) -> Da
     ``cohorts`` names a cohort from the column debut; null leaves an author out."""
     both = author_medians(panel, a).withColumnRenamed("m", "ma").join(author_medians(panel, b).withColumnRenamed("m", "mb"), "author").join(debuts(panel), "author")
     d = F.col("mb") - F.col("ma")
-    return both.withColumn("cohort", cohorts).where("cohort is not null").groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("authors"), F.median(d).alias("median_shift"), (100.0 * F.count_if(d > 0) / F.nullif(F.count_if(d != 0), F.lit(0))).alias("up_share")
+    return with_median(
+        both.withColumn("d", d).withColumn("cohort", cohorts).where("cohort is not null"), ["cohort"], "d", "median_shift", F.count(F.lit(1)).alias("authors"), (100.0 * F.count_if(d > 0) / F.nullif(F.count_if(d != 0), F.lit(0))).alias("up_share")
     )
 
 
@@ -140,10 +140,10 @@ def confounds(panel: DataFrame, a: Column, b: Column, topic: Column, heavy: int
     names = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in cases.items()]), lambda x: x.isNotNull())
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
     each = rows.select("period", names.alias("cases"), cells.alias("z")).select("period", F.explode("cases").alias("case"), "z.metric", "z.x")
-    side = lambda p: F.when(F.col("period") == p, F.col("x"))
-    found = each.groupBy("metric", "case").agg(
-        F.count_if(F.col("period") == "a").alias("n_a"), F.count_if(F.col("period") == "b").alias("n_b"), F.median(side("a")).alias("median_a"), F.median(side("b")).alias("median_b")
-    ).withColumn("diff", F.col("median_b") - F.col("median_a"))
+    sides = with_median(each, ["metric", "case", "period"], "x", "m", F.count(F.lit(1)).alias("n"))
+    side = lambda p, c: F.max(F.when(F.col("period") == p, F.col(c)))
+    found = sides.groupBy("metric", "case").agg(*[F.coalesce(side(p, "n"), F.lit(0)).alias(f"n_{p}") for p in "ab"], *[side(p, "m").alias(f"median_{p}") for p in "ab"])
+    found = found.withColumn("diff", F.col("median_b") - F.col("median_a"))
     base = found.where(F.col("case") == "all").select("metric", F.col("diff").alias("_base"))
     out = found.join(F.broadcast(base), "metric").withColumn("kept_pct", 100 * F.col("diff") / F.nullif(F.col("_base"), F.lit(0.0))).drop("_base")
     return out if len(metrics) > 1 else out.drop("metric")
