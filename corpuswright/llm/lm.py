@@ -360,16 +360,41 @@ def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
 
 
 def drawn(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A binomial count from one uniform number: exact for one trial, by its mean and spread for several."""
-    mean = n * p
-    out = np.floor(mean + u)
-    many = np.flatnonzero((n > 1) & (mean >= 1))
+    """Binomial counts, each from its own uniform number alone, so that they don't depend on what is drawn beside them: by
+    summing up the law, and where both outcomes are expected over 40 times by its normal form with the term for skew."""
+    out = np.floor(n * p + u)
+    many = np.flatnonzero(n > 1)
     if len(many):
-        x, v = mean[many], u[many]
-        out[many] = np.rint(x + np.sqrt(x * (1 - p[many])) * (v**0.135 - (1 - v) ** 0.135) / 0.1975)  # Tukey's approximation of normal quantiles
+        size, q, v = n[many].astype(float), np.clip(np.nan_to_num(p[many]), 0.0, 1.0), 1 - u[many]
+        flip = q > 0.5
+        q, v = np.where(flip, 1 - q, q), np.where(flip, 1 - v, v)
+        mean = size * q
+        got = np.zeros(len(many))
+        large = np.flatnonzero(mean > 40)
+        if len(large):
+            z = _normal(v[large])
+            got[large] = np.rint(mean[large] + np.sqrt(mean[large] * (1 - q[large])) * z + (1 - 2 * q[large]) * (z * z - 1) / 6)
+        live = np.flatnonzero((mean <= 40) & (q > 0))
+        odds = q[live] / (1 - q[live])
+        mass = np.exp(size[live] * np.log1p(-q[live]))
+        left, k = v[live] - mass, 0
+        while (on := np.flatnonzero((left > 0) & (size[live] > k))).size:
+            live, odds, mass, left = live[on], odds[on], mass[on], left[on]
+            mass = mass * (size[live] - k) / (k + 1) * odds
+            left = left - mass
+            k += 1
+            got[live] = k
+        out[many] = np.where(flip, size - got, got)
     return np.clip(out, 0, n).astype(np.int64)
 
 
+def _normal(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the normal law, to some 4e-4: Abramowitz and Stegun, 26.2.23."""
+    t = np.sqrt(-2 * np.log(np.clip(np.minimum(u, 1 - u), 1e-12, None)))
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return np.where(u < 0.5, -z, z)
+
+
 def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, others: np.ndarray, parents: tuple[float, float], known: int, discounts: tuple[float, float], seed: np.ndarray, still: np.ndarray | None = None, roots_seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tables after a sweep. Rows are dishes of restaurants: their word (ascending), customers and tables; ``t1`` are the
     words' tables in the parent, ``others`` the tables of a row's restaurant that belong to other words, ``parents`` all

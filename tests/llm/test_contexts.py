@@ -167,3 +167,11 @@ def test_pieces_are_put_together():
     assert [x[:2] for x in got] == [("asks", 8), ("asks", 9), ("sums", 0), ("texts", 0)]
     assert (got[0][2], got[1][2], got[2][2]) == (b"", "b" * (1 << 17), None)
     assert np.array_equal(got[3][2], np.arange(100_000))
+
+
+def test_draws_are_binomial():
+    rng = np.random.default_rng(8)
+    for n, p in ((4, 0.2), (2, 0.6), (10, 0.15), (5, 0.9), (300, 0.01), (1, 0.3), (1000, 0.3), (60, 0.8), (5000, 0.99)):
+        got = lm.drawn(np.full(400_000, n), np.full(400_000, p), rng.random(400_000))
+        assert abs(got.mean() / (n * p) - 1) < 0.02
+        assert abs(got.var() / (n * p * (1 - p)) - 1) < 0.02
