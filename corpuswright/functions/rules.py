@@ -12,6 +12,7 @@ TABLE_ROW = r"^\s*\|"
 QUOTE = r"^\s*>"
 BOLD = r"\*\*[^*\n]+\*\*|__[^_\n]+__"
 INLINE_CODE = r"`[^`\n]+`"
+ENGLISH = r"[A-Za-z][A-Za-z0-9_.-]*"
 LINK = r"\[([^\]]*)\]\([^)]*\)"
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 HTML_TAG = r"<[^>]+>"

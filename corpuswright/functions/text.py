@@ -31,6 +31,12 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def code_words(text: Column) -> tuple[Column, Column]:
+    """English words inside of inline code, and outside of it."""
+    inside = F.array_join(F.regexp_extract_all(text, F.lit(R.INLINE_CODE), F.lit(0)), " ")
+    return count_of(inside, R.ENGLISH), count_of(F.regexp_replace(text, R.INLINE_CODE, " "), R.ENGLISH)
+
+
 def clean_inline(text: Column) -> Column:
     """Prose of a line: images, inline code, tags and emphasis go, links leave their text."""
     for pattern, to in ((R.IMAGE, ""), (R.LINK, "$1"), (R.INLINE_CODE, ""), (R.HTML_TAG, ""), (R.EMPHASIS, "")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,27 +72,33 @@ def mismatches(cells: DataFrame, measured: DataFrame) -> DataFrame:
     return met.where(F.abs(F.col("printed") - F.col("value")) > F.pow(F.lit(10.0), -decimals(F.col("cell"))) / 2 + 1e-9)
 
 
-def scale_claims(docs: DataFrame, key: str, text: str, unit: str, totals: list[float], tolerance: float = 0.05) -> DataFrame:
-    """Claims '<number> <unit>' that are near none of the totals."""
-    found = F.explode(F.regexp_extract_all(text, F.lit(f"([0-9][0-9,.]*)\\s*{unit}"), F.lit(1)))
-    value = F.regexp_replace("claim", ",", "").cast("double")
+def scale_claims(docs: DataFrame, key: str, text: str, unit: str | Sequence[str], totals: list[float], tolerance: float = 0.05, least: float = 0.0) -> DataFrame:
+    """Claims '<number>[万] <unit>' above ``least`` that are near none of the totals; 万 is ten thousand."""
+    units = "|".join([unit] if isinstance(unit, str) else unit)
+    pattern = f"([0-9][0-9,.]*)\\s*(万)?\\s*(?:{units})"
+    found = F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b")))
+    rows = docs.select(F.col(key).alias("key"), found.alias("z")).select("key", F.concat("z.a", "z.b").alias("claim"), F.regexp_replace("z.a", ",|[.]$", "").alias("_n"), (F.col("z.b") != "").alias("_many"))
+    value = F.expr("try_cast(_n AS DOUBLE)") * F.when(F.col("_many"), 10_000.0).otherwise(1.0)
     near = [F.abs(F.col("value") - t) <= tolerance * t for t in totals]
     ok = near[0]
     for more in near[1:]:
         ok = ok | more
-    return docs.select(F.col(key).alias("key"), found.alias("claim")).withColumn("value", value).where(F.col("value").isNotNull() & ~ok)
+    return rows.withColumn("value", value).where((F.col("value") > least) & ~ok).select("key", "claim", "value")
+
+
+def folded(path: Column) -> Column:
+    """A path without '.', '..' (at any depth) and empty parts."""
+    start = F.when(path.startswith("/"), "/").otherwise("")
+    up = lambda a: (F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), a), -1) != "..")
+    step = lambda a, x: F.when(x.isin("", "."), a).when((x == "..") & up(a), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.array_append(a, x))
+    return F.concat(start, F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
 
 def relative_links(docs: DataFrame, path: str, text: str) -> DataFrame:
     """(source, target) of relative links, resolved against the folder of their document."""
     links = F.explode(F.regexp_extract_all(text, F.lit(r"\]\(([^)#\s]+)[^)]*\)"), F.lit(1)))
     rows = docs.select(F.col(path).alias("source"), links.alias("link")).where(~F.col("link").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"))
-    folder = F.regexp_extract("source", "^(.*/)?[^/]*$", 1)
-    target = F.concat(folder, F.regexp_replace("link", r"^\./", ""))
-    up = r"[^/]+/\.\./"
-    for _ in range(4):
-        target = F.regexp_replace(target, up, "")
-    return rows.select("source", target.alias("target"))
+    return rows.select("source", folded(F.concat(F.regexp_extract("source", "^(.*/)?[^/]*$", 1), "link")).alias("target"))
 
 
 def broken_links(docs: DataFrame, files: DataFrame, path: str, text: str) -> DataFrame:

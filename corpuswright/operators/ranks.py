@@ -185,3 +185,16 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Key], tiles: int |
         tile = F.when(F.col("_place") < wide, F.floor(F.col("_place") / (each + 1))).otherwise(more + F.floor((F.col("_place") - wide) / F.greatest(each, F.lit(1)))) + 1
         out.append(tile.cast("int").alias("ntile"))
     return met.select(*out)
+
+
+def percent_ranked(df: DataFrame, by: Sequence[str], value: str, high_first: bool = False) -> DataFrame:
+    """The rows with percent_rank of ``value`` in their group: the share of the other rows that come before, ties alike."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    runs = scanned(counts, by, [falling(F.col(value)) if high_first else F.col(value)], sums={"_before": "_n"})
+    names = {c: f"_c{k}" for k, c in enumerate([*by, value])}
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    on = lambda left, keys: [F.col(c).eqNullSafe(F.col(left[c])) for c in keys]
+    sizes = whole.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], "_all")
+    sized = runs.join(sizes, on({c: f"_g{k}" for k, c in enumerate(by)}, by)) if by else runs.crossJoin(F.broadcast(sizes))  # one row
+    side = sized.select(*[F.col(c).alias(a) for c, a in names.items()], F.when(F.col("_all") > 1, F.col("_before") / (F.col("_all") - 1)).otherwise(0.0).alias("percent_rank"))
+    return df.join(side, on(names, [*by, value])).select(*df.columns, "percent_rank")

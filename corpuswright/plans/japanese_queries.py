@@ -350,6 +350,34 @@ def ja_char_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(each.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in _kinds]), *_kinds, to=8)
 
 
+@register(f"""WITH {LINES}, {BODIES}, c AS (SELECT strftime(DATE '2024-01-01' + (doc_id % 400)::INT, '%G-W%V') AS week, {', '.join(f"len(regexp_extract_all(raw, '{p}')) / nullif(length(raw), 0) AS {n}" for n, p in _kinds.items())} FROM b)
+SELECT week, count(*) AS n, {', '.join(f"round(avg({n}), 8) AS {n}" for n in _kinds)} FROM c GROUP BY 1 HAVING count(*) >= 3""")
+def ja_char_classes_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by ISO week, for weeks with at least three documents."""
+    rows = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 400).cast("int"))
+    week = F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+    each = rows.select(week.alias("week"), *[(T.count_of(F.col("raw"), p) / F.nullif(F.length("raw"), F.lit(0))).alias(n) for n, p in _kinds.items()])
+    return rounded(each.groupBy("week").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in _kinds]).where("n >= 3"), *_kinds, to=8)
+
+
+_within = " UNION ALL ".join(f"SELECT '{n}' AS kind, a_{n} AS a, b_{n} AS b FROM w" for n in _kinds)
+
+
+@register(f"""WITH {LINES}, {BODIES}, c AS (SELECT doc_id % 97 AS author, (doc_id // 97) % 2 AS period, {', '.join(f"len(regexp_extract_all(raw, '{p}')) / nullif(length(raw), 0) AS {n}" for n, p in _kinds.items())} FROM b),
+g AS (SELECT author, period, {', '.join(f"avg({n}) AS {n}" for n in _kinds)} FROM c GROUP BY 1, 2), w AS (SELECT {', '.join(f"a.{n} AS a_{n}, b.{n} AS b_{n}" for n in _kinds)} FROM g AS a JOIN g AS b ON a.author = b.author AND a.period = 0 AND b.period = 1), x AS ({_within})
+SELECT kind, count(*) AS authors, round(avg(a), 8) AS before, round(avg(b), 8) AS after, round(100.0 * count(*) FILTER (b > a) / count(*), 6) AS up_pct FROM x GROUP BY 1""")
+def ja_char_classes_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same authors in two periods: means of their profiles, and the share that went up."""
+    rows = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
+    share = lambda p: T.count_of(F.col("raw"), p) / F.nullif(F.length("raw"), F.lit(0))
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), share(p).alias("x")) for n, p in _kinds.items()]))
+    each = rows.select((F.col("doc_id") % 97).alias("author"), (F.floor(F.col("doc_id") / 97) % 2).alias("period"), cells.alias("z")).select("author", "period", "z.*")
+    sides = each.groupBy("author", "kind").agg(*[F.avg(F.when(F.col("period") == k, F.col("x"))).alias(n) for k, n in enumerate("ab")], F.countDistinct("period").alias("periods")).where("periods = 2")
+    out = sides.groupBy("kind").agg(F.count(F.lit(1)).alias("authors"), F.avg("a").alias("before"), F.avg("b").alias("after"), (100.0 * F.count_if(F.col("b") > F.col("a")) / F.count(F.lit(1))).alias("up_pct"))
+    return rounded(rounded(out, "before", "after", to=8), "up_pct")
+
+
 _token = "[一-鿿]+|[ァ-ヶー]+|[ぁ-ん]|[A-Za-z]+"
 _toks = f"k AS (SELECT doc_id, year, regexp_extract_all(raw, '{_token}') AS t FROM b)"
 _pairs = "list_zip(t[1:len(t) - 1], t[2:])"

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import panel as P
 from ..operators import resample
-from ..operators.ranks import ranked
+from ..operators.ranks import percent_ranked, ranked
 from ..sources.tables import table
 from .registry import register
 
@@ -287,6 +287,21 @@ def like_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel(spark, sf_dir).groupBy("year", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median_value")), "median_value")
 
 
+@register(f"""WITH {PANEL}, r AS (SELECT year, value, likes, percent_rank() OVER (PARTITION BY year ORDER BY likes DESC) AS k FROM p)
+SELECT year, CASE WHEN k <= 0.02 THEN 'top 2%' WHEN likes < 2 THEN '0-1' ELSE 'middle' END AS part, count(*) AS n, round(avg(value), 4) AS mean_value FROM r GROUP BY 1, 2""")
+def like_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two per cent of a year with the most likes, those with next to none, and the rest."""
+    rows = percent_ranked(panel(spark, sf_dir).select("year", "value", "likes"), ["year"], "likes", high_first=True)
+    part = F.when(F.col("percent_rank") <= 0.02, "top 2%").when(F.col("likes") < 2, "0-1").otherwise("middle")
+    return rounded(rows.groupBy("year", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")), "mean_value", to=4)
+
+
+@register()
+def like_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with ten likes or more against those with at most one: the interval of the difference of means."""
+    return rounded(resample.interval(panel(spark, sf_dir), F.col("likes") < 2, F.col("likes") >= 10), "low", "high", to=4)
+
+
 @register("""WITH t AS (SELECT year(o_orderdate)::INT AS year, o_totalprice AS value, lower(o_orderpriority) AS a, lower(c_mktsegment) AS b FROM orders JOIN customer ON o_custkey = c_custkey),
 d AS (SELECT year, value, CASE WHEN a = '1-urgent' OR b = 'machinery' THEN 'industry' WHEN b IN ('building', 'furniture') THEN 'housing' WHEN b = 'automobile' THEN 'transport' ELSE 'other' END AS domain FROM t)
 SELECT domain, round(median(value) FILTER (year = 1996), 6) AS y1996, round(median(value) FILTER (year = 2000), 6) AS y2000, round(median(value) FILTER (year = 2000) - median(value) FILTER (year = 1996), 6) AS change, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 30""")

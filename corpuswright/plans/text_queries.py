@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import LATIN
 from ..operators import lint, markdown, patterns, tokens
@@ -490,3 +491,23 @@ def number_tokens_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = lambda c: F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1))
     text = F.col("text")
     return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(F.array_except(numbers(text), numbers(F.regexp_replace(text, "[0-9]{7,}", "")))).alias("lost_numbers"))
+
+
+@register(f"""WITH {WORDS}, a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM benchmark), b AS (SELECT DISTINCT source, word FROM w)
+SELECT source, (SELECT count(*) FROM a) AS lexicon, count(*) AS words, count(a.word) AS both FROM b LEFT JOIN a USING (word) GROUP BY 1""")
+def lexicon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a lexicon, of each source's set of words, and of what they share."""
+    lexicon = table(spark, sf_dir, "benchmark", "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
+    own = words(spark, sf_dir).select("source", "word").distinct()
+    each = own.join(lexicon.withColumn("known", F.lit(1)), "word", "left").groupBy("source").agg(F.count(F.lit(1)).alias("words"), F.count("known").alias("both"))
+    return each.crossJoin(F.broadcast(lexicon.agg(F.count(F.lit(1)).alias("lexicon")))).select("source", "lexicon", "words", "both")  # one row
+
+
+@register("""WITH d AS (SELECT source, regexp_extract_all(text, '[A-Za-z]{5,}') AS coded, regexp_replace(text, '[A-Za-z]{5,}', ' ', 'g') AS rest, length(text) + 2 * len(regexp_extract_all(text, '[A-Za-z]{5,}')) AS chars FROM documents)
+SELECT source, count(*) AS n, sum(len(coded))::BIGINT AS inside, sum(len(regexp_extract_all(rest, '[A-Za-z][A-Za-z0-9_.-]*')))::BIGINT AS outside, round(avg(len(coded) / nullif(chars, 0) * 1000), 6) AS code_per_1k FROM d GROUP BY 1""")
+def code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English words inside of inline code against those outside; a rule makes each word of five letters inline code."""
+    rows = documents(spark, sf_dir, "source", "text").select("source", F.regexp_replace("text", "[A-Za-z]{5,}", "`$0`").alias("md"))
+    inside, outside = T.code_words(F.col("md"))
+    each = rows.select("source", inside.alias("i"), outside.alias("o"), T.per_thousand(T.count_of(F.col("md"), R.INLINE_CODE), F.length("md")).alias("c"))
+    return rounded(each.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("i").cast("long").alias("inside"), F.sum("o").cast("long").alias("outside"), F.avg("c").alias("code_per_1k")), "code_per_1k")

@@ -111,3 +111,10 @@ def test_japanese_tokens():
     found = tokens.simple_tokenizer("私は設計をテストします。")
     assert [t[0] for t in found] == ["私", "は", "設計", "を", "テスト", "します", "。"]
     assert [t[2] for t in found] == ["名詞", "助詞", "名詞", "助詞", "名詞", "助動詞", "補助記号"]
+
+
+def test_claims_in_ten_thousands_and_deep_links(spark):
+    docs = spark.createDataFrame([("a/b/c/d/e/f/g.md", "about 74万件, 81.1万記事, 811,379件 and 5件 [x](../../../../../../top.md) [y](./h.md) [z](../../../../../../../../out.md) [w](sub/../i//j.md)")], "path string, text string")
+    got = [(r.claim, r.value) for r in checks.scale_claims(docs, "path", "text", ["件", "記事"], [811_379.0, 820_000.0], least=100.0).collect()]
+    assert got == [("74万", 740_000.0)]
+    assert {r.target for r in checks.relative_links(docs, "path", "text").collect()} == {"top.md", "a/b/c/d/e/f/h.md", "../../out.md", "a/b/c/d/e/f/i/j.md"}
