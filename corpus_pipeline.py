@@ -28,7 +28,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Defined results: rows without a doc_id stand for their group only if it has no other; rows of different groups stay,
     also where they share a doc_id or have none; of rows that share doc_id and text one stays; texts without words are one
-    group; an empty table stays empty."""
+    group; texts of any length are compared whole; all columns keep their names and values; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
@@ -36,14 +36,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents as often as the mix takes them; those it takes no times are gone.
 
     Defined results: a null source is a source of its own; texts without words have no mass and are rounded on their own;
-    rows equal in all columns share their copies; an empty table stays empty."""
+    rows equal in all columns share their copies; a text of any length is one item; all columns keep their names and
+    values; an empty table stays empty."""
     return mixing.mix(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, piece_ids, n_pieces and lossless of every row, sampled by doc_id.
 
-    Defined results: a null or empty text has no pieces; equal rows get equal pieces; an empty table stays empty."""
+    Defined results: a null or empty text has no pieces; equal rows get equal pieces; texts of any length are encoded whole;
+    only doc_id, source and text are read, so other columns may have any name; an empty table stays empty."""
     coded = pieces.encoded(docs, more=("source",))
     return coded.select(F.col("key").alias("doc_id"), "source", "piece_ids", "n_pieces", "lossless")
 
