@@ -487,3 +487,18 @@ def test_clashing_columns_and_long_texts(spark, monkeypatch):
     scores = {r.doc_id: r for r in lm.op10(df).collect()}
     assert (scores[2].n_tokens, scores[3].n_tokens) == (200_002, 1)
     assert all(r.score < 0 for r in scores.values())
+
+
+def test_stages_keep_odd_columns_and_long_texts(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 5000, 60_000))
+    rows = [(k, long if k == 3 else " ".join(f"v{x}" for x in rng.integers(0, 900, 80)), "s", k, k, "z", k) for k in range(12)] + [(3, long, "s", 3, 3, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int, key int, mark string, copies int")
+    kept = corpus_pipeline.dedup_stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.n, r.key, r.mark, r.copies) for r in kept.collect()) == [(k, k, k, "z", k) for k in range(12)]
+    mixed = corpus_pipeline.mixing_stage(spark, df, "")
+    assert mixed.columns == df.columns
+    assert {(r.doc_id, r.n) for r in mixed.collect()} == {(k, k) for k in range(12)}
+    coded = corpus_pipeline.encoding_stage(spark, df, "")
+    assert coded.where("lossless").count() == 13
