@@ -92,8 +92,9 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
 
     def repeats(x: Column, i: Column) -> Column:
         after, before = F.get("_cw_s", i + 1), F.when(i > 0, F.get("_cw_s", i - 1))
+        near = alike(x, after) | alike(x, before)  # of most windows, no other has the hash
         beside = same(x, after) | F.coalesce(same(x, before), F.lit(False))
-        return F.when(beside, True).when(alike(x, after) | alike(x, before), F.exists("_cw_s", lambda y: (x != y) & same(x, y))).otherwise(False)
+        return F.when(near, beside | F.exists("_cw_s", lambda y: (x != y) & same(x, y))).otherwise(False)
 
     again = F.filter("_cw_s", repeats)
     four = three.withColumn("_cw_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_cw_mask")))))
