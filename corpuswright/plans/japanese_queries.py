@@ -307,6 +307,43 @@ def ja_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.withColumn("decorations", sum((F.col(c).cast("int") for c in ("bold", "image", "quote")), F.lit(0)))
 
 
+_DECORATED = f"""{LINES}, {BODIES}, {BLOCKS}, d AS (SELECT doc_id, count(*) FILTER (p = 14) > 0 AS bold, count(*) FILTER (p = 13) > 0 AS image, count(*) FILTER (p = 3) > 0 AS quote FROM l GROUP BY 1), j AS (SELECT doc_id, max(({_ja})::INT) = 1 AS ja_block FROM k GROUP BY 1),
+f AS (SELECT doc_id, bold, image, image::INT + quote::INT + coalesce(ja_block, false)::INT AS decorations, length(regexp_replace(clean, '\\s', '', 'g')) AS chars, n_bold FROM d LEFT JOIN j USING (doc_id) JOIN b USING (doc_id))"""
+
+
+def _decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, bold, image, decorations (of image, quote and Japanese block), chars and bolds of prose."""
+    prose = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
+    sizes = prose.select("doc_id", T.solid_length(F.col("clean")).alias("chars"), T.count_of(F.col("raw"), R.BOLD).alias("n_bold"))
+    count = sum((F.col(c).cast("int") for c in ("image", "quote", "ja_block")), F.lit(0))
+    return ja_features(spark, sf_dir).select("doc_id", "bold", "image", count.alias("decorations")).join(sizes, "doc_id")
+
+
+@register(f"""WITH {_DECORATED} SELECT doc_id % 12 AS month, decorations, count(*) AS n, round(100.0 * avg(bold::INT), 6) AS bold_pct FROM f GROUP BY 1, 2""")
+def ja_decorations_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of documents that use bold, by month and number of other decorations."""
+    rows = _decorated(spark, sf_dir).groupBy((F.col("doc_id") % 12).alias("month"), "decorations")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), (100.0 * F.avg(F.col("bold").cast("int"))).alias("bold_pct")), "bold_pct")
+
+
+@register(f"""WITH {_DECORATED} SELECT decorations, count(*) AS n, round(avg(1000.0 * n_bold / chars), 6) AS bold_per_1k FROM f WHERE chars BETWEEN 1500 AND 3000 GROUP BY 1""")
+def ja_decorations_of_one_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold by number of other decorations, in documents of about one length."""
+    rows = _decorated(spark, sf_dir).where(F.col("chars").between(1500, 3000)).groupBy("decorations")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg(1000.0 * F.col("n_bold") / F.col("chars")).alias("bold_per_1k")), "bold_per_1k")
+
+
+_BANDS = (0, 300, 1000, 2000, 4000, 8000, 20000)
+
+
+@register(f"""WITH {_DECORATED} SELECT CASE {' '.join(f'WHEN chars >= {b} THEN {b}' for b in _BANDS[::-1])} END AS band, image, count(*) AS n, round(avg(1000.0 * n_bold / nullif(chars, 0)), 6) AS bold_per_1k FROM f GROUP BY 1, 2""")
+def ja_image_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bold in documents with and without images, by band of length (its lower end)."""
+    band = F.coalesce(*[F.when(F.col("chars") >= b, b) for b in _BANDS[::-1]])
+    rows = _decorated(spark, sf_dir).groupBy(band.alias("band"), "image")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg(1000.0 * F.col("n_bold") / F.nullif(F.col("chars"), F.lit(0))).alias("bold_per_1k")), "bold_per_1k")
+
+
 _nom = """x2 <> '' AND NOT regexp_matches(x2, '[:：\\-—ー…]$') AND length(regexp_replace(x2, '[\\sゃゅょャュョ]', '', 'g')) >= 8 AND len(regexp_extract_all(x2, '[=;{}()\\[\\]<>]|//|/\\*|\\*/')) < 2 AND NOT regexp_matches(x2, '[:：|｜]')
  AND NOT regexp_matches(x2, '[【】〜]|^第[０-９0-9一二三四五六七八九十]+[章節部]') AND NOT regexp_matches(x2, '^[はがをにでとへやのも、。]') AND NOT regexp_matches(x2, '^\\s*(?:#{1,6}\\s*|[-*+・]\\s*|\\d+[.)]\\s*|[①-⑳]\\s*|※\\s*|>+\\s*)')
  AND len(regexp_extract_all(x2, '[!-~]')) <= 0.5 * length(replace(x2, ' ', '')) AND regexp_matches(x2, '[一-鿿]$')"""
