@@ -289,7 +289,7 @@ def like_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {PANEL}, r AS (SELECT year, value, likes, percent_rank() OVER (PARTITION BY year ORDER BY likes DESC) AS k FROM p)
 SELECT year, CASE WHEN k <= 0.02 THEN 'top 2%' WHEN likes < 2 THEN '0-1' ELSE 'middle' END AS part, count(*) AS n, round(avg(value), 4) AS mean_value FROM r GROUP BY 1, 2""")
-def like_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def like_top_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two per cent of a year with the most likes, those with next to none, and the rest."""
     rows = percent_ranked(panel(spark, sf_dir).select("year", "value", "likes"), ["year"], "likes", high_first=True)
     part = F.when(F.col("percent_rank") <= 0.02, "top 2%").when(F.col("likes") < 2, "0-1").otherwise("middle")

@@ -495,7 +495,7 @@ def number_tokens_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {WORDS}, a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM benchmark), b AS (SELECT DISTINCT source, word FROM w)
 SELECT source, (SELECT count(*) FROM a) AS lexicon, count(*) AS words, count(a.word) AS both FROM b LEFT JOIN a USING (word) GROUP BY 1""")
-def lexicon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a lexicon, of each source's set of words, and of what they share."""
     lexicon = table(spark, sf_dir, "benchmark", "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
     own = words(spark, sf_dir).select("source", "word").distinct()
