@@ -40,7 +40,7 @@ from .tokencount import PATTERN
 VOCABULARY = "byte_bpe_50k.json"
 WIDTH = 1024
 END = 0
-KEPT = 300_000  # stretches whose ids a worker keeps
+KEPT = 500_000  # stretches whose ids a worker keeps
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -83,14 +83,29 @@ class Encoder:
         return ["\0" + parts[0], *[x if _clean(x) else "\0 " + x for x in parts[1:]]]
 
     def _learn(self, found: list[str]) -> None:
-        kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
+        spaced, lined, alone = [], [], []
+        joined = "".join(found)
+        odd = " " in joined or any(t in joined for t in self.added)  # else no stretch is
         for x in found:
-            lead = x[0] if x[0] in "\0\n" else " "
-            if lead == " " and not _clean(x) or lead == "\n" and x != "\n" and not _clean(x[1:]):
+            first = x[0]
+            if first == "\0":
+                alone.append(x)
+            elif first == "\n":
+                if x == "\n":
+                    alone.append(x)
+                elif _clean(x[1:]):
+                    lined.append(x)
+                else:
+                    self.place[x] = 0
+            elif first.isspace() or x[-1].isspace():
                 self.place[x] = 0
+            elif odd and (" " in x or any(t in x for t in self.added)):
+                alone.append(x)
             else:
-                alone = lead == "\0" or x == "\n" or " " in x or any(t in x for t in self.added)
-                kinds["" if alone else lead].append(x)
+                spaced.append(x)
+        kinds = {" ": spaced, "\n": [x for x in lined if not (odd and any(t in x for t in self.added))], "": alone}
+        if odd:
+            alone += [x for x in lined if any(t in x for t in self.added)]
         for lead, new in kinds.items():
             if new:
                 whole = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new]
