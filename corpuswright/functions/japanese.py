@@ -151,3 +151,16 @@ def is_nominal(sentence: Column, tokens: Column) -> Column:
 def dialect_share(text: Column) -> Column:
     """Share of Japanese letters of a block."""
     return T.count_of(text, BLOCK_LETTER) / F.nullif(F.length(text), F.lit(0))
+
+
+#: Floors of the raw pre-filters, in characters.
+RAW_FLOOR, CLEAN_FLOOR, SOLID_FLOOR = 1000, 300, 300
+
+
+def prefilters(clean: Column, body: Column, private: Column, slide: Column) -> dict[str, Column]:
+    """Which documents are looked at before any measure: for checks of words, by length of body and prose; for
+    vocabularies, neither private nor slides, with a body and enough characters that are no white space."""
+    return {
+        "word_check": (F.length(body) >= RAW_FLOOR) & (F.length(clean) >= CLEAN_FLOOR),
+        "vocabulary": ~private & ~slide & (F.trim(body) != "") & (T.solid_length(clean) >= SOLID_FLOOR),
+    }

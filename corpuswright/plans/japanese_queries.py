@@ -375,6 +375,14 @@ def ja_nominal_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nominal.tails(found, "tail", 20)
 
 
+@register(f"""WITH {LINES}, {BODIES} SELECT year, count(*) AS n, count(*) FILTER (length(raw) >= 1000 AND length(clean) >= 300) AS word_check, count(*) FILTER (doc_id % 31 <> 5 AND doc_id % 37 <> 6 AND length(regexp_replace(clean, '\\s', '', 'g')) >= 300) AS vocabulary FROM b GROUP BY 1""")
+def ja_prefilters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a year, and those that either pre-filter lets through; the body is the prose with its markup."""
+    rows = analysis.prose(written_in_japanese(spark, sf_dir).withColumnRenamed("md", "body"), "body")
+    found = J.prefilters(F.col("clean"), F.col("raw"), F.col("doc_id") % 31 == 5, F.col("doc_id") % 37 == 6)
+    return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(n) for n, c in found.items()])
+
+
 _kinds = {"kanji": "[一-鿿]", "hiragana": "[ぁ-ん]", "katakana": "[ァ-ヶー]", "latin": "[A-Za-z]", "digits": "[0-9]"}
 
 
