@@ -25,9 +25,9 @@ MEASURES = (
 )
 
 
-def prose(df: DataFrame, text: str) -> DataFrame:
-    """Adds md (the decomposition), raw (its body lines) and clean (those without inline markup)."""
-    return markdown.decomposed(df, text).withColumn("raw", F.array_join("md.body_lines", "\n")).withColumn("clean", T.clean_inline(F.col("raw")))
+def prose(df: DataFrame, text: str, codes: bool = False) -> DataFrame:
+    """Adds md (the decomposition), raw (its body lines) and clean (those without inline markup), and if asked for codes."""
+    return markdown.decomposed(df, text, codes).withColumn("raw", F.array_join("md.body_lines", "\n")).withColumn("clean", T.clean_inline(F.col("raw")))
 
 
 def sums(values: Column) -> Column:

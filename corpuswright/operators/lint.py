@@ -12,6 +12,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import Rules
 from .analysis import sums
+from .once import once
 from .quantiles import quantiles
 
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -93,7 +94,7 @@ def findings(df: DataFrame, text: str, rules: Rules, options: LintOptions = Lint
         found.append(F.when(hits >= 2, F.struct(F.lit("phrase").alias("rule"), hits.cast("double").alias("value"), F.lit(2.0).alias("limit"), F.lit(name).alias("message"), F.lit(None).cast("string").alias("place"))))
     none = F.array().cast(f"array<{FINDING}>")
     enough = F.coalesce(F.col("_n") >= options.min_sentences, F.lit(False))
-    return rows.withColumn("findings", F.when(enough, F.array_compact(F.array(*found)) if found else none).otherwise(none)).select(*df.columns, "findings")
+    return once(rows.withColumn("findings", F.when(enough, F.array_compact(F.array(*found)) if found else none).otherwise(none)).select(*df.columns, "findings"), "findings")
 
 
 def found(df: DataFrame, *keys: str) -> DataFrame:

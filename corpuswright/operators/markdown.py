@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .once import once
 
 _fence, _heading, _item, _table, _quote = (re.compile(p) for p in (R.FENCE, R.HEADING, R.LIST_ITEM, R.TABLE_ROW, R.QUOTE))
 LINES = 20_000  # lines that are put into one batch, or those of one document
@@ -131,7 +132,7 @@ def _parted(df: DataFrame, text: str) -> DataFrame:
     two = one.withColumn("_at", _cuts(F.col("_lines"), lambda x: (x["line"].contains("```") | x["line"].contains("~~~")) & x["line"].rlike(_java(R.FENCE))))
     at, stretch = F.col("_at"), F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))
     outside = F.flatten(F.transform(stretch, lambda k: F.slice("_lines", F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1)))
-    return two.withColumn("_out", F.transform(outside, lambda x: F.struct(x["pos"], x["line"], _kind(x["line"]).alias("kind"))))
+    return once(two.withColumn("_out", F.transform(outside, lambda x: F.struct(x["pos"], x["line"], _kind(x["line"]).alias("kind")))), "_lines", "_at", "_out")
 
 
 def _coded() -> Column:
@@ -139,6 +140,12 @@ def _coded() -> Column:
     return F.when(F.size("_at") > 2, F.sequence(F.lit(1), F.size("_at") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
 
 
+def _lang(k: Column) -> Column:
+    """What stands behind fence k."""
+    spaces = f"^[{SPACES}]+|[{SPACES}]+$"
+    return F.lower(F.regexp_replace(F.substring(F.regexp_replace(F.get("_lines", F.get("_at", k))["line"], spaces, ""), 4, 1 << 30), spaces, ""))
+
+
 def _ends_paragraph(x: Column) -> Column:
     return x["kind"].isin("heading", "blank")
 
@@ -164,10 +171,8 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     ordered = lambda x: F.when(x["kind"] == "list", F.regexp_extract(x["line"], _java(R.LIST_ITEM), 2).rlike("^\\p{Nd}"))
     others = F.transform(F.filter("_out", lambda x: x["kind"].isin("heading", "table", "list", "blank")), lambda x: row(x, x["kind"], level=level(x), ordered=ordered(x)))
     at = F.col("_at")
-    spaces = f"^[{SPACES}]+|[{SPACES}]+$"
-    lang = lambda k: F.lower(F.regexp_replace(F.substring(F.regexp_replace(F.get("_lines", F.get(at, k))["line"], spaces, ""), 4, 1 << 30), spaces, ""))
     within = lambda k: F.slice("_lines", F.get(at, k) + 2, F.get(at, k + 1) - F.get(at, k) - 1)
-    code = F.flatten(F.transform(_coded(), lambda k: _let(lang(k), lambda name: F.transform(within(k), lambda x: row(x, F.lit("code"), block=F.floor((k + 1) / 2), lang=name, closed=F.get(at, k + 1) < F.size("_lines"))))))
+    code = F.flatten(F.transform(_coded(), lambda k: _let(_lang(k), lambda name: F.transform(within(k), lambda x: row(x, F.lit("code"), block=F.floor((k + 1) / 2), lang=name, closed=F.get(at, k + 1) < F.size("_lines"))))))
     fences = F.transform(F.slice(at, F.lit(2), F.size(at) - 2), lambda p: row(F.get("_lines", p), F.lit("fence")))
     rows = F.concat(others, numbered(_between(F.col("_out"), _ends_paragraph), "body", "paragraph"), numbered(_between(F.col("_out"), lambda x: x["kind"] != "quote"), "quote", "block"), code, fences)
     return _parted(df.select(F.col(key).alias("key"), F.col(text).alias("_text")), "_text").select("key", F.explode(rows).alias("z")).select("key", "z.*")
@@ -199,14 +204,26 @@ def decomposed_by_loop(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("md", split(F.col(text)))
 
 
-def decomposed(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``md``, the decomposition of a text as a struct."""
+def _codes() -> Column:
+    """lang, code (the lines put together) and n_lines of the closed code blocks that have lines."""
+    within = lambda k: F.slice("_lines", F.get("_at", k) + 2, F.get("_at", k + 1) - F.get("_at", k) - 1)
+    lines = F.filter(F.transform(_coded(), lambda k: F.struct(k.alias("k"), within(k)["line"].alias("lines"))), lambda z: (F.get("_at", z["k"] + 1) < F.size("_lines")) & (F.size(z["lines"]) > 0))
+    return F.transform(lines, lambda z: F.struct(_lang(z["k"]).alias("lang"), F.array_join(z["lines"], "").alias("code"), F.size(z["lines"]).alias("n_lines")))
+
+
+def coded(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``codes``, what :func:`code_texts` says of a text's code blocks, as an array."""
+    return _parted(df, text).withColumn("codes", _codes()).drop("_lines", "_at", "_out")
+
+
+def decomposed(df: DataFrame, text: str, codes: bool = False) -> DataFrame:
+    """Adds ``md``, the decomposition of a text as a struct, and if asked for ``codes``, its code blocks."""
     at = F.col("_at")
     of = lambda kind: F.filter("_out", lambda x: x["kind"] == kind)["line"]
     code = F.flatten(F.transform(_coded(), lambda k: F.slice("_lines", F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k) + 1)["line"]))
     paragraphs = F.transform(_filled(_between(F.col("_out"), _ends_paragraph), "body"), lambda s: s["line"])
     md = F.struct(of("body").alias("body_lines"), of("heading").alias("headings"), of("list").alias("list_items"), of("table").alias("table_rows"), code.alias("code_lines"), of("quote").alias("quote_lines"), paragraphs.alias("paragraphs"))
-    return _parted(df, text).withColumn("md", md).drop("_lines", "_at", "_out")
+    return _parted(df, text).withColumns({"md": md} | ({"codes": _codes()} if codes else {})).drop("_lines", "_at", "_out")
 
 
 def code_blocks(lines: DataFrame) -> DataFrame:
