@@ -79,7 +79,7 @@ WORDS = "w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))
-    return documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(F.col("doc_id").alias("key"), "lang", "source", F.explode(found).alias("word"))
+    return documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(F.col("doc_id").alias("key"), "lang", "source", F.explode_outer(found).alias("word")).where("word is not null")
 
 
 @register(f"WITH {WORDS} SELECT word, count(*) AS freq, count(DISTINCT doc_id) AS doc_freq FROM w GROUP BY 1")
@@ -154,10 +154,12 @@ def word_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.substring("source", 4, 9).cast("int")
     counts = words(spark, sf_dir).select("key", "word", year.alias("year")).distinct().groupBy("word", "year").agg(F.count(F.lit(1)).alias("df"))
     docs = documents(spark, sf_dir, "source").groupBy(year.alias("year")).agg(F.count(F.lit(1)).alias("docs"))
-    totals = counts.groupBy("word").agg(F.sum("df").alias("n")).orderBy(F.desc("n"), "word").limit(90)
-    top = totals.where("n >= 30").orderBy(F.desc("n"), "word").limit(30).select("word")
+    # a word's counts go along with its total, one a source, as a join with the counts would work them out twice
+    totals = counts.groupBy("word").agg(F.sum("df").alias("n"), F.collect_list(F.struct("year", "df")).alias("z")).orderBy(F.desc("n"), "word").limit(90)
+    top = totals.where("n >= 30").orderBy(F.desc("n"), "word").limit(30).select("word", "z")
     grid = F.broadcast(top).crossJoin(docs)  # 30 words by source
-    out = grid.join(counts, ["word", "year"], "left").withColumn("rate", 100.0 * F.coalesce("df", F.lit(0)) / F.col("docs"))
+    df = F.get(F.filter("z", lambda x: x["year"] == F.col("year")), F.lit(0))["df"]
+    out = grid.withColumn("rate", 100.0 * F.coalesce(df, F.lit(0)) / F.col("docs"))
     return rounded(out.select("word", "year", "rate"), "rate")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.operators import lint, markdown
 from corpuswright.functions.rules import JA
+from corpuswright.operators import lint, markdown
 from corpuswright.operators.once import once
 from corpuswright.plans import catalogue
 
@@ -47,3 +47,8 @@ def test_codes_are_those_of_the_line_table(spark):
     want = {(r["key"], r["lang"], r["code"], r["n_lines"]) for r in markdown.code_texts(markdown.line_table(df, "k", "t")).collect()}
     got = [(r["k"], *r["z"]) for r in markdown.coded(df, "t").select("k", F.explode("codes").alias("z")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_word_timeline_counts_words_once(spark):
+    plan = optimized(catalogue.queries()["word_timeline"](spark, SF))
+    assert plan.count("regexp_extract_all(") == 1
