@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,20 +16,30 @@ SPACE = "(?U)\\s"
 
 def solid_length(text: Column) -> Column:
     """Characters that are no white space, in the Unicode sense."""
-    return F.length(F.regexp_replace(text, SPACE, ""))
+    return F.length(F.regexp_replace(text, SPACE + "+", ""))
 
 
 def mora(text: Column) -> Column:
     """Approximate morae: characters without white space and small y-kana."""
-    return F.length(F.regexp_replace(text, "(?U)[\\sゃゅょャュョ]", ""))
+    return F.length(F.regexp_replace(text, "(?U)[\\sゃゅょャュョ]+", ""))
 
 
 def per_thousand(n: Column, chars: Column) -> Column:
     return n / F.nullif(chars, F.lit(0)) * 1000
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def count_of(text: Column, pattern: str, needs: str = "") -> Column:
+    """How many hits a pattern has; ``needs``: what stands in every hit, which is looked for first. Those of
+    one class of characters are what is gone without them, as ``regexp_count`` makes a string of each hit."""
+    if re.fullmatch(r"\[[^\[\]\\&]+\]", pattern):
+        return F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))
+    hits = F.regexp_count(text, F.lit(pattern))
+    return F.when(~F.contains(text, F.lit(needs)), 0).otherwise(hits) if needs else hits
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def code_words(text: Column) -> tuple[Column, Column]:
@@ -47,7 +58,7 @@ def clean_inline(text: Column) -> Column:
 def sentences(text: Column, rules: Rules) -> Column:
     """Array of sentences: a line that ends in a comma goes on in the next; the rest ends at lines and after stops."""
     joined = F.regexp_replace(text, f"(?U)([{rules.commas}])\\s*\\R\\s*", "$1")
-    parts = F.split(joined, f"(?<=[{rules.stops}])|\\R")
+    parts = F.split(F.regexp_replace(joined, f"[{rules.stops}]", "$0\n"), "[\\n-\\r\\x85\\u2028\\u2029]+")
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")), lambda x: x != "")
 
 

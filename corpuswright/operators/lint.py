@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import japanese as J
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions.rules import Rules
@@ -83,7 +84,7 @@ def findings(df: DataFrame, text: str, rules: Rules, options: LintOptions = Lint
     rows = rows.withColumns({
         "_ten": T.count_of(t, f"[{rules.commas[:1]}]") / n, "_bold": T.per_thousand(T.count_of(t, R.BOLD), F.col("_chars")), "_kanji": T.count_of(t, rules.ideograph) / F.nullif(F.col("_chars"), F.lit(0)),
         "_burstiness": F.when(F.col("_n") >= 2, (s - m) / F.nullif(s + m, F.lit(0.0))), "_cv": F.col("_length_sd") / F.nullif(F.col("_length_mean"), F.lit(0.0)),
-    } | {f"_phrase{k}": T.count_of(t, p) for k, p in enumerate((phrases or {}).values())})
+    } | {f"_phrase{k}": T.count_of(t, p, J.needed(p)) for k, p in enumerate((phrases or {}).values())})
     found = []
     for name in (x for x in LIMITS if x not in options.disabled):
         value, limit, above = F.col(f"_{name}"), options.limit(name), name in UPPER

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.text import let as _let
 from .once import once
 
 _fence, _heading, _item, _table, _quote = (re.compile(p) for p in (R.FENCE, R.HEADING, R.LIST_ITEM, R.TABLE_ROW, R.QUOTE))
@@ -96,11 +97,6 @@ def _java(pattern: str) -> str:
     return pattern.replace("\\s", f"[{SPACES}]").replace("\\d", "\\p{Nd}")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _lines(text: Column) -> Column:
     """The lines of a text as (pos, line), without an empty last one; a null text has none."""
     odd = reduce(lambda a, b: a | b, [text.contains(c) for c in "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"])
