@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,8 +98,7 @@ def _java(pattern: str) -> str:
 
 def _lines(text: Column) -> Column:
     """The lines of a text as (pos, line), without an empty last one; a null text has none."""
-    odd = reduce(lambda a, b: a | b, [text.contains(c) for c in "\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"])
-    usual = F.when(odd, F.regexp_replace(text, f"\\r\\n|[{ODD_BREAKS}]", "\n")).otherwise(F.coalesce(text, F.lit("")))
+    usual = F.when(text.rlike(f"[{ODD_BREAKS}]"), F.regexp_replace(text, f"\\r\\n|[{ODD_BREAKS}]", "\n")).otherwise(F.coalesce(text, F.lit("")))
     some = _let(F.split(usual, "\n"), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
     return F.transform(some, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
 
