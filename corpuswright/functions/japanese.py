@@ -150,14 +150,20 @@ def needed(pattern: str) -> str:
 
 
 def is_nominal(sentence: Column, tokens: Column) -> Column:
-    """Whether a sentence of prose ends in a noun as a matter of style. ``tokens``: those of the sentence without its stop."""
-    bare = F.trim(F.regexp_replace(sentence, "[。！？!?]+$", ""))
-    solid, last = F.length(F.regexp_replace(bare, " ", "")), F.get(tokens, F.size(tokens) - 1)
-    prose = (
+    """Whether a sentence of prose ends in a noun as a matter of style. ``tokens``: those of the sentence without its stop.
+    The noun is asked for first, as most sentences have none and need no look at their letters then."""
+    last = F.get(tokens, F.size(tokens) - 1)
+    noun = (last["pos1"] == "名詞") & ~last["surface"].rlike(f"^(?:{NO_NOUN})$")
+    return F.when(noun, F.coalesce(T.let(F.trim(F.regexp_replace(sentence, "[。！？!?]+$", "")), _is_prose), F.lit(False))).otherwise(False)
+
+
+def _is_prose(bare: Column) -> Column:
+    """Whether what stands before a stop is no heading, item, code, setting or fragment."""
+    solid = F.length(F.regexp_replace(bare, " ", ""))
+    return (
         (bare != "") & ~bare.rlike(OPEN_TAIL) & ~bare.rlike(FRAGMENT) & (T.mora(bare) >= LEAST_MORA) & (T.count_of(bare, CODE_SIGN) < 2)
         & ~bare.rlike(SETTING) & ~bare.rlike(CHAPTER) & ~bare.rlike(PARTICLE) & (T.count_of(bare, "[!-~]") <= 0.5 * solid)
     )
-    return F.coalesce(prose & (last["pos1"] == "名詞") & ~last["surface"].rlike(f"^(?:{NO_NOUN})$"), F.lit(False))
 
 
 def dialect_share(text: Column) -> Column:

@@ -37,3 +37,9 @@ def test_odd_breaks_part_lines(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate([*(f"a{c}b" for c in text), text, "a\r\nb", None])], "k int, t string")
     by = lambda read: sorted(tuple(r) for r in read(df, "k", "t").collect())
     assert by(lambda *a: markdown.line_table(*a).select("key", "pos", "line")) == by(lambda *a: markdown.line_table_by_loop(*a).select("key", "pos", "line"))
+
+
+@pytest.mark.parametrize("name", ["ja_nominal", "ja_nominal_tails"])
+def test_nouns_are_asked_for_once(spark, name):
+    plan = optimized(catalogue.queries()[name](spark, SF))
+    assert plan.count("第[０-９0-9") == 1 and plan.count("TRAILING") <= 2
