@@ -148,6 +148,34 @@ def pos_shares(tokens: Column) -> dict[str, Column]:
     }
 
 
+#: Marks of tokens: a run of kanji (a verbal noun from two on, else another noun), of katakana, of Latin letters.
+VERBAL, SINO, KATAKANA, LATIN = "0", "1", "2", "3"
+
+
+def script_marks(text: Column) -> Column:
+    """A text whose tokens are runs of one script as a string of one character a token, in their order: the marks above,
+    and hiragana, each of which is a token, as they are; all else is between tokens. Shares of :func:`pos_shares` follow
+    from it without a row for each token."""
+    for pattern, to in (("[^一-鿿ァ-ヶーぁ-んA-Za-z]+", " "), ("[A-Za-z]+", LATIN), ("[一-鿿]{2,}", VERBAL), ("[一-鿿]", SINO), ("[ァ-ヶー]+", KATAKANA), (" ", "")):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def mark_counts(marks: Column) -> dict[str, Column]:
+    """Of :func:`script_marks`: tokens, verbal nouns, Sino-Japanese words and words of known origin, which Latin ones are
+    not, verbal nouns that follow another, and that take が or を."""
+    count = lambda p: F.regexp_count(marks, F.lit(p))
+    gone = lambda p: F.length(marks) - F.length(F.regexp_replace(marks, p, ""))
+    return {"n": F.length(marks), "sahen": gone(f"{VERBAL}+"), "kango": gone(f"[{VERBAL}{SINO}]+"), "known": F.length(F.regexp_replace(marks, f"{LATIN}+", "")), "chains": count(f"{VERBAL}(?={VERBAL})"), "cases": count(f"{VERBAL}[がを]")}
+
+
+def mark_shares(marks: Column) -> dict[str, Column]:
+    """Those of :func:`pos_shares` that :func:`script_marks` tell."""
+    c = mark_counts(marks)
+    n = F.nullif(c["n"], F.lit(0))
+    return {"sahen_noun_ratio": c["sahen"] / n, "kango_ratio": c["kango"] / F.nullif(c["known"], F.lit(0)), "sahen_chain_per_1000": c["chains"] / n * 1000, "sahen_case_per_1000": c["cases"] / n * 1000}
+
+
 def is_target(lemma: Column, stopwords: Column, pos1: Column | None = None, kinds: tuple[str, ...] = ("名詞", "動詞", "形容詞", "副詞"), ascii_too: bool = False) -> Column:
     """Content words: of these parts of speech where they are known, of two characters at least, no stopword, not of digits
     only, and unless ``ascii_too`` not of ASCII only."""

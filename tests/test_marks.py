@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.operators import markdown
+from corpuswright.operators import markdown, tokens
 from corpuswright.operators.rewrite import replaced
 from corpuswright.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
+TEXTS = ["設計設計が はを計画を、計が漢字 かな漢字 東京漢字漢字が", "カタカナabc漢 字Latin", "。、12 ー", "", None, "々漢字々", "が設計", "設計\n設計\nを"]
 
 
 def optimized(df) -> str:
@@ -43,3 +46,23 @@ def test_odd_breaks_part_lines(spark):
 def test_nouns_are_asked_for_once(spark, name):
     plan = optimized(catalogue.queries()[name](spark, SF))
     assert plan.count("第[０-９0-9") == 1 and plan.count("TRAILING") <= 2
+
+
+def token(x: str) -> dict:
+    kanji, katakana, hiragana = "一" <= x[0] <= "鿿", "ァ" <= x[0] <= "ヶ" or x[0] == "ー", "ぁ" <= x[0] <= "ん"
+    kind = "名詞" if kanji else "助詞" if x in "はがをに" else "未知語"
+    return {"surface": x, "lemma": x, "pos1": kind, "pos3": "サ変可能" if kanji and len(x) > 1 else "", "goshu": "漢" if kanji else "外" if katakana else "和" if hiragana else ""}
+
+
+def test_shares_by_marks_are_those_of_the_tokens(spark):
+    rows = [(k, t, None if t is None else [token(x) for x in re.findall("[一-鿿]+|[ァ-ヶー]+|[ぁ-ん]|[A-Za-z]+", t)]) for k, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, f"k int, t string, tokens {tokens.TOKEN}").withColumn("marks", tokens.script_marks(F.col("t")))
+    by_marks, by_tokens = tokens.mark_shares(F.col("marks")), tokens.pos_shares(F.col("tokens"))
+    for r in df.select(F.struct(*[c.alias(n) for n, c in by_marks.items()]).alias("a"), F.struct(*[by_tokens[n].alias(n) for n in by_marks]).alias("b"), F.length("marks").alias("n"), "tokens").collect():
+        assert r.a == r.b
+        assert r.n == (None if r.tokens is None else len(r.tokens))
+
+
+@pytest.mark.parametrize("name", ["ja_density", "ja_lexical_window", "ja_targets"])
+def test_tokens_are_no_structs(spark, name):
+    assert "surface" not in optimized(catalogue.queries()[name](spark, SF))
