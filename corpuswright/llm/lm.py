@@ -36,6 +36,7 @@ Words are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import io
 import pickle
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -49,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, delete, splitmix, written
+from .common import by_size, delete, give_back, splitmix, through_python, written
 
 HEAD = 4096
 BUCKET = 4_000_000  # training tokens of a bucket
@@ -75,47 +76,117 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_TOP = np.uint64(1 << 63)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """:func:`_hash` of words, given by where they start and how many bytes they have; eight bytes more follow the last.
+    Words of a size under 32 are hashed together, by what XXH64 does to so few bytes."""
+    out = np.empty(len(start), np.int64)
+    short = np.minimum(size, 32).astype(np.uint8)
+    order = np.argsort(short, kind="stable")
+    ends = np.cumsum(np.bincount(short, minlength=33)).tolist()
+    eight, four = (np.ndarray((len(data) - 8,), kind, data, strides=(1,)) for kind in ("<u8", "<u4"))
+    with np.errstate(over="ignore"):
+        for n in range(1, 32):
+            which = order[ends[n - 1] : ends[n]]
+            if not len(which):
+                continue
+            at = start[which]
+            acc = np.full(len(at), _P5 + np.uint64(n), np.uint64)
+            for k in range(0, n - 7, 8):
+                acc = _turned(acc ^ _turned(eight[at + k] * _P2, 31) * _P1, 27) * _P1 + _P4
+            if n & 4:
+                acc = _turned(acc ^ four[at + (n & 24)].astype(np.uint64) * _P1, 23) * _P2 + _P3
+            for k in range(n & 28, n):
+                acc = _turned(acc ^ data[at + k].astype(np.uint64) * _P5, 11) * _P1
+            acc = (acc ^ (acc >> np.uint64(33))) * _P2
+            acc = (acc ^ (acc >> np.uint64(29))) * _P3
+            out[which] = (acc ^ (acc >> np.uint64(32)) ^ _TOP).view(np.int64)
+    whole = memoryview(data)
+    for k in order[ends[31] :].tolist():
+        out[k] = _hash(whole[int(start[k]) : int(start[k]) + int(size[k])])
+    return out
+
+
 class Seen:
     """Words a task has met, each at a place: its hash there, and what ``lookups`` have for the hash, or -1."""
 
     def __init__(self, *lookups: dict[int, int]) -> None:
-        self.lookups, self.turn = lookups, 0
+        keys = [np.array(sorted(x), np.int64) for x in lookups]
+        self.lookups, self.turn = [(k, np.array([x[h] for h in k.tolist()], np.int32)) for k, x in zip(keys, lookups, strict=True)], 0
         self.clear()
 
     def clear(self) -> None:
         self.turn += 1
-        self.index: dict[bytes, int] = {}
-        self.hashes = np.empty(0, np.int64)
+        self.hashes, self.ordered, self.at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.found = [np.empty(0, np.int32) for _ in self.lookups]
 
-    def places(self, tokens: list[bytes]) -> np.ndarray:
-        index = self.index
-        if new := set(tokens).difference(index):
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            hashes = [_hash(w) for w in new]
-            self.hashes = np.concatenate((self.hashes, np.array(hashes, np.int64)))
-            self.found = [np.concatenate((x, np.array([at.get(h, -1) for h in hashes], np.int32))) for x, at in zip(self.found, self.lookups, strict=True)]
-        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        names, which = np.unique(hashes, return_inverse=True)
+        where = np.searchsorted(self.ordered, names)
+        fresh = np.append(self.ordered, 0)[where] != names
+        fresh |= where == len(self.ordered)
+        if (new := names[fresh]).size:
+            self.at = np.insert(self.at, where[fresh], np.arange(len(self.hashes), len(self.hashes) + len(new)))
+            self.ordered = np.insert(self.ordered, where[fresh], new)
+            self.hashes = np.concatenate((self.hashes, new))
+            for j, (keys, values) in enumerate(self.lookups):
+                k = _find(keys, new)
+                self.found[j] = np.concatenate((self.found[j], np.where(k >= 0, values[k], -1).astype(np.int32) if len(keys) else np.full(len(new), -1, np.int32)))
+            where = where + np.cumsum(fresh) - fresh
+        return self.at[where][which]
+
+    @property
+    def index(self) -> dict[bytes, int]:
+        """The words of the last stretch and their places."""
+        data, start, size, at, end = self.last
+        return {data[a : a + n].tobytes(): k for a, n, k in zip(start.tolist(), size.tolist(), at.tolist(), strict=True)} | {END: end}
+
+
+_LOWER = np.array([k + 32 if 65 <= k <= 90 else k for k in range(256)], np.uint8)
+_SOLID = np.array([k not in b" \t\n\x0b\x0c\r" for k in range(256)])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int, seen: Seen) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Stretches of the batches of some GROUP bytes: the rows, the places in ``seen`` of their tokens, and how many each
-    has. Arrow splits the texts (A-Z lower-cased, at the six ASCII blanks) and finds the distinct words of a stretch, so
-    only these become Python objects."""
+    has. Texts are split (A-Z lower-cased, at the six ASCII blanks) and words hashed as arrays of bytes, so no word
+    becomes a Python object."""
+    end = _hash(END)
     for whole in batches:
         for batch in by_size(whole, column, GROUP):
-            if len(seen.index) > FLUSH:
+            if len(seen.hashes) > FLUSH:
                 seen.clear()
-            texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(batch.column(column), "")))
-            lists = pc.ascii_split_whitespace(texts)
-            some = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            counts = np.where(some, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0) + 1
-            words = lists.flatten()
-            coded = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
-            places = seen.places([*coded.dictionary.cast(pa.binary()).to_pylist(), END])
-            at, ends = np.empty(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), bool)
+            texts = pc.fill_null(batch.column(column), "").cast(pa.large_binary())
+            _, offsets, content = texts.buffers()
+            cuts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            n = int(cuts[-1] - cuts[0])
+            data = np.zeros(n + 8, np.uint8)
+            if n:
+                data[:n] = _LOWER[np.frombuffer(content, np.uint8)[cuts[0] : cuts[-1]]]
+            cuts = cuts - cuts[0]
+            solid = _SOLID[data[:n]]
+            # where a word starts or ends: beside a blank, or beside the edge of a text
+            starts, stops = solid.copy(), solid.copy()
+            starts[1:] &= ~solid[:-1]
+            stops[:-1] &= ~solid[1:]
+            edges = cuts[:-1][cuts[1:] > cuts[:-1]]
+            starts[edges] = solid[edges]
+            stops[edges[1:] - 1] = solid[edges[1:] - 1]
+            start = np.flatnonzero(starts)
+            size = np.flatnonzero(stops) + 1 - start
+            counts = np.diff(np.searchsorted(start, cuts)) + 1
+            ends = np.zeros(int(counts.sum()), bool)
             ends[np.cumsum(counts) - 1] = True
-            at[~ends], at[ends] = places[:-1][coded.indices.to_numpy(zero_copy_only=False)], places[-1]
+            hashes = np.full(len(ends), end)
+            hashes[~ends] = _hashes(data, start, size)
+            at = seen.places(hashes)
+            seen.last = data, start, size, at[~ends], int(at[-1])
             yield batch, at, counts
 
 
@@ -134,7 +205,7 @@ def _occurrences(documents: DataFrame) -> DataFrame:
         if len(sums):
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(sums)], names=["h", "c"])
 
-    return documents.where(~F.col("held_out")).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return through_python(documents.where(~F.col("held_out")).select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 ROW = "part int, what string, chunk long, piece int, blob binary, sums array<long>"
@@ -146,8 +217,32 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _wide(kind: str, shape: tuple[int, ...], low: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = low.astype(kind)
+    out[low == 255] = large
+    return out.reshape(shape)
+
+
+class _Pickler(pickle.Pickler):
+    """Writes arrays of integers of which most are small as bytes, and those from 255 on apart."""
+
+    def reducer_override(self, x: object) -> object:
+        if type(x) is np.ndarray and x.dtype.kind in "iu" and x.itemsize > 1 and x.size > 64 and x.min() >= 0:
+            flat = x.ravel()
+            large = flat >= 255
+            if 8 * np.count_nonzero(large) <= flat.size:
+                return _wide, (x.dtype.str, x.shape, np.minimum(flat, 255).astype(np.uint8), flat[large])
+        return NotImplemented
+
+
+def _packed(content: object) -> bytes:
+    out = io.BytesIO()
+    _Pickler(out, 5).dump(content)
+    return out.getvalue()
+
+
 def _row(part: int, what: str, content: object = None, chunk: int = 0, sums: list[int] | None = None) -> dict:
-    return {"part": part, "what": what, "chunk": chunk, "blob": pickle.dumps(content, 5), "sums": sums}
+    return {"part": part, "what": what, "chunk": chunk, "blob": _packed(content), "sums": sums}
 
 
 def _rows(rows: list[dict], keys: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
@@ -189,9 +284,14 @@ def _by_part(rows: DataFrame, run: Callable[[int, dict[str, list]], list[dict]])
 
     def one(table: pa.Table) -> pa.Table:
         found: dict[str, list] = {}
+        part = table["part"][0].as_py()
         for what, chunk, content in _contents(table):
             found.setdefault(what, []).append((chunk, content))
-        return pa.Table.from_batches(_rows(run(table["part"][0].as_py(), found)), schema=ARROW_ROW)
+        try:
+            return pa.Table.from_batches(_rows(run(part, found)), schema=ARROW_ROW)
+        finally:  # workers live on, and stand idle while others work
+            found.clear()
+            give_back()
 
     return rows.groupBy("part").applyInArrow(one, ROW)
 
@@ -281,7 +381,7 @@ def _sent(documents: DataFrame, contexts: dict[int, int], parts: int) -> DataFra
                 content.setdefault(part, {})[kind] = (*_runs(owner[s]), other[s] if kind == 2 else _small(other[s]), _small(c[s]))
             yield from _rows([_row(part, "pairs", x, task << 24 | number) for part, x in content.items()])
 
-    return documents.where(~F.col("held_out")).select("text").mapInArrow(run, ROW)
+    return through_python(documents.where(~F.col("held_out")).select("text"), run, ROW)
 
 
 def _merged(blobs: list[tuple[int, dict]], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,12 +444,17 @@ def alone_table(discount: float) -> np.ndarray:
     return _alone[discount]
 
 
+def _hits(x: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a flat array, without the checks that take longer than a short one."""
+    return x.nonzero()[0]
+
+
 def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     """Chance that a customer sits alone. Beyond EXACT customers the share of tables with one customer is taken from the
     dish of EXACT customers whose tables are as many in proportion to customers ** discount."""
     table = alone_table(discount)
     out = table[np.minimum(c, EXACT), np.minimum(t, EXACT)]
-    large = np.flatnonzero((c > EXACT) | (t > EXACT))
+    large = _hits((c > EXACT) | (t > EXACT))
     if len(large):
         many, tables = c[large].astype(float), t[large].astype(float)
         like = np.clip(1 + (tables - 1) * (EXACT / many) ** discount, 1, EXACT)
@@ -363,29 +468,30 @@ def drawn(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Binomial counts, each from its own uniform number alone, so that they don't depend on what is drawn beside them: by
     summing up the law, and where both outcomes are expected over 40 times by its normal form with the term for skew."""
     out = np.floor(n * p + u)
-    many = np.flatnonzero(n > 1)
+    many = _hits(n > 1)
     if len(many):
-        size, q, v = n[many].astype(float), np.clip(np.nan_to_num(p[many]), 0.0, 1.0), 1 - u[many]
+        size, q, v = n[many].astype(float), np.fmin(np.fmax(p[many], 0.0), 1.0), 1 - u[many]  # no number: 0
         flip = q > 0.5
         q, v = np.where(flip, 1 - q, q), np.where(flip, 1 - v, v)
         mean = size * q
         got = np.zeros(len(many))
-        large = np.flatnonzero(mean > 40)
+        large = _hits(mean > 40)
         if len(large):
             z = _normal(v[large])
             got[large] = np.rint(mean[large] + np.sqrt(mean[large] * (1 - q[large])) * z + (1 - 2 * q[large]) * (z * z - 1) / 6)
-        live = np.flatnonzero((mean <= 40) & (q > 0))
+        live = _hits((mean <= 40) & (q > 0))
         odds = q[live] / (1 - q[live])
-        mass = np.exp(size[live] * np.log1p(-q[live]))
+        of = size[live]
+        mass = np.exp(of * np.log1p(-q[live]))
         left, k = v[live] - mass, 0
-        while (on := np.flatnonzero((left > 0) & (size[live] > k))).size:
-            live, odds, mass, left = live[on], odds[on], mass[on], left[on]
-            mass = mass * (size[live] - k) / (k + 1) * odds
+        while (on := _hits((left > 0) & (of > k))).size:
+            live, of, odds, mass, left = live[on], of[on], odds[on], mass[on], left[on]
+            mass = mass * (of - k) / (k + 1) * odds
             left = left - mass
             k += 1
             got[live] = k
         out[many] = np.where(flip, size - got, got)
-    return np.clip(out, 0, n).astype(np.int64)
+    return np.minimum(np.maximum(out, 0), n).astype(np.int64)
 
 
 def _normal(u: np.ndarray) -> np.ndarray:
@@ -403,7 +509,7 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
     ts, t1, n, (d, d1) = ts.copy(), t1.copy(), len(t1), discounts
     c1 = np.bincount(word, ts, n).astype(np.int64) + (0 if still is None else still)
     rest_c, rest_t = parents[0] - c1, parents[1] - t1  # of other words
-    live = np.flatnonzero(cs > 1)
+    live = _hits(cs > 1)
     many = np.bincount(word[live], minlength=n)
     turn = (np.arange(len(live)) - np.repeat(np.cumsum(many) - many, many)) % np.minimum(many, TURNS)[word[live]] if len(live) else live
     size = -(-cs // STEPS)  # customers of a step
@@ -412,7 +518,7 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
     order = np.lexsort((-steps[live], turn))
     turns = np.split(live[order], np.searchsorted(turn[order], np.arange(1, TURNS)))
     parts = [-steps[x] for x in turns]
-    busy, place = np.flatnonzero(many), np.zeros(len(cs), np.int64)  # words with such dishes
+    busy, place = _hits(many), np.zeros(len(cs), np.int64)  # words with such dishes
     place[live] = np.searchsorted(busy, word[live])
     roots = np.argsort(-c1, kind="stable")
     begin = -c1[roots]
@@ -435,9 +541,9 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
             m, w, tables, of = size[at], word[at], ts[at], place[at]
             u, v = uniforms(draws, at)
             gone = np.minimum(drawn(m, alone(cs[at], tables, d), u), tables - 1)
-            if (hit := np.flatnonzero(gone)).size:
+            if (hit := _hits(gone)).size:
                 lost = np.bincount(of[hit], gone[hit], len(busy)).astype(np.int64)
-                lost, which = lost[(some := np.flatnonzero(lost))], busy[some]
+                lost, which = lost[(some := _hits(lost))], busy[some]
                 t1[which] -= np.minimum(drawn(lost, alone(c1[which], t1[which], d1), uniforms(last, which)[0]), t1[which])
                 c1[which] -= lost
                 tables -= gone
@@ -445,9 +551,9 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
             fresh, there = (STRENGTH + d * (others[at] + tables)) * (new + old) / (STRENGTH + rest_c[w] + c1[w]), np.maximum(cs[at] - m - d * tables, 0.0)
             born = drawn(m, fresh / (fresh + there), v)
             ts[at] = tables + born
-            if (hit := np.flatnonzero(born)).size:
+            if (hit := _hits(born)).size:
                 got = np.bincount(of[hit], born[hit], len(busy)).astype(np.int64)
-                got, which = got[(some := np.flatnonzero(got))], busy[some]
+                got, which = got[(some := _hits(got))], busy[some]
                 new, old = parent_new(which)
                 t1[which] += drawn(got, new / (new + old), uniforms(last, which)[0])
                 c1[which] += got
@@ -528,6 +634,18 @@ def _sums(state: dict, places: int) -> list[int]:
     return np.concatenate((tables, apart, here, roots, rest)).astype(np.int64).tolist()
 
 
+def _kept_state(state: dict) -> dict:
+    """The state as it is written: ascending places as steps, no names but those of rare contexts."""
+    return state | {"word": np.diff(state["word"], prepend=0), "node": np.diff(state["node"], prepend=0), "ctx": (state["ctx"] + 1).astype(np.int16), "u": state["u"][state["ctx"] < 0], "w": _small(state["w"])}
+
+
+def _read_state(kept: dict) -> dict:
+    ctx = kept["ctx"].astype(np.int64) - 1
+    u = np.zeros(len(ctx), np.int64)
+    u[ctx < 0] = kept["u"]
+    return kept | {"word": np.cumsum(kept["word"]), "node": np.cumsum(kept["node"]), "ctx": ctx, "u": u, "w": kept["w"].astype(np.int64)}
+
+
 def _asked(state: dict, part: int, parts: int, singles: np.ndarray | None = None) -> list[dict]:
     """What the buckets of rare contexts need and are asked: the tables of rare words there."""
     rare = state["ctx"] < 0
@@ -572,7 +690,7 @@ def _built(contexts: dict[int, int], counts: list[int], parts: int) -> Callable:
             "counted": [int((c == k).sum() + (c1 == k).sum()) for k in (1, 2)] + [int((dishes == k).sum()) for k in (1, 2)],
         }
         static = {"h": h, "place": place, "c": _small(many), "word": _runs(word), "ctx": (ctx + 1).astype(np.int16), "u": u[rare], "cs": _small(c), "node": _runs(node), "w": _small(x1), "bc": _small(c1)}
-        return [_row(part, "static", static), _row(part, "state", state), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts, u[~live & rare])]
+        return [_row(part, "static", static), _row(part, "state", _kept_state(state)), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts, u[~live & rare])]
 
     return run
 
@@ -596,7 +714,7 @@ def _swept(totals: Totals, places: int, parts: int, step: int, sample: bool, sea
     d, d1 = discounts = totals.discount, totals.parent_discount
 
     def run(part: int, found: dict[str, list]) -> list[dict]:
-        state, (tu, still) = found["state"][0][1], found["self"][0][1]
+        state, (tu, still) = _read_state(found["state"][0][1]), found["self"][0][1]
         if step == 1:
             state["fixed"] = state["fixed"] + still
         h, place, word, ctx, cs, ts, node, w, bc, bt = (state[x] for x in ("h", "place", "word", "ctx", "cs", "ts", "node", "w", "bc", "bt"))
@@ -627,7 +745,7 @@ def _swept(totals: Totals, places: int, parts: int, step: int, sample: bool, sea
             bt = first_tables(bc, (STRENGTH + d * tu[node]) * chance, d, unit(apart))
         state["ts"], state["t1"] = reseated(word, cs, ts, t1, others, (totals.total, totals.parent_tables), totals.known, discounts, seed, stay, roots)
         state["bt"] = moved(bc, bt, rest, chance, d, apart)
-        return [_row(part, "state", state), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts)]
+        return [_row(part, "state", _kept_state(state)), _row(part, "sums", None, 0, _sums(state, places)), *_asked(state, part, parts)]
 
     return run
 
@@ -866,7 +984,7 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     buckets, frame = model.buckets.where("what = 'bucket'"), documents.select(F.col(text).alias("text"), F.col(key).alias("key"))
     done = []
     for k in range(SLICES):  # what is sent for all texts at once is too much for the disk
-        sent = _kept(frame.where(F.pmod(F.xxhash64("key", "text"), F.lit(SLICES)) == k).mapInArrow(run, name), "tokens")
+        sent = _kept(through_python(frame.where(F.pmod(F.xxhash64("key", "text"), F.lit(SLICES)) == k), run, name), "tokens")
         rows = sent.drop("keys")
         answers = _by_part(rows.where("what = 'asks'").unionByName(model.buckets.where("what = 'contexts'")), _known_contexts)
         found = _by_part(rows.where("what = 'tokens'").unionByName(buckets).unionByName(answers), _looked_up(model))

@@ -175,3 +175,34 @@ def test_draws_are_binomial():
         got = lm.drawn(np.full(400_000, n), np.full(400_000, p), rng.random(400_000))
         assert abs(got.mean() / (n * p) - 1) < 0.02
         assert abs(got.var() / (n * p * (1 - p)) - 1) < 0.02
+
+
+def test_words_are_hashed_together():
+    """Hashes of words of any length, taken from an array of bytes, are XXH64's."""
+    draw = random.Random(6)
+    words = [bytes(draw.randrange(33, 256) for _ in range(n)) for n in [*range(1, 70), 1000] * 3]
+    size = np.array([len(w) for w in words])
+    data = np.frombuffer(b" ".join(words) + bytes(8), np.uint8)
+    assert lm._hashes(data, np.cumsum(size + 1) - size - 1, size).tolist() == [lm._hash(w) for w in words]
+
+
+def test_rows_of_small_numbers_are_small():
+    """Numbers of which few are large take little more than a byte each, and come back with their types."""
+    draw = np.random.default_rng(2)
+    few = draw.geometric(0.4, 50_000)
+    few[::400] = 1 << 40
+    content = {"few": few, "pairs": (draw.integers(0, 9, (5000, 4)), draw.integers(-3, 3, 900)), "names": draw.integers(-(1 << 62), 1 << 62, 100), "none": np.empty(0, np.int64), "real": draw.random(70), "types": [few.astype(np.uint32) % 7, "x", 3]}
+    blob = lm._row(0, "state", content)["blob"]
+    assert len(blob) < 2.5 * 50_000 + 30_000
+    (_, _, got), = lm._contents(pa.Table.from_batches(lm._rows([lm._row(0, "state", content)])))
+    flat = lambda x: [x["few"], *x["pairs"], x["names"], x["none"], x["real"], x["types"][0]]
+    assert got["types"][1:] == ["x", 3]
+    for a, b in zip(flat(got), flat(content), strict=True):
+        assert a.dtype == b.dtype and np.array_equal(a, b)
+
+
+def test_state_comes_back_as_it_was():
+    state = {"word": np.array([0, 0, 2, 5]), "node": np.array([1, 1, 300]), "ctx": np.array([-1, 7, 4096, -1]), "u": np.array([1 << 60, 0, 0, -5]), "w": np.array([3, 70_000, 0]), "h": np.array([9]), "samples": []}
+    got = lm._read_state(lm._kept_state(state))
+    assert got.keys() == state.keys()
+    assert all(np.array_equal(got[k], x) and np.asarray(got[k]).dtype == np.asarray(x).dtype for k, x in state.items())
