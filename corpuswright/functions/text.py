@@ -1,10 +1,12 @@
-"""Text expressions: all are built-in functions over columns, so they stay in the JVM."""
+"""Text expressions: built-in functions over columns, which stay in the JVM, but for ``class_counts``."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ def count_of(text: Column, pattern: str, needs: str = "") -> Column:
     return F.when(~F.contains(text, F.lit(needs)), 0).otherwise(hits) if needs else hits
 
 
+def class_counts(text: Column, classes: Sequence[str]) -> Column:
+    """Array of how many characters of each class, like ``[0-9a-f]`` without escapes, a text has. All are looked up
+    in one pass over the characters as an array; classes are of the basic plane and may overlap."""
+    masks = np.zeros(1 << 16, np.uint32)
+    for k, pattern in enumerate(classes):
+        inner = re.fullmatch(r"\[([^\[\]\\&^]+)\]", pattern)
+        for a, b in re.findall(r"(?s)(.)(?:-(.))?", inner[1]):
+            if ord(b or a) >= 1 << 16:
+                raise ValueError(pattern)
+            masks[ord(a) : ord(b or a) + 1] |= np.uint32(1 << k)
+    kinds, of = np.unique(masks, return_inverse=True)
+    of, has = of.astype(np.uint8), (kinds[:, None] >> np.arange(len(classes), dtype=np.uint32)) & 1
+
+    @F.pandas_udf("array<int>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            units = (None if x is None else np.frombuffer(x.encode("utf-16-le"), np.uint16) for x in column)
+            yield pd.Series([None if x is None else (np.bincount(of[x], minlength=len(has)) @ has).astype(np.int32) for x in units], dtype=object)
+
+    return counts(text)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, ``value`` computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,29 @@ def replaced(text: Column, pairs: Mapping[str, str]) -> Column:
     return run(text)
 
 
+def translated(text: Column, pairs: Mapping[str, str], letters: str, to: str) -> Column:
+    """:func:`replaced`, then each of ``letters`` by that in its place in ``to`` or, if there is none, by nothing. All are
+    of the basic plane. Characters are looked up as an array; Spark's ``translate`` makes a string of each."""
+    table, stays = np.arange(1 << 16, dtype=np.uint16), np.ones(1 << 16, bool)
+    for k in range(len(letters) - 1, -1, -1):  # the first of equal ones decides
+        table[ord(letters[k])], stays[ord(letters[k])] = (ord(to[k]) if k < len(to) else 0), k < len(to)
+
+    @F.pandas_udf("string")
+    def translate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            out = []
+            for x in column:
+                if x is not None:
+                    for a, b in pairs.items():
+                        x = x.replace(a, b)  # noqa: PLW2901
+                    units = np.frombuffer(x.encode("utf-16-le"), np.uint16)
+                    x = table[units[stays[units]]].tobytes().decode("utf-16-le")  # noqa: PLW2901
+                out.append(x)
+            yield pd.Series(out, dtype=object)
+
+    return translate(text)
+
+
 def words_in(text: Column, words: Sequence[str]) -> Column:
     """Which of some words a text contains, in their order."""
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
