@@ -81,10 +81,12 @@ def findings(df: DataFrame, text: str, rules: Rules, options: LintOptions = Lint
         mean = F.col(f"{name}.total") / n
         rows = rows.withColumn(f"{name}_mean", mean).withColumn(f"{name}_sd", F.sqrt(F.greatest(F.col(f"{name}.squares") / n - mean * mean, F.lit(0.0))))
     m, s = F.col("_mora_mean"), F.col("_mora_sd")
+    patterns = list((phrases or {}).values())
+    ten, kanji, bold, *hits = T.counts_of(t, [f"[{rules.commas[:1]}]", rules.ideograph, R.BOLD, *patterns], J.needed)
     rows = rows.withColumns({
-        "_ten": T.count_of(t, f"[{rules.commas[:1]}]") / n, "_bold": T.per_thousand(T.count_of(t, R.BOLD), F.col("_chars")), "_kanji": T.count_of(t, rules.ideograph) / F.nullif(F.col("_chars"), F.lit(0)),
+        "_ten": ten / n, "_bold": T.per_thousand(bold, F.col("_chars")), "_kanji": kanji / F.nullif(F.col("_chars"), F.lit(0)),
         "_burstiness": F.when(F.col("_n") >= 2, (s - m) / F.nullif(s + m, F.lit(0.0))), "_cv": F.col("_length_sd") / F.nullif(F.col("_length_mean"), F.lit(0.0)),
-    } | {f"_phrase{k}": T.count_of(t, p, J.needed(p)) for k, p in enumerate((phrases or {}).values())})
+    } | {f"_phrase{k}": x for k, x in enumerate(hits)})
     found = []
     for name in (x for x in LIMITS if x not in options.disabled):
         value, limit, above = F.col(f"_{name}"), options.limit(name), name in UPPER
