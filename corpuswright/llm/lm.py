@@ -66,6 +66,7 @@ FLUSH = 500_000  # distinct words a task holds
 GROUP = 1 << 20  # bytes of texts a task works on at once
 PAIRS = 1_000_000  # tokens whose pairs are counted together
 PIECE = 1 << 17  # bytes of a bucket's content in a row
+SLOTS = 1 << 18  # in which a task finds words it has met without a search
 GROUP_ROWS = 128  # pieces read or sent at once
 LAYOUT = {"parquet.block.row.count.limit": GROUP_ROWS, "parquet.page.row.count.limit": 8, "parquet.page.size.row.check.min": 8}
 END = b"\n"  # no word holds a blank
@@ -126,8 +127,19 @@ class Seen:
         self.turn += 1
         self.hashes, self.ordered, self.at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.found = [np.empty(0, np.int32) for _ in self.lookups]
+        self.slots = np.zeros(SLOTS, np.int32)  # places by the last bits of a hash; what stands there is compared
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & (SLOTS - 1)
+        at = self.slots.take(slot).astype(np.int64)
+        others = _hits(self.hashes.take(at) != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(others):
+            at[others] = got = self._searched(hashes[others])
+            free = self.slots.take(slot[others]) == 0
+            self.slots[slot[others[free]]] = got[free]
+        return at
+
+    def _searched(self, hashes: np.ndarray) -> np.ndarray:
         names, which = np.unique(hashes, return_inverse=True)
         where = np.searchsorted(self.ordered, names)
         fresh = np.append(self.ordered, 0)[where] != names
@@ -305,6 +317,47 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], _small(np.diff(np.append(first, len(x))))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending, each once. ``np.unique`` keeps a hash table, which takes many times as long as sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _grouping(x: np.ndarray) -> np.ndarray:
+    """The order that puts small numbers, none negative, in groups and changes nothing inside of these: of 16 bits they
+    are sorted by their digits."""
+    return np.argsort(_small(x), kind="stable")
+
+
+def _split(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of some small numbers, ascending, and where it stands."""
+    order = _grouping(x)
+    first, size = _runs(x[order])
+    ends = np.cumsum(size, dtype=np.int64)
+    for k, a, b in zip(first.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+        yield k, order[a:b]
+
+
+def _ranked(at: np.ndarray, n: int, names: np.ndarray) -> np.ndarray:
+    """Keys in the order of ``at``, all below ``n``, and then of 64-bit names, whose last bits have no room in them. That of
+    -1 is negative."""
+    bits = n.bit_length()
+    return (at << (63 - bits)) | ((names.view(np.uint64) ^ _TOP) >> np.uint64(bits + 1)).view(np.int64)
+
+
+def _find_ranked(keys: np.ndarray, names: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places of ``x`` with the names ``own`` among ascending :func:`_ranked` keys of ``names``, or -1."""
+    at = _find(keys, x)
+    off = _hits((at >= 0) & (names[at] != own)) if len(names) else _hits(at >= 0)
+    while off.size:  # other names that differ in their last bits only
+        after = at[off] + 1
+        there = np.minimum(after, len(keys) - 1)
+        at[off] = np.where((after < len(keys)) & (keys[there] == x[off]), after, -1)
+        off = off[at[off] >= 0]
+        off = off[names[at[off]] != own[off]]
+    return at
+
+
 def _heads(contexts: dict[int, int]) -> dict[int, int]:
     """Places of frequent words. That of the end, as a word, is that of the start, as a context."""
     return contexts | {_hash(END): len(contexts)}
@@ -312,22 +365,24 @@ def _heads(contexts: dict[int, int]) -> dict[int, int]:
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, heads: dict[int, int]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Some PAIRS tokens at once: rows, places of the tokens and of those before (-1: none), how many a text has, and by
-    place the hash and the place among the frequent words (-1: none)."""
-    seen, held, n, turn, hashes, found = Seen(heads), [], 0, 1, np.empty(0, np.int64), np.empty(0, np.int32)
+    place the hash and the place among the frequent words (-1: none). Places here are in the order of hashes."""
+    seen, held, n, turn, hashes, found, order = Seen(heads), [], 0, 1, np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def out() -> tuple:
-        at, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        at, counts = rank.take(np.concatenate([x[1] for x in held])), np.concatenate([x[2] for x in held])
         before = np.empty_like(at)
         before[1:] = at[:-1]
         before[np.concatenate(([0], np.cumsum(counts)[:-1]))] = -1
-        return [x[0] for x in held], at, before, counts, hashes, found
+        return [x[0] for x in held], at, before, counts, hashes[order], found[order]
 
     for stretch in _grouped(batches, column, seen):
         if seen.turn > turn:  # it has been emptied
             if held:
                 yield out()
             held, n, turn = [], 0, seen.turn
-        hashes, found = seen.hashes, seen.found[0]
+        hashes, found, order = seen.hashes, seen.found[0], seen.at
         held.append((stretch[0], stretch[1].astype(np.int32), stretch[2]))
         n += len(stretch[1])
         if n > PAIRS:
@@ -339,21 +394,37 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, heads: dict[int, int
         yield out()
 
 
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, and the order: where they and their places have room in 64 bits, these are sorted
+    as one number, which is faster."""
+    room = len(keys).bit_length()
+    if bits + room > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort((keys << room) | np.arange(len(keys)))
+    return both >> room, both & ((1 << room) - 1)
+
+
 def _pair(at: np.ndarray, before: np.ndarray, places: int) -> np.ndarray:
-    return at.astype(np.int64) * (places + 1) + before + 1
+    return (at.astype(np.int64) << places.bit_length()) | (before + 1)
 
 
-def _dishes(key: np.ndarray, hashes: np.ndarray, heads: np.ndarray, start: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys place * (places + 1) + place before + 1, in what order they are sent, and then owner and other word. Of the
-    orders' 3 * part + kind the kind is 0: a word by the place of its frequent context, 1: a rare context by the place of
-    its frequent word, 2: a word by the hash of its context."""
-    at, before = key // (len(hashes) + 1), key % (len(hashes) + 1) - 1
-    word, ctx = heads[at], np.where(before < 0, start, heads[before])
+def _dishes(key: np.ndarray, hashes: np.ndarray, heads: np.ndarray, start: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Of ascending keys by :func:`_pair` the order in which they are sent, and in that order group, owner, other word and
+    place before. Of the groups, 3 * part + kind, the kind is 0: a word by the place of its frequent context, 1: a rare
+    context by the place of its frequent word, 2: a word by the hash of its context. Owners of a group ascend."""
+    bits = len(hashes).bit_length()
+    at, before = key >> bits, (key & ((1 << bits) - 1)) - 1
+    word, ctx = heads.take(at), np.where(before < 0, start, heads.take(before))
+    names = hashes.take(before)
     apart = (word >= 0) & (ctx < 0)
-    owner = np.where(apart, hashes[before], hashes[at])
-    other = np.where(apart, word, np.where(ctx < 0, hashes[before], ctx))
-    kind = np.where(apart, 1, np.where(ctx < 0, 2, 0))
-    return 3 * _part(owner, parts) + kind, owner, other
+    owner = np.where(apart, names, hashes.take(at))
+    other = np.where(apart, word, np.where(ctx < 0, names, ctx))
+    group = 3 * _part(owner, parts) + np.where(apart, 1, np.where(ctx < 0, 2, 0))
+    order, theirs = np.arange(len(key)), _hits(apart)
+    order[theirs] = theirs[_sorted(before[theirs], bits)[1]]
+    order = order[_grouping(group[order])]
+    return order, group.take(order), owner.take(order), other.take(order), before.take(order)
 
 
 def _cut(group: np.ndarray) -> Iterator[tuple[int, int, slice]]:
@@ -373,11 +444,10 @@ def _sent(documents: DataFrame, contexts: dict[int, int], parts: int) -> DataFra
         task = TaskContext.get().partitionId()
         for number, (_, at, before, _, hashes, found) in enumerate(_chunks(batches, 0, heads)):
             key, c = np.unique(_pair(at, before, len(hashes)), return_counts=True)
-            group, owner, other = _dishes(key, hashes, found, start, parts)
-            order = np.argsort(group, kind="stable")
-            owner, other, c = owner[order], other[order], c[order]
+            order, group, owner, other, _ = _dishes(key, hashes, found, start, parts)
+            c = c[order]
             content: dict[int, dict] = {}
-            for part, kind, s in _cut(group[order]):
+            for part, kind, s in _cut(group):
                 content.setdefault(part, {})[kind] = (*_runs(owner[s]), other[s] if kind == 2 else _small(other[s]), _small(c[s]))
             yield from _rows([_row(part, "pairs", x, task << 24 | number) for part, x in content.items()])
 
@@ -389,12 +459,17 @@ def _merged(blobs: list[tuple[int, dict]], kind: int) -> tuple[np.ndarray, np.nd
     some = [x[kind] for _, x in blobs if kind in x]
     if not some:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    owner = np.concatenate([np.repeat(x[0], x[1]) for x in some])
+    names, at = np.unique(np.concatenate([x[0] for x in some]), return_inverse=True)
+    at = np.repeat(at, np.concatenate([x[1] for x in some]))
     other, c = np.concatenate([x[2].astype(np.int64) for x in some]), np.concatenate([x[3].astype(np.int64) for x in some])
-    order = np.lexsort((other, owner))
-    owner, other, c = owner[order], other[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]))))
-    return owner[first], other[first], np.add.reduceat(c, first)
+    key = _ranked(at, len(names), other) if kind == 2 else at * (int(other.max(initial=0)) + 1) + other
+    order = np.argsort(key)
+    key, to = key[order], other[order]
+    if kind == 2 and ((key[1:] == key[:-1]) & (to[1:] != to[:-1])).any():  # names that differ in their last bits only
+        order = np.lexsort((other, at))
+    at, other, c = at[order], other[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (other[1:] != other[:-1]))))
+    return names[at[first]], other[first], np.add.reduceat(c, first)
 
 
 def _pairs(documents: DataFrame, contexts: dict[int, int]) -> DataFrame:
@@ -453,7 +528,9 @@ def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     """Chance that a customer sits alone. Beyond EXACT customers the share of tables with one customer is taken from the
     dish of EXACT customers whose tables are as many in proportion to customers ** discount."""
     table = alone_table(discount)
-    out = table[np.minimum(c, EXACT), np.minimum(t, EXACT)]
+    if c.max(initial=0) <= EXACT and t.max(initial=0) <= EXACT:
+        return table.ravel().take(c * (EXACT + 1) + t)
+    out = table.ravel().take(np.minimum(c, EXACT) * (EXACT + 1) + np.minimum(t, EXACT))
     large = _hits((c > EXACT) | (t > EXACT))
     if len(large):
         many, tables = c[large].astype(float), t[large].astype(float)
@@ -467,6 +544,8 @@ def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
 def drawn(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Binomial counts, each from its own uniform number alone, so that they don't depend on what is drawn beside them: by
     summing up the law, and where both outcomes are expected over 40 times by its normal form with the term for skew."""
+    if n.max(initial=0) <= 1:
+        return (n * p + u >= 1).astype(np.int64)
     out = np.floor(n * p + u)
     many = _hits(n > 1)
     if len(many):
@@ -480,16 +559,22 @@ def drawn(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
             z = _normal(v[large])
             got[large] = np.rint(mean[large] + np.sqrt(mean[large] * (1 - q[large])) * z + (1 - 2 * q[large]) * (z * z - 1) / 6)
         live = _hits((mean <= 40) & (q > 0))
-        odds = q[live] / (1 - q[live])
-        of = size[live]
-        mass = np.exp(of * np.log1p(-q[live]))
-        left, k = v[live] - mass, 0
-        while (on := _hits((left > 0) & (of > k))).size:
-            live, of, odds, mass, left = live[on], of[on], odds[on], mass[on], left[on]
-            mass = mass * (of - k) / (k + 1) * odds
-            left = left - mass
+        of, q = size[live], q[live]
+        odds, mass = q / (1 - q), np.exp(of * np.log1p(-q))
+        left, k, count = v[live] - mass, 0, np.zeros(len(live))
+        while some := np.count_nonzero(on := (left > 0) & (of > k)):
+            if 4 * some < 3 * len(on):  # those that are done go
+                got[live] = count
+                live, of, odds, mass, left, count = live[on], of[on], odds[on], mass[on], left[on], count[on]
+                count += 1
+            else:
+                count += on
+            mass *= of - k
+            mass /= k + 1
+            mass *= odds
+            left -= mass
             k += 1
-            got[live] = k
+        got[live] = count
         out[many] = np.where(flip, size - got, got)
     return np.minimum(np.maximum(out, 0), n).astype(np.int64)
 
@@ -522,9 +607,11 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
     place[live] = np.searchsorted(busy, word[live])
     roots = np.argsort(-c1, kind="stable")
     begin = -c1[roots]
-    draws, last = seed.copy(), (seed[np.searchsorted(word, np.arange(n))] if roots_seed is None else roots_seed) ^ np.uint64(0xA5A5A5A5A5A5A5A5)  # a counter a word
+    # what the rows of a turn have, side by side
+    own = [[x[rows] for x in (size, word, place, cs, others, ts, seed, rest_c[word], rest_t[word])] for rows in turns]
+    last = (seed[np.searchsorted(word, np.arange(n))] if roots_seed is None else roots_seed) ^ np.uint64(0xA5A5A5A5A5A5A5A5)  # a counter a word
 
-    def uniforms(counters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def uniforms(counters: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
         """Two numbers of 32 bits from one draw, never 0."""
         counters[at] = got = splitmix(counters[at])
         return ((got >> np.uint64(32)).astype(float) + 0.5) / 4294967296.0, ((got & np.uint64(0xFFFFFFFF)).astype(float) + 0.5) / 4294967296.0
@@ -534,23 +621,24 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
         return (STRENGTH + d1 * (rest_t[at] + t1[at])) / (known + 1), np.maximum(c1[at] - d1 * t1[at], 0.0)
 
     for step in range(STEPS):
-        for rows, part in zip(turns, parts, strict=True):
-            at = rows[: np.searchsorted(part, -step)]
-            if not len(at):
+        for mine, part in zip(own, parts, strict=True):
+            at = slice(int(np.searchsorted(part, -step)))
+            if not at.stop:
                 continue
-            m, w, tables, of = size[at], word[at], ts[at], place[at]
-            u, v = uniforms(draws, at)
-            gone = np.minimum(drawn(m, alone(cs[at], tables, d), u), tables - 1)
+            m, w, of, customers, there, tables, _, c_there, t_there = (x[at] for x in mine)
+            u, v = uniforms(mine[6], at)
+            gone = np.minimum(drawn(m, alone(customers, tables, d), u), tables - 1)
             if (hit := _hits(gone)).size:
                 lost = np.bincount(of[hit], gone[hit], len(busy)).astype(np.int64)
                 lost, which = lost[(some := _hits(lost))], busy[some]
                 t1[which] -= np.minimum(drawn(lost, alone(c1[which], t1[which], d1), uniforms(last, which)[0]), t1[which])
                 c1[which] -= lost
                 tables -= gone
-            new, old = parent_new(w)
-            fresh, there = (STRENGTH + d * (others[at] + tables)) * (new + old) / (STRENGTH + rest_c[w] + c1[w]), np.maximum(cs[at] - m - d * tables, 0.0)
-            born = drawn(m, fresh / (fresh + there), v)
-            ts[at] = tables + born
+            c_own, t_own = c1.take(w), t1.take(w)
+            new, old = (STRENGTH + d1 * (t_there + t_own)) / (known + 1), np.maximum(c_own - d1 * t_own, 0.0)
+            fresh, stay = (STRENGTH + d * (there + tables)) * (new + old) / (STRENGTH + c_there + c_own), np.maximum(customers - m - d * tables, 0.0)
+            born = drawn(m, fresh / (fresh + stay), v)
+            tables += born
             if (hit := _hits(born)).size:
                 got = np.bincount(of[hit], born[hit], len(busy)).astype(np.int64)
                 got, which = got[(some := _hits(got))], busy[some]
@@ -566,6 +654,8 @@ def reseated(word: np.ndarray, cs: np.ndarray, ts: np.ndarray, t1: np.ndarray, o
         t1[at] -= np.minimum(drawn(m, alone(c1[at], t1[at], d1), u), t1[at] - 1)
         new = (STRENGTH + d1 * (rest_t[at] + t1[at])) / (known + 1)
         t1[at] = np.clip(t1[at] + drawn(m, new / (new + np.maximum(c1[at] - m - d1 * t1[at], 0.0)), v), 1, c1[at])
+    for rows, mine in zip(turns, own, strict=True):
+        ts[rows] = mine[5]
     return ts, t1
 
 
@@ -575,16 +665,19 @@ def moved(cs: np.ndarray, ts: np.ndarray, others: np.ndarray, chance: np.ndarray
     steps = np.where(cs > 1, -(-cs // size), 0)
     order = np.argsort(-steps, kind="stable")
     begin = -steps[order]
+    order = order[: np.searchsorted(begin, 0)]
+    own = [x[order] for x in (size, cs, others, chance, ts, seed)]
     for step in range(STEPS):
-        at = order[: np.searchsorted(begin, -step)]
-        if not len(at):
+        at = slice(int(np.searchsorted(begin, -step)))
+        if not at.stop:
             break
-        seed[at] = got = splitmix(seed[at])
+        m, customers, elsewhere, parent, tables, counters = (x[at] for x in own)
+        counters[:] = got = splitmix(counters)
         u, v = ((got >> np.uint64(32)).astype(float) + 0.5) / 4294967296.0, ((got & np.uint64(0xFFFFFFFF)).astype(float) + 0.5) / 4294967296.0
-        m, tables = size[at], ts[at]
-        tables -= np.minimum(drawn(m, alone(cs[at], tables, discount), u), tables - 1)
-        fresh, there = (STRENGTH + discount * (others[at] + tables)) * chance[at], np.maximum(cs[at] - m - discount * tables, 0.0)
-        ts[at] = tables + drawn(m, fresh / (fresh + there), v)
+        tables -= np.minimum(drawn(m, alone(customers, tables, discount), u), tables - 1)
+        fresh, there = (STRENGTH + discount * (elsewhere + tables)) * parent, np.maximum(customers - m - discount * tables, 0.0)
+        tables += drawn(m, fresh / (fresh + there), v)
+    ts[order] = own[4]
     return ts
 
 
@@ -654,8 +747,7 @@ def _asked(state: dict, part: int, parts: int, singles: np.ndarray | None = None
         singles = np.empty(0, np.int64)
     names, at = np.unique(np.concatenate((u, singles)), return_inverse=True)
     tables, still = np.bincount(at[: len(u)], t, len(names)).astype(np.int64), np.bincount(at[len(u) :], minlength=len(names))
-    to = _part(names, parts)
-    out = [_row(k, "tables", (names[to == k], _small(tables[to == k]), _small(still[to == k])), part) for k in np.unique(to).tolist()]
+    out = [_row(k, "tables", (names[s], _small(tables[s]), _small(still[s])), part) for k, s in _split(_part(names, parts))]
     return [*out, _row(part, "own", (state["h"], state["fixed"] + np.bincount(state["node"], state["bt"], len(state["h"])).astype(np.int64)))]
 
 
@@ -666,7 +758,7 @@ def _built(contexts: dict[int, int], counts: list[int], parts: int) -> Callable:
 
     def run(part: int, found: dict[str, list]) -> list[dict]:
         (w0, x0, c0), (u1, x1, c1), (w2, x2, c2) = (_merged(found["pairs"], kind) for kind in (0, 1, 2))
-        h = np.unique(np.concatenate((w0, w2, names[(_part(names, parts) == part) & (often > 0)])))
+        h = _distinct(np.concatenate((w0, w2, names[(_part(names, parts) == part) & (often > 0)])))
         by_name = np.argsort(names)
         place = _find(names[by_name], h)
         place = np.where(place >= 0, by_name[place], -1)
@@ -702,8 +794,9 @@ def _answered(part: int, found: dict[str, list]) -> list[dict]:
     met = []
     for sender, (u, t, s) in found.get("tables", []):
         at = _find(h, u)  # a context with one customer doesn't move
-        np.add.at(still, at[at >= 0], s[at >= 0])
-        np.add.at(tables, at[at >= 0], t[at >= 0].astype(np.int64) + s[at >= 0])
+        here = _hits(at >= 0)  # each once
+        still[at[here]] += s[here]
+        tables[at[here]] += t[here].astype(np.int64) + s[here]
         met.append((sender, u[t > 0], at[t > 0]))
     return [_row(part, "self", (tables, still)), *(_row(sender, "totals", (u, _small(tables[at])), part) for sender, u, at in met)]
 
@@ -723,7 +816,10 @@ def _swept(totals: Totals, places: int, parts: int, step: int, sample: bool, sea
         if rare.any():
             names, tables = (np.concatenate(x) for x in zip(*(y for _, y in found["totals"]), strict=True))
             order = np.argsort(names)
-            whole[rare] = tables[order][np.searchsorted(names[order], state["u"][rare])]
+            u = state["u"][rare]
+            sort, got = np.argsort(u), np.empty(len(u), tables.dtype)
+            got[sort] = tables[order][np.searchsorted(names[order], u[sort])]
+            whole[rare] = got
         stay = state["still"] + np.where(place >= 0, totals.apart[place], 0).astype(np.int64)
         c1 = np.bincount(word, ts, n).astype(np.int64) + stay
         t1 = np.minimum(state["t1"], c1)
@@ -854,26 +950,27 @@ def _known_contexts(part: int, found: dict[str, list]) -> list[dict]:
     if "asks" not in found:
         return []
     to, u = (np.concatenate(x) for x in zip(*(y for _, y in found["asks"]), strict=True))
-    order = np.lexsort((u, to))
+    order = np.argsort(u)
+    order = order[_grouping(to[order])]
     to, u = to[order], u[order]
     once = np.concatenate(([True], (to[1:] != to[:-1]) | (u[1:] != u[:-1])))
     to, u = to[once], u[once]
     h, c, tables = found["contexts"][0][1] if "contexts" in found else (np.empty(0, np.int64),) * 3
     at = _find(h, u)
     out = []
-    for k in np.unique(to).tolist():
-        mine = (to == k) & (at >= 0)
-        if mine.any():
+    for k, s in _split(to):
+        mine = s[at[s] >= 0]
+        if len(mine):
             out.append(_row(k, "answers", (u[mine], _small(c[at[mine]]), _small(tables[at[mine]])), part))
     return out
 
 
 def _looked_up(model: Model) -> Callable:
     """What the tokens of a bucket's dishes add to their texts, by chunk."""
-    samples, backoff = len(model.samples), np.array(model.backoffs)
+    samples, backoff, width = len(model.samples), np.ascontiguousarray(np.array(model.backoffs).T), len(model.counts) + 1
     customers, unknown, d = model.samples[0].customers, np.array(model.unknown), model.discounts[0]
     tops = np.stack([x.parent(x.head_customers, x.head_tables) for x in model.samples], 1)  # of frequent words
-    mixed = lambda a, b: splitmix(a.view(np.uint64) ^ splitmix(b.view(np.uint64)))
+    frequent = np.log10(model.counts + 0.1)
     left = lambda tables, c: (STRENGTH + d * tables) / (STRENGTH + c.astype(float))[:, None]
 
     def run(part: int, found: dict[str, list]) -> list[dict]:
@@ -891,28 +988,35 @@ def _looked_up(model: Model) -> Callable:
         far = np.vstack((left(np.concatenate([np.empty((0, samples)), *(y[2] for _, y in answers)])[order], met[:-1]), np.ones(samples)))
         word, ctx = np.repeat(*x["word"]), x["ctx"].astype(np.int64) - 1
         rare = ctx < 0
-        keys = [mixed(h[word[~rare]], ctx[~rare]), mixed(h[np.repeat(*x["node"])], x["w"].astype(np.int64)), mixed(h[word[rare]], x["u"])]
+        # as they stand, dishes are in the order of these
+        keys = [word[~rare] * width + ctx[~rare], np.repeat(*x["node"]) * width + x["w"], _ranked(word[rare], len(h), x["u"])]
         kept = [(x["cs"][~rare], x["sum"][~rare]), (x["bc"], x["bsum"]), (x["cs"][rare], x["sum"][rare])]
-        sort = [np.argsort(y) for y in keys]
-        keys = [y[o] for y, o in zip(keys, sort, strict=True)]
-        kept = [(a[o], b[o]) for (a, b), o in zip(kept, sort, strict=True)]
+        base = np.log10(c + 0.1)
         out = []
         for chunk, (texts, content) in found.get("tokens", []):
             total = np.zeros((3, texts))
-            for kind, (owners, runs, other, size, text) in content.items():
-                first, other = np.repeat(_find(h, owners), runs), other.astype(np.int64)  # -1: the last row
-                if kind == 0:
-                    share, root, many, count = backoff[:, other].T, p1[first], customers[other], c[first]
-                elif kind == 1:
-                    share, root, many, count = leaves[first], tops[other], c[first], model.counts[other]
+            for kind, (owners, runs, other, size, text, *named) in content.items():
+                owner = _find(h, owners)  # -1: the last row
+                first, other = np.repeat(owner, runs), other.astype(np.int64)
+                if kind == 1:
+                    share, root, many = leaves.take(first, 0), tops.take(other, 0), c.take(first)
+                    known, log = (model.counts > 0).take(other), frequent.take(other)
+                else:
+                    known, log, root = (y.take(owner, 0).repeat(runs, 0) for y in (c > 0, base, p1))
+                    if kind == 0:
+                        share, many = backoff.take(other, 0), customers.take(other)
+                    else:
+                        at = _find(names, named[0])
+                        share, many = far.take(at, 0).take(other, 0), met.take(at).take(other)
+                prob = np.einsum("ij,ij->i", share, root)
+                if kind == 2:
+                    own = named[0].take(other)
+                    at = _find_ranked(keys[2], x["u"], _ranked(first, len(h), own), own)
                 else:
-                    at = _find(names, other)
-                    share, root, many, count = far[at], p1[first], met[at], c[first]
-                prob = (share * root).sum(1)
-                at = _find(keys[kind], mixed(np.repeat(owners, runs), other))
+                    at = _find(keys[kind], first * width + other)
                 hit = np.flatnonzero(at >= 0)
-                prob[hit] += model.own(kept[kind][0][at[hit]], kept[kind][1][at[hit]], many[hit])
-                for k, value in enumerate((count > 0, np.log10(count + 0.1), np.log10(prob / samples))):
+                prob[hit] += model.own(kept[kind][0].take(at[hit]), kept[kind][1].take(at[hit]), many.take(hit))
+                for k, value in enumerate((known, log, np.log10(prob / samples))):
                     total[k] += np.bincount(text, np.repeat(value.astype(float), size), texts)
             out.append(_row(part, "sums", total, chunk))
         return out
@@ -948,36 +1052,40 @@ def scored(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
     shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, task = shared.value, TaskContext.get().partitionId()
+        top, task = shared.value.ravel(), TaskContext.get().partitionId()
         for number, (rows, at, before, counts, hashes, found) in enumerate(_chunks(batches, 0, heads)):
             chunk, texts = task << 24 | number, len(counts)
-            word, ctx = found[at], np.where(before < 0, start, found[before])
+            word, ctx = found.take(at), np.where(before < 0, start, found.take(before))
             text, near = np.repeat(np.arange(texts, dtype=np.int32), counts), (word >= 0) & (ctx >= 0)
             mine, theirs, here = word[near], ctx[near], text[near]
-            sums = np.stack([np.bincount(here, y, texts) for y in (is_known[mine], base[mine], top[mine, theirs].astype(float))])
+            sums = np.stack([np.bincount(here, y, texts) for y in (is_known[mine], base[mine], top.take(mine.astype(np.int64) * (start + 1) + theirs).astype(float))])
             out = [_row(0, "texts", (counts, sums), chunk)]
             # of others the texts of a pair, by its dish
-            pair = _pair(at[~near], before[~near], len(hashes))
-            sort = np.argsort(pair, kind="stable")
+            pair, sort = _sorted(_pair(at[~near], before[~near], len(hashes)), len(hashes).bit_length() * 2)
             text = text[~near][sort]
-            key, size = _runs(pair[sort])
+            key, size = _runs(pair)
             del at, before, word, ctx, mine, theirs, here, pair, sort
-            group, owner, other = _dishes(key, hashes, found, start, parts)
-            order, size = np.argsort(group, kind="stable"), size.astype(np.int64)
-            first = (np.cumsum(size) - size)[order]
-            group, owner, other, before, size = group[order], owner[order], other[order], (key % (len(hashes) + 1) - 1)[order], size[order]
+            order, group, owner, other, before = _dishes(key, hashes, found, start, parts)
+            size = size.astype(np.int64)
+            first, size = (np.cumsum(size) - size)[order], size[order]
             ends = np.cumsum(size)
             text = _small(text[np.repeat(first - ends + size, size) + np.arange(len(text))])
             ends = np.concatenate(([0], ends))
             content: dict[int, dict] = {}
+            asks, where = [], np.empty(len(hashes), np.int32)
             for part, which, s in _cut(group):
-                content.setdefault(part, {})[which] = (*_runs(owner[s]), other[s] if which == 2 else _small(other[s]), _small(size[s]), text[ends[s.start] : ends[s.stop]])
+                named = []
+                if which == 2:  # contexts are named once
+                    names = _distinct(before[s])
+                    where[names] = np.arange(len(names))
+                    named = [hashes[names]]
+                    asks.append((part, *named))
+                far = where[before[s]] if which == 2 else other[s]
+                content.setdefault(part, {})[which] = (*_runs(owner[s]), _small(far), _small(size[s]), text[ends[s.start] : ends[s.stop]], *named)
             out += [_row(part, "tokens", (texts, x), chunk) for part, x in content.items()]
-            far = group % 3 == 2
-            asks = np.unique(before[far] * parts + group[far] // 3)
-            names, to = hashes[asks // parts], _small(asks % parts)
-            at = _part(names, parts)
-            out += [_row(k, "asks", (to[at == k], names[at == k]), chunk) for k in np.unique(at).tolist()]
+            if asks:
+                names, to = np.concatenate([x for _, x in asks]), _small(np.repeat([x for x, _ in asks], [len(x) for _, x in asks]))
+                out += [_row(k, "asks", (to[s], names[s]), chunk) for k, s in _split(_part(names, parts))]
             yield from _rows(out, pa.concat_arrays([x.column(1) for x in rows]))
 
     name = f"{ROW}, keys array<{kind.simpleString()}>"

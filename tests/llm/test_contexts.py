@@ -206,3 +206,55 @@ def test_state_comes_back_as_it_was():
     got = lm._read_state(lm._kept_state(state))
     assert got.keys() == state.keys()
     assert all(np.array_equal(got[k], x) and np.asarray(got[k]).dtype == np.asarray(x).dtype for k, x in state.items())
+
+
+def test_known_words_are_not_searched_for(monkeypatch):
+    """A word met before is found by the last bits of its hash, also where another word stands there."""
+    names = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 1000)
+    alike = np.concatenate((names, names[:10] ^ (1 << 40)))  # ten words with the last bits of ten others
+    seen, calls, search = lm.Seen({int(names[3]): 7}), [], np.searchsorted
+    first = seen.places(np.tile(alike, 3))
+    assert (seen.hashes[first] == np.tile(alike, 3)).all() and len(seen.hashes) == len(alike)
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: calls.append(np.size(v)) or search(a, v, *more, **named))
+    again = seen.places(np.tile(alike, 3)[::-1])
+    assert (again == first[::-1]).all() and sum(calls) <= 30
+    assert [int(k) for k in np.flatnonzero(seen.found[0] >= 0)] == [int(first[3])]
+    seen.clear()
+    first = seen.places(alike)
+    assert (seen.hashes[first] == alike).all()
+
+
+def test_owners_of_a_group_ascend():
+    """Buckets are sent their dishes in the order in which they look them up."""
+    draw, places = np.random.default_rng(2), 300
+    hashes, heads = np.sort(draw.integers(-(1 << 62), 1 << 62, places)), np.where(np.arange(places) % 9 == 0, np.arange(places) // 9, -1).astype(np.int32)
+    at, before = draw.integers(0, places, 5000), draw.integers(-1, places, 5000)
+    key, order = lm._sorted(lm._pair(at, before, places), 2 * places.bit_length())
+    assert (key == lm._pair(at, before, places)[order]).all() and sorted(order.tolist()) == list(range(5000))
+    order, group, owner, other, near = lm._dishes(key, hashes, heads, 99, 4)
+    assert sorted(order.tolist()) == list(range(len(key))) and (np.diff(group) >= 0).all()
+    bits = places.bit_length()
+    for k, g, o, x, b in zip(order.tolist(), group.tolist(), owner.tolist(), other.tolist(), near.tolist(), strict=True):
+        word, ctx = int(key[k] >> bits), int(key[k] & ((1 << bits) - 1)) - 1
+        place = 99 if ctx < 0 else int(heads[ctx])
+        want = (hashes[word], place, 0) if place >= 0 else (hashes[ctx], heads[word], 1) if heads[word] >= 0 else (hashes[word], hashes[ctx], 2)
+        assert (o, x, g % 3, b) == (*want, ctx) and g // 3 == int(lm._part(np.array([o]), 4)[0])
+    for _, _, s in lm._cut(group):
+        assert (np.diff(owner[s]) >= 0).all()
+
+
+def test_names_alike_but_for_their_last_bits():
+    """Dishes are merged and found by whole names, though sorted by less."""
+    base = np.array([-(1 << 62), 5 << 40, (5 << 40) + 1, (5 << 40) + 2, 1 << 61], np.int64)
+    owner, other = np.repeat(np.array([-7, 11], np.int64), 10), np.tile(np.concatenate((base, base[::-1])), 2)
+    got = lm._merged([(0, {2: (*lm._runs(owner), other, np.ones(20, np.int64))})], 2)
+    assert [x.tolist() for x in got] == [[-7] * 5 + [11] * 5, base.tolist() * 2, [2] * 10]
+    at, names = np.repeat(np.arange(3), 5), np.tile(base, 3)
+    keys = lm._ranked(at, 3, names)
+    assert (np.diff(keys) >= 0).all() and (np.diff(keys) == 0).any()
+    assert lm._find_ranked(keys, names, keys, names).tolist() == list(range(15))
+    absent, nobody = names + 3, np.full(15, -1)
+    assert (lm._find_ranked(keys, names, lm._ranked(at, 3, absent), absent) == -1).all()
+    assert (lm._find_ranked(keys, names, lm._ranked(nobody, 3, names), names) == -1).all()
+    none = np.empty(0, np.int64)
+    assert (lm._find_ranked(none, none, lm._ranked(nobody, 0, names), names) == -1).all()
